@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .shared import Tables, need, text_or_empty
 
-#: Bytes of the first digit; each later digit is eight times as wide, up to WIDEST.
-FIRST, WIDEST = 64, 1 << 20
+#: Bytes of the first digit; each later digit is GROWTH times as wide, up to WIDEST.
+FIRST, GROWTH, WIDEST = 64, 64, 1 << 20
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,7 +38,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         counts = dealt.groupBy("grp", "digit", "ended").agg(F.count("*").alias("n"))
         counts = tables.put(counts.where("n > 1").withColumn("next", F.monotonically_increasing_id()), "digits")
         key = ["grp", "digit", "ended"]
-        split = dealt.join(counts, key, "left").select(
+        # The counts grow with the input: merged at every size, never broadcast.
+        split = dealt.join(counts.hint("merge"), key, "left").select(
             "id", "sha", F.col("next").alias("grp"), "n", F.expr("n is null").alias("single"),
             F.coalesce("ended", F.lit(True)).alias("ended"), F.when(F.expr("n > 1 and not ended"), F.expr(f"substring(rest, {width + 1})")).alias("rest"),
         )
@@ -53,6 +54,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if depth >= longest:
             break
         rows = split.where("not single and not ended").select("id", "rest", "grp", "sha")
-        width = min(width * 8, WIDEST)
+        width = min(width * GROWTH, WIDEST)
     out = reduce(DataFrame.unionByName, done)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
