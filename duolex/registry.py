@@ -1,6 +1,150 @@
-"""All queries of the library proper, by name, with the SQL that says the same."""
+"""All queries of the library proper, by name, with the SQL that says the same (in `oracle`)."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import cells as C
+from .operators import groups, matching, regions, repair, rules, scoring, spans
+from .operators.tokens import token_rows, tokenize
+from .operators.vectors import HashEmbedder
+from .options import Repair
+from .oracle import ORACLES  # noqa: F401
+from .plans.align import align, sizes_of
+from .sources.languages import languages
+from .sources.pairs import conversation_pairs, literal_pairs, validate
+
+EVIDENCE = ("inter", "itermax")
+
+
+class Inputs:
+    """The tables of a folder, and what most queries derive from them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def pairs(self) -> DataFrame:
+        return conversation_pairs(self.table("conversations"))
+
+    def tokenized(self) -> DataFrame:
+        return tokenize(self.pairs())
+
+    def tokens(self) -> DataFrame:
+        return token_rows(self.tokenized())
+
+    def literal_tokens(self) -> DataFrame:
+        return token_rows(tokenize(literal_pairs(self.table("orders"))))
+
+    def embedder(self) -> HashEmbedder:
+        return HashEmbedder(self.table("embeddings"))
+
+    def vectors(self) -> DataFrame:
+        return self.embedder().embed(self.tokens().repartition("pair_id"))
+
+    def similarity(self) -> DataFrame:
+        return C.similarity(self.vectors())
+
+    def cells(self) -> DataFrame:
+        return C.cells(self.vectors())
+
+    def diagonal(self) -> DataFrame:
+        t = self.literal_tokens()
+        end = lambda side, k: t.where(F.col("side") == side).select("pair_id", F.col("idx").alias(k))
+        return end("source", "s").join(end("target", "t"), "pair_id").where("s = t")
+
+    def scored(self) -> DataFrame:
+        cells = self.cells()
+        links = matching.method_links(cells, EVIDENCE)
+        return scoring.score_links(links.where("method = 'itermax'").select("pair_id", "s", "t"), cells, links, sizes_of(self.tokenized()), len(EVIDENCE))
+
+    def marks(self) -> DataFrame:
+        """Every punctuation mark with every other side's."""
+        t = self.tokens().where("is_punctuation")
+        end = lambda side, k: t.where(F.col("side") == side).select("pair_id", F.col("idx").alias(k))
+        return end("source", "s").join(end("target", "t"), "pair_id")
+
+    def anchors(self) -> DataFrame:
+        return regions.hard_anchors(self.marks(), self.tokens())
+
+    def regions(self) -> DataFrame:
+        return regions.clause_regions(self.anchors(), self.tokens(), sizes_of(self.tokenized()))
+
+    def whole_spans(self) -> DataFrame:
+        return sizes_of(self.tokenized()).selectExpr("pair_id", "0 as span", "0 as s0", "n_s as s1", "0 as t0", "n_t as t1")
+
+
+def _validated(x: Inputs) -> DataFrame:
+    p = x.pairs().select("pair_id", F.when(F.length("source") % 5 == 0, "english!").otherwise("en").alias("source_language"), F.lit("zh-Hans").alias("target_language"), "source", F.expr("substring(target, 1, length(source) % 4)").alias("target"))
+    return validate(p).select("pair_id", F.concat_ws(",", "errors").alias("errors"))
+
+
+def _repair(x: Inputs) -> DataFrame:
+    cells = C.cells(x.vectors())
+    links = matching.method_links(cells)
+    t = x.tokenized()
+    base = links.where("method = 'inter'").select("pair_id", "s", "t")
+    r = Repair(max_position_distance=0.6, min_similarity=0.3, min_confidence=0.1)
+    return repair.one_to_one(repair.candidates(base, token_rows(t), cells, links, sizes_of(t), 3, r)).withColumns({c: F.round(c, 6) for c in ("similarity", "confidence")})
+
+
+def _flat(aligned: DataFrame) -> DataFrame:
+    g = aligned.select("pair_id", F.posexplode("alignment_groups").alias("k", "g"))
+    ids = lambda c: F.concat_ws(",", F.transform(c, lambda i: i.cast("string")))
+    return g.select("pair_id", "k", "g.type", "g.origin", "g.similarity", "g.confidence", ids("g.source_indices").alias("sources"), ids("g.target_indices").alias("targets"), F.size("g.links").alias("n_links"))
+
+
+def _groups(x: Inputs) -> DataFrame:
+    g = groups.link_groups(x.scored().withColumn("origin", F.lit("model")))
+    return g.select("pair_id", "type", "origin", F.size("source_indices").alias("n_s"), F.size("target_indices").alias("n_t"), F.col("source_indices")[0].alias("s"), "similarity", F.size("links").alias("n_links"))
+
+
+def _crossing(x: Inputs) -> DataFrame:
+    links = x.scored().withColumn("rule", F.lit(False))
+    return regions.drop_crossing(links, x.anchors(), 0.35).select("pair_id", "s", "t")
+
+
+_OPERATORS = {
+    "languages": lambda x: languages(x.spark),
+    "pairs": lambda x: x.pairs(),
+    "tokenize": lambda x: x.tokens().select("pair_id", "side", "idx", "text"),
+    "tokenize_literals": lambda x: x.literal_tokens().select("pair_id", "side", "idx", "text", "is_protected"),
+    "tokenize_pages": lambda x: token_rows(tokenize(x.table("pages").select(F.col("page_id").cast("string").alias("pair_id"), F.col("html").alias("source"), F.col("url").alias("target")))).select("pair_id", "side", "idx", "text", "start", "is_protected"),
+    "token_classes": lambda x: x.literal_tokens().select("pair_id", "side", "idx", "is_protected", "is_content", "is_punctuation"),
+    "token_offsets": lambda x: x.tokens().select("pair_id", "side", "idx", "start", "end"),
+    "validate_pairs": _validated,
+    "token_vectors": lambda x: x.vectors().select("pair_id", "side", "idx", F.size("vec").alias("dims"), F.round(F.col("vec")[0], 6).alias("first")),
+    "cells_similarity": lambda x: x.similarity().withColumn("sim", F.round("sim", 6)),
+    "relative_similarity": lambda x: C.relative(x.similarity()).select("pair_id", "s", "t", F.round("rel", 6).alias("rel")),
+    "softmax_bidirectional": lambda x: x.cells().select("pair_id", "s", "t", F.round("p_st", 6).alias("p_st"), F.round("p_ts", 6).alias("p_ts")),
+    "argmax_forward": lambda x: matching.forward(x.similarity()),
+    "argmax_reverse": lambda x: matching.reverse(x.similarity()),
+    "inter_links": lambda x: matching._ranked(x.similarity()).where("rank_st = 1 and rank_ts = 1").select("pair_id", "s", "t", F.round("sim", 6).alias("sim")),
+    "itermax_links": lambda x: matching.itermax(x.similarity()),
+    "mwmf_links": lambda x: matching.mwmf(x.similarity()),
+    "candidate_margin": lambda x: scoring.margins(x.cells()).select("pair_id", "s", "t", F.round("margin", 6).alias("margin")),
+    "order_consistency": lambda x: scoring.order_scores(matching.method_links(x.similarity(), EVIDENCE)).withColumn("order_score", F.round("order_score", 6)),
+    "link_scores": lambda x: x.scored(),
+    "protected_links": lambda x: rules.protected_links(x.literal_tokens()),
+    "temporal_links": lambda x: rules.temporal_links(x.literal_tokens()),
+    "percent_links": lambda x: rules.percent_links(x.literal_tokens()),
+    "rule_override": lambda x: rules.override(x.diagonal(), x.literal_tokens()),
+    "repair_links": _repair,
+    "hard_anchors": lambda x: x.anchors(),
+    "drop_crossing": _crossing,
+    "clause_regions": lambda x: x.regions(),
+    "region_coverage": lambda x: regions.region_coverage(x.regions(), matching.inter(x.similarity())).withColumns({c: F.round(c, 6) for c in ("s_cover", "t_cover")}),
+    "matrix_span_score": lambda x: spans.matrix_span_score(x.whole_spans(), x.similarity()).select("pair_id", F.round("score", 6).alias("score")),
+    "span_similarity": lambda x: spans.span_similarity(x.whole_spans(), x.vectors()).select("pair_id", "similarity"),
+    "link_components": lambda x: groups.link_components(matching.itermax(x.similarity())).groupBy("pair_id", "comp").agg(F.min("s").alias("s"), F.min("t").alias("t"), F.count("*").alias("n")).drop("comp"),
+    "alignment_groups": _groups,
+    "unaligned_tokens": lambda x: groups.unaligned(x.tokens(), matching.inter(x.similarity())),
+    "align": lambda x: _flat(align(x.pairs(), x.embedder())),
+    "align_repaired": lambda x: _flat(align(x.pairs(), x.embedder(), repair=Repair(min_confidence=0.2))),
+    "align_span_aware": lambda x: _flat(align(x.pairs(), x.embedder(), "inter", Repair(strategy="span-aware", min_confidence=0.2, min_score_gain=0.0))),
+}
+
+QUERIES = {name: (lambda spark, sf_dir, f=f: f(Inputs(spark, sf_dir))) for name, f in _OPERATORS.items()}
