@@ -1,10 +1,10 @@
 """Benchmark decontamination by Wu-Manber search over words."""
 
-from __future__ import annotations
-
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,6 +115,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, with all their columns, that aren't contaminated. With one block of patterns each row is judged where it
+    stands; with more, `docs` must be a read table: its rows are numbered by their place in it and joined to the judgement."""
+    need(docs, id_col, text_col)
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    if size > block_bytes:
+        numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+        judged = decontaminate(numbered.select("_row", F.col(f"_doc.`{text_col}`").alias("text")), benchmark, window, block_bytes, "_row", "text", item_id, item_text)
+        return numbered.join(judged.where("not contaminated").select("_row"), "_row", "left_semi").select("_doc.*")
+    sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = WuManber(sent.value, window)
+        for texts in batches:
+            out = []
+            for _, piece in blocks(pa.record_batch([pa.array(texts, pa.string())], names=["t"]), 0):
+                w = Words(piece, CLASSES)
+                hit, _ = matcher.search(w)
+                total = np.concatenate([[0], np.cumsum(hit)])
+                n, k = np.diff(w.row), total[w.row[1:]] - total[w.row[:-1]]
+                out.append(~((k > 0) & (20 * k >= n)))
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return docs.where(clean(F.col(text_col).cast("string")))
+
+
 def _scan(docs: DataFrame, items: list[tuple], window: int, kind: str) -> DataFrame:
     """Of each row: words, runs of hit words as [s, e), items that occur."""
     sent = docs.sparkSession.sparkContext.broadcast(items)

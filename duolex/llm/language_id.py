@@ -1,11 +1,11 @@
 """Language identification by words first, backing off to character n-grams."""
 
-from __future__ import annotations
-
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,8 +151,9 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def sure(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def sure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
-        return texts.map(lambda t: t is not None and (x := m.predict(t))[0] != UNKNOWN and x[1] >= least).astype(bool)
+        for texts in batches:
+            yield pd.Series([t is not None and (x := m.predict(t))[0] != UNKNOWN and x[1] >= least for t in texts], dtype=bool)
 
     return docs.where(sure(F.col(text_col).cast("string")))

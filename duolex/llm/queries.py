@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .jaccard_join import near_duplicates
 from .language_id import held_out, identify, learn
 from .mixing import mix_sources
 from .shared import load
@@ -38,6 +39,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(load(spark, sf_dir, "documents"), 8, SEED).drop("row_number")
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_decontaminate": op7_decontaminate,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_shard": op9_shard,
     "op10_exact_dedup": op10_exact_dedup,
 }
