@@ -12,12 +12,17 @@ from .language_id import held_out, identify, learn
 from .mixing import mix_sources
 from .shared import load
 from .sharding import shard_rows
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 
 SEED = 20240229
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
@@ -52,6 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_remove_repeats": op2_remove_repeats,
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
     "op6_token_counts": op6_token_counts,
@@ -61,6 +67,15 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_OP2 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, k, array_to_string(w[k:k + 19], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, k FROM win QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, k) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS p FROM later),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 _OP10 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
@@ -85,4 +100,4 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
-ORACLES = {"op7_decontaminate": _OP7, "op10_exact_dedup": _OP10}
+ORACLES = {"op2_remove_repeats": _OP2, "op7_decontaminate": _OP7, "op10_exact_dedup": _OP10}
