@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chats, transcripts
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import near_duplicates
 from .language_id import held_out, identify, learn
 from .mixing import mix_sources
 from .shared import load
+from .pii import find_personal_data
 from .sharding import shard_rows
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -19,6 +21,10 @@ SEED = 20240229
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(load(spark, sf_dir, "documents"))
+
+
 def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -33,6 +39,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = transcripts(load(spark, sf_dir, "conversations"))
+    return format_chats(texts.withColumn("key", F.struct("conv_id", "part")), "key").select("key.conv_id", "key.part", "n_turns", "roles", "canonical")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,9 +68,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op2_remove_repeats": op2_remove_repeats,
     "op3_mix_sources": op3_mix_sources,
     "op4_language_id": op4_language_id,
+    "op5_chat_format": op5_chat_format,
     "op6_token_counts": op6_token_counts,
     "op7_decontaminate": op7_decontaminate,
     "op8_near_duplicates": op8_near_duplicates,
