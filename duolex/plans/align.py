@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
 from ..operators import cells as C
 from ..operators import groups as G
 from ..operators import matching as M
@@ -94,16 +95,17 @@ def align_cells(tokenized: DataFrame, cells: DataFrame, method_links: DataFrame,
     value = "rel" if "rel" in cells.columns else "sim"
     key = ["pair_id", "s", "t"]
     tokens, sizes = token_rows(tokenized), sizes_of(tokenized)
-    method_links = M.normalise(method_links, sizes)
+    method_links = staged(M.normalise(method_links, sizes), "links")
     chosen = method_links.where(F.col("method") == method).select(*key)
     ruled = rules.override(chosen, tokens)
     model = scoring.score_links(ruled.where("not rule").select(*key), cells, method_links, sizes, len(methods), value)
     links = model.withColumn("origin", F.lit("model")).unionByName(ruled.where("rule").select(*key, F.lit(1.0).alias("similarity"), F.lit(1.0).alias("confidence"), F.lit("rule").alias("origin")))
+    links = staged(links, "scored")
     groups = None
     if repair and repair.enabled:
         found = R.one_to_one(R.candidates(links.select(*key), tokens, cells, method_links, sizes, len(methods), repair, value))
         links = links.unionByName(found.withColumn("origin", F.lit("repaired")))
-        refined = refine_pairs(tokenized, links, cells, vectors, repair)
+        refined = staged(refine_pairs(tokenized, links, cells, vectors, repair), "refined")
         links = refined.select("pair_id", F.explode("links").alias("x")).select("pair_id", "x.*")
         groups = refined.select("pair_id", F.explode("groups").alias("g")).select("pair_id", "g.*")
     return assemble(tokenized, tokens, links, groups)
@@ -148,9 +150,11 @@ def align(pairs: DataFrame, embedder: Embedder, method: str = "itermax", repair:
     if method not in settings.methods:
         raise ProcessingError(f"method {method} is not enabled")
     # One exchange by pair: all windows and joins below keep it.
-    tokenized = tokenize(pairs, segmenter).repartition("pair_id")
-    vectors = embedder.embed(token_rows(tokenized))
-    cells = C.check_cells(C.cells(vectors, settings.confidence_temperature))
+    tokenized = staged(tokenize(pairs, segmenter), "tokens")
+    vectors = embedder.embed(token_rows(tokenized)).repartition("pair_id")
+    if repair and repair.enabled:
+        vectors = staged(vectors, "vectors")
+    cells = staged(C.check_cells(C.cells(vectors, settings.confidence_temperature)), "cells")
     links = M.method_links(cells, settings.methods)
     return align_cells(tokenized, cells, links, settings.methods, method, repair, vectors)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.staging import staged
 from .operators import cells as C
 from .operators import groups, matching, regions, repair, rules, scoring, spans
 from .operators.tokens import token_rows, tokenize
@@ -57,8 +58,8 @@ class Inputs:
         return end("source", "s").join(end("target", "t"), "pair_id").where("s = t")
 
     def scored(self) -> DataFrame:
-        cells = self.cells()
-        links = matching.method_links(cells, EVIDENCE)
+        cells = staged(self.cells(), "cells")
+        links = staged(matching.method_links(cells, EVIDENCE), "links")
         return scoring.score_links(links.where("method = 'itermax'").select("pair_id", "s", "t"), cells, links, sizes_of(self.tokenized()), len(EVIDENCE))
 
     def marks(self) -> DataFrame:
@@ -83,8 +84,8 @@ def _validated(x: Inputs) -> DataFrame:
 
 
 def _repair(x: Inputs) -> DataFrame:
-    cells = C.cells(x.vectors())
-    links = matching.method_links(cells)
+    cells = staged(C.cells(x.vectors()), "cells")
+    links = staged(matching.method_links(cells), "links")
     t = x.tokenized()
     base = links.where("method = 'inter'").select("pair_id", "s", "t")
     r = Repair(max_position_distance=0.6, min_similarity=0.3, min_confidence=0.1)
