@@ -26,15 +26,15 @@ STATES = tuple((r, new) for r in range(len(ROLES)) for new in (True, False))
 #: Chances of the model. What an unmarked line is likely to be; how often a marker tells the truth.
 START = {"user": 0.65, "assistant": 0.1, "system": 0.25}
 FOLLOWS = {"user": {"user": 0.06, "assistant": 0.92, "system": 0.02}, "assistant": {"user": 0.92, "assistant": 0.06, "system": 0.02}, "system": {"user": 0.9, "assistant": 0.08, "system": 0.02}}
-GOES_ON = 0.7
+GOES_ON = 0.55
 MARKED, TRUE = 0.45, 0.97
 FEATURES = {  # chance of a feature in the first line of a turn of each role, and in a later line
     "question": ((0.5, 0.12, 0.03), 0.15),
     "short": ((0.6, 0.25, 0.35), 0.3),
-    "list": ((0.03, 0.12, 0.1), 0.35),
+    "list": ((0.03, 0.2, 0.1), 0.35),
     "code": ((0.04, 0.08, 0.02), 0.2),
     "please": ((0.2, 0.05, 0.1), 0.05),
-    "blank_before": ((0.6, 0.6, 0.6), 0.15),
+    "blank_before": ((0.7, 0.7, 0.7), 0.12),
 }
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .shared import Tables
 
 
+#: Edges that one task of a round takes.
+ROWS = 200_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(r)
@@ -20,14 +24,17 @@ def connected(links: DataFrame, tables: Tables) -> DataFrame:
     edges = tables.put(links.where("a != b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "edges")
     before = _mark(edges)
     while True:
+        # A round's tables have about as many rows as there are edges: so many to a task, whatever the shuffle partitions are.
+        few = max(1, before[0] // ROWS)
+        put = lambda df, name: tables.put(df.coalesce(few), name)  # noqa: B023, E731
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = tables.put(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        least = put(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = tables.put(large.where("u != v").distinct(), "large")
-        least = tables.put(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = put(large.where("u != v").distinct(), "large")
+        least = put(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         near = large.join(least, "u")
         small = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        old, edges = edges, tables.put(small.distinct(), "edges")
+        old, edges = edges, put(small.distinct(), "edges")
         now = _mark(edges)
         if now == before:
             break

@@ -20,7 +20,9 @@ MOST_FREQUENT = 1 << 17
 #: Shingles that one counting pass over a part of the documents holds.
 COUNTED = 2_000_000
 #: A list of up to so many documents is paired completely at once; members of a longer one first go to its PIVOTS.
-SHORT, PIVOTS = 48, 4
+SHORT, PIVOTS = 32, 1
+#: Members of long lists that one task holds against as many others.
+BLOCK = 500
 #: Bits of the fixed map that tells a scan which documents to send.
 MAP_BITS = 22
 _SALT = 0xD6E8FEB86659FD93
@@ -137,8 +139,9 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
     shingles in inverted lists, so two linked classes meet in a short list; merging the sorted lists gives candidates, a
     bitmap that can't refuse a linked pair thins them, and the long lists are probed: the elements of one set by binary search
     in the other. Lists longer than SHORT first pair each member with PIVOTS members, by a hash of its own for each list; after
-    components are found, members of a list that still lie in different components are paired completely. So copies and near
-    copies of one text cost one link each, and no link between components is lost.
+    components are found, members of a list that still lie in different components meet block by block in a task, which sends on
+    what sizes, places and bitmaps don't refuse. So copies and near copies of one text cost one link each, and no link between
+    components is lost.
 
     Returns one row per input row: id, n_shingles, component_id (the least id reachable by links). A text that is null or has no
     words has 0 shingles and is its own component; fewer words than `size` make one shingle of all of them. A null id is passed
@@ -171,8 +174,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
     reps = tables.put(reps, "reps")
     tables.sweep()
 
-    lists = reps.select(F.explode("prefix").alias("h"), "node", "n").withColumn("r", F.xxhash64("h", "node"))
-    found = tables.put(lists.repartition("h").sortWithinPartitions("h", "r").select("h", "node", "n").mapInArrow(_merge, "a long, b long, h long"), "found")
+    lists = reps.select(F.posexplode("prefix").alias("pos", "h"), "node", F.col("n").cast("int").alias("n")).withColumn("r", F.xxhash64("h", "node"))
+    found = tables.put(lists.repartition("h").sortWithinPartitions("h", "r").select("h", "node", "n", "pos").mapInArrow(_merge, "a long, b long, h long"), "found")
     tables.sweep()
     links = _verify(rows, reps, found.where("h is null").select("a", "b").distinct(), size, tables)
     roots = connected(links, tables)
@@ -201,17 +204,21 @@ def keep_one(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col
     return packed.join(stay.hint("merge"), "_row", "left_semi").select("_doc.*")
 
 
-def _fits(n: int, m: int) -> bool:
-    return 100 * min(n, m) >= LEAST * max(n, m)
+def fits(n, m, i, j):
+    """Whether sets of n and m shingles, which first meet at places i and j of their order, can still share enough: their sizes are
+    near, and what lies behind the meeting suffices. Works on numbers and on arrays."""
+    enough = 100 * np.minimum(n, m) >= LEAST * np.maximum(n, m)
+    return enough & ((100 + LEAST) * np.minimum(n - i, m - j) >= LEAST * (n + m))
 
 
 def _merge(batches):
-    """Streams sorted lists (h, node, n): pairs of members that could be similar by size; for a list longer than SHORT the pairs of
+    """Streams sorted lists (h, node, n, pos): pairs of members that could be similar by size and place; for a list longer than SHORT the pairs of
     its first members, those of all others with PIVOTS of them, and the list's key. Holds SHORT members at most."""
     now, held, out = None, [], ([], [], [])
 
     def pair(x, y):
-        if _fits(x[1], y[1]):
+        (_, n, i), (_, m, j) = x, y
+        if 100 * min(n, m) >= LEAST * max(n, m) and (100 + LEAST) * min(n - i, m - j) >= LEAST * (n + m):  # as in fits()
             out[0].append(min(x[0], y[0]))
             out[1].append(max(x[0], y[0]))
             out[2].append(None)
@@ -224,7 +231,7 @@ def _merge(batches):
 
     count = 0
     for b in batches:
-        h, node, n = (b.column(k).to_numpy() for k in range(3))
+        h, node, n, pos = (b.column(k).to_numpy() for k in range(4))
         if not len(h):
             continue
         # Rows of lists with one member are passed over at once.
@@ -234,7 +241,7 @@ def _merge(batches):
         live[:-1] |= same
         live[[0, -1]] = True  # a list may go on in the next batch
         for i in np.flatnonzero(live):
-            x = (int(node[i]), int(n[i]))
+            x = (int(node[i]), int(n[i]), int(pos[i]))
             if h[i] != now:
                 now, held, count = h[i], [], 0
             count += 1
@@ -255,19 +262,77 @@ def _merge(batches):
 
 
 def _rest(reps: DataFrame, roots: DataFrame, long_lists: DataFrame, tables: Tables) -> DataFrame:
-    """Pairs of members of long lists that lie in different components. In each list the members outside its largest component
-    meet all members of other components; a list of one component, as near copies of one text form, gives none."""
+    """Pairs of members of long lists that lie in different components and that sizes, places and bitmaps don't refuse. In each list
+    the members outside its largest component (strays) meet all of the other components, BLOCK against BLOCK in a task, and only
+    what passes is sent on; a list of one component, as near copies of one text form, gives none."""
     roots = tables.put(roots, "roots")
-    members = reps.select(F.explode("prefix").alias("h"), "node", "n").join(tables.put(long_lists, "long"), "h")
-    members = tables.put(members.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root")), "members")
+    members = reps.select(F.posexplode("prefix").alias("pos", "h"), "node", F.col("n").cast("int").alias("n")).join(tables.put(long_lists, "long").hint("merge"), "h")
+    members = tables.put(members.join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "members")
     sizes = members.groupBy("h", "root").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("h").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"))
-    main = tables.put(main.where("roots > 1"), "main")
-    stray = tables.put(members.join(main, "h").where("root != main").select("h", "node", "n", "root").distinct(), "stray")
-    other = members.join(main.select("h"), "h", "left_semi")
-    x, y = stray.alias("x"), other.alias("y")
-    both = x.join(y, F.expr(f"x.h = y.h and x.root != y.root and 100 * least(x.n, y.n) >= {LEAST} * greatest(x.n, y.n)"))
-    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    lists = sizes.groupBy("h").agg(F.count("*").alias("roots"), F.sum("k").alias("all"), F.max(F.struct("k", "root")).alias("main"))
+    cut = lambda n: F.ceil(n / BLOCK).cast("int")
+    lists = tables.put(lists.where("roots > 1").select("h", F.col("main.root").alias("main"), cut(F.col("all") - F.col("main.k")).alias("a"), cut(F.col("all")).alias("b")), "lists")
+    both = members.join(lists, "h").join(reps.select("node", "bits"), "node").withColumn("r", F.xxhash64("node"))
+    columns = ["h", "node", "n", "pos", "root", "bits"]
+    # Strays of block x meet members of block y in cell (x, y): each goes to all cells of its row or column.
+    stray = both.where("root != main").select(*columns, F.lit(0).alias("side"), F.expr("pmod(r, a)").alias("x"), F.explode(F.expr("sequence(0, b - 1)")).alias("y"))
+    other = both.select(*columns, F.lit(1).alias("side"), F.explode(F.expr("sequence(0, a - 1)")).alias("x"), F.expr("pmod(r, b)").alias("y"))
+    cells = stray.withColumn("y", F.col("y").cast("long")).unionByName(other.withColumn("x", F.col("x").cast("long")))
+    cells = cells.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "side").select("h", "x", "y", "side", "node", "n", "pos", "root", "bits")
+    return tables.put(cells.mapInArrow(_meet, "a long, b long").distinct(), "rest")
+
+
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def meet(s: dict, t: dict) -> np.ndarray:
+    """Which strays (rows) may be linked with which members (columns)."""
+    n, m = s["n"][:, None].astype(np.int64), t["n"][None, :].astype(np.int64)
+    ok = fits(n, m, s["pos"][:, None], t["pos"][None, :]) & (s["root"][:, None] != t["root"][None, :])
+    widths = [np.array([len(x) for x in side["bits"]]) for side in (s, t)]
+    for u in np.unique(widths[0]):
+        for v in np.unique(widths[1]):
+            i, j = np.flatnonzero(widths[0] == u), np.flatnonzero(widths[1] == v)
+            if not ok[np.ix_(i, j)].any():
+                continue
+            w = min(u, v)
+            x, y = (_fold(np.frombuffer(b"".join(side["bits"][k] for k in at), np.uint8).reshape(len(at), -1), w).view(np.uint64) for side, at in ((s, i), (t, j)))
+            for k, row in zip(i, x, strict=True):
+                apart = np.bitwise_count(y ^ row).sum(axis=1, dtype=np.int64)
+                total = n[k, 0] + m[0, j]
+                ok[k, j] &= (100 + LEAST) * (total - apart) >= 2 * LEAST * total
+    return ok
+
+
+def _meet(batches):
+    now, rows = None, []
+
+    def pairs():
+        side = np.array([r[3] for r in rows])
+        parts = []
+        for k in (0, 1):
+            at = [r for r, c in zip(rows, side, strict=True) if c == k]
+            parts.append({"node": np.array([r[4] for r in at], np.int64), "n": np.array([r[5] for r in at], np.int64), "pos": np.array([r[6] for r in at], np.int64), "root": np.array([r[7] for r in at], np.int64), "bits": [r[8] for r in at]})
+        s, t = parts
+        if not len(s["node"]) or not len(t["node"]):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        i, j = np.nonzero(meet(s, t))
+        x, y = s["node"][i], t["node"][j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    for b in batches:
+        for r in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
+            if r[:3] != now:
+                if rows:
+                    yield pairs()
+                now, rows = r[:3], []
+            rows.append(r)
+    if rows:
+        yield pairs()
 
 
 def _verify(rows: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, tables: Tables) -> DataFrame:
