@@ -21,15 +21,45 @@ ANCHOR = 8
 SEGMENTS = 500
 
 
-def anchors(g: np.ndarray, window: int) -> np.ndarray:
-    """For each window the position of its least anchor hash (the first of equals). Equal windows choose alike."""
-    return np.argmin(np.lib.stride_tricks.sliding_window_view(g, window - ANCHOR + 1), axis=1) + np.arange(len(g) - (window - ANCHOR))
+_ODD = np.uint64(0x9FB21C651E98DF25)
 
 
-def runs(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
+def least_anchors(g: np.ndarray, window: int) -> np.ndarray:
+    """For each window the least of the anchor hashes in it. Equal windows have equal ones. By doubling."""
+    need_, have, out = window - ANCHOR + 1, 1, g
+    while have * 2 <= need_:
+        out = np.minimum(out[:-have], out[have:])
+        have *= 2
+    return np.minimum(out[: len(out) - (need_ - have)], out[need_ - have :]) if need_ > have else out
+
+
+class Windows:
+    """The windows of a block of texts: first words `at`, texts `doc`, anchors `least`."""
+
+    def __init__(self, w: Words, window: int):
+        self.g = grams(w.hashes(), ANCHOR)
+        least = least_anchors(self.g, window) if len(self.g) >= window - ANCHOR + 1 else self.g[:0]
+        count = np.diff(w.row)
+        doc = np.repeat(np.arange(len(count)), count)[: len(least)]
+        ends = w.row[1:][doc]
+        ok = np.arange(len(least)) + window <= ends
+        self.at, self.doc, self.least = np.flatnonzero(ok), doc[ok], least[ok]
+
+    @staticmethod
+    def key(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Values told apart by text, too."""
+        return values ^ (doc.astype(np.uint64) * _ODD)
+
+
+def runs(starts: list[int], window: int) -> list[tuple[int, int]]:
     """Sorted window starts as maximal runs of consecutive ones: [first word, one past the last word)."""
-    cut = np.flatnonzero(np.diff(starts) != 1) + 1
-    return [(int(x[0]), int(x[-1]) + window) for x in np.split(starts, cut)] if len(starts) else []
+    out: list[list[int]] = []
+    for s in starts:
+        if out and s == out[-1][1]:
+            out[-1][1] += 1
+        else:
+            out.append([s, s + 1])
+    return [(s, e + window - 1) for s, e in out]
 
 
 class Phrases:
@@ -96,96 +126,116 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     spark = docs.sparkSession
     tables = Tables(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    ident = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("d"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), ident.alias("id"), F.col(text_col).cast("string").alias("text"))
-    id_kind = f"struct<z: boolean, d: {kind}>"
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        ident, id_kind = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "bigint"
+    else:
+        ident, id_kind = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("d")), f"struct<z: boolean, d: {kind}>"
+    row = F.monotonically_increasing_id().alias("row")
+    rows = docs.select(row, ident.alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def scan(batches):
         for batch in batches:
-            for piece, texts in blocks(batch, 2):
+            for piece, texts in blocks(batch, 1):
                 w = Words(texts, PLAIN)
-                g = grams(w.hashes(), ANCHOR)
-                count, digest, found = np.diff(w.row), [], []
-                for i, n in enumerate(count.tolist()):
-                    a = int(w.row[i])
-                    digest.append(hashlib.sha256(w.text(a, a + n)).hexdigest())
-                    if n < window:
-                        found.append(np.zeros(0, np.uint64))
-                        continue
-                    own = g[a : a + n - ANCHOR + 1]
-                    u, c = np.unique(own[np.unique(anchors(own, window))], return_counts=True)
-                    found.append(np.repeat(u, np.minimum(c, 2)))
-                at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(count.astype(np.int64)), pa.array(digest, pa.string()), lists], names=["row", "id", "n_words", "sha", "anchors"])
-
-    scanned = tables.put(rows.mapInArrow(scan, f"row long, id {id_kind}, n_words long, sha string, anchors array<long>"), "anchors")
+                v = Windows(w, window)
+                # Anchors by text, once for each; twice where the phrase stands at two places of the text.
+                turn = np.ones(len(v.at), bool)
+                turn[1:] = (v.least[1:] != v.least[:-1]) | (v.doc[1:] != v.doc[:-1])
+                at = np.flatnonzero(turn)
+                keys, first = np.unique(v.key(v.least[at], v.doc[at]), return_index=True)
+                all_docs = np.repeat(np.arange(len(texts)), np.diff(w.row))[: len(v.g)]
+                every = np.sort(v.key(v.g, all_docs))
+                twice = np.unique(every[1:][every[1:] == every[:-1]])
+                many = np.isin(keys, twice)
+                at = at[first]
+                doc, value = np.repeat(v.doc[at], 1 + many), np.repeat(v.least[at], 1 + many)
+                order = np.argsort(doc, kind="stable")
+                offsets = np.searchsorted(doc[order], np.arange(len(texts) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[order].view(np.int64)))
+                digest = [hashlib.sha256(b" ".join(t.encode().split())).hexdigest() for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(w.row).astype(np.int64)), pa.array(digest, pa.string()), lists], names=["row", "n_words", "sha", "anchors"])
+
+    scanned = tables.put(rows.select("row", "text").mapInArrow(scan, "row long, n_words long, sha string, anchors array<long>"), "anchors")
     each = scanned.select("row", F.explode("anchors").alias("h"))
     twice = tables.put(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "recurring")
     tables.sweep()
-    hits = each.distinct().join(twice.hint("merge"), "h").groupBy("row").agg(F.collect_set("h").alias("anchors"))
+    hits = each.join(twice.hint("merge"), "h").groupBy("row").agg(F.collect_set("h").alias("anchors"))
     hits = tables.put(hits, "hits")
-    tables.sweep()
+    light = tables.put(scanned.select("row", "n_words", "sha"), "words")
+    tables.drop(scanned, twice)
     texts = tables.put(rows.join(hits.hint("merge"), "row").select("row", "id", "text", "anchors"), "texts")
-    tables.drop(hits, twice)
+    tables.drop(hits)
 
     def candidates(batches):
         for batch in batches:
             for piece, part in blocks(batch, 2):
                 w = Words(part, PLAIN)
-                h = w.hashes()
-                g, whole = grams(h, ANCHOR), grams(h, window)
+                v, whole = Windows(w, window), grams(w.hashes(), window)
                 want = piece.column(3)
-                out = []
-                for i in range(len(w.row) - 1):
-                    a, n = int(w.row[i]), int(w.row[i + 1] - w.row[i])
-                    own = g[a : a + n - ANCHOR + 1]
-                    start = np.flatnonzero(np.isin(own[anchors(own, window)].view(np.int64), want[i].values.to_numpy()))
-                    out.append((whole[a + start].view(np.int64), start))
-                times = [len(x[0]) for x in out]
-                which = pa.array(np.repeat(np.arange(len(out)), times))
-                for lo in range(0, len(which), 500_000):
-                    part_of = which.slice(lo, 500_000)
-                    cut = slice(lo, lo + len(part_of))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([x[0] for x in out])[cut]), piece.column(1).take(part_of), piece.column(0).take(part_of), pa.array(np.concatenate([x[1] for x in out])[cut].astype(np.int32))],
-                        names=["h", "id", "row", "start"],
-                    )
-
-    found = tables.put(texts.mapInArrow(candidates, f"h long, id {id_kind}, row long, start int"), "windows")
+                sizes = pa.compute.list_value_length(want).to_numpy(zero_copy_only=False)
+                wanted = v.key(want.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(want)), sizes))
+                keep = np.isin(v.key(v.least, v.doc), wanted)
+                at, doc = v.at[keep], v.doc[keep]
+                start = (at - w.row[doc]).astype(np.int32)
+                for lo in range(0, len(at), 200_000):
+                    cut = slice(lo, lo + 200_000)
+                    of = pa.array(doc[cut])
+                    yield pa.RecordBatch.from_arrays([pa.array(whole[at[cut]].view(np.int64)), piece.column(1).take(of), piece.column(0).take(of), pa.array(start[cut])], names=["h", "id", "row", "start"])
+
+    # Made twice rather than kept: hashes of windows don't compress.
+    found = texts.mapInArrow(candidates, f"h long, id {id_kind}, row long, start int")
     owned = found.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("owner")).where("n > 1").select("h", "owner")
     owned = tables.put(owned, "owned")
     tables.sweep()
-    per = found.join(owned.hint("merge"), "h").groupBy("row", "owner").agg(F.collect_list(F.struct("start", "h")).alias("at"))
-    per = tables.put(per, "per_owner")
-    tables.drop(found, owned)
+
+    def stretches(batches):
+        """Sorted (row, owner, start) as runs of consecutive windows, [s, e) in words; a run that batches cut goes on as another."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r, o, start = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy().astype(np.int64)
+            o = o if pa.types.is_integer(o.type) else o.dictionary_encode().indices
+            o = o.to_numpy()
+            new = np.ones(len(r), bool)
+            new[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1]) | (start[1:] != start[:-1] + 1)
+            at = np.flatnonzero(new)
+            last = np.append(at[1:], len(r)) - 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(start[at].astype(np.int32)), pa.array((start[last] + window).astype(np.int32))], names=["row", "owner", "s", "e"])
+
+    flat = found.select("h", "row", "start").join(owned.hint("merge"), "h").select("row", "owner", "start")
+    flat = flat.repartition("row").sortWithinPartitions("row", "owner", "start").mapInArrow(stretches, f"row long, owner {id_kind}, s int, e int")
+    per = tables.put(flat, "stretches")
+    tables.drop(owned)
     parts = tables.put(per.groupBy("owner").agg(F.ceil(F.count("*") / SEGMENTS).cast("int").alias("parts")), "parts")
-    per = per.join(parts, "owner").groupBy("row").agg(F.collect_list(F.struct("owner", "parts", "at")).alias("owners"))
-    tables.sweep()
+    per = per.join(parts, "owner").groupBy("row").agg(F.collect_list(F.struct("owner", "parts", "s", "e")).alias("at"))
 
     def segments(batches):
         """Passages of a document (kind 0, a copy for each part of the owner) and its segments for each owner (kind 1)."""
         for batch in batches:
             for piece, part in blocks(batch, 2):
                 out = []
-                for row, ident, text, owners in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), part.to_pylist(), piece.column(3).to_pylist(), strict=True):
+                for row, ident, text, at in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), part.to_pylist(), piece.column(3).to_pylist(), strict=True):
                     words = text.encode().split()
-                    say = lambda s, e, words=words: b" ".join(words[s:e]).decode()
-                    for o in owners:
-                        at = sorted((x["start"], x["h"]) for x in o["at"])
-                        for s, e in runs(np.array([x[0] for x in at]), window):
-                            out.append((o["owner"], row % o["parts"], 1, row, s, o["owner"] == ident, say(s, e)))
-                        if o["owner"] == ident:
-                            first: dict[int, int] = {}
-                            for s, h in at:
-                                first.setdefault(h, s)
-                            for s, e in runs(np.array(sorted(first.values())), window):
-                                out += [(ident, k, 0, row, s, True, say(s, e)) for k in range(o["parts"])]
+                    own, parts = [], 1
+                    for x in sorted(at, key=lambda x: x["s"]):
+                        mine = x["owner"] == ident
+                        out.append((x["owner"], row % x["parts"], 1, row, x["s"], mine, b" ".join(words[x["s"] : x["e"]]).decode()))
+                        if mine:
+                            own += range(x["s"], x["e"] - window + 1)
+                            parts = x["parts"]
+                    seen, first = set(), []
+                    for s in own:
+                        key = tuple(words[s : s + window])
+                        if key not in seen:
+                            seen.add(key)
+                            first.append(s)
+                    for s, e in runs(first, window):
+                        out += [(ident, k, 0, row, s, True, b" ".join(words[s:e]).decode()) for k in range(parts)]
                 cols = list(zip(*out, strict=True)) or [()] * 7
                 kinds = (piece.column(1).type, pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["owner", "part", "kind", "row", "start", "own", "words"])
 
-    cut = texts.select("row", "id", "text").join(per, "row").mapInArrow(segments, f"owner {id_kind}, part int, kind int, row long, start int, own boolean, words string")
+    cut = texts.select("row", "id", "text").join(per.hint("merge"), "row").mapInArrow(segments, f"owner {id_kind}, part int, kind int, row long, start int, own boolean, words string")
     cut = tables.put(cut, "segments")
     tables.sweep()
 
@@ -194,7 +244,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         now, passages, phrases, out = None, [], None, ([], [], [])
         for batch in batches:
             for r in batch.to_pylist():
-                key = (r["owner"]["z"], r["owner"]["d"], r["part"])
+                key = (r["owner"], r["part"])
                 if key != now:
                     now, passages, phrases = key, [], None
                 words = r["words"].split(" ")
@@ -237,5 +287,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     changed = texts.select("row", "text").join(located, "row").mapInArrow(clean, "row long, n_removed long, kept string, removed array<struct<s: int, e: int>>")
     changed = tables.put(changed, "changed")
     tables.sweep()
-    out = scanned.select("row", "id", "n_words", "sha").join(changed, "row", "left")
-    return out.select(F.col("id.d").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("removed", F.array()).alias("removed"))
+    out = docs.select(row, F.col(id_col).alias("id")).join(light, "row").join(changed, "row", "left")
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("removed", F.array()).alias("removed"))
