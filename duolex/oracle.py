@@ -162,7 +162,7 @@ ORACLES = {
     "token_classes": sql(r"SELECT pair_id, side, idx, is_protected, NOT is_protected AND regexp_matches(text, '[\p{L}\p{N}]') AS is_content, regexp_matches(text, '^\p{P}+$') AS is_punctuation FROM lit_tokens", "lit_tokens"),
     "token_offsets": sql(
         """SELECT pair_id, side, idx, (p[n + 1] - 1)::INT AS start, (p[n + 1] - 1 + len(text))::INT AS "end" FROM (SELECT t.*, coalesce(sum(len(text)) OVER (PARTITION BY pair_id, side ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS n FROM talk_tok t)
-        JOIN (SELECT pair_id, side, list_filter(range(1, len(x) + 1), i -> NOT regexp_matches(x[i], '\\s')) AS p FROM (SELECT pair_id, 'source' AS side, source AS x FROM talk UNION ALL SELECT pair_id, 'target', target FROM talk)) USING (pair_id, side)""".replace("\\\\", "\\"),
+        JOIN (SELECT pair_id, side, list_filter(range(1, len(x) + 1), lambda i: NOT regexp_matches(x[i], '\\s')) AS p FROM (SELECT pair_id, 'source' AS side, source AS x FROM talk UNION ALL SELECT pair_id, 'target', target FROM talk)) USING (pair_id, side)""".replace("\\\\", "\\"),
         "talk_tok", "talk",
     ),
     "validate_pairs": sql("SELECT pair_id, concat_ws(',', CASE WHEN len(source) % 5 = 0 THEN 'source_language' END, CASE WHEN len(source) % 4 = 0 THEN 'target' END) AS errors FROM talk", "talk"),
