@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import functools
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,19 @@ def checked(vectors: np.ndarray, n: int) -> np.ndarray:
     return v
 
 
+#: What this Python worker has loaded.
+_LOADED: dict[str, Encoder] = {}
+
+
+def _encoder(name: str, make: Callable[[], Encoder]) -> Encoder:
+    if name not in _LOADED:
+        try:
+            _LOADED[name] = make()
+        except Exception as e:
+            raise EmbedderError(f"the model can't be loaded: {e}") from e
+    return _LOADED[name]
+
+
 class ModelEmbedder:
     """`make` builds the encoder; it is called in the worker, at its first batch, and kept for all later ones. Python runs one
     task per worker, so inferences of a worker never overlap."""
@@ -43,7 +57,7 @@ class ModelEmbedder:
         self.make = make
 
     def embed(self, tokens: DataFrame) -> DataFrame:
-        make = functools.lru_cache(1)(self.make)
+        make, name = self.make, hashlib.sha256(cloudpickle.dumps(self.make)).hexdigest()
         side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("idx", "text"))))
         packed = tokens.groupBy("pair_id").agg(side("source").alias("source"), side("target").alias("target"))
 
@@ -54,13 +68,9 @@ class ModelEmbedder:
                     s, t = ([x["text"] for x in r[k]] for k in ("source", "target"))
                     if not s or not t:
                         continue
-                    try:
-                        encode = make()
-                    except Exception as e:
-                        raise EmbedderError(f"the model can't be loaded: {e}") from e
-                    a, c = encode(s, t)
-                    for name, v in (("source", checked(a, len(s))), ("target", checked(c, len(t)))):
-                        rows += [(r["pair_id"], name, i, x.tolist()) for i, x in enumerate(v)]
+                    a, c = _encoder(name, make)(s, t)
+                    for k, v in (("source", checked(a, len(s))), ("target", checked(c, len(t)))):
+                        rows += [(r["pair_id"], k, i, x.tolist()) for i, x in enumerate(v)]
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64())), strict=True)], names=["pair_id", "side", "idx", "vec"])
 

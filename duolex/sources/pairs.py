@@ -64,7 +64,8 @@ def accept(pairs: DataFrame, on_error: str = "fail") -> tuple[DataFrame, DataFra
     checked = validate(pairs)
     bad = F.size("errors") > 0
     if on_error == "fail":
-        return checked.withColumn("errors", F.when(bad, F.raise_error(F.concat(F.lit("invalid pair: "), F.concat_ws(", ", "errors")))).otherwise(F.col("errors"))).drop("errors"), checked.where(bad)
+        message = F.concat(F.lit("invalid pair: "), F.concat_ws(", ", "errors"))
+        return checked.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(True)).drop("errors"), checked.where(bad)
     if on_error != "column":
         raise ValueError("on_error must be fail or column")
     return checked.where(~bad).drop("errors"), checked.where(bad)

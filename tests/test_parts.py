@@ -35,7 +35,7 @@ def test_tokens_and_offsets(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "text string").withColumn("tokens", token_array(F.col("text")))
     for r in df.collect():
         assert [("*" if t.is_protected else "") + t.text for t in r.tokens] == [x for x in TEXTS[r.text].split(" ") if x] or r.text == "٣ -> ٤"
-        assert [t.index for t in r.tokens] == list(range(len(r.tokens)))
+        assert [t["index"] for t in r.tokens] == list(range(len(r.tokens)))
         assert all(r.text[t.start : t.end] == t.text for t in r.tokens)
 
 
