@@ -199,7 +199,7 @@ ORACLES = {
     "link_components": sql("SELECT pair_id, min(s) AS s, min(t) AS t, count(*) AS n FROM comp GROUP BY pair_id, comp", "comp"),
     "alignment_groups": sql(
         """SELECT pair_id, CASE WHEN n_s = 1 AND n_t = 1 THEN 'one-to-one' WHEN n_s = 1 THEN 'one-to-many' WHEN n_t = 1 THEN 'many-to-one' ELSE 'many-to-many' END AS type, 'model' AS origin, n_s, n_t, s, similarity, n_links
-        FROM (SELECT pair_id, count(DISTINCT s) AS n_s, count(DISTINCT t) AS n_t, min(s) AS s, round(avg(similarity), 6) AS similarity, count(*) AS n_links FROM comp JOIN scored USING (pair_id, s, t) GROUP BY pair_id, comp)""",
+        FROM (SELECT pair_id, count(DISTINCT s) AS n_s, count(DISTINCT t) AS n_t, min(s) AS s, floor(sum(round(similarity * 1e6)) / count(*) + 0.5) / 1e6 AS similarity, count(*) AS n_links FROM comp JOIN scored USING (pair_id, s, t) GROUP BY pair_id, comp)""",
         "comp", "scored",
     ),
     "unaligned_tokens": sql("SELECT pair_id, side, idx, text FROM talk_tok t WHERE NOT EXISTS (FROM inter i WHERE i.pair_id = t.pair_id AND (t.side = 'source' AND i.s = t.idx OR t.side = 'target' AND i.t = t.idx))", "talk_tok", "inter"),

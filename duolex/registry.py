@@ -52,11 +52,6 @@ class Inputs:
     def cells(self) -> DataFrame:
         return C.cells(self.vectors())
 
-    def diagonal(self) -> DataFrame:
-        t = self.literal_tokens()
-        end = lambda side, k: t.where(F.col("side") == side).select("pair_id", F.col("idx").alias(k))
-        return end("source", "s").join(end("target", "t"), "pair_id").where("s = t")
-
     def scored(self) -> DataFrame:
         cells = staged(self.cells(), "cells")
         links = staged(matching.method_links(cells, EVIDENCE), "links")
@@ -103,6 +98,13 @@ def _groups(x: Inputs) -> DataFrame:
     return g.select("pair_id", "type", "origin", F.size("source_indices").alias("n_s"), F.size("target_indices").alias("n_t"), F.col("source_indices")[0].alias("s"), "similarity", F.size("links").alias("n_links"))
 
 
+def _override(x: Inputs) -> DataFrame:
+    """Diagonal links stand in for a model's."""
+    t = staged(x.literal_tokens(), "tokens")
+    end = lambda side, k: t.where(F.col("side") == side).select("pair_id", F.col("idx").alias(k))
+    return rules.override(end("source", "s").join(end("target", "t"), "pair_id").where("s = t"), t)
+
+
 def _crossing(x: Inputs) -> DataFrame:
     links = x.scored().withColumn("rule", F.lit(False))
     return regions.drop_crossing(links, x.anchors(), 0.35).select("pair_id", "s", "t")
@@ -132,7 +134,7 @@ _OPERATORS = {
     "protected_links": lambda x: rules.protected_links(x.literal_tokens()),
     "temporal_links": lambda x: rules.temporal_links(x.literal_tokens()),
     "percent_links": lambda x: rules.percent_links(x.literal_tokens()),
-    "rule_override": lambda x: rules.override(x.diagonal(), x.literal_tokens()),
+    "rule_override": _override,
     "repair_links": _repair,
     "hard_anchors": lambda x: x.anchors(),
     "drop_crossing": _crossing,
