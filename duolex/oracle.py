@@ -29,15 +29,16 @@ CTES = {
         'Keep [[' || o_orderkey || ']] from ' || ([{', '.join(f"'{m}'" for m in WRITTEN)}])[month(o_orderdate)] || ' ' || year(o_orderdate) || ' at ' || o_custkey % 100 || '% or ' || o_custkey % 100 || '％ , ${{x}} done' AS source,
         year(o_orderdate) || ' 年 ' || month(o_orderdate) || ' 月 0' || o_custkey % 100 || '% [[' || o_orderkey || ']] ${{x}} ' || year(o_orderdate) || '年 ok' AS target FROM orders""",
     ),
+    "page": ([], "SELECT page_id::VARCHAR AS pair_id, html AS source, url AS target FROM pages"),
     **{
         f"{p}_tok": (
             [p],
             f"""SELECT pair_id, side, (unnest(range(len(x))))::INT AS idx, unnest(x) AS text FROM (SELECT pair_id, 'source' AS side, regexp_extract_all(source, '{_q(TOKEN_RE2)}') AS x FROM {p}
             UNION ALL SELECT pair_id, 'target', regexp_extract_all(target, '{_q(TOKEN_RE2)}') FROM {p})""",
         )
-        for p in ("talk", "lit")
+        for p in ("talk", "lit", "page")
     },
-    **{f"{p}_tokens": ([f"{p}_tok"], f"SELECT *, regexp_matches(text, '{_q(PROTECTED_RE2)}') AS is_protected FROM {p}_tok") for p in ("talk", "lit")},
+    **{f"{p}_tokens": ([f"{p}_tok"], f"SELECT *, regexp_matches(text, '{_q(PROTECTED_RE2)}') AS is_protected FROM {p}_tok") for p in ("talk", "lit", "page")},
     "sizes": (["talk_tok"], "SELECT pair_id, count(*) FILTER (side = 'source') AS n_s, count(*) FILTER (side = 'target') AS n_t FROM talk_tok GROUP BY pair_id"),
     "vec": (
         ["talk_tok"],
@@ -152,6 +153,10 @@ def sql(final: str, *needs: str) -> str:
     return ("WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n == 'walk' else 'MATERIALIZED '}({CTES[n][1]})" for n in seen) + "\n" if seen else "") + final
 
 
+#: Offsets: a token begins at the visible character that follows those of the tokens before it.
+_STARTS = r"""SELECT *, (pos[n + 1] - 1)::INT AS start FROM (SELECT t.*, coalesce(sum(len(regexp_replace(text, '\s', '', 'g'))) OVER (PARTITION BY pair_id, side ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS n FROM {p}_tokens t)
+JOIN (SELECT pair_id, side, list_filter(range(1, len(x) + 1), lambda i: NOT regexp_matches(x[i], '\s')) AS pos FROM (SELECT pair_id, 'source' AS side, source AS x FROM {p} UNION ALL SELECT pair_id, 'target', target FROM {p})) USING (pair_id, side)"""
+
 LANGUAGES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{_q(n)}', '{_q(o)}', '{tokenizer_of(c)}')" for c, n, o in LANGUAGES) + ") x(code, name, native_name, tokenizer)"
 
 ORACLES = {
@@ -160,11 +165,8 @@ ORACLES = {
     "tokenize": sql("SELECT pair_id, side, idx, text FROM talk_tok", "talk_tok"),
     "tokenize_literals": sql("SELECT pair_id, side, idx, text, is_protected FROM lit_tokens", "lit_tokens"),
     "token_classes": sql(r"SELECT pair_id, side, idx, is_protected, NOT is_protected AND regexp_matches(text, '[\p{L}\p{N}]') AS is_content, regexp_matches(text, '^\p{P}+$') AS is_punctuation FROM lit_tokens", "lit_tokens"),
-    "token_offsets": sql(
-        """SELECT pair_id, side, idx, (p[n + 1] - 1)::INT AS start, (p[n + 1] - 1 + len(text))::INT AS "end" FROM (SELECT t.*, coalesce(sum(len(text)) OVER (PARTITION BY pair_id, side ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS n FROM talk_tok t)
-        JOIN (SELECT pair_id, side, list_filter(range(1, len(x) + 1), lambda i: NOT regexp_matches(x[i], '\\s')) AS p FROM (SELECT pair_id, 'source' AS side, source AS x FROM talk UNION ALL SELECT pair_id, 'target', target FROM talk)) USING (pair_id, side)""".replace("\\\\", "\\"),
-        "talk_tok", "talk",
-    ),
+    "token_offsets": sql("SELECT pair_id, side, idx, start, start + len(text)::INT AS \"end\" FROM (" + _STARTS.format(p="talk") + ")", "talk_tokens"),
+    "tokenize_pages": sql("SELECT pair_id, side, idx, text, start, is_protected FROM (" + _STARTS.format(p="page") + ")", "page_tokens"),
     "validate_pairs": sql("SELECT pair_id, concat_ws(',', CASE WHEN len(source) % 5 = 0 THEN 'source_language' END, CASE WHEN len(source) % 4 = 0 THEN 'target' END) AS errors FROM talk", "talk"),
     "token_vectors": sql("SELECT pair_id, side, idx, len(v)::INT AS dims, round(v[1], 6) AS first FROM vec", "vec"),
     "cells_similarity": sql("SELECT pair_id, s, t, round(sim, 6) AS sim FROM sim", "sim"),
