@@ -167,19 +167,19 @@ def _bootstrap(words: DataFrame, edges: DataFrame, tables: Tables) -> DataFrame
     """(row, more): spans that the patterns add. None where no pattern has the seeds it needs."""
     links = tables.put(edges.select("pattern", "word").distinct(), "links")
     size = tables.put(links.groupBy("pattern").agg(F.count("*").alias("n")), "sizes")
-    seeds = tables.put(edges.where("k >= 0").select("word", "k", F.lit(1.0).alias("score")).distinct(), "seeds")
+    seeds = tables.put(edges.where("k >= 0").select("word", "k", F.lit(1.0).alias("score"), F.lit(True).alias("seed")).distinct(), "seeds")
     open_ = tables.put(edges.where("k < 0").select("pattern", "word").distinct(), "open")
     instances, rules = seeds, None
     for _ in range(ROUNDS):
-        scored = links.join(instances, "word").groupBy("pattern", "k").agg(F.sum("score").alias("s"), F.sum((F.col("score") == 1).cast("int")).alias("support"))
+        scored = links.join(instances, "word").groupBy("pattern", "k").agg(F.sum("score").alias("s"), F.sum(F.col("seed").cast("int")).alias("support"))
         rules = tables.put(scored.where(F.col("support") >= SUPPORT).join(size, "pattern").select("pattern", "k", (F.col("s") / F.col("n")).alias("confidence")).where("confidence >= 0.5"), "rules")
         if rules.isEmpty():
             return None
         doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
-        guessed = open_.join(rules, "pattern").groupBy("word", "k").agg((1 - F.exp(doubt)).alias("score"))
-        # A seed of some kind keeps its 1.
+        guessed = open_.join(rules, "pattern").groupBy("word", "k").agg((1 - F.exp(doubt)).alias("score"), F.lit(False).alias("seed"))
+        # A seed of some kind keeps its 1. A guess of many sure patterns reaches 1.0 in double, so the score doesn't tell them apart.
         instances = tables.put(seeds.unionByName(guessed.join(seeds.select("word").distinct(), "word", "left_anti")), "instances")
-    sure = instances.where((F.col("score") >= SURE) & (F.col("score") < 1))
+    sure = instances.where((F.col("score") >= SURE) & ~F.col("seed"))
     shaped = F.lit(False)
     for k, shape in SHAPES.items():
         shaped = shaped | ((F.col("k") == k) & F.col("word").rlike(shape))

@@ -312,6 +312,14 @@ def test_personal_data(spark, docs, none, rows):
     assert [r.spans for r in got[12:]] == ["phone:21:33", "", ""] and all(r.n_added == 0 for r in got[:12])
 
 
+def test_personal_data_of_many_sure_patterns(spark):
+    # Six patterns of confidence 0.999 give a score of exactly 1.0: the surest finds are no seeds.
+    told = [f"{x} +1 (415) 555-0{i}{k:02d} {y}" for i, (x, y) in enumerate([("my contact number is", "today"), ("please call us on", "or write"), ("the desk answers under", "all day")]) for k in range(3)]
+    told += ["my contact number is 415-555-0199 today", "please call us on 415-555-0199 or write", "the desk answers under 415-555-0199 all day"]
+    got = find_personal_data(spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.spans for r in got[9:]] == ["phone:21:33", "phone:18:30", "phone:23:35"] and all(r.n_added == 0 for r in got[:9])
+
+
 def test_chats(spark):
     talk = [(1, 0, "system", "be brief"), (1, 1, "user", "what is it?\nplease say"), (1, 2, "assistant", "- one\n- two\n\nthat is all"), (1, 3, "user", "thanks"), (2, 0, "user", None), (3, 0, None, "can you help?"), (3, 1, "assistant", "yes"), (None, None, None, None)]
     df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
