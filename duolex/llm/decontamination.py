@@ -117,12 +117,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents, with all their columns, that aren't contaminated. With one block of patterns each row is judged where it
-    stands; with more, `docs` must be a read table: its rows are numbered by their place in it and joined to the judgement."""
+    stands; with more, rows are numbered once, in a written table, and joined to the judgement."""
     need(docs, id_col, text_col)
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     if size > block_bytes:
         numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+        numbered = Tables(docs.sparkSession).put(numbered, "numbered")
         judged = decontaminate(numbered.select("_row", F.col(f"_doc.`{text_col}`").alias("text")), benchmark, window, block_bytes, "_row", "text", item_id, item_text)
         return numbered.join(judged.where("not contaminated").select("_row"), "_row", "left_semi").select("_doc.*")
     sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])

@@ -132,7 +132,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     return h[order], rows["n"].to_numpy(np.int64)[order]
 
 
-def near_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", tables: Tables | None = None) -> DataFrame:
     """Links documents whose sets of `size`-word shingles (A-Z lower-cased) have a Jaccard similarity of LEAST / 100 or more.
 
     T-occurrence search: documents of equal sets form a class, classes are searched. Each class enters its rarest q - T + 1
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
     """
     need(docs, id_col, text_col)
     spark = docs.sparkSession
-    tables = Tables(spark)
+    tables = tables or Tables(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, size))
     kind = rows.schema["id"].dataType.simpleString()
@@ -195,12 +195,15 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
 
 def keep_one(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, of each component the row with the least id (null ids last; of rows that repeat an
-    id, the first). `docs` must be a read table: its rows are numbered by their place in it."""
-    row = F.monotonically_increasing_id()
-    packed = docs.select(row.alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    key = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("d"), row.alias("r"))
-    found = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), size, "key", "text")
-    stay = Tables(docs.sparkSession).put(found.where("component_id.r = key.r").select(F.col("key.r").alias("_row")), "stay")
+    id, the first). Rows are numbered once, in a written table."""
+    kept, passing = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    packed = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    packed = kept.put(packed, "rows")
+    ident = F.col(f"_doc.`{id_col}`")
+    key = F.struct(ident.isNull().alias("z"), ident.alias("d"), F.col("_row").alias("r"))
+    found = near_duplicates(packed.select(key.alias("key"), F.col(f"_doc.`{text_col}`").alias("text")), size, "key", "text", passing)
+    stay = kept.put(found.where("component_id.r = key.r").select(F.col("key.r").alias("_row")), "stay")
+    passing.clear()
     return packed.join(stay.hint("merge"), "_row", "left_semi").select("_doc.*")
 
 

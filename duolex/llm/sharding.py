@@ -100,12 +100,13 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 20240229, id_col: s
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns, their shard and their slot (columns of these names are replaced). `docs` must be a
-    read table: its rows are numbered by their place in it, so that rows which repeat an id keep apart."""
-    row = F.monotonically_increasing_id()
-    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
-    packed = docs.select(row.alias("_row"), F.struct(*columns).alias("_doc"))
-    keyed = docs.select(F.struct(F.col(id_col).alias("d"), row.alias("r")).alias("key"), F.col(text_col).alias("text"))
+    """The documents with all their columns, their shard and their slot (columns of these names are replaced). Rows are
+    numbered once, in a written table, so that rows which repeat an id keep apart."""
+    tables = Tables(docs.sparkSession)
+    packed = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    packed = tables.put(packed, "rows")
+    keyed = packed.select(F.struct(F.col(f"_doc.`{id_col}`").alias("d"), F.col("_row").alias("r")).alias("key"), F.col(f"_doc.`{text_col}`").alias("text"))
     placed = shard_rows(keyed, shards, seed, "key", "text").select(F.col("key.r").alias("_row"), "shard", "slot")
-    placed = Tables(docs.sparkSession).put(placed, "placed")
-    return packed.join(placed.hint("merge"), "_row").select("_doc.*", "shard", "slot")
+    placed = tables.put(placed, "placed")
+    columns = [F.col(f"_doc.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return packed.join(placed.hint("merge"), "_row").select(*columns, "shard", "slot")

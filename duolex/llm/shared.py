@@ -52,6 +52,12 @@ class Tables:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
         self.sweep()
 
+    def clear(self) -> None:
+        """Deletes all tables, once nothing reads them any more."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.dir)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.sweep()
+
     def sweep(self) -> None:
         """Shuffle files stay until the driver collects its garbage; this asks for it between stages."""
         gc.collect()

@@ -120,22 +120,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     Returns one row per input row: id, n_words, n_removed, kept_sha256 (kept words joined by single spaces), removed (ranges of
     word numbers, end exclusive). A null text has no words. Rows that repeat an id are the same document twice: neither is
-    earlier. Null ids come after all others. `docs` must be a read table: its rows are numbered by their place in it.
+    earlier. Null ids come after all others. Rows are numbered once, in a written table that all later steps read.
     """
     need(docs, id_col, text_col)
     spark = docs.sparkSession
     tables = Tables(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     if kind in ("bigint", "int", "smallint", "tinyint"):
-        ident, id_kind = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "bigint"
+        ident, id_kind = F.coalesce(F.col("doc").cast("long"), F.lit((1 << 63) - 1)), "bigint"
     else:
-        ident, id_kind = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("d")), f"struct<z: boolean, d: {kind}>"
-    row = F.monotonically_increasing_id().alias("row")
-    rows = docs.select(row, ident.alias("id"), F.col(text_col).cast("string").alias("text"))
+        ident, id_kind = F.struct(F.col("doc").isNull().alias("z"), F.col("doc").alias("d")), f"struct<z: boolean, d: {kind}>"
+    # Another scan of `docs` may be cut otherwise and number its rows otherwise.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = tables.put(rows, "rows")
 
     def scan(batches):
         for batch in batches:
-            for piece, texts in blocks(batch, 1):
+            for piece, texts in blocks(batch, 2):
                 w = Words(texts, PLAIN)
                 v = Windows(w, window)
                 # Anchors by text, once for each; twice where the phrase stands at two places of the text.
@@ -153,18 +154,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 offsets = np.searchsorted(doc[order], np.arange(len(texts) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[order].view(np.int64)))
                 digest = [hashlib.sha256(b" ".join(t.encode().split())).hexdigest() for t in texts.to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(w.row).astype(np.int64)), pa.array(digest, pa.string()), lists], names=["row", "n_words", "sha", "anchors"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(np.diff(w.row).astype(np.int64)), pa.array(digest, pa.string()), lists], names=["row", "doc", "n_words", "sha", "anchors"])
 
-    scanned = tables.put(rows.select("row", "text").mapInArrow(scan, "row long, n_words long, sha string, anchors array<long>"), "anchors")
+    scanned = tables.put(rows.select("row", "doc", "text").mapInArrow(scan, f"row long, doc {kind}, n_words long, sha string, anchors array<long>"), "anchors")
     each = scanned.select("row", F.explode("anchors").alias("h"))
     twice = tables.put(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "recurring")
     tables.sweep()
     hits = each.join(twice.hint("merge"), "h").groupBy("row").agg(F.collect_set("h").alias("anchors"))
     hits = tables.put(hits, "hits")
-    light = tables.put(scanned.select("row", "n_words", "sha"), "words")
+    light = tables.put(scanned.select("row", "doc", "n_words", "sha"), "words")
     tables.drop(scanned, twice)
-    texts = tables.put(rows.join(hits.hint("merge"), "row").select("row", "id", "text", "anchors"), "texts")
-    tables.drop(hits)
+    texts = tables.put(rows.join(hits.hint("merge"), "row").select("row", ident.alias("id"), "text", "anchors"), "texts")
+    tables.drop(rows, hits)
 
     def candidates(batches):
         for batch in batches:
@@ -287,5 +288,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     changed = texts.select("row", "text").join(located, "row").mapInArrow(clean, "row long, n_removed long, kept string, removed array<struct<s: int, e: int>>")
     changed = tables.put(changed, "changed")
     tables.sweep()
-    out = docs.select(row, F.col(id_col).alias("id")).join(light, "row").join(changed, "row", "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("removed", F.array()).alias("removed"))
+    out = light.join(changed, "row", "left")
+    return out.select(F.col("doc").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("removed", F.array()).alias("removed"))

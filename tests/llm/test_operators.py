@@ -19,6 +19,7 @@ from duolex.llm.jaccard_join import keep_one, near_duplicates
 from duolex.llm.language_id import identify, keep_identified, learn
 from duolex.llm.mixing import mix_sources, mixed_documents
 from duolex.llm.pii import base_spans, find_personal_data, luhn
+from duolex.llm.shared import Tables
 from duolex.llm.sharding import permute, shard_documents, shard_rows
 from duolex.llm.substring_dedup import remove_repeats
 from duolex.llm.token_counts import Units, count_by_chunks, count_tokens, processor
@@ -278,6 +279,39 @@ def test_substring_dedup(docs, none, rows, monkeypatch):
     assert remove_repeats(none).count() == 0
 
 
+def test_rows_keep_their_numbers_when_scans_are_cut_otherwise(spark, docs, rows, monkeypatch):
+    """What is written is scanned in small splits, the last scan of each operator isn't, as when executors come or go between them."""
+    key, put, calls = "spark.sql.files.maxPartitionBytes", Tables.put, []
+
+    def cut(self, df, name):
+        spark.conf.set(key, "4k")
+        calls.append(name)
+        out = put(self, df, name)
+        spark.conf.set(key, "128m")
+        return out
+
+    default = spark.conf.get(key)
+    bench = spark.createDataFrame([("1", "one"), ("2", " ".join(rows[75][1].split()[15:50]))], "item_id string, text string")
+    forms = {
+        "remove_repeats": lambda: remove_repeats(docs),
+        "keep_one": lambda: keep_one(docs),
+        "keep_clean": lambda: keep_clean(docs, bench, block_bytes=150),
+        "shard_documents": lambda: shard_documents(docs).select("doc_id", "text"),
+    }
+    wrong = []
+    try:
+        for name, form in forms.items():
+            want = sorted(map(str, form().collect()))
+            calls.clear()
+            with monkeypatch.context() as m:
+                m.setattr(Tables, "put", cut)
+                got = sorted(map(str, form().collect()))
+            wrong += [name] if not calls or got != want else []
+    finally:
+        spark.conf.set(key, default)
+    assert not wrong
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP, CARD, PHONE = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
