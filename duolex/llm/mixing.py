@@ -157,8 +157,13 @@ def mix_sources(docs: DataFrame, levels: int = 3, seed: int = 20240229, id_col:
 
 
 def mixed_documents(docs: DataFrame, levels: int = 3, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents themselves with all their columns, once for each draw, in their output shards and shuffled there."""
+    """The documents themselves with all their columns, once for each draw, in their output shards and shuffled there: each shard is
+    a run of partitions, the same number for each, of consecutive ranges of `place`, sorted by it. Draws of equal place, which are
+    copies of an id, stand by the hash of their text."""
     plan, _ = mixing_plan(docs, levels, seed, id_col, text_col, source_col)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(source_col).alias("_source"), _hash(seed, F.col(id_col)).alias("_hash"))
-    drawn = with_draws(packed, plan, "_hash", "_source", seed).select("_doc", F.explode("draws").alias("_draw"))
-    return drawn.select("_doc.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(source_col).alias("_source"), _hash(seed, F.col(id_col)).alias("_hash"), F.xxhash64(F.col(text_col)).alias("_tie"))
+    drawn = with_draws(packed, plan, "_hash", "_source", seed).select("_doc", "_tie", F.explode("draws").alias("_draw"))
+    shards = 1 << levels
+    ranges = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    at = F.expr(f"_draw.shard * {ranges} + least({ranges - 1}, cast(floor({_UNIT.format(h='_draw.place')} * {ranges}) as int))")
+    return drawn.repartitionById(shards * ranges, at).sortWithinPartitions("_draw.shard", "_draw.place", "_tie").select("_doc.*")

@@ -140,6 +140,20 @@ def test_mixing(docs, none, rows):
     assert mix_sources(none).count() == mixed_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("partitions", ["4", "20"])
+def test_mixed_documents_stand_shuffled_in_their_shards(spark, docs, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        want = sorted((d.shard, d.place, str(r.doc_id)) for r in mix_sources(docs).collect() for d in r.draws)
+        got = mixed_documents(docs).select("doc_id", F.spark_partition_id().alias("at")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [str(r.doc_id) for r in got] == [i for _, _, i in want]
+    ranges = -(-int(partitions) // 8)
+    assert [r["at"] // ranges for r in got] == [s for s, _, _ in want] and len({s for s, _, _ in want}) > 1
+
+
 def test_language(docs, none, rows):
     model = learn(docs)
     got = identify(docs, model).collect()
