@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -19,9 +20,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # ---------------------------------------------------------------- written tables
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; where that is unset (tests), one of our own is set."""
+    """A fresh folder under spark.checkpoint.dir. Where that is unset, a single machine (tests) gets one of its own; executors elsewhere
+    couldn't see it, so a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark, "_duolex_dir", None) or tempfile.mkdtemp(prefix="duolex-")
         spark._duolex_dir = base
     path = f"{base.rstrip('/')}/duolex-{uuid.uuid4().hex}"
@@ -64,6 +68,24 @@ class Tables:
         self.spark._jvm.System.gc()
 
 
+def lean(run):
+    """The same function of Arrow batches, whose worker gives freed memory back to the system at the end of its task. Workers are used
+    again and again, and what one stage had needed would count against the next."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
