@@ -9,9 +9,10 @@ from .shared import WORD, Tables, need, text_or_empty
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
-#: Blocks of all sources together, but for one more per source and epoch. Bounds the tree and what is sent to tasks.
-BLOCKS = 1 << 15
-BINS = 12
+#: A block is the documents of a source whose hashes share so many leading bits.
+BLOCK_BITS = 8
+#: Leading bits by which the one block that is taken in part is looked through, before its documents are.
+FINE_BITS = 20
 
 
 def _hash(seed: int, *columns):
@@ -71,54 +72,83 @@ aggregate(sequence(1, size(quotas)), named_struct('pool', total, 'drawn', total
     return halves.select(F.explode(sides).alias("x")).select("x.node", "x.quotas")
 
 
+def _prefix(bits: int, h: str = "hash"):
+    return F.shiftright(h, 64 - bits)
+
+
+def _running(*by: str, order: tuple):
+    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _edge(rows: DataFrame, turned: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """What a source's last, partial epoch takes of the block that its rest ends in: (source, idx, block, below, fit), documents of a hash under
+    `below` or up to `fit`; and (source, idx, block, only), one further document. Documents go in by hash while they fit; what then is
+    missing is made up by the document, of all that are left, whose size is nearest to it."""
+    same = F.expr("a.source <=> b.source")
+    edge = turned.where("upto - words < rest and upto > rest").select("source", "idx", "block", F.col("block").alias("prefix"), (F.col("upto") - F.col("words")).alias("before"), "rest")
+    edge = tables.put(edge, "edge")
+    fine = rows.alias("a").join(edge.alias("b"), same & F.expr("a.block = b.block")).groupBy("idx", "b.source", "b.block", "before", "rest", _prefix(FINE_BITS).alias("prefix")).agg(F.sum("size").alias("words"))
+    fine = fine.withColumn("upto", F.col("before") + F.sum("words").over(_running("idx", order=("prefix",)))).where("upto - words < rest and upto >= rest")
+    fine = tables.put(fine.select("source", "idx", "block", "prefix", (F.col("upto") - F.col("words")).alias("before"), "rest"), "fine")
+    near = rows.alias("a").join(fine.alias("b"), same & (_prefix(FINE_BITS, "a.hash") == F.col("b.prefix"))).groupBy("idx", "b.source", "b.block", "prefix", "before", "rest", "hash").agg(F.sum("size").alias("words"))
+    near = near.withColumn("upto", F.col("before") + F.sum("words").over(_running("idx", order=("hash",))))
+    last = near.groupBy("source", "idx", "block", "prefix", "before", "rest").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("upto", "hash"))).alias("fit"))
+    last = last.select("source", "idx", "block", F.shiftleft("prefix", 64 - FINE_BITS).alias("below"), F.col("fit.hash").alias("fit"), (F.col("rest") - F.coalesce("fit.upto", "before")).alias("gap"))
+    last = tables.put(last, "fits")
+    # Left are the blocks behind the edge in the source's order, and what of the edge doesn't fit.
+    open_ = turned.alias("a").join(last.alias("b"), same).where("upto > rest").select("a.source", "a.block", "b.idx", F.when(F.expr("a.block = b.block"), F.col("below")).alias("below"), F.when(F.expr("a.block = b.block"), F.col("fit")).alias("fit"), "gap")
+    off = F.abs(F.col("size") - F.col("gap"))
+    more = rows.alias("a").join(tables.put(open_, "open").alias("b"), same & F.expr("a.block = b.block")).where("size > 0 and not coalesce(hash < below, false) and not coalesce(hash <= fit, false)")
+    more = more.groupBy("b.source", "idx").agg(F.min(F.struct(off.alias("off"), "hash")).alias("best"), F.first("gap").alias("gap")).where("best.off < gap")
+    more = tables.put(more.select("source", "idx", _prefix(BLOCK_BITS, "best.hash").alias("block"), F.col("best.hash").alias("only")), "extras")
+    return last.drop("gap"), more
+
+
+def deal(quotas: DataFrame, entries: DataFrame, levels: int, seed: int, tables: Tables) -> DataFrame:
+    """Deals the entries (idx, epoch, block, ...) of each source to 2**levels shards, by a tree over `quotas` (idx, n: entries of a source), and adds `shard`.
+    The leaves say how many a shard draws of each source; it draws them from the source's entries in a permuted order, where the shard before stopped."""
+    nodes = quotas.agg(F.array_sort(F.collect_list(F.struct("idx", "n"))).alias("q")).where("size(q) > 0")
+    names = nodes.select(F.posexplode(F.expr("transform(q, x -> x.idx)")).alias("at", "idx"))
+    nodes = nodes.select(F.lit(1).cast("long").alias("node"), F.expr("transform(q, x -> x.n)").alias("quotas"))
+    for _ in range(levels):
+        nodes = tables.put(_split(nodes, seed, tables), "nodes")
+    leaves = nodes.select((F.col("node") - (1 << levels)).cast("int").alias("shard"), F.posexplode("quotas").alias("at", "n")).join(names, "at")
+    upto = leaves.withColumn("upto", F.sum("n").over(_running("idx", order=("shard",)))).groupBy("idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "upto"))), lambda x: x["upto"]).alias("ends"))
+    turn = F.row_number().over(Window.partitionBy("idx").orderBy(F.xxhash64(F.lit(seed), "idx", "epoch", "block"), "epoch", "block", F.col("only").asc_nulls_first()))
+    drawn = entries.withColumn("turn", turn).join(tables.put(upto, "leaves"), "idx")
+    # An entry past the last leaf is drawn by no shard.
+    return drawn.withColumn("shard", F.expr("size(filter(ends, e -> e < turn))")).where(f"shard < {1 << levels}").drop("turn", "ends")
+
+
 def mixing_plan(docs: DataFrame, levels: int = 3, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
-    """(one row per source: what it has, its target, how often it is taken whole, up to which hash once more, the shard of each block;
-    one row per document: id, source, size, hash)."""
+    """(one row per block: source, block, what its source has and its target, its dealt draws; one row per document: id, source, size, hash, block)."""
     need(docs, id_col, text_col, source_col)
     tables = tables or Tables(docs.sparkSession)
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
-    rows = tables.put(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _hash(seed, F.col(id_col)).alias("hash")), "sizes")
-    bins = tables.put(rows.withColumn("bin", F.shiftright("hash", 64 - BINS)).groupBy("source", "bin").agg(F.sum("size").alias("words")), "bins")
-    aims = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _hash(seed, F.col(id_col)).alias("hash"))
+    rows = tables.put(rows.withColumn("block", _prefix(BLOCK_BITS)), "sizes")
+    blocks = tables.put(rows.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
+    aims = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")))
     # A source of no words takes none.
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     aims = aims.withColumn("full", full.cast("long")).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     aims = tables.put(aims, "targets")
-    # The hash up to which a source's documents are taken once more: the bin first, then the document in that bin.
-    here = Window.partitionBy("idx").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    same = F.expr("a.source <=> b.source")
-    edge = bins.alias("a").join(aims.alias("b"), same).select("idx", "a.source", "bin", "words", "rest").withColumn("before", F.coalesce(F.sum("words").over(here), F.lit(0)))
-    edge = tables.put(edge.where("before < rest and before + words >= rest"), "edges")
-    inner = Window.partitionBy("idx").orderBy("hash").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    close = rows.withColumn("bin", F.shiftright("hash", 64 - BINS)).alias("a").join(edge.alias("b"), same & F.expr("a.bin = b.bin")).select("idx", "a.bin", "hash", "size", "before", "rest")
-    close = close.groupBy("idx", "bin", "hash", "before", "rest").agg(F.sum("size").alias("size")).withColumn("upto", F.col("before") + F.sum("size").over(inner))
-    # Documents go in while they fit; what then is missing is made up by the one further document whose size is nearest to it.
-    fits = F.when(F.col("upto") <= F.col("rest"), F.struct("upto", "hash"))
-    last = close.groupBy("idx", "bin", "before", "rest").agg(F.max(fits).alias("fit"))
-    last = last.select(F.col("idx").alias("i"), F.coalesce("fit.hash", F.shiftleft("bin", 64 - BINS) - 1).alias("upto"), (F.col("rest") - F.coalesce("fit.upto", "before")).alias("gap"))
-    last = tables.put(last, "fits")
-    aims = aims.join(last, F.col("idx") == F.col("i"), "left").drop("i")
-    off = F.abs(F.col("size") - F.col("gap"))
-    more = rows.alias("a").join(aims.alias("b"), same).where("size > 0 and hash > upto").groupBy("idx").agg(F.min(F.struct(off.alias("off"), "hash")).alias("best"), F.first("gap").alias("gap"))
-    more = tables.put(more.where("best.off < gap").select(F.col("idx").alias("i"), F.col("best.hash").alias("extra")), "extras")
-    aims = aims.join(more, F.col("idx") == F.col("i"), "left").drop("i")
-    # Blocks are equal hash ranges of a source; each source has its share of BLOCKS.
-    share = F.ceil(F.col("target") / F.sum("target").over(Window.partitionBy()) * BLOCKS / (F.col("full") + 1))
-    aims = aims.withColumn("per_epoch", F.greatest(F.lit(1), F.coalesce(share, F.lit(1))).cast("long"))
-    once_more = F.when(F.col("upto").isNull(), 0).otherwise(F.floor(F.expr(_UNIT.format(h="upto")) * F.col("per_epoch")) + 1)
-    aims = tables.put(aims.withColumn("blocks", F.when(F.col("source_size") > 0, F.col("full") * F.col("per_epoch") + F.least(once_more, F.col("per_epoch"))).otherwise(0).cast("long")), "quotas")
-    # The tree, then for each source runs of its permuted blocks: shard by shard as many as the leaf says.
-    nodes = aims.agg(F.array_sort(F.collect_list(F.struct("idx", "blocks"))).alias("q")).select(F.lit(1).cast("long").alias("node"), F.expr("transform(q, x -> x.blocks)").alias("quotas"))
-    nodes = nodes.where("size(quotas) > 0")
-    for _ in range(levels):
-        nodes = tables.put(_split(nodes, seed, tables), "nodes")
-    leaves = nodes.select((F.col("node") - (1 << levels)).cast("int").alias("shard"), F.posexplode("quotas").alias("idx", "n"))
-    runs = leaves.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("leaves"))
-    runs = runs.select("idx", F.expr("flatten(transform(leaves, x -> array_repeat(x.shard, cast(x.n as int))))").alias("dealt"))
-    order = f"transform(array_sort(transform(sequence(0, cast(blocks as int) - 1), b -> struct(xxhash64({seed}L, idx, b) as h, b as b))), x -> x.b)"
-    plan = tables.put(aims.join(runs.withColumnRenamed("idx", "i"), F.col("idx") == F.col("i")).withColumn("order", F.when(F.col("blocks") > 0, F.expr(order)).otherwise(F.expr("cast(array() as array<int>)"))), "orders")
-    plan = plan.withColumn("shards", F.expr("transform(array_sort(zip_with(order, dealt, (b, s) -> struct(b, s as s))), x -> x.s)"))
-    return tables.put(plan.select("idx", "source", "source_size", "target", "full", "upto", "extra", "per_epoch", "shards"), "plan"), rows
+    # All blocks in each whole epoch, then in an order of the source's own as many as its rest holds.
+    told = blocks.alias("a").join(aims.alias("b"), F.expr("a.source <=> b.source")).select("a.source", "a.block", "words", "idx", "source_size", "target", "full", "rest")
+    told = tables.put(told.withColumn("upto", F.sum("words").over(_running("idx", order=(F.xxhash64(F.lit(seed + 2), "idx", "block"), "block")))), "told")
+    turned = told.where("words > 0")
+    edge, extra = _edge(rows, turned, tables)
+    no = F.lit(None).cast("long")
+    entry = lambda df, epoch, whole, below=no, fit=no, only=no: df.select("source", "idx", "block", epoch.cast("int").alias("epoch"), F.lit(whole).alias("whole"), below.alias("below"), fit.alias("fit"), only.alias("only"))
+    with_full = lambda df: df.join(aims.select("idx", "full"), "idx")
+    entries = entry(turned.where("full > 0").withColumn("e", F.explode(F.expr("sequence(0L, full - 1)"))), F.col("e"), True)
+    entries = entries.unionByName(entry(turned.where("upto <= rest"), F.col("full"), True))
+    entries = entries.unionByName(entry(with_full(edge), F.col("full"), False, F.col("below"), F.col("fit")))
+    entries = tables.put(entries.unionByName(entry(with_full(extra), F.col("full"), False, only=F.col("only"))), "entries")
+    dealt = deal(entries.groupBy("idx").agg(F.count("*").alias("n")), entries, levels, seed, tables)
+    dealt = dealt.groupBy("idx", "block").agg(F.collect_list(F.struct("epoch", "shard", "whole", "below", "fit", "only")).alias("dealt"))
+    plan = told.select("idx", "source", "block", "source_size", "target").join(dealt, ["idx", "block"], "left").drop("idx")
+    return tables.put(plan, "plan"), rows
 
 
 #: A hash as a fraction of the range of hashes, in order.
@@ -126,33 +156,32 @@ _UNIT = "({h} / 18446744073709551616D + 0.5D)"
 
 
 def with_draws(rows: DataFrame, plan: DataFrame, hash_col: str, source_col: str, seed: int = 20240229) -> DataFrame:
-    """Adds `draws`, an entry with epoch, shard and place for each time the row is taken, and what the plan says of its source.
-    Nothing of a row's text moves: the plan has one row per source, which Spark broadcasts where its size is small."""
+    """Adds `draws`, an entry with epoch, shard and place for each dealt block that the row is in, and what the plan says of its source.
+    The plan has a row for each block, which Spark broadcasts where its size is small; beyond that a source's blocks are keys of their own."""
     p = plan.select(F.struct(*plan.columns).alias("_plan"))
-    out = rows.join(p, F.col(source_col).eqNullSafe(F.col("_plan.source")), "left")
-    out = out.withColumn("_takes", F.col("_plan.full") + F.when((F.col(hash_col) <= F.col("_plan.upto")) | (F.col(hash_col) == F.col("_plan.extra")), 1).otherwise(0))
-    block = f"least(_plan.per_epoch - 1, cast(floor({_UNIT.format(h=hash_col)} * _plan.per_epoch) as long))"
-    draws = f"""if(_takes > 0 and size(_plan.shards) > 0, transform(sequence(0L, cast(_takes - 1 as long)), e -> named_struct('epoch', cast(e as int),
-        'shard', get(_plan.shards, cast(least(size(_plan.shards) - 1, e * _plan.per_epoch + {block}) as int)), 'place', xxhash64({seed + 1}L, {hash_col}, e))), cast(array() as array<struct<epoch: int, shard: int, place: bigint>>))"""
-    return out.withColumn("draws", F.expr(draws))
+    out = rows.join(p, F.col(source_col).eqNullSafe(F.col("_plan.source")) & (_prefix(BLOCK_BITS, hash_col) == F.col("_plan.block")), "left")
+    mine = "coalesce(_plan.dealt, cast(array() as array<struct<epoch: int, shard: int, whole: boolean, below: bigint, fit: bigint, only: bigint>>))"
+    mine = f"filter({mine}, x -> x.whole or coalesce({hash_col} < x.below, false) or coalesce({hash_col} <= x.fit, false) or {hash_col} <=> x.only)"
+    return out.withColumn("draws", F.expr(f"array_sort(transform({mine}, x -> named_struct('epoch', x.epoch, 'shard', x.shard, 'place', xxhash64({seed + 1}L, {hash_col}, x.epoch))))"))
 
 
 def mix_sources(docs: DataFrame, levels: int = 3, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """What a mix of all documents takes of each, with 2**levels output shards.
 
     Targets: sources in code-point order (null last) weigh 1, 2, 3, 1, ... and share all words; a source's target
-    stops at 3 times its words. Documents of a source stand in hash order and are cut into blocks; a source is taken
-    whole as often as its target allows, then in hash order while documents fit, then the one of nearest size to what is missing. The exact block quotas go
-    down a tree: at each node half of the blocks go left, of each source a multivariate-hypergeometric number; leaves
-    are the output shards. A shard gets a run of each source's permuted blocks, disjoint from all others, and orders
-    its rows by `place`. Only ids, sizes and sums per source and hash bin are shuffled; the hash alone decides, so
-    reruns agree and copies of a row are treated alike.
+    stops at 3 times its words. A source's documents are cut into blocks by hash. Its quota is exact: all its blocks as often as the target
+    allows, then blocks in an order of its own while they fit, then of one more block the documents that fit and the one document of
+    nearest size. The quotas go down a tree: at each node half of the entries go left, of each source a multivariate-hypergeometric
+    number; leaves are the output shards. A shard draws as many of each source's permuted entries as its leaf says, disjoint from all others, and
+    orders their rows by `place`. What a row is taken is what the shards have drawn of its block. Only ids, sizes and sums per block are
+    shuffled; the hash of the id alone decides, so reruns agree and copies of a row are treated alike.
 
     Returns one row per input row: id, source, size, source_size, target, draws. No document is drawn more than 3
-    times. Texts that are null or have no words have size 0; null sources form one source; an empty table gives none.
+    times. Texts that are null or have no words have size 0; null sources form one source; an empty table gives none. Other columns are ignored.
+    Plans are arrays over sources, so there may be as many sources as one row holds, not one for each document.
     """
     plan, rows = mixing_plan(docs, levels, seed, id_col, text_col, source_col)
-    out = with_draws(rows, plan, "hash", "source", seed)
+    out = with_draws(rows.drop("block"), plan, "hash", "source", seed)
     return out.select(F.col("id").alias(id_col), rows["source"], "size", F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), "draws")
 
 

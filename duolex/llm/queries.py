@@ -31,7 +31,7 @@ def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(load(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"), F.col("draws.place").alias("places"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
