@@ -4,57 +4,66 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables, Words, blocks, byte_class, grams, need
+from .shared import Tables, Words, blocks, byte_class, grams, lean, need
 
 WINDOW = 13
 #: Words are what these bytes separate, once A-Z is lower-cased.
 CLASSES = byte_class([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)], lower=True)
-#: Bytes of item text in one block of patterns: what a broadcast holds at most, but for a single longer item.
-BLOCK_BYTES = 16_000_000
-TABLE_BITS = 18
+#: Bytes of item text in one block of patterns, but for a single longer item. A compiled block takes some 20 times as much in a task.
+BLOCK_BYTES = 8_000_000
 
 
 class WuManber:
-    """Patterns of words, in classes of equal length m. For each: SHIFT by the hash of a block of two words (one where m is 1), and
-    buckets by the hash of the last block with the hash of the first; a direct comparison of words confirms."""
+    """The windows of items, in classes of equal length m. For each class: SHIFT by the hash of a block of two words (one where m is 1),
+    and buckets, runs of equal suffix blocks in a sorted array, with the first block of each window; a direct comparison of words
+    confirms. Windows stay places in the items' words; equal windows are one."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
-        w = Words(pa.array([t for _, t in items], pa.large_string()), CLASSES)
-        found: dict[int, dict[bytes, set[str | None]]] = defaultdict(lambda: defaultdict(set))
-        for i, (name, _) in enumerate(items):
-            a, b = int(w.row[i]), int(w.row[i + 1])
-            m = min(window, b - a)
-            for k in range(a, b - m + 1) if m else ():
-                found[m][w.text(k, k + m)].add(name)
+        w = self.words = Words(pa.array([t for _, t in items], pa.large_string()), CLASSES)
+        self.names = [name for name, _ in items]
+        h, count = w.hashes(), np.diff(w.row)
         self.classes = []
-        for m, patterns in sorted(found.items()):
-            keys = list(patterns)
-            p = Words(pa.array([k.decode() for k in keys], pa.large_string()), CLASSES)
+        for m in np.unique(np.minimum(count, window)).tolist():
+            if not m:
+                continue
+            mine = np.flatnonzero(np.minimum(count, window) == m)
+            first = np.concatenate([np.arange(w.row[i], w.row[i + 1] - m + 1) for i in mine])
+            item = np.repeat(mine, count[mine] - m + 1)
             block = min(2, m)
-            tails = grams(p.hashes(), block)
-            far = m - block + 1
-            shift = np.full(1 << TABLE_BITS, far, np.int32)
-            bucket: dict[int, list] = defaultdict(list)
-            for i, key in enumerate(keys):
-                a = int(p.row[i])
-                for j in range(m - block + 1):
-                    slot = int(tails[a + j]) >> (64 - TABLE_BITS)
-                    shift[slot] = min(shift[slot], m - block - j)
-                bucket[int(tails[a + m - block])].append((int(tails[a]), key, tuple(patterns[key])))
-            self.classes.append((m, block, shift, dict(bucket)))
+            tails, whole = grams(h, block), grams(h, m)
+            order = np.lexsort((item, whole[first], tails[first + m - block]))
+            first, item = first[order], item[order]
+            # A window that equals the one before it, word by word, is the same pattern of another item.
+            new = np.ones(len(first), bool)
+            for k in np.flatnonzero(whole[first[1:]] == whole[first[:-1]]) + 1:
+                new[k] = w.text(first[k], first[k] + m) != w.text(first[k - 1], first[k - 1] + m)
+            start = np.flatnonzero(new)
+            place, owner = first[start], np.append(start, len(first))
+            bits = min(22, max(12, int(len(place) * (m - block + 1)).bit_length() + 2))
+            shift = np.full(1 << bits, m - block + 1, np.int32)
+            for j in range(m - block + 1):
+                slot = (tails[place + j] >> np.uint64(64 - bits)).astype(np.int64)
+                shift[slot] = np.minimum(shift[slot], m - block - j)
+            self.classes.append((m, block, bits, shift, tails[place + m - block], tails[place], place, owner, item))
 
     def search(self, w: Words) -> tuple[np.ndarray, dict[int, set]]:
         """Which words lie inside an occurrence, and by text the items that occur."""
         h = w.hashes()
-        hit, items = np.zeros(len(h) + 1, np.int32), defaultdict(set)
-        for m, block, shift, bucket in self.classes:
+        hit, found = np.zeros(len(h) + 1, np.int32), defaultdict(set)
+        for m, block, bits, shift, suffix, prefix, place, owner, item in self.classes:
             tails = grams(h, block)
-            steps = shift[(tails >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].tolist()
+            steps = shift[(tails >> np.uint64(64 - bits)).astype(np.int64)]
+            # Where the search may stop: buckets that aren't empty and begin with the right block.
+            ends = np.flatnonzero(steps == 0)
+            ends = ends[ends >= m - block]
+            low, high = np.searchsorted(suffix, tails[ends]), np.searchsorted(suffix, tails[ends], "right")
+            fits = (high - low > 1) | ((high > low) & (prefix[np.minimum(low, len(prefix) - 1)] == tails[ends - m + block]))
+            stops = dict(zip(ends[fits].tolist(), zip(low[fits].tolist(), high[fits].tolist(), strict=True), strict=True))
+            steps = steps.tolist()
             for i in range(len(w.row) - 1):
                 at, end = int(w.row[i]) + m - block, int(w.row[i + 1]) - block
                 while at <= end:  # `at`: first word of the last block of a window
@@ -63,13 +72,13 @@ class WuManber:
                         at += step
                         continue
                     first = at - m + block
-                    for head, key, names in bucket.get(int(tails[at]), ()):
-                        if head == tails[first] and w.text(first, first + m) == key:
+                    for k in range(*stops.get(at, (0, 0))):
+                        if prefix[k] == tails[first] and w.text(first, first + m) == self.words.text(place[k], place[k] + m):
                             hit[first] += 1
                             hit[first + m] -= 1
-                            items[i].update(names)
+                            found[i].update(self.names[x] for x in item[owner[k] : owner[k + 1]])
                     at += 1
-        return np.cumsum(hit[:-1]) > 0, items
+        return np.cumsum(hit[:-1]) > 0, found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -126,30 +135,32 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
         numbered = Tables(docs.sparkSession).put(numbered, "numbered")
         judged = decontaminate(numbered.select("_row", F.col(f"_doc.`{text_col}`").alias("text")), benchmark, window, block_bytes, "_row", "text", item_id, item_text)
         return numbered.join(judged.where("not contaminated").select("_row"), "_row", "left_semi").select("_doc.*")
-    sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
-
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = WuManber(sent.value, window)
-        for texts in batches:
-            out = []
-            for _, piece in blocks(pa.record_batch([pa.array(texts, pa.string())], names=["t"]), 0):
-                w = Words(piece, CLASSES)
-                hit, _ = matcher.search(w)
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n, k = np.diff(w.row), total[w.row[1:]] - total[w.row[:-1]]
-                out.append(~((k > 0) & (20 * k >= n)))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    sent = docs.sparkSession.sparkContext.broadcast(WuManber([tuple(r) for r in items.collect()], window))
+
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def judged(batches):
+            for batch in batches:
+                out = [np.zeros(0, bool)]
+                for _, piece in blocks(pa.record_batch([batch], names=["t"]), 0):
+                    w = Words(piece, CLASSES)
+                    hit, _ = sent.value.search(w)
+                    total = np.concatenate([[0], np.cumsum(hit)])
+                    n, k = np.diff(w.row), total[w.row[1:]] - total[w.row[:-1]]
+                    out.append(~((k > 0) & (20 * k >= n)))
+                yield pa.array(np.concatenate(out))
+
+        yield from lean(judged)(batches)
 
     return docs.where(clean(F.col(text_col).cast("string")))
 
 
 def _scan(docs: DataFrame, items: list[tuple], window: int, kind: str) -> DataFrame:
     """Of each row: words, runs of hit words as [s, e), items that occur."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    sent = docs.sparkSession.sparkContext.broadcast(WuManber(items, window))
 
     def scan(batches):
-        matcher = WuManber(sent.value, window)
+        matcher = sent.value
         for batch in batches:
             for piece, texts in blocks(batch, 1):
                 w = Words(texts, CLASSES)
@@ -167,5 +178,5 @@ def _scan(docs: DataFrame, items: list[tuple], window: int, kind: str) -> DataFr
                     names=["id", "n_words", "hits", "items"],
                 )
 
-    return docs.mapInArrow(scan, f"id {kind}, n_words long, hits array<struct<s: int, e: int>>, items array<string>")
+    return docs.mapInArrow(lean(scan), f"id {kind}, n_words long, hits array<struct<s: int, e: int>>, items array<string>")
 
