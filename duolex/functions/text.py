@@ -6,12 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPACE = r"[\s\x1c-\x1f]"
+_ARROW = r"\p{Nd}++" + _SPACE + r"*(?:→|->)" + _SPACE + r"*\p{Nd}+"
 #: What is kept whole as a protected span.
-PROTECTED = r"\p{Nd}+" + _SPACE + r"*(?:→|->)" + _SPACE + r"*\p{Nd}+|\[\[[^\[\]\r\n]+\]\]|\{\{[^{}\r\n]+\}\}|\$\{[^{}\r\n]+\}|</?[A-Za-z][^>\r\n]*>"
+PROTECTED = _ARROW + r"|\[\[[^\[\]\r\n]+\]\]|\{\{[^{}\r\n]+\}\}|\$\{[^{}\r\n]+\}|</?[A-Za-z][^>\r\n]*>"
 _START = r"[\p{L}\p{N}\p{Pc}]"
 _GOES_ON = r"[\p{L}\p{N}\p{Pc}\p{M}]"
-#: A protected span, or a word that stops where one begins, or any other visible character.
-TOKEN = rf"(?U)(?:{PROTECTED})|{_START}(?:(?!{PROTECTED}){_GOES_ON}|['’\-](?!{PROTECTED})(?={_START}))*|[^\s\x1c-\x1f]"
+#: A protected span, or a word that stops where one begins, or any other visible character. Inside a word only an arrow between numbers can
+#: begin, and only at the first digit of a run. Possessive, so that the engine keeps no state for each character of a word.
+TOKEN = rf"(?U)(?:{PROTECTED})|{_START}(?:(?!(?<!\p{{Nd}}){_ARROW}){_GOES_ON}|['’\-](?!{_ARROW})(?={_START}))*+|[^\s\x1c-\x1f]"
+#: The same with the white space before it.
+PIECE = rf"(?U){_SPACE}*+(?:{TOKEN.removeprefix('(?U)')})"
 #: RE2 has no look-ahead. The same tokens where no protected span touches a word.
 TOKEN_RE2 = rf"\p{{Nd}}+\s*(?:→|->)\s*\p{{Nd}}+|\[\[[^\[\]\r\n]+\]\]|\{{\{{[^{{}}\r\n]+\}}\}}|\$\{{[^{{}}\r\n]+\}}|</?[A-Za-z][^>\r\n]*>|{_START}{_GOES_ON}*(?:['’\-]{_START}{_GOES_ON}*)*|[^\s]"
 PROTECTED_RE2 = r"^(?:\p{Nd}+\s*(?:→|->)\s*\p{Nd}+|\[\[[^\[\]\r\n]+\]\]|\{\{[^{}\r\n]+\}\}|\$\{[^{}\r\n]+\}|</?[A-Za-z][^>\r\n]*>)$"

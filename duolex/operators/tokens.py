@@ -3,29 +3,37 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PROTECTED, TOKEN, is_content, is_protected, is_punctuation, segmented
+from ..functions.text import PIECE, PROTECTED, TOKEN, is_content, is_protected, is_punctuation, segmented
 
 TOKEN_TYPE = "array<struct<index: int, text: string, start: int, `end`: int, is_protected: boolean>>"
 
 
-def _spans(texts: Column, text: Column) -> Column:
-    """Offsets by finding each token from the end of the one before; only white space lies between tokens."""
-    walk = F.aggregate(
-        texts,
-        F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<text: string, start: int, `end`: int>>)").alias("out")),
-        lambda a, t: F.transform(
-            F.array(F.call_function("locate", t, text, a["at"])),
-            lambda p: F.struct((p + F.length(t)).alias("at"), F.concat(a["out"], F.array(F.struct(t.alias("text"), (p - 1).alias("start"), (p - 1 + F.length(t)).alias("end")))).alias("out")),
-        )[0],
-        lambda a: a["out"],
-    )
-    return F.transform(walk, lambda x, i: F.struct(i.alias("index"), x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), is_protected(x["text"]).alias("is_protected")))
+#: Tokens whose lengths are added up one by one; the sums of so many are added up in turn.
+_RUN = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def _ends(sizes: Column) -> Column:
+    """Running sums of an array, in a number of steps that grows with its length: a sum over the runs before, and one inside the run."""
+    last = F.greatest(F.size(sizes) - 1, F.lit(0))
+    runs = F.transform(F.sequence(F.lit(0), (last / _RUN).cast("int")), lambda c: _sum(F.slice(sizes, c * _RUN + 1, _RUN)))
+    before = _let(runs, lambda r: F.transform(r, lambda _, c: _sum(F.slice(r, 1, c))))
+    place = lambda i: (i / _RUN).cast("int")
+    return _let(before, lambda b: F.transform(sizes, lambda _, i: F.get(b, place(i)) + _sum(F.slice(sizes, place(i) * _RUN + 1, i % _RUN + 1))))
 
 
 def token_texts(text: Column) -> Column:
@@ -33,8 +41,16 @@ def token_texts(text: Column) -> Column:
 
 
 def token_array(text: Column) -> Column:
-    """Tokens of a text as structs; Catalyst only."""
-    return _spans(token_texts(text), text)
+    """Tokens of a text as structs; Catalyst only. Each piece is a token with the white space before it, so pieces adjoin and their
+    lengths give the offsets."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    ended = _let(pieces, lambda p: F.arrays_zip(p.alias("piece"), _let(F.transform(p, lambda x: F.length(x)), _ends).alias("end")))
+
+    def token(x, i):
+        word = F.regexp_replace(x["piece"], r"(?U)\A[\s\x1c-\x1f]+", "")
+        return _let(word, lambda w: F.struct(i.alias("index"), w.alias("text"), (x["end"] - F.length(w)).alias("start"), x["end"].alias("end"), is_protected(w).alias("is_protected")))
+
+    return F.transform(ended, token)
 
 
 def segment_array(pairs: DataFrame, column: str, segmenter: Callable[[str], Iterable[tuple[str, int, int]]], to: str) -> DataFrame:
@@ -56,12 +72,12 @@ def segment_array(pairs: DataFrame, column: str, segmenter: Callable[[str], Iter
         found.sort(key=lambda x: (x[1], x[2]))
         return [{"index": i, "text": w, "start": a, "end": b, "is_protected": p} for i, (w, a, b, p) in enumerate(found)]
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([one(t) for t in b.column(b.schema.get_field_index(column)).to_pylist()], kind)], names=[*b.schema.names, to])
+    @F.arrow_udf(TOKEN_TYPE)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([one(t) for t in texts.to_pylist()], kind)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.mapInArrow(run, f"{fields}, `{to}` {TOKEN_TYPE}")
+    return pairs.withColumn(to, run(F.col(column)))
 
 
 def load_segmenter() -> Callable[[str], Iterable[tuple[str, int, int]]]:
@@ -73,17 +89,24 @@ def load_segmenter() -> Callable[[str], Iterable[tuple[str, int, int]]]:
     return lambda text: jieba.tokenize(text, mode="default")
 
 
+def usual_segmenter(text: str) -> Iterable[tuple[str, int, int]]:
+    """The segmenter where none is injected; it is looked for when the first segmented text comes, and fails there if it is missing."""
+    return load_segmenter()(text)
+
+
 def tokenize(pairs: DataFrame, segmenter: Callable | None = None) -> DataFrame:
-    """Adds source_tokens and target_tokens. Sides whose language is segmented go to the segmenter; without languages, or
-    for any other language, the pattern is used."""
+    """Adds source_tokens and target_tokens. Sides whose language is segmented go to the segmenter (the usual one unless another is given);
+    without languages, with a null language, or for any other one, the pattern is used."""
     for side in ("source", "target"):
         to, lang = f"{side}_tokens", f"{side}_language"
-        plain = pairs.withColumn(to, token_array(F.col(side)))
-        if lang in pairs.columns and segmenter is not None:
-            other = segmented(F.col(lang))
-            plain = pairs.where(~other).withColumn(to, token_array(F.col(side)))
-            plain = plain.unionByName(segment_array(pairs.where(other), side, segmenter, to))
-        pairs = plain
+        if lang not in pairs.columns:
+            pairs = pairs.withColumn(to, token_array(F.col(side)))
+            continue
+        other = F.coalesce(segmented(F.col(lang)), F.lit(False))
+        # The pattern runs where the segmenter doesn't: rows stay where they are.
+        plain = pairs.withColumn(to, F.when(~other, token_array(F.col(side))))
+        pairs = segment_array(plain.withColumn("_cut", F.when(other, F.col(side))), "_cut", segmenter or usual_segmenter, "_words")
+        pairs = pairs.withColumn(to, F.coalesce(to, "_words")).drop("_cut", "_words")
     return pairs
 
 
