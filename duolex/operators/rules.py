@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,46 +15,68 @@ MONTHS = {
     "july": 7, "aug": 8, "august": 8, "sep": 9, "sept": 9, "september": 9, "oct": 10, "october": 10, "nov": 11, "november": 11, "dec": 12, "december": 12,
 }
 NUMERALS = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10, "十一": 11, "十二": 12}
-WIDE, NARROW = "０１２３４５６７８９％＋－．", "0123456789%+-."
+#: What a rule's kinds override: a link goes where a link of a later level has one of its ends.
+LEVELS = {"protected": 1, "year": 2, "month": 2, "percent": 3}
 
 
-def _lookup(table: dict[str, int], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+@lru_cache(1)
+def number_forms() -> dict[str, str]:
+    """Each character beyond ASCII that stands for digits, signs, a point or a percent sign in some compatible form, and the ASCII for it."""
+    out = {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if unicodedata.category(c)[0] in "NPS":
+            plain = [x if x in "+-.%" else unicodedata.decimal(x, None) for x in unicodedata.normalize("NFKC", c)]
+            if None not in plain:
+                out[c] = "".join(map(str, plain))
+    return out
 
 
-def _digits(c: Column) -> Column:
-    return c.try_cast("int")
+def _class(characters) -> str:
+    """The characters as a regular expression's class, in ranges."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
 
 
-def _spans(tokens: DataFrame, kind: Column, value: Column, length: Column) -> DataFrame:
-    """Spans with their occurrence number among equal keys of a side."""
-    found = tokens.select("pair_id", "side", "idx", kind.alias("kind"), value.cast("string").alias("value"), length.alias("len")).where("value is not null")
-    order = Window.partitionBy("pair_id", "side", "kind", "value").orderBy("idx")
-    return found.withColumn("occ", F.row_number().over(order))
+def plain_number(text: Column) -> Column:
+    """The text in compatible form (NFKC) with ASCII digits, if that may be a number; any other text as it is."""
+    forms = number_forms()
+    table = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv])
+    odd = text.rlike(rf"\A[-+.%0-9{_class(forms)}]+\z") & text.rlike(r"[^\x00-\x7F]")
+    return F.when(odd, F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")).otherwise(text)
 
 
-def _with_next(tokens: DataFrame) -> DataFrame:
-    w = Window.partitionBy("pair_id", "side").orderBy("idx")
-    free = F.when(~F.lead("is_protected").over(w), F.lead("text").over(w))
-    return tokens.withColumn("next", free).where("not is_protected")
-
-
-def temporal_spans(tokens: DataFrame) -> DataFrame:
-    """Months and years. A unit that a number swallows never starts a span, so looking one token ahead is enough."""
-    t = _with_next(tokens)
-    text = F.trim("text")
-    named = _lookup(MONTHS, F.rtrim(F.lower(text), F.lit(".")))
-    year_unit = _digits(F.regexp_extract(text, r"(?U)\A([12]\d{3})年\z", 1))
-    month_unit = _digits(F.regexp_extract(text, r"(?U)\A(\d{1,2})月\z", 1))
-    chinese = F.when(text.endswith("月"), _lookup(NUMERALS, F.expr("substring(trim(text), 1, char_length(trim(text)) - 1)")))
-    bare_year = F.when(text.rlike(r"(?U)\A[12]\d{3}\z"), _digits(text))
-    number = F.coalesce(F.when(text.rlike(r"(?U)\A\d{1,2}\z"), _digits(text)), _lookup(NUMERALS, text))
-    in_year = lambda m: F.when(m.between(1, 12), m)
-    t = t.withColumns({"_y": F.coalesce(year_unit, bare_year), "_m": F.coalesce(named, in_year(month_unit), chinese), "_n": F.when(F.col("next") == "月", in_year(number)), "_two": bare_year.isNotNull() & (F.col("next") == "年")})
-    kind = F.when(F.col("_m").isNotNull() | (F.col("_n").isNotNull() & F.col("_y").isNull()), "month").otherwise("year")
-    value = F.coalesce("_m", "_y", "_n")
-    length = F.when(F.col("_m").isNull() & (F.coalesce(F.col("_two"), F.lit(False)) | (F.col("_y").isNull() & F.col("_n").isNotNull())), 2).otherwise(1)
-    return _spans(t, kind, value, length)
+def plain_digits(text: Column) -> Column:
+    """The text with all decimal digits in ASCII."""
+    digits = {c: d for c, d in number_forms().items() if unicodedata.decimal(c, None) is not None}
+    return F.translate(text, "".join(digits), "".join(digits.values()))
+
+
+def _lookup(table: dict[str, int], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def temporal(text: Column, following: Column) -> Column:
+    """(kind, value, len) of the month or year that begins at a token, given the next token if that is free; null if none does. A unit that a
+    number takes never begins a span, so looking one token ahead is enough."""
+    text = plain_digits(F.trim(text))
+    named = _lookup(MONTHS, F.rtrim(F.translate(F.lower(text), "ſ", "s"), F.lit(".")))
+    small = lambda digits: F.when(F.length(F.ltrim(digits, F.lit("0"))).between(1, 2), digits.try_cast("long"))
+    month = lambda m: F.when(m.between(1, 12), m)
+    year = lambda pattern: F.when(text.rlike(pattern), F.substring(text, 1, 4))
+    chinese = F.when(text.endswith("月"), _lookup(NUMERALS, F.regexp_replace(text, "月$", "")))
+    unit = F.when(text.rlike(r"\A[0-9]{1,2}月\z"), month(small(F.regexp_extract(text, "^[0-9]+", 0))))
+    number = F.when(following == "月", F.coalesce(F.when(text.rlike(r"\A[0-9]+\z"), month(small(text))), _lookup(NUMERALS, text)))
+    bare = year(r"\A[12][0-9]{3}\z")
+    told = lambda kind, value, size: F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), F.lit(size).alias("len")))
+    return F.coalesce(
+        told("month", named, 1), told("year", year(r"\A[12][0-9]{3}年\z"), 1), told("month", unit, 1), told("month", chinese, 1),
+        told("year", F.when(following == "年", bare), 2), told("month", number, 2), told("year", bare, 1),
+    )
 
 
 def number_text(c: Column) -> Column:
@@ -63,47 +89,69 @@ def number_text(c: Column) -> Column:
     return F.when(shown == "0", "0").otherwise(F.concat(sign, shown))
 
 
-def percent_spans(tokens: DataFrame) -> DataFrame:
-    t = _with_next(tokens)
-    plain = lambda c: F.translate(F.trim(c), WIDE, NARROW)
-    number = r"[+-]?(?:\d+(?:\.\d+)?|\.\d+)"
-    text = plain(F.col("text"))
-    alone, before = text.rlike(rf"\A{number}%\z"), text.rlike(rf"\A{number}\z") & (plain(F.col("next")) == "%")
-    value = F.when(alone, number_text(F.regexp_replace(text, "%$", ""))).when(before, number_text(text))
-    return _spans(t, F.lit("percent"), value, F.when(alone, 1).otherwise(2))
+def percentage(text: Column, following: Column) -> Column:
+    """(kind, value, len) of the percentage that begins at a token; null if none does."""
+    number = r"[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)"
+    text = plain_number(F.trim(text))
+    alone, before = text.rlike(rf"\A{number}%\z"), text.rlike(rf"\A{number}\z") & (plain_number(F.trim(following)) == "%")
+    told = lambda value, size: F.struct(F.lit("percent").alias("kind"), number_text(value).alias("value"), F.lit(size).alias("len"))
+    return F.when(alone, told(F.regexp_replace(text, "%$", ""), 1)).when(before, told(text, 2))
+
+
+def rule_spans(tokens: DataFrame, kinds: tuple[str, ...] = tuple(LEVELS)) -> DataFrame:
+    """All spans (pair_id, side, idx, kind, value, len, occ) of the rules, in one pass over the tokens of a pair; occ counts the equal keys of a side."""
+    tokens = tokens.select("pair_id", "side", "idx", "text", "is_protected").repartition("pair_id")
+    w = Window.partitionBy("pair_id", "side").orderBy("idx")
+    following = F.when(~F.lead("is_protected").over(w), F.lead("text").over(w))
+    free = ~F.col("is_protected")
+    makers = {
+        "protected": F.when(~free, F.struct(F.lit("protected").alias("kind"), F.col("text").alias("value"), F.lit(1).alias("len"))),
+        "year": F.when(free, temporal(F.col("text"), F.col("following"))),
+        "percent": F.when(free, percentage(F.col("text"), F.col("following"))),
+    }
+    found = F.array_compact(F.array(*[c for k, c in makers.items() if k in kinds]))
+    spans = tokens.withColumn("following", following).select("pair_id", "side", "idx", F.explode(found).alias("x")).select("pair_id", "side", "idx", "x.*")
+    return spans.withColumn("occ", F.row_number().over(Window.partitionBy("pair_id", "side", "kind", "value").orderBy("idx")))
 
 
 def match_spans(spans: DataFrame) -> DataFrame:
-    """The k-th source span of a key with the k-th target span: the cross product of their tokens."""
-    end = lambda side, name: spans.where(F.col("side") == side).select("pair_id", "kind", "value", "occ", F.explode(F.sequence(F.col("idx"), F.col("idx") + F.col("len") - 1)).alias(name))
-    return end("source", "s").join(end("target", "t"), ["pair_id", "kind", "value", "occ"]).select("pair_id", "s", "t").distinct()
+    """The k-th source span of a key with the k-th target span: the cross product of their tokens, with the level of the rule. Both sides stand in
+    one group, so nothing is joined."""
+    side = lambda s: F.max(F.when(F.col("side") == s, F.struct("idx", "len")))
+    both = spans.groupBy("pair_id", "kind", "value", "occ").agg(side("source").alias("a"), side("target").alias("b")).where("a is not null and b is not null")
+    level = F.try_element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), "kind").alias("level")
+    places = lambda x: F.explode(F.expr(f"sequence({x}.idx, {x}.idx + {x}.len - 1)"))
+    return both.select("pair_id", level, "b", places("a").alias("s")).select("pair_id", "s", places("b").alias("t"), "level")
+
+
+def _links(tokens: DataFrame, *kinds: str) -> DataFrame:
+    return match_spans(rule_spans(tokens, kinds)).select("pair_id", "s", "t").distinct()
 
 
 def protected_links(tokens: DataFrame) -> DataFrame:
     """Equal placeholders, the k-th with the k-th."""
-    p = tokens.where("is_protected").select("pair_id", "side", "idx", F.lit("protected").alias("kind"), F.col("text").alias("value"), F.lit(1).alias("len"))
-    return match_spans(p.withColumn("occ", F.row_number().over(Window.partitionBy("pair_id", "side", "value").orderBy("idx"))))
+    return _links(tokens, "protected")
 
 
 def temporal_links(tokens: DataFrame) -> DataFrame:
-    return match_spans(temporal_spans(tokens))
+    return _links(tokens, "year", "month")
 
 
 def percent_links(tokens: DataFrame) -> DataFrame:
-    return match_spans(percent_spans(tokens))
-
-
-def _free(links: DataFrame, taken_s: DataFrame, taken_t: DataFrame) -> DataFrame:
-    return links.join(taken_s.distinct(), ["pair_id", "s"], "left_anti").join(taken_t.distinct(), ["pair_id", "t"], "left_anti").select("pair_id", "s", "t")
+    return _links(tokens, "percent")
 
 
 def override(links: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Links after all rules, with `rule`: placeholders first, then dates, then percentages; a later rule wins."""
-    ends = lambda side, name: tokens.where(F.col("is_protected") & (F.col("side") == side)).select("pair_id", F.col("idx").alias(name))
-    out = _free(links, ends("source", "s"), ends("target", "t")).unionByName(protected_links(tokens))
-    ruled = None
-    for rule in (temporal_links(tokens), percent_links(tokens)):
-        out = _free(out, rule.select("pair_id", "s"), rule.select("pair_id", "t")).unionByName(rule)
-        ruled = rule if ruled is None else ruled.unionByName(rule)
-    ruled = ruled.unionByName(protected_links(tokens)).distinct().withColumn("rule", F.lit(True))
-    return out.distinct().join(ruled, ["pair_id", "s", "t"], "left").withColumn("rule", F.coalesce("rule", F.lit(False)))
+    """Links after all rules, with `rule`: placeholders first, then dates, then percentages; a later rule wins.
+
+    Given links are of level 0 and must keep off protected tokens, placeholders are of level 1, dates 2, percentages 3: a link goes where
+    one of a later level from 2 on has one of its ends. One exchange by pair carries all of it."""
+    ruled = match_spans(rule_spans(tokens))
+    marks = tokens.where("is_protected").select("pair_id", F.when(F.col("side") == "source", F.col("idx")).alias("s"), F.when(F.col("side") == "target", F.col("idx")).alias("t"), F.lit(-1).alias("level"))
+    every = links.select("pair_id", "s", "t", F.lit(0).alias("level")).unionByName(ruled).unionByName(marks).repartition("pair_id")
+    over = lambda end: Window.partitionBy("pair_id", end)
+    for end in ("s", "t"):
+        every = every.withColumn(f"{end}_last", F.max("level").over(over(end))).withColumn(f"{end}_kept", F.min("level").over(over(end)) < 0)
+    free = "level > 0 or not (s_kept or t_kept)"
+    stays = f"level >= 0 and ({free}) and greatest(s_last, t_last) <= greatest(level, 1)"
+    return every.where(stays).groupBy("pair_id", "s", "t").agg((F.max("level") > 0).alias("rule"))
