@@ -290,29 +290,32 @@ class Refiner:
             score = 0.45 * self.box_similarity(box) + 0.10 * block_score(self.p.rel, box.rows, box.cols) + 0.45 * even
             return score * sum(box.shape) - SEGMENT_COST
 
-        # best[i][j]: score and segments that cover the first i and j tokens, from the cells that one segment leads here from.
-        best: dict[tuple[int, int], tuple[float, list[Box]]] = {(0, 0): (0.0, [])}
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                for a in range(max(0, i - self.o.max_source_span), i):
-                    for c in range(max(0, j - self.o.max_target_span), j):
-                        if (a, c) not in best:
-                            continue
-                        box = Box(b.s0 + a, b.s0 + i, b.t0 + c, b.t0 + j)
-                        w = worth(box)
-                        if w is not None:
-                            new = (best[a, c][0] + w, [*best[a, c][1], box])
-                            if (i, j) not in best or self.better(new, best[i, j]):
-                                best[i, j] = new
-        return best[n, m][1] if (n, m) in best else None
-
-    @staticmethod
-    def better(new, old) -> bool:
-        if not math.isclose(new[0], old[0], abs_tol=TINY):
-            return new[0] > old[0]
-        if len(new[1]) != len(old[1]):
-            return len(new[1]) < len(old[1])
-        return [x.shape for x in new[1]] > [x.shape for x in old[1]]
+        # Of each point (i, j) that segments can lead to: score, number of segments, the point before.
+        points: dict[tuple[int, int], tuple[float, int, tuple[int, int] | None]] = {(0, 0): (0.0, 0, None)}
+
+        def shapes(at) -> list[tuple[int, int]]:
+            out = []
+            while (before := points[at][2]) is not None:
+                out.append((at[0] - before[0], at[1] - before[1]))
+                at = before
+            return out[::-1]
+
+        for i, j in itertools.product(range(1, n + 1), range(1, m + 1)):
+            froms = itertools.product(range(max(0, i - self.o.max_source_span), i), range(max(0, j - self.o.max_target_span), j))
+            steps = [(x, worth(Box(b.s0 + x[0], b.s0 + i, b.t0 + x[1], b.t0 + j))) for x in froms if x in points]
+            steps = [(points[x][0] + w, points[x][1] + 1, x) for x, w in steps if w is not None]
+            if steps:
+                top = max(steps)[0]
+                tied = [x for x in steps if math.isclose(x[0], top, abs_tol=TINY)]
+                # Few segments, then large ones first.
+                points[i, j] = max(tied, key=lambda x: (-x[1], [*shapes(x[2]), (i - x[2][0], j - x[2][1])])) if len(tied) > 1 else tied[0]  # noqa: B023
+        if (n, m) not in points:
+            return None
+        out, s, t = [], b.s0, b.t0
+        for high, wide in shapes((n, m)):
+            out.append(Box(s, s + high, t, t + wide))
+            s, t = s + high, t + wide
+        return out
 
     def stable(self, b: Box, own: np.ndarray) -> bool:
         sub = own[b.rows, b.cols]
@@ -320,19 +323,25 @@ class Refiner:
 
     # ------------------------------------------------------------ soft anchors
     def soft_anchors(self, least: float) -> list[tuple[int, int]]:
+        """Of sure links between content tokens with no other link, the rising chain of greatest confidence; of equal ones the longest."""
         p = self.p
-        cells = [(s, t) for s, t in self.one_to_one(self.links) if p.conf[s, t] >= least and p.s_content[s] and p.t_content[t]]
-        paths: list[tuple[float, list[tuple[int, int]]]] = []
-        for s, t in cells:
-            c = float(p.conf[s, t])
-            best = (c, [(s, t)])
-            for score, path in paths:
-                if path[-1][0] < s and path[-1][1] < t:
-                    new = (score + c, [*path, (s, t)])
-                    if new[0] > best[0] or (math.isclose(new[0], best[0], abs_tol=TINY) and len(new[1]) > len(best[1])):
-                        best = new
-            paths.append(best)
-        return max(paths, key=lambda x: (x[0], len(x[1])))[1] if paths else []
+        at = [(s, t) for s, t in self.one_to_one(self.links) if p.conf[s, t] >= least and p.s_content[s] and p.t_content[t]]
+        if not at:
+            return []
+        s, t = np.array(at).T
+        own = p.conf[s, t]
+        weight, length, before = own.copy(), np.ones(len(at), int), np.full(len(at), -1)
+        for k in range(len(at)):
+            under = np.flatnonzero((s[:k] < s[k]) & (t[:k] < t[k]))
+            if len(under):
+                heavy = under[np.isclose(weight[under], weight[under].max(), rtol=1e-9, atol=TINY)]
+                before[k] = heavy[np.argmax(length[heavy])]
+                weight[k], length[k] = own[k] + weight[before[k]], 1 + length[before[k]]
+        k, chain = int(np.lexsort((-np.arange(len(at)), length, weight))[-1]), []
+        while k >= 0:
+            chain.append(at[k])
+            k = int(before[k])
+        return chain[::-1]
 
     def soft_islands(self) -> tuple[np.ndarray, np.ndarray]:
         n, m = self.links.shape
