@@ -52,10 +52,17 @@ def cells(vectors: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
     return probabilities(relative(similarity(vectors), temperature), "rel", temperature)
 
 
-def check_cells(cells: DataFrame) -> DataFrame:
-    """Fails on the first cell with a score that isn't a number in [0, 1]."""
+def check_cells(cells: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Fails on the first cell with a score that isn't a number in [0, 1]; with `sizes` (pair_id, n_s, n_t) also on a pair whose cells aren't
+    those of a whole matrix."""
     bad = F.lit(False)
     for c in ("sim", "rel", "p_st", "p_ts"):
         if c in cells.columns:
             bad = bad | F.col(c).isNull() | F.isnan(c) | ~F.col(c).between(0, 1)
-    return cells.withColumn("sim", F.when(bad, F.raise_error(F.concat(F.lit("invalid score in pair "), "pair_id"))).otherwise(F.col("sim")))
+    fail = lambda what: F.raise_error(F.concat(F.lit(f"ProcessingError: {what} in pair "), "pair_id"))
+    out = cells.withColumn("sim", F.when(bad, fail("invalid score")).otherwise(F.col("sim")))
+    if sizes is None:
+        return out
+    counted = out.withColumn("_n", F.count("*").over(Window.partitionBy("pair_id"))).join(sizes, "pair_id")
+    outside = (F.col("_n") != F.col("n_s") * F.col("n_t")) | ~F.col("s").between(0, F.col("n_s") - 1) | ~F.col("t").between(0, F.col("n_t") - 1)
+    return counted.withColumn("sim", F.when(outside, fail("wrong number of cells")).otherwise(F.col("sim"))).select(*cells.columns)

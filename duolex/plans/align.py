@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ProcessingError
 from ..functions.staging import staged
 from ..operators import cells as C
 from ..operators import groups as G
@@ -17,14 +18,7 @@ from ..operators.refine import Pair, Refiner
 from ..operators.tokens import token_rows, tokenize
 from ..operators.vectors import Embedder
 from ..options import METHODS, Repair, Settings
-
-
-class ModelError(RuntimeError):
-    """The embedder can't be used."""
-
-
-class ProcessingError(RuntimeError):
-    """The request can't be served with the settings."""
+from ..sources.pairs import accept
 
 
 GROUP_TYPE = "array<struct<source_indices: array<int>, target_indices: array<int>, links: array<struct<s: int, t: int>>, similarity: double, confidence: double>>"
@@ -143,18 +137,21 @@ def assemble(tokenized: DataFrame, tokens: DataFrame, links: DataFrame, refined:
 
 
 def align(pairs: DataFrame, embedder: Embedder, method: str = "itermax", repair: Repair | None = None, settings: Settings | None = None, segmenter=None) -> DataFrame:
-    """Aligns pairs (pair_id, source, target and maybe languages): every stage of the library in order, one row per pair."""
+    """Aligns pairs (pair_id, source, target and maybe languages): every stage of the library in order, one row per pair. Pairs with
+    languages are requests and are validated, which bounds their texts; the first invalid one fails the job (`accept` parts them before)."""
     settings = settings or Settings()
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     if method not in settings.methods:
         raise ProcessingError(f"method {method} is not enabled")
+    if {"source_language", "target_language"} <= set(pairs.columns):
+        pairs = accept(pairs)[0]
     # One exchange by pair: all windows and joins below keep it.
     tokenized = staged(tokenize(pairs, segmenter), "tokens")
     vectors = embedder.embed(token_rows(tokenized)).repartition("pair_id")
     if repair and repair.enabled:
         vectors = staged(vectors, "vectors")
-    cells = staged(C.check_cells(C.cells(vectors, settings.confidence_temperature)), "cells")
+    cells = staged(C.check_cells(C.cells(vectors, settings.confidence_temperature), sizes_of(tokenized)), "cells")
     links = M.method_links(cells, settings.methods)
     return align_cells(tokenized, cells, links, settings.methods, method, repair, vectors)
 

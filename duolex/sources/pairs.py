@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import language_code, visible
-from ..options import METHODS
+from ..options import METHODS, SHARES, SPANS, STRATEGIES, Repair
 
 PAIR_SCHEMA = "pair_id string, idx int, source_language string, target_language string, source string, target string"
-REQUEST_SCHEMA = "source_language string, target_language string, method string, sentence_pairs array<struct<id: string, source: string, target: string>>"
+REPAIR_SCHEMA = "struct<enabled: boolean, strategy: string, max_position_distance: double, min_similarity: double, min_confidence: double, max_source_span: int, max_target_span: int, min_score_gain: double, min_span_coverage: double>"
+REQUEST_SCHEMA = f"source_language string, target_language string, method string, repair {REPAIR_SCHEMA}, sentence_pairs array<struct<id: string, source: string, target: string>>"
+#: The fields of a request and of a pair, the numbers of pairs a request may have.
+REQUEST_FIELDS, PAIR_FIELDS, PAIRS = ("source_language", "target_language", "method", "repair", "sentence_pairs"), ("id", "source", "target"), (1, 100)
 MONTHS = ("Jan", "February", "Mar", "Apr", "May", "June", "Jul", "Aug.", "Sept", "October", "Nov", "Dec")
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Requests as JSON lines, one row per sentence pair; pair_id is unique within a file: request, then place."""
-    raw = spark.read.schema(REQUEST_SCHEMA).json(path).withColumn("request", F.monotonically_increasing_id())
-    pairs = raw.select("request", "source_language", "target_language", F.coalesce("method", F.lit("itermax")).alias("method"), F.posexplode("sentence_pairs").alias("idx", "p"))
-    return pairs.select(F.concat_ws(":", "request", "idx").alias("pair_id"), "idx", "source_language", "target_language", "p.source", "p.target", "method", F.col("p.id").alias("id"))
+    """Requests as JSON lines, one row per sentence pair; pair_id is unique and the same at each read: file, digest of the line, which of
+    equal lines, place. A request that breaks a rule as a whole has its name in `request_errors`; one without pairs keeps a row, so that its errors are told."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.substring(F.sha2("value", 256), 1, 16).alias("line"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.withColumn("copy", F.row_number().over(Window.partitionBy("file", "line").orderBy("at")) - 1)
+    raw = lines.withColumns({"r": F.from_json("value", REQUEST_SCHEMA), "whole": F.from_json("value", "sentence_pairs array<string>")})
+    known = lambda keys, names: F.size(F.array_except(F.coalesce(keys, F.array()), F.array(*map(F.lit, names)))) == 0
+    rules = {
+        "json": F.json_object_keys("value").isNotNull(),
+        "fields": known(F.json_object_keys("value"), REQUEST_FIELDS) & F.forall(F.coalesce("whole.sentence_pairs", F.array()), lambda p: known(F.json_object_keys(p), PAIR_FIELDS))
+        & known(F.json_object_keys(F.get_json_object("value", "$.repair")), Repair.__dataclass_fields__),
+        "sentence_pairs": F.coalesce(F.size("r.sentence_pairs"), F.lit(0)).between(*PAIRS),
+        "repair": valid_repair(F.col("r.repair")),
+    }
+    raw = raw.withColumn("request_errors", broken(rules))
+    pairs = raw.select("file", "line", "copy", "request_errors", "r.source_language", "r.target_language", F.coalesce("r.method", F.lit("itermax")).alias("method"), "r.repair", F.posexplode_outer("r.sentence_pairs").alias("idx", "p"))
+    return pairs.select(F.concat_ws(":", F.element_at(F.split("file", "/"), -1), "line", "copy", "idx").alias("pair_id"), "idx", "source_language", "target_language", "p.source", "p.target", "method", F.col("p.id").alias("id"), "repair", "request_errors")
+
+
+def broken(rules: dict[str, Column]) -> Column:
+    """The names of the rules that don't hold."""
+    failed = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]
+    return F.array_compact(F.array(*failed))
+
+
+def valid_repair(repair: Column) -> Column:
+    """Repair options in their ranges; those that aren't given have defaults."""
+    unset = lambda c, ok: repair[c].isNull() | ok
+    out = unset("strategy", repair["strategy"].isin(*STRATEGIES))
+    for c in SHARES:
+        out = out & unset(c, repair[c].between(0, 1))
+    for c in SPANS:
+        out = out & unset(c, repair[c].between(1, 32))
+    return repair.isNull() | out
 
 
 def write_results(result: DataFrame, path: str, format: str = "parquet") -> None:
@@ -45,18 +77,18 @@ def literal_pairs(orders: DataFrame) -> DataFrame:
 
 def validate(pairs: DataFrame) -> DataFrame:
     """Adds `errors`, the names of the rules that a row breaks (empty: valid). Texts are kept as they are."""
-    checks = {
+    rules = {
         "source_language": language_code(F.col("source_language")),
         "target_language": language_code(F.col("target_language")),
         "source": F.length("source").between(1, 10_000) & visible(F.col("source")),
         "target": F.length("target").between(1, 10_000) & visible(F.col("target")),
     }
     if "method" in pairs.columns:
-        checks["method"] = F.col("method").isin(*METHODS)
+        rules["method"] = F.col("method").isin(*METHODS)
     if "id" in pairs.columns:
-        checks["id"] = F.col("id").isNull() | (F.length("id") <= 100)
-    failed = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]
-    return pairs.withColumn("errors", F.filter(F.array(*failed), lambda e: e.isNotNull()))
+        rules["id"] = F.col("id").isNull() | (F.length("id") <= 100)
+    found = broken(rules)
+    return pairs.withColumn("errors", F.concat("request_errors", found) if "request_errors" in pairs.columns else found)
 
 
 def accept(pairs: DataFrame, on_error: str = "fail") -> tuple[DataFrame, DataFrame]:

@@ -2,16 +2,19 @@
 
 import itertools
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from duolex.operators.matching import assign
-from duolex.operators.model import ModelEmbedder, word_means
+from duolex.errors import told
+from duolex.operators.cells import check_cells
+from duolex.operators.model import ModelEmbedder, pooled, subwords, word_means
 from duolex.operators.refine import components
-from duolex.operators.rules import number_text
-from duolex.operators.tokens import segment_array, token_array
+from duolex.operators.rules import number_text, percent_links, temporal_links
+from duolex.operators.tokens import segment_array, token_array, tokenize
 from duolex.options import Repair, Settings
 from duolex.sources.languages import LANGUAGES, tokenizer_of
 from duolex.sources.model_files import model_access
@@ -78,6 +81,93 @@ def test_validation(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps(request))
     read = read_requests(spark, str(tmp_path)).orderBy("idx").collect()
     assert [(r.source, r.method, r.id) for r in read] == [(" a", "itermax", "s1"), ("c", "itermax", None)]
+    assert len({r.pair_id for r in read}) == 2 and read == read_requests(spark, str(tmp_path)).orderBy("idx").collect()
+
+
+def test_request_rules(spark, tmp_path):
+    pair, whole = {"source": "a", "target": "b"}, {"source_language": "en", "target_language": "fr"}
+    requests = [
+        whole | {"sentence_pairs": [pair]}, whole | {"sentence_pairs": [pair]}, whole | {"sentence_pairs": []}, whole | {"sentence_pairs": [pair] * 101}, whole | {"sentence_pairs": [pair | {"note": 1}]},
+        whole | {"sentence_pairs": [pair], "color": "red"}, whole | {"sentence_pairs": [pair], "repair": {"min_confidence": 1.5}}, whole | {"sentence_pairs": [pair], "repair": {"speed": 1}},
+        whole | {"sentence_pairs": [pair], "repair": {"strategy": "span-aware", "max_source_span": 4}}, "no json",
+    ]
+    (tmp_path / "r.json").write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in requests))
+    rows = read_requests(spark, str(tmp_path)).collect()
+    assert len({r.pair_id for r in rows}) == len(rows) == 2 + 1 + 101 + 5 + 1
+    found = Counter(",".join(r.request_errors) for r in rows)
+    assert found == {"": 3, "sentence_pairs": 102, "fields": 3, "repair": 1, "json,sentence_pairs": 1}
+    assert validate(read_requests(spark, str(tmp_path))).where("size(errors) = 0").count() == 3
+
+
+class Pieces:
+    unk_token = "?"
+
+    def tokenize(self, word):
+        return [word[i : i + 2] for i in range(0, len(word), 2)] if word.isascii() else []
+
+
+def test_subwords():
+    assert subwords(Pieces(), ["abc", "é", "d"]) == (["ab", "c", "?", "d"], [0, 0, 1, 2])
+    assert pooled(np.arange(10.0).reshape(5, 2), Pieces(), ["abc", "é"]).tolist() == [[1.0, 2.0], [4.0, 5.0]]
+    with pytest.raises(ValueError, match="longer"):
+        pooled(np.zeros((2, 2)), Pieces(), ["abc", "d"])
+    bare = Pieces()
+    bare.unk_token = None
+    with pytest.raises(ValueError, match="no subwords"):
+        subwords(bare, ["é"])
+
+
+def test_errors_are_told(spark):
+    tokens = spark.createDataFrame([("p", "source", 0, "a"), ("p", "target", 0, "c")], "pair_id string, side string, idx int, text string")
+
+    def broken():
+        raise OSError("no weights")
+
+    makers = {503: broken, 500: lambda: lambda s, t: (np.zeros((len(s), 2)), np.zeros((len(t), 3)))}
+    for status, make in makers.items():
+        with pytest.raises(Exception) as e:
+            ModelEmbedder(make).embed(tokens).collect()
+        assert told(e.value)[0] == status
+    with pytest.raises(Exception) as e:
+        ModelEmbedder(settings=Settings(device="cuda")).warm_up(spark)  # neither library nor device is here
+    assert told(e.value) == (503, "alignment_model_unavailable")
+    cells = spark.createDataFrame([("p", 0, 0, 0.5), ("p", 0, 1, 0.5), ("p", 1, 0, 0.5)], "pair_id string, s int, t int, sim double")
+    sizes = spark.createDataFrame([("p", 2, 2)], "pair_id string, n_s int, n_t int")
+    with pytest.raises(Exception, match="wrong number of cells"):
+        check_cells(cells, sizes).collect()
+    assert check_cells(cells.unionByName(spark.createDataFrame([("p", 1, 1, 1.0)], cells.schema)), sizes).count() == 4
+
+
+def test_long_words_and_many_tokens(spark):
+    texts = ["w" * 70_000, "1" * 70_000, "ab1" * 20_000, "x-" * 30_000 + "y", "a b, " * 34_000, None, " \t"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", token_array(F.col("text")).alias("t")).orderBy("i").collect()
+    assert [len(r.t) if r.t is not None else None for r in got] == [1, 1, 1, 1, 102_000, None, 0]
+    assert all(texts[4][t.start : t.end] == t.text for t in got[4].t[::997])
+
+
+def test_null_language_keeps_its_row(spark):
+    rows = [("a", None, "zh", "b c", "de"), ("b", "en", None, "f", "g"), ("c", "zh", "en", "hi", "j k")]
+    df = spark.createDataFrame(rows, "pair_id string, source_language string, target_language string, source string, target string")
+    letters = lambda text: [(x, i, i + 1) for i, x in enumerate(text)]
+    got = {r.pair_id: (len(r.source_tokens), len(r.target_tokens)) for r in tokenize(df, letters).collect()}
+    assert got == {"a": (2, 2), "b": (1, 1), "c": (2, 2)}
+    with pytest.raises(Exception, match="segmenter|jieba"):
+        tokenize(df).collect()
+
+
+def test_rules_in_other_scripts(spark):
+    """Numbers of any script, width and compatible form: pairs of tokens of both sides, and the links."""
+    cases = {
+        "year": (["٢٠٢٥"], ["2025"], "year", {(0, 0)}), "share": (["٧٠", "%"], ["70%"], "percent", {(0, 0), (1, 0)}), "raised": (["³", "%"], ["3", "％"], "percent", {(0, 0), (0, 1), (1, 0), (1, 1)}),
+        "wide": (["012", "月"], ["Dec."], "month", {(0, 0), (1, 0)}), "ring": (["①", "﹪"], ["+1.0%"], "percent", {(0, 0), (1, 0)}), "none": (["13", "月"], ["Jan"], "month", set()),
+        "word": (["½", "%"], ["0.5%"], "percent", set()), "point": (["⒈5", "%"], ["１．５％"], "percent", {(0, 0), (1, 0)}),
+    }
+    rows = [(k, side, i, x, False) for k, (s, t, _, _) in cases.items() for side, xs in (("source", s), ("target", t)) for i, x in enumerate(xs)]
+    tokens = spark.createDataFrame(rows, "pair_id string, side string, idx int, text string, is_protected boolean")
+    found = {k: set() for k in cases}
+    for r in temporal_links(tokens).unionByName(percent_links(tokens)).collect():
+        found[r.pair_id].add((r.s, r.t))
+    assert found == {k: c[3] for k, c in cases.items()}
 
 
 def test_model_files(tmp_path):
