@@ -19,9 +19,9 @@ def matrix_span_score(spans: DataFrame, cells: DataFrame, value: str = "sim") ->
 
 
 def span_similarity(spans: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(cos + 1) / 2 of the mean vectors of both sides, rounded to 6 digits."""
+    """(cos + 1) / 2 of the mean vectors of both sides, rounded to 6 digits; a span with an empty side has none."""
     v = vectors.select(F.col("pair_id").alias("vp"), "side", "idx", F.posexplode("vec").alias("dim", "x"))
     inside = F.expr("pair_id = vp and ((side = 'source' and idx >= s0 and idx < s1) or (side = 'target' and idx >= t0 and idx < t1))")
     mean = spans.join(v, inside).groupBy("pair_id", "span", "dim").agg(F.avg(F.when(F.col("side") == "source", F.col("x"))).alias("a"), F.avg(F.when(F.col("side") == "target", F.col("x"))).alias("b"))
     cos = mean.groupBy("pair_id", "span").agg((F.sum(F.col("a") * F.col("b")) / (F.sqrt(F.sum(F.col("a") * F.col("a"))) * F.sqrt(F.sum(F.col("b") * F.col("b"))))).alias("cos"))
-    return cos.select("pair_id", "span", bounded((F.col("cos") + 1) / 2).alias("similarity"))
+    return cos.where("cos is not null").select("pair_id", "span", bounded((F.col("cos") + 1) / 2).alias("similarity"))

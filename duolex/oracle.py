@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import goldens
 from .functions.text import PROTECTED_RE2, TOKEN_RE2
 from .operators.rules import MONTHS, NUMERALS
 from .sources.languages import LANGUAGES, tokenizer_of
@@ -17,12 +18,14 @@ def _values(table: dict[str, int]) -> str:
 
 
 CTES = {
-    "talk": (
-        [],
-        """SELECT concat_ws(':', u.conv_id, u.turn) AS pair_id, regexp_extract(u.text, '^[^.]+[.]?') AS source, regexp_extract(a.text, '^[^.]+[.]?') AS target
-        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
-        WHERE u.role = 'user' AND regexp_extract(u.text, '^[^.]+[.]?') != '' AND regexp_extract(a.text, '^[^.]+[.]?') != ''""",
-    ),
+    **{
+        name: (
+            [],
+            f"""SELECT conv_id, turn - {back} AS turn, unnest(range(len(x))) AS k, unnest(x) AS text FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^.]*[.]|[^.]+') AS x FROM conversations WHERE role = '{side}')""",
+        )
+        for name, side, back in (("asked", "user", 0), ("given", "assistant", 1))
+    },
+    "talk": (["asked", "given"], "SELECT concat_ws(':', conv_id, turn, k) AS pair_id, coalesce(u.text, '') AS source, coalesce(a.text, '') AS target FROM asked u FULL JOIN given a USING (conv_id, turn, k)"),
     "lit": (
         [],
         f"""SELECT 'o' || o_orderkey AS pair_id,
@@ -123,9 +126,47 @@ CTES = {
         "SELECT pair_id, s, s AS r FROM iter UNION SELECT w.pair_id, b.s, w.r FROM walk w JOIN iter a ON a.pair_id = w.pair_id AND a.s = w.s JOIN iter b ON b.pair_id = a.pair_id AND b.t = a.t",
     ),
     "comp": (["walk"], "SELECT i.pair_id, i.s, i.t, min(w.r) AS comp FROM iter i JOIN walk w ON i.pair_id = w.pair_id AND i.s = w.s GROUP BY ALL"),
-    # Punctuation marks of both sides, the k-th with the k-th: what a greedy chain through all combinations keeps.
-    "mark": (["talk_tok"], r"SELECT pair_id, side, idx, row_number() OVER (PARTITION BY pair_id, side ORDER BY idx) AS k FROM talk_tok WHERE regexp_matches(text, '^\p{P}+$')"),
-    "anchor": (["mark"], "SELECT a.pair_id, a.idx AS s, b.idx AS t FROM mark a JOIN mark b ON a.pair_id = b.pair_id AND a.k = b.k AND a.side = 'source' AND b.side = 'target'"),
+    # Links between punctuation marks, and of them the greedy chain whose both ends rise.
+    "mark": (
+        ["iter", "talk_tokens"],
+        r"""SELECT i.pair_id, i.s::INT AS s, i.t::INT AS t FROM iter i JOIN talk_tokens a ON a.pair_id = i.pair_id AND a.side = 'source' AND a.idx = i.s JOIN talk_tokens b ON b.pair_id = i.pair_id AND b.side = 'target' AND b.idx = i.t
+        WHERE CASE WHEN a.is_protected OR b.is_protected THEN a.is_protected AND b.is_protected AND a.text = b.text ELSE regexp_matches(a.text, '^\p{P}+$') AND regexp_matches(b.text, '^\p{P}+$') END""",
+    ),
+    "anchor": (
+        ["mark"],
+        """SELECT pair_id, x.s AS s, x.t AS t FROM (SELECT pair_id, unnest(list_reduce(list([{'s': s, 't': t}] ORDER BY s, t), lambda a, x: CASE WHEN x[1].s > a[-1].s AND x[1].t > a[-1].t THEN list_concat(a, x) ELSE a END)) AS x
+        FROM mark GROUP BY pair_id)""",
+    ),
+    # Repair: row-wise argmax links in place of a matching, mutual ones as the base.
+    "ml3": (["ml", "ranked"], "SELECT * FROM ml UNION ALL SELECT pair_id, 'mwmf', s, t FROM ranked WHERE rank_st = 1"),
+    "orders3": (
+        ["ml3"],
+        """SELECT pair_id, s, t, avg(share) AS order_score, count(*) AS n_in FROM (SELECT a.pair_id, a.method, a.s, a.t, coalesce(avg(CASE WHEN b.s IS NULL THEN NULL WHEN (b.s - a.s) * (b.t - a.t) > 0 THEN 1.0 ELSE 0.0 END), 0.5) AS share
+        FROM ml3 a LEFT JOIN ml3 b ON a.pair_id = b.pair_id AND a.method = b.method AND a.s != b.s AND a.t != b.t GROUP BY ALL) GROUP BY ALL""",
+    ),
+    "content": (["talk_tokens"], r"SELECT pair_id, side, idx FROM talk_tokens WHERE NOT is_protected AND regexp_matches(text, '[\p{L}\p{N}]')"),
+    "open_": (
+        ["ranked", "inter", "content", "sizes"],
+        """SELECT r.pair_id, r.s, r.t, n_s, n_t, abs((r.s + 0.5) / n_s - (r.t + 0.5) / n_t) AS distance FROM ranked r JOIN sizes USING (pair_id) WHERE rank_st = 1
+        AND (r.pair_id, r.s) NOT IN (SELECT (pair_id, s) FROM inter) AND (r.pair_id, r.t) NOT IN (SELECT (pair_id, t) FROM inter)
+        AND (r.pair_id, r.s) IN (SELECT (pair_id, idx) FROM content WHERE side = 'source') AND (r.pair_id, r.t) IN (SELECT (pair_id, idx) FROM content WHERE side = 'target')""",
+    ),
+    "firm": (
+        ["open_", "margins", "orders3"],
+        """SELECT o.*, round(m.sim, 6) AS similarity, round(least(1, greatest(0, 0.35 * sqrt(p_st * p_ts) + 0.30 * margin + 0.20 * coalesce(n_in, 0) / 3
+        + 0.15 * round(least(1, greatest(0, 0.7 * coalesce(order_score, 0) + 0.3 * (1 - distance))), 6))), 6) AS first FROM open_ o JOIN margins m USING (pair_id, s, t) LEFT JOIN orders3 USING (pair_id, s, t) WHERE distance <= 0.6 AND round(m.sim, 6) >= 0.3""",
+    ),
+    # The nearest linked source before and behind, and the targets it has.
+    "beside": (
+        ["firm", "inter"],
+        """SELECT f.pair_id, f.s, f.t, arg_max(hi, e.s) FILTER (e.s < f.s) AS lo_t, arg_min(lo, e.s) FILTER (e.s > f.s) AS hi_t FROM firm f
+        LEFT JOIN (SELECT pair_id, s, min(t) AS lo, max(t) AS hi FROM inter GROUP BY ALL) e ON e.pair_id = f.pair_id GROUP BY ALL""",
+    ),
+    "added": (
+        ["firm", "beside"],
+        """SELECT *, round(least(1, greatest(0, first * (0.75 + 0.15 * greatest(0, 1 - distance / 0.6) + 0.10 * CASE WHEN lo_t IS NULL AND hi_t IS NULL THEN 0.5
+        ELSE (coalesce((t >= lo_t)::INT, 0) + coalesce((t <= hi_t)::INT, 0)) / ((lo_t IS NOT NULL)::INT + (hi_t IS NOT NULL)::INT) END))), 6) AS confidence FROM firm JOIN beside USING (pair_id, s, t)""",
+    ),
     "gaps": (
         ["anchor", "sizes"],
         """SELECT * FROM (SELECT pair_id, s + 1 AS s0, lead(s) OVER w AS s1, t + 1 AS t0, lead(t) OVER w AS t1, (real + lead(real) OVER w) / 2 AS support FROM (SELECT pair_id, s, t, 1 AS real FROM anchor
@@ -167,7 +208,18 @@ ORACLES = {
     "token_classes": sql(r"SELECT pair_id, side, idx, is_protected, NOT is_protected AND regexp_matches(text, '[\p{L}\p{N}]') AS is_content, regexp_matches(text, '^\p{P}+$') AS is_punctuation FROM lit_tokens", "lit_tokens"),
     "token_offsets": sql("SELECT pair_id, side, idx, start, start + len(text)::INT AS \"end\" FROM (" + _STARTS.format(p="talk") + ")", "talk_tokens"),
     "tokenize_pages": sql("SELECT pair_id, side, idx, text, start, is_protected FROM (" + _STARTS.format(p="page") + ")", "page_tokens"),
-    "validate_pairs": sql("SELECT pair_id, concat_ws(',', CASE WHEN len(source) % 5 = 0 THEN 'source_language' END, CASE WHEN len(source) % 4 = 0 THEN 'target' END) AS errors FROM talk", "talk"),
+    "validate_pairs": sql(r"SELECT pair_id, concat_ws(',', CASE WHEN NOT regexp_matches(source, '[^\s]') OR len(source) > 10000 THEN 'source' END, CASE WHEN NOT regexp_matches(target, '[^\s]') OR len(target) > 10000 THEN 'target' END) AS errors FROM talk", "talk"),
+    "repair_links": sql(
+        """SELECT pair_id, x.s AS s, x.t AS t, x.v AS similarity, x.c AS confidence FROM (SELECT pair_id, unnest(list_reduce(list([{'s': s, 't': t, 'c': confidence, 'v': similarity}] ORDER BY confidence DESC, similarity DESC, distance, s, t),
+        lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s = x[1].s OR y.t = x[1].t)) = 0 THEN list_concat(a, x) ELSE a END)) AS x FROM added WHERE confidence >= 0.1 GROUP BY pair_id)""",
+        "added",
+    ),
+    "align": sql(
+        """SELECT pair_id, (row_number() OVER (PARTITION BY pair_id ORDER BY first) - 1)::INT AS k, CASE WHEN n_s = 1 AND n_t = 1 THEN 'one-to-one' WHEN n_s = 1 THEN 'one-to-many' WHEN n_t = 1 THEN 'many-to-one' ELSE 'many-to-many' END AS type, 'model' AS origin,
+        similarity, confidence, sources, targets, n_links FROM (SELECT pair_id, min(s) AS first, count(DISTINCT s) AS n_s, count(DISTINCT t) AS n_t, floor(sum(round(similarity * 1e6)) / count(*) + 0.5) / 1e6 AS similarity,
+        floor(sum(round(confidence * 1e6)) / count(*) + 0.5) / 1e6 AS confidence, array_to_string(list_sort(list(DISTINCT s)), ',') AS sources, array_to_string(list_sort(list(DISTINCT t)), ',') AS targets, count(*)::INT AS n_links FROM comp JOIN scored USING (pair_id, s, t) GROUP BY pair_id, comp)""",
+        "comp", "scored",
+    ),
     "token_vectors": sql("SELECT pair_id, side, idx, len(v)::INT AS dims, round(v[1], 6) AS first FROM vec", "vec"),
     "cells_similarity": sql("SELECT pair_id, s, t, round(sim, 6) AS sim FROM sim", "sim"),
     "relative_similarity": sql("SELECT pair_id, s, t, round(rel, 6) AS rel FROM rel", "rel"),
@@ -195,7 +247,7 @@ ORACLES = {
     ),
     "matrix_span_score": sql("SELECT pair_id, round(sqrt(f * r), 6) AS score FROM (SELECT pair_id, avg(m) AS f FROM (SELECT pair_id, s, max(sim) AS m FROM sim GROUP BY ALL) GROUP BY ALL) JOIN (SELECT pair_id, avg(m) AS r FROM (SELECT pair_id, t, max(sim) AS m FROM sim GROUP BY ALL) GROUP BY ALL) USING (pair_id)", "sim"),
     "span_similarity": sql(
-        "SELECT pair_id, round((sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) + 1) / 2, 6) AS similarity FROM (SELECT pair_id, d, avg(x) FILTER (side = 'source') AS a, avg(x) FILTER (side = 'target') AS b FROM (SELECT pair_id, side, unnest(range(len(v))) AS d, unnest(v) AS x FROM vec) GROUP BY ALL) GROUP BY pair_id",
+        "SELECT pair_id, round((sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) + 1) / 2, 6) AS similarity FROM (SELECT pair_id, d, avg(x) FILTER (side = 'source') AS a, avg(x) FILTER (side = 'target') AS b FROM (SELECT pair_id, side, unnest(range(len(v))) AS d, unnest(v) AS x FROM vec) GROUP BY ALL) GROUP BY pair_id HAVING sum(a * b) IS NOT NULL",
         "vec",
     ),
     "link_components": sql("SELECT pair_id, min(s) AS s, min(t) AS t, count(*) AS n FROM comp GROUP BY pair_id, comp", "comp"),
@@ -204,5 +256,7 @@ ORACLES = {
         FROM (SELECT pair_id, count(DISTINCT s) AS n_s, count(DISTINCT t) AS n_t, min(s) AS s, floor(sum(round(similarity * 1e6)) / count(*) + 0.5) / 1e6 AS similarity, count(*) AS n_links FROM comp JOIN scored USING (pair_id, s, t) GROUP BY pair_id, comp)""",
         "comp", "scored",
     ),
+    **{name: goldens.expected(name) for name in goldens.SETS},
+    "golden_matching": goldens.MATCHED,
     "unaligned_tokens": sql("SELECT pair_id, side, idx, text FROM talk_tok t WHERE NOT EXISTS (FROM inter i WHERE i.pair_id = t.pair_id AND (t.side = 'source' AND i.s = t.idx OR t.side = 'target' AND i.t = t.idx))", "talk_tok", "inter"),
 }

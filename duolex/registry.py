@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import goldens
 from .functions.staging import staged
 from .operators import cells as C
 from .operators import groups, matching, regions, repair, rules, scoring, spans
 from .operators.tokens import token_rows, tokenize
 from .operators.vectors import HashEmbedder
-from .options import Repair
+from .options import Repair, Settings
 from .oracle import ORACLES  # noqa: F401
 from .plans.align import align, sizes_of
 from .sources.languages import languages
@@ -57,14 +58,8 @@ class Inputs:
         links = staged(matching.method_links(cells, EVIDENCE), "links")
         return scoring.score_links(links.where("method = 'itermax'").select("pair_id", "s", "t"), cells, links, sizes_of(self.tokenized()), len(EVIDENCE))
 
-    def marks(self) -> DataFrame:
-        """Every punctuation mark with every other side's."""
-        t = self.tokens().where("is_punctuation")
-        end = lambda side, k: t.where(F.col("side") == side).select("pair_id", F.col("idx").alias(k))
-        return end("source", "s").join(end("target", "t"), "pair_id")
-
     def anchors(self) -> DataFrame:
-        return regions.hard_anchors(self.marks(), self.tokens())
+        return regions.hard_anchors(matching.itermax(self.similarity()), self.tokens())
 
     def regions(self) -> DataFrame:
         return regions.clause_regions(self.anchors(), self.tokens(), sizes_of(self.tokenized()))
@@ -74,14 +69,16 @@ class Inputs:
 
 
 def _validated(x: Inputs) -> DataFrame:
-    p = x.pairs().select("pair_id", F.when(F.length("source") % 5 == 0, "english!").otherwise("en").alias("source_language"), F.lit("zh-Hans").alias("target_language"), "source", F.expr("substring(target, 1, length(source) % 4)").alias("target"))
+    """The pairs as they stand: sentences without a counterpart have an empty side, which is no valid request."""
+    p = x.pairs().withColumns({"source_language": F.lit("en"), "target_language": F.lit("en")})
     return validate(p).select("pair_id", F.concat_ws(",", "errors").alias("errors"))
 
 
 def _repair(x: Inputs) -> DataFrame:
+    """Links of the row-wise argmax stand in for a matching: they share targets, so the greedy choice has to choose."""
     cells = staged(C.cells(x.vectors()), "cells")
-    links = staged(matching.method_links(cells), "links")
-    t = x.tokenized()
+    links = matching.method_links(cells, EVIDENCE).unionByName(matching.forward(cells).select("pair_id", F.lit("mwmf").alias("method"), "s", "t"))
+    links, t = staged(links, "links"), x.tokenized()
     base = links.where("method = 'inter'").select("pair_id", "s", "t")
     r = Repair(max_position_distance=0.6, min_similarity=0.3, min_confidence=0.1)
     return repair.one_to_one(repair.candidates(base, token_rows(t), cells, links, sizes_of(t), 3, r)).withColumns({c: F.round(c, 6) for c in ("similarity", "confidence")})
@@ -145,7 +142,11 @@ _OPERATORS = {
     "link_components": lambda x: groups.link_components(matching.itermax(x.similarity())).groupBy("pair_id", "comp").agg(F.min("s").alias("s"), F.min("t").alias("t"), F.count("*").alias("n")).drop("comp"),
     "alignment_groups": _groups,
     "unaligned_tokens": lambda x: groups.unaligned(x.tokens(), matching.inter(x.similarity())),
-    "align": lambda x: _flat(align(x.pairs(), x.embedder())),
+    "golden_align": lambda x: goldens.flat(goldens.aligned(x.spark, "golden_align")),
+    "golden_repaired": lambda x: goldens.flat(goldens.aligned(x.spark, "golden_repaired")),
+    "golden_span_aware": lambda x: goldens.flat(goldens.aligned(x.spark, "golden_span_aware")),
+    "golden_matching": lambda x: matching.mwmf(goldens.matrices(x.spark)),
+    "align": lambda x: _flat(align(x.pairs(), x.embedder(), settings=Settings(matching_methods="ai"))),
     "align_repaired": lambda x: _flat(align(x.pairs(), x.embedder(), repair=Repair(min_confidence=0.2))),
     "align_span_aware": lambda x: _flat(align(x.pairs(), x.embedder(), "inter", Repair(strategy="span-aware", min_confidence=0.2, min_score_gain=0.0))),
 }

@@ -57,12 +57,14 @@ def write_results(result: DataFrame, path: str, format: str = "parquet") -> None
 
 
 def conversation_pairs(conversations: DataFrame) -> DataFrame:
-    """First sentences of a user's turn and of the assistant's answer; both halves are keyed by (conv_id, turn)."""
-    sentence = F.regexp_extract("text", r"^[^.]+[.]?", 0)
-    asked = conversations.where("role = 'user'").select("conv_id", "turn", sentence.alias("source"))
-    given = conversations.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), sentence.alias("target"))
-    both = asked.join(given, ["conv_id", "turn"]).where("source != '' and target != ''")
-    return both.select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"), "source", "target")
+    """All sentences of a user's turn beside those of the assistant's answer, the k-th with the k-th; what has no counterpart stands beside
+    an empty text. Stand-ins for translations: both sides are keyed by (conv_id, turn, k), so long turns are spread."""
+    sentences = F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.]*[.]|[^.]+"), F.lit(0)))
+    asked = conversations.where("role = 'user'").select("conv_id", "turn", sentences.alias("k", "source"))
+    given = conversations.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), sentences.alias("k", "target"))
+    both = asked.join(given, ["conv_id", "turn", "k"], "full")
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return both.select(F.concat_ws(":", "conv_id", "turn", "k").alias("pair_id"), empty("source"), empty("target"))
 
 
 def literal_pairs(orders: DataFrame) -> DataFrame:
