@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df under spark.checkpoint.dir (a folder of our own where that is unset, as in tests) and reads it again. Spark
-    deletes the table when the driver ends."""
+    """Writes df under spark.checkpoint.dir and reads it again. Where that is unset, a single machine (tests) gets a folder of its own; a
+    cluster is refused, for its executors couldn't see it. Spark deletes the table when the driver ends."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = spark._duolex_stage = getattr(spark, "_duolex_stage", None) or tempfile.mkdtemp(prefix="duolex-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,8 +23,8 @@ from duolex.sources.status import ready
 from duolex.streaming.pairs import tokenize_stream
 
 TEXTS = {
-    "Keep [[T1504_1]] and ${name} intact.": "Keep *[[T1504_1]] and *${name} intact .",
-    "मैं हिन्दी बोलता हूँ।": "मैं हिन्दी बोलता हूँ ।",
+    "Open [[ref_7]] or ${key}s soon!": "Open *[[ref_7]] or *${key} s soon !",
+    "यह किताबें नई हैं।": "यह किताबें नई हैं ।",
     "abc5→3 x12->3": "abc *5→3 x *12->3",
     "a-5->3 don't rock-n-roll- x’y": "a - *5->3 don't rock-n-roll - x’y",
     "😀 emoji_x <b>hi</b> {{n}} 70% 1,234.5": "😀 emoji_x *<b> hi *</b> *{{n}} 70 % 1 , 234 . 5",
@@ -43,10 +43,10 @@ def test_tokens_and_offsets(spark):
 
 
 def test_segmenter_keeps_protected_spans(spark):
-    words = lambda text: [(w, text.index(w), text.index(w) + len(w)) for w in ("保留", "和", " ") if w in text]
-    df = spark.createDataFrame([("保留 5→3 和 6->4",), (None,)], "x string")
+    words = lambda text: [(w, text.index(w), text.index(w) + len(w)) for w in ("先看", "再看", " ") if w in text]
+    df = spark.createDataFrame([("先看 7→2 再看 9->1",), (None,)], "x string")
     got = [r.t for r in segment_array(df, "x", words, "t").collect()]
-    assert [(t.text, t.start, t.is_protected) for t in got[0]] == [("保留", 0, False), ("5→3", 3, True), ("和", 7, False), ("6->4", 9, True)]
+    assert [(t.text, t.start, t.is_protected) for t in got[0]] == [("先看", 0, False), ("7→2", 3, True), ("再看", 7, False), ("9->1", 10, True)]
     assert got[1] is None
 
 
