@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import LOWER, Tables, Words, blocks, grams, mix, need
+from .shared import LOWER, Tables, Words, blocks, grams, lean, mix, need
 
 SIZE = 5
 #: Least Jaccard similarity, in hundredths.
@@ -21,10 +24,16 @@ MOST_FREQUENT = 1 << 17
 COUNTED = 2_000_000
 #: A list of up to so many documents is paired completely at once; members of a longer one first go to its PIVOTS.
 SHORT, PIVOTS = 32, 1
+#: Members that one part of a very long list has; each part has a pivot of its own, and the pivots are a list in turn.
+PART = 200_000
 #: Members of long lists that one task holds against as many others.
 BLOCK = 500
-#: Bits of the fixed map that tells a scan which documents to send.
-MAP_BITS = 22
+#: Candidates that a query is merged with at once.
+CHUNK = 64
+#: DivideSkip's weight of a probe against a merge step: L = T / (PROBE * log2 of the longest list + 1) lists are probed.
+PROBE = 0.0085
+#: Most bits of the map that tells a scan which documents to send.
+MAP_BITS = 27
 _SALT = 0xD6E8FEB86659FD93
 
 
@@ -86,13 +95,58 @@ def may_reach(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
     return (100 + LEAST) * (n_a + n_b - apart) >= 2 * LEAST * (n_a + n_b)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Probes the elements of the smaller set in the larger by binary search."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    i = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * i >= LEAST * (len(a) + len(b) - i)
+def required(n, m):
+    """The least intersection of linked sets of n and m: 100 i >= LEAST (n + m - i). Works on numbers and on arrays."""
+    return -(-LEAST * (n + m) // (100 + LEAST))
+
+
+def divide_skip(query: np.ndarray, found: list[np.ndarray]) -> list[int]:
+    """Which of the sets `found` are linked with `query`, by T-occurrence search over the inverted lists of the query's shingles.
+
+    T is the least intersection that any of them needs. The L longest lists are set aside; the others are merged by a heap, in which lists
+    skip ahead by binary search where fewer than T - L could agree. What occurs T - L times is looked up in the long lists by binary
+    search, and stays if it reaches the intersection its own size asks for."""
+    need_ = [int(required(len(query), len(s))) for s in found]
+    inside = [np.searchsorted(query, s[np.isin(s, query, assume_unique=True)]) for s in found]
+    # Sets that are too small or share too little are in too few lists.
+    live = [k for k, x in enumerate(inside) if len(x) >= need_[k]]
+    if not live:
+        return []
+    shingle = np.concatenate([inside[k] for k in live])
+    member = np.repeat(live, [len(inside[k]) for k in live])
+    order = np.lexsort((member, shingle))
+    edges = np.flatnonzero(np.diff(shingle[order], prepend=-1))
+    lists = sorted((x.tolist() for x in np.split(member[order], edges[1:])), key=len)
+    least = min(need_[k] for k in live)
+    n_long = min(least - 1, int(least / (PROBE * math.log2(len(lists[-1]) + 1) + 1)))
+    short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+    enough = least - n_long
+    heap = [(x[0], k, 0) for k, x in enumerate(short)]
+    heapq.heapify(heap)
+    out = []
+    while len(heap) >= enough:
+        top, popped = heap[0][0], []
+        while heap and heap[0][0] == top:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= enough:
+            count = len(popped)
+            for x in long_:
+                at = bisect_left(x, top)
+                count += at < len(x) and x[at] == top
+            if count >= need_[top]:
+                out.append(top)
+            ahead = top + 1
+        else:
+            while heap and len(popped) < enough - 1:
+                popped.append(heapq.heappop(heap))
+            if not heap:
+                break
+            ahead = heap[0][0]
+        for _, k, at in popped:
+            at = bisect_left(short[k], ahead, at)
+            if at < len(short[k]):
+                heapq.heappush(heap, (short[k][at], k, at))
+    return out
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,30 +172,46 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
             yield told()
 
     tables = Tables(docs.sparkSession)
-    seen = tables.put(docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
-    # The least count above which MOST_FREQUENT shingles remain; one row for each count, of which few are distinct.
-    least, total = 2, 0
-    for r in seen.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():
-        total += r["k"]
-        if total > MOST_FREQUENT:
-            least = r["n"] + 1
+    seen = tables.put(docs.select("text").mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    # The most frequent by classes of like counts, 16 to a doubling: whole classes, and of the first that doesn't fit a share by hash.
+    level = F.floor(F.log2("n") * 16).cast("int")
+    left, least, share = MOST_FREQUENT, 0, 1.0
+    for r in seen.groupBy(level.alias("level")).agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():
+        if r["k"] > left:
+            least, share = r["level"], left / r["k"]
             break
-    rows = seen.where((F.col("n") >= least) & F.lit(least <= 10_000)).orderBy(F.desc("n")).limit(MOST_FREQUENT).toPandas() if least <= 10_000 else seen.limit(0).toPandas()
+        left -= r["k"]
+    unit = F.shiftrightunsigned(F.xxhash64("h"), 11) / float(1 << 53)
+    rows = seen.where((level > least) | ((level == least) & (unit < share))).toPandas()
     h = rows["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], rows["n"].to_numpy(np.int64)[order]
 
 
+def parts_of(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """In how many parts the list of each shingle is cut."""
+    keys, n = frequent
+    out = np.ones(len(s), np.int32)
+    if len(keys) and len(s):
+        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+        out = np.where(keys[at] == s, -(-n[at] // PART), 1).astype(np.int32)
+    return out
+
+
 def near_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", tables: Tables | None = None) -> DataFrame:
     """Links documents whose sets of `size`-word shingles (A-Z lower-cased) have a Jaccard similarity of LEAST / 100 or more.
 
-    T-occurrence search: documents of equal sets form a class, classes are searched. Each class enters its rarest q - T + 1
-    shingles in inverted lists, so two linked classes meet in a short list; merging the sorted lists gives candidates, a
-    bitmap that can't refuse a linked pair thins them, and the long lists are probed: the elements of one set by binary search
-    in the other. Lists longer than SHORT first pair each member with PIVOTS members, by a hash of its own for each list; after
-    components are found, members of a list that still lie in different components meet block by block in a task, which sends on
-    what sizes, places and bitmaps don't refuse. So copies and near copies of one text cost one link each, and no link between
-    components is lost.
+    T-occurrence search: documents of equal sets form a class, classes are searched. Inverted lists over all documents hold, for each class, its
+    rarest q - T + 1 shingles, so two linked classes meet in one of these short lists; members that meet are candidates, which a
+    bitmap that can't refuse a linked pair thins. DivideSkip decides: over the inverted lists of a class and CHUNK of its candidates, the short
+    lists are merged by a heap that skips ahead, the long ones are probed by binary search, and what reaches the required
+    intersection is linked. Inverted lists longer than SHORT first pair each member with PIVOTS members, by a hash of its own for each list;
+    very long ones are cut in parts whose pivots form a list in turn. After components are found, members of a long list that still lie in
+    different components meet block by block in a task, which sends on what sizes, places and bitmaps don't refuse. So copies and near
+    copies of one text cost one link each, and no link between components is lost.
+
+    Shingles are told by 64 bits and sets by 128 bits of their shingles: in a corpus of 10^12 distinct shingles some 27,000 pairs share their
+    64 bits, each of which moves the intersection of two documents by one at most; equal digests of different sets aren't to be expected.
 
     Returns one row per input row: id, n_shingles, component_id (the least id reachable by links). A text that is null or has no
     words has 0 shingles and is its own component; fewer words than `size` make one shingle of all of them. A null id is passed
@@ -157,29 +227,37 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
     def sets(batches):
         for batch in batches:
             for piece, texts in blocks(batch, 1):
-                n, sig, pre, bits = [], [], [], []
+                n, sig, pre, bits, cut = [], [], [], [], [np.zeros(0, np.int32)]
                 for s in shingle_sets(texts, size):
                     n.append(len(s))
                     sig.append(signature(s))
-                    pre.append(prefix(s, frequent.value).view(np.int64))
+                    pre.append(prefix(s, frequent.value))
+                    cut.append(parts_of(pre[-1], frequent.value))
                     bits.append(parity(s))
                 at = np.concatenate([[0], np.cumsum([len(x) for x in pre])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(pre)) if pre else pa.array([], pa.int64()))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists, pa.array(bits, pa.binary())], names=["id", "n", "sig", "prefix", "bits"])
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(pre).view(np.int64)) if pre else pa.array([], pa.int64()))
+                parts = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(cut)))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists, parts, pa.array(bits, pa.binary())], names=["id", "n", "sig", "prefix", "parts", "bits"])
 
-    made = rows.mapInArrow(sets, f"id {kind}, n long, sig binary, prefix array<long>, bits binary")
+    made = rows.mapInArrow(lean(sets), f"id {kind}, n long, sig binary, prefix array<long>, parts array<int>, bits binary")
     made = tables.put(made.withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = tables.put(made.where("n > 0").groupBy("sig").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "classes")
-    reps = made.join(classes.select("node").hint("merge"), F.col("row") == F.col("node")).select("node", "n", "sig", "bits", "prefix")
+    reps = made.join(classes.select("node").hint("merge"), F.col("row") == F.col("node")).select("node", "n", "sig", "bits", "prefix", "parts")
     reps = tables.put(reps, "reps")
     tables.sweep()
 
-    lists = reps.select(F.posexplode("prefix").alias("pos", "h"), "node", F.col("n").cast("int").alias("n")).withColumn("r", F.xxhash64("h", "node"))
-    found = tables.put(lists.repartition("h").sortWithinPartitions("h", "r").select("h", "node", "n", "pos").mapInArrow(_merge, "a long, b long, h long"), "found")
+    lists = reps.select(F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x"), "node", F.col("n").cast("int").alias("n")).select(F.col("x.prefix").alias("h"), "x.parts", "node", "n", "pos")
+    lists = lists.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(0).cast("int"))
+    order = lambda df: df.withColumn("r", F.xxhash64("h", "node")).repartition("h", "part").sortWithinPartitions("h", "part", "r").select("h", "part", "parts", "node", "n", "pos").mapInArrow(lean(_merge), _FOUND)
+    found = tables.put(order(lists), "found")
     tables.sweep()
-    links = _verify(rows, reps, found.where("h is null").select("a", "b").distinct(), size, tables)
+    again = found.where("node is not null")
+    if not again.isEmpty():
+        again = again.select("h", F.lit(1).alias("parts"), "node", "n", "pos", F.lit(0).alias("part"))
+        found = found.unionByName(tables.put(order(again), "pivots"))
+    links = _verify(rows, reps, found.where("a is not null").select("a", "b").distinct(), size, tables)
     roots = connected(links, tables)
-    long_lists = found.where("h is not null").select("h").distinct()
+    long_lists = found.where("long").select("h").distinct()
     if not long_lists.isEmpty():
         more = _rest(reps, roots, long_lists, tables)
         links = links.unionByName(_verify(rows, reps, more, size, tables))
@@ -214,39 +292,44 @@ def fits(n, m, i, j):
     return enough & ((100 + LEAST) * np.minimum(n - i, m - j) >= LEAST * (n + m))
 
 
+_FOUND = "a long, b long, h long, long boolean, node long, n int, pos int"
+
+
 def _merge(batches):
-    """Streams sorted lists (h, node, n, pos): pairs of members that could be similar by size and place; for a list longer than SHORT the pairs of
-    its first members, those of all others with PIVOTS of them, and the list's key. Holds SHORT members at most."""
-    now, held, out = None, [], ([], [], [])
+    """Streams sorted lists (h, part, parts, node, n, pos): pairs of members that could be similar by size and place; for a list longer than
+    SHORT the pairs of its first members, those of all others with PIVOTS of them, and the list's key, marked as long; for a part of a list
+    the key and its pivot. Holds SHORT members at most."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
+    names = [x.split(" ")[0] for x in _FOUND.split(", ")]
+    now, held, out = None, [], []
 
     def pair(x, y):
         (_, n, i), (_, m, j) = x, y
         if 100 * min(n, m) >= LEAST * max(n, m) and (100 + LEAST) * min(n - i, m - j) >= LEAST * (n + m):  # as in fits()
-            out[0].append(min(x[0], y[0]))
-            out[1].append(max(x[0], y[0]))
-            out[2].append(None)
+            out.append((min(x[0], y[0]), max(x[0], y[0]), None, None, None, None, None))
 
     def batch():
-        made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "h"])
-        for c in out:
-            c.clear()
+        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 7, kinds, strict=True)], names=names)
+        out.clear()
         return made
 
     count = 0
     for b in batches:
-        h, node, n, pos = (b.column(k).to_numpy() for k in range(4))
+        h, part, parts, node, n, pos = (b.column(k).to_numpy() for k in range(6))
         if not len(h):
             continue
         # Rows of lists with one member are passed over at once.
-        same = h[1:] == h[:-1]
-        live = np.zeros(len(h), bool)
+        same = (h[1:] == h[:-1]) & (part[1:] == part[:-1])
+        live = parts > 1
         live[1:] |= same
         live[:-1] |= same
         live[[0, -1]] = True  # a list may go on in the next batch
         for i in np.flatnonzero(live):
-            x = (int(node[i]), int(n[i]), int(pos[i]))
-            if h[i] != now:
-                now, held, count = h[i], [], 0
+            x, key = (int(node[i]), int(n[i]), int(pos[i])), (int(h[i]), int(part[i]))
+            if key != now:
+                now, held, count = key, [], 0
+                if parts[i] > 1:
+                    out.append((None, None, now[0], True, *x))
             count += 1
             if count <= SHORT:
                 for y in held:
@@ -256,10 +339,8 @@ def _merge(batches):
                 for y in held[:PIVOTS]:
                     pair(x, y)
                 if count == SHORT + 1:
-                    out[0].append(None)
-                    out[1].append(None)
-                    out[2].append(int(now))
-        if len(out[0]) > 20_000:
+                    out.append((None, None, now[0], True, None, None, None))
+        if len(out) > 20_000:
             yield batch()
     yield batch()
 
@@ -282,7 +363,7 @@ def _rest(reps: DataFrame, roots: DataFrame, long_lists: DataFrame, tables: Tabl
     other = both.select(*columns, F.lit(1).alias("side"), F.explode(F.expr("sequence(0, a - 1)")).alias("x"), F.expr("pmod(r, b)").alias("y"))
     cells = stray.withColumn("y", F.col("y").cast("long")).unionByName(other.withColumn("x", F.col("x").cast("long")))
     cells = cells.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "side").select("h", "x", "y", "side", "node", "n", "pos", "root", "bits")
-    return tables.put(cells.mapInArrow(_meet, "a long, b long").distinct(), "rest")
+    return tables.put(cells.mapInArrow(lean(_meet), "a long, b long").distinct(), "rest")
 
 
 def _fold(bits: np.ndarray, width: int) -> np.ndarray:
@@ -351,23 +432,25 @@ def _verify(rows: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, table
             keep = [may_reach(p, q, n, m) for p, q, n, m in zip(x, y, na, nb, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b", "sig_a", "sig_b"])
 
-    left = tables.put(both.mapInArrow(thin, "a long, b long, sig_a binary, sig_b binary"), "thinned")
+    left = tables.put(both.mapInArrow(lean(thin), "a long, b long, sig_a binary, sig_b binary"), "thinned")
     wanted = left.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
-    # Which documents to send: a map of fixed size, so what a scan passes on needn't be joined with all texts.
-    slot = F.conv(F.substring(F.hex("sig"), 1, 8), 16, 10).cast("long") % (1 << MAP_BITS)
-    slots = np.zeros(1 << MAP_BITS, bool)
-    slots[wanted.select(slot.cast("int").alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)] = True
-    sent = spark.sparkContext.broadcast(np.packbits(slots).tobytes())
+    # Which documents to send: a map of 16 slots for each that is wanted, up to a fixed size; so what a scan passes on needn't be joined with all texts.
+    bits = min(MAP_BITS, max(12, 4 + int(wanted.count()).bit_length()))
+    slot = F.conv(F.substring(F.hex("sig"), 1, 8), 16, 10).cast("long") % (1 << bits)
+    words = wanted.select(slot.alias("k")).groupBy(F.shiftright("k", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 31 as int))")).alias("v")).toArrow()
+    slots = np.zeros(1 << (bits - 5), np.uint32)
+    slots[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
+    sent = spark.sparkContext.broadcast(slots)
 
     def again(batches):
-        want = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
-        seen: set[bytes] = set()
+        want, seen = sent.value, set()
         for batch in batches:
             for _, texts in blocks(batch, 0):
                 sig, items = [], []
                 for s in shingle_sets(texts, size):
                     k = signature(s)
-                    if want[int.from_bytes(k[:4]) % (1 << MAP_BITS)] and k not in seen:
+                    at = int.from_bytes(k[:4]) % (1 << bits)
+                    if want[at >> 5] >> (at & 31) & 1 and k not in seen:
                         seen.add(k)
                         sig.append(k)
                         items.append(s.tobytes())
@@ -375,16 +458,42 @@ def _verify(rows: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, table
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(items, pa.binary())], names=["sig", "items"])
 
-    sets = rows.select("text").mapInArrow(again, "sig binary, items binary")
+    sets = rows.select("text").mapInArrow(lean(again), "sig binary, items binary")
     sets = tables.put(sets.groupBy("sig").agg(F.first("items").alias("items")), "items")
 
-    def probe(batches):
-        for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+    # A query with its candidates, CHUNK at once, in one task: the sets of all come in rows behind the query's.
+    sets = sets.select("sig", "items")
+    counted = left.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunked = left.join(counted, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b", "sig_a", "sig_b")
+    chunked = tables.put(chunked, "chunks")
+    asked = chunked.select("a", "chunk", F.lit(None).cast("long").alias("b"), F.col("sig_a").alias("sig")).distinct()
+    given = chunked.select("a", "chunk", "b", F.col("sig_b").alias("sig"))
+    full = asked.unionByName(given).join(sets.hint("merge"), "sig").select("a", "chunk", "b", "items")
+
+    def search(batches):
+        now, query, nodes, found = None, None, [], []
+
+        def told():
+            at = divide_skip(query, found) if nodes else []
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(at), pa.int64()), pa.array([nodes[k] for k in at], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, node = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
+                items = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64).copy()
+                if key != now:
+                    if now:
+                        yield told()
+                    now, nodes, found = key, [], []
+                if node is None:
+                    query = items
+                else:
+                    nodes.append(node)
+                    found.append(items)
+        if now:
+            yield told()
 
-    full = left.join(sets.select(F.col("sig").alias("sig_a"), F.col("items").alias("x")), "sig_a").join(sets.select(F.col("sig").alias("sig_b"), F.col("items").alias("y")), "sig_b")
-    out = tables.put(full.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long"), "links")
+    ordered = full.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    out = tables.put(ordered.mapInArrow(lean(search), "a long, b long"), "links")
     tables.sweep()
     return out
