@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import ahocorasick
 import numpy as np
@@ -84,16 +84,22 @@ def stretches(w: Words, at: np.ndarray, doc: np.ndarray, home: np.ndarray, windo
 
 class Phrases:
     """An automaton over passages (id, row, start, words). Its phrases are blocks of words, cut so densely that each window inside a
-    passage holds a whole one. What is found is extended word by word as far as passage and segment agree."""
+    passage holds a whole one; of those in reach the block is taken that is rarest among the passages, so that what differs tells near
+    copies apart. What is found is extended word by word as far as passage and segment agree."""
 
     def __init__(self, passages: list[tuple], window: int):
         self.passages, self.window = passages, window
         block = max(1, 2 * window // 5)
-        step = window - block + 1
+        reach = window - block + 1
+        keys = [[" " + " ".join(words[k : k + block]) + " " for k in range(len(words) - block + 1)] for *_, words in passages]
+        count = Counter(x for ks in keys for x in ks)
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for p, (_, _, _, words) in enumerate(passages):
-            for k in range(0, len(words) - block + 1, step):
-                places[" " + " ".join(words[k : k + block]) + " "].append((p, k))
+        for p, ks in enumerate(keys):
+            # A window from word i on holds a block that begins at i to i + reach - 1.
+            k, last = -1, len(passages[p][3]) - window
+            while k < last:
+                k = min(range(min(k + reach, len(ks) - 1), k, -1), key=lambda j: count[ks[j]])
+                places[ks[k]].append((p, k))
         self.automaton = ahocorasick.Automaton()
         for key, where in places.items():
             self.automaton.add_word(key, (len(key), where))
