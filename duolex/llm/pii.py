@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables, blocks, need
+from .shared import Tables, blocks, lean, need
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -17,12 +17,15 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CHAIN = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]++")
-#: Rounds of scoring; seeds that a pattern needs; least confidence of a pattern and of an instance that add a span.
-ROUNDS, SUPPORT, SURE = 3, 3, 0.8
-#: Digits that make a word a candidate; characters of context looked at on either side.
-CANDIDATE_DIGITS, CONTEXT = 5, 80
+#: Instances (seeds or promoted ones) that a pattern needs; confidence from which a pattern scores, and from which it adds spans and
+#: an instance is promoted.
+SUPPORT, HALF, SURE = 3, 0.5, 0.8
+#: Digits that make a run a candidate; characters looked at for a word of context, a longer one counts as cut off.
+CANDIDATE_DIGITS, CONTEXT = 4, 80
 #: What an instance of each kind has to look like, besides its context.
-SHAPES = {0: r"@", 1: r"^[0-9]+([.:_][0-9]+){3}$", 2: r"^([^0-9]*[0-9]){12,19}[^0-9]*$", 3: r"^([^0-9]*[0-9]){7,15}[^0-9]*$"}
+SHAPES = {0: r"@", 1: r"^[0-9]+([.:_ -][0-9]+){3}$", 2: r"^([^0-9]*[0-9]){12,19}[^0-9]*$", 3: r"^([^0-9]*[0-9]){7,15}[^0-9]*$"}
+_RUN = re.compile(r"\(?[0-9](?:[0-9]|[ ._:/()-]{1,2}(?=[0-9]))*+")
+_EDGE = ".,;:!?()[]{}<>\"'*#&$%"
 
 
 def luhn(digits: str) -> bool:
@@ -81,55 +84,71 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Words outside the base spans with CANDIDATE_DIGITS digits or an @, without punctuation at their ends."""
-    inside = sorted((s, e) for _, s, e in taken)
-    out, done, k = [], 0, 0
-    marks = sorted({m.start() for m in _DIGITS.finditer(text)} | {i for i, c in enumerate(text) if c == "@"} if "@" in text else {m.start() for m in _DIGITS.finditer(text)})
-    for i in marks:
-        if i < done:
-            continue
-        s = i
-        while s > done and not text[s - 1].isspace():
+    """What may be an identifier outside the base spans: words with an @, and runs of CANDIDATE_DIGITS digits or more with up to two
+    separators between them."""
+    found = []
+    at = text.find("@")
+    while at >= 0:
+        s = e = at
+        while s > 0 and not text[s - 1].isspace():
             s -= 1
-        e = i
         while e < len(text) and not text[e].isspace():
             e += 1
-        done = e
         word = text[s:e]
-        s += len(word) - len(word.lstrip(".,;:!?()[]{}<>\"'*#&$%+"))
-        e -= len(word) - len(word.rstrip(".,;:!?()[]{}<>\"'*#&$%"))
-        if s >= e or ("@" not in text[s:e] and sum(c.isdigit() for c in text[s:e]) < CANDIDATE_DIGITS):
-            continue
-        while k < len(inside) and inside[k][1] <= s:
+        found.append((s + len(word) - len(word.lstrip(_EDGE)), e - len(word) + len(word.rstrip(_EDGE))))
+        at = text.find("@", e)
+    for m in _RUN.finditer(text):
+        if sum("0" <= c <= "9" for c in m[0]) >= CANDIDATE_DIGITS:
+            found.append((m.start() + (m[0][0] == "(" and ")" not in m[0]), m.end()))
+    # What is left of the text between base spans and candidates before; both lists are without overlaps then.
+    held: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if held and s < held[-1][1]:
+            held[-1][1] = max(held[-1][1], e)
+        else:
+            held.append([s, e])
+    out, k, done = [], 0, 0
+    for s, e in sorted(found):
+        while k < len(held) and held[k][1] <= s:
             k += 1
-        if not any(a < e and s < b for a, b in inside[k : k + 3]):
+        if done <= s < e and not (k < len(held) and held[k][0] < e):
             out.append((s, e))
+            done = e
     return out
 
 
 def _plain(word: str) -> str:
-    return re.sub(r"[0-9]", "0", word.lower().strip(".,;:!?()[]{}<>\"'*#&$%")) or "_"
+    return re.sub(r"[0-9]", "0", word.lower().strip(_EDGE)) or "_"
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span: the two words before it; the word before and the word behind."""
-    before = ["^", "^", *map(_plain, text[max(0, start - CONTEXT) : start].split())]
-    behind = [*map(_plain, text[end : end + CONTEXT].split()[:1]), "$"]
-    return [f"{before[-2]} {before[-1]} _", f"{before[-1]} _ {behind[0]}"]
+    before, behind = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+    left, right = [_plain(x) for x in before.split()[-2:]], [_plain(x) for x in behind.split()[:1]]
+    # A word that goes on beyond what is looked at has no end to be known by.
+    if left and len(before.split()) <= 2 and start > CONTEXT and not text[start - CONTEXT - 1].isspace() and not before[0].isspace():
+        left[0] = "..."
+    if right and len(behind) == CONTEXT and len(behind.split(None, 1)) == 1 and not behind[-1].isspace():
+        right[0] = "..."
+    left, right = ["^", "^", *left], [*right, "$"]
+    return [f"{left[-2]} {left[-1]} _", f"{left[-1]} _ {right[0]}"]
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Personal data in every whole text.
 
-    Base matches are the seeds. Each seed, and each other word that looks like an identifier, is an instance with the lexical
-    patterns around it. On the graph of patterns and instances scores are found in rounds: a pattern's confidence for a
-    kind is the mean score of its distinct instances (seeds 1, others 0 at first), once SUPPORT distinct seeds stand in it; a
-    word's score is 1 minus the product of the doubts of its patterns. Words in a pattern of confidence SURE with a score
-    of SURE that look like the kind add a span. Edges are distinct before they are joined, so a line that millions of texts
-    share counts once.
-
-    Returns one row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base and added), n_added. Offsets
-    are code points, ends exclusive. A null text is empty. Rows that repeat are judged each by itself.
+    Base matches are the seeds. Each seed, and each other word or run of digits that may be an identifier, is an instance with the lexical
+    patterns around it. The graph of patterns and instances is scored in rounds: a pattern's confidence for a kind is the mean score
+    of its distinct instances (seeds 1, promoted ones their score, others 0), once SUPPORT of them are seeds or promoted; an
+    instance's score is 1 minus the product of the doubts of its patterns of confidence HALF or more. One that looks like its kind and scores SURE or more is
+    promoted: from then on it supports patterns as seeds do, so a pattern that no seed stands in may be admitted. Nothing is demoted, so
+    the rounds end, when one promotes nothing. Promoted instances in a pattern of confidence SURE add a span. Edges are distinct
+    before they are joined, so a line that millions of texts share counts once.
+
+    Returns one row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base and added), n_added, private (whether there is
+    any span). Offsets are code points, ends exclusive. A null text is empty; a text without identifiers, or an empty table, adds
+    nothing. Rows that repeat are judged each by itself, and count once in the graph. Of two kinds that fit a place the surer one is
+    told, then the first listed. Other columns are ignored. Very long texts are taken by themselves.
     """
     need(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -140,7 +159,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def scan(batches):
         for batch in batches:
-            for piece, texts in blocks(batch, 1):
+            for piece, texts in blocks(batch, 1, 1_000_000):
                 base, all_ = [], []
                 for t in texts.to_pylist():
                     found = base_spans(t)
@@ -150,7 +169,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(base, pa.list_(span)), pa.array(all_, pa.list_(seen))], names=["id", "base", "seen"])
 
     span_type = "array<struct<k: int, s: int, e: int>>"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"id {kind}, base {span_type}, seen array<struct<k: int, s: int, e: int, word: string, patterns: array<string>>>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(scan), f"id {kind}, base {span_type}, seen array<struct<k: int, s: int, e: int, word: string, patterns: array<string>>>")
     rows = tables.put(rows.withColumn("row", F.monotonically_increasing_id()), "spans")
     words = rows.select("row", F.explode("seen").alias("x")).select("row", "x.*")
     edges = tables.put(words.select("k", "word", F.explode("patterns").alias("pattern")).distinct(), "edges")
@@ -160,30 +179,36 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = F.array(*map(F.lit, KINDS))
     told = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])))
     n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    return out.select(F.col("id").alias(id_col), *[n(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(told("base"), 256).alias("base_sha256"), told("all").alias("spans"), F.coalesce(F.size("more"), F.lit(0)).alias("n_added"))
+    return out.select(F.col("id").alias(id_col), *[n(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(told("base"), 256).alias("base_sha256"), told("all").alias("spans"), F.coalesce(F.size("more"), F.lit(0)).alias("n_added"), (F.size("all") > 0).alias("private"))
+
+
+def _shaped():
+    out = F.lit(False)
+    for k, shape in SHAPES.items():
+        out = out | ((F.col("k") == k) & F.col("word").rlike(shape))
+    return out
 
 
 def _bootstrap(words: DataFrame, edges: DataFrame, tables: Tables) -> DataFrame | None:
-    """(row, more): spans that the patterns add. None where no pattern has the seeds it needs."""
+    """(row, more): spans that the patterns add. None where no pattern has the instances it needs."""
     links = tables.put(edges.select("pattern", "word").distinct(), "links")
     size = tables.put(links.groupBy("pattern").agg(F.count("*").alias("n")), "sizes")
-    seeds = tables.put(edges.where("k >= 0").select("word", "k", F.lit(1.0).alias("score"), F.lit(True).alias("seed")).distinct(), "seeds")
-    open_ = tables.put(edges.where("k < 0").select("pattern", "word").distinct(), "open")
-    instances, rules = seeds, None
-    for _ in range(ROUNDS):
-        scored = links.join(instances, "word").groupBy("pattern", "k").agg(F.sum("score").alias("s"), F.sum(F.col("seed").cast("int")).alias("support"))
-        rules = tables.put(scored.where(F.col("support") >= SUPPORT).join(size, "pattern").select("pattern", "k", (F.col("s") / F.col("n")).alias("confidence")).where("confidence >= 0.5"), "rules")
+    seeds = tables.put(edges.where("k >= 0").select("word", "k", F.lit(1.0).alias("score")).distinct(), "seeds")
+    open_ = tables.put(edges.where("k < 0").select("pattern", "word").distinct().join(seeds.select("word").distinct(), "word", "left_anti"), "open")
+    promoted, known, rules = seeds.limit(0), 0, None
+    while True:
+        scored = links.join(seeds.unionByName(promoted), "word").groupBy("pattern", "k").agg(F.sum("score").alias("s"), F.count("*").alias("support"))
+        rules = scored.where(F.col("support") >= SUPPORT).join(size, "pattern").select("pattern", "k", (F.col("s") / F.col("n")).alias("confidence")).where(F.col("confidence") >= HALF)
+        rules = tables.put(rules, "rules")
         if rules.isEmpty():
             return None
         doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
-        guessed = open_.join(rules, "pattern").groupBy("word", "k").agg((1 - F.exp(doubt)).alias("score"), F.lit(False).alias("seed"))
-        # A seed of some kind keeps its 1. A guess of many sure patterns reaches 1.0 in double, so the score doesn't tell them apart.
-        instances = tables.put(seeds.unionByName(guessed.join(seeds.select("word").distinct(), "word", "left_anti")), "instances")
-    sure = instances.where((F.col("score") >= SURE) & ~F.col("seed"))
-    shaped = F.lit(False)
-    for k, shape in SHAPES.items():
-        shaped = shaped | ((F.col("k") == k) & F.col("word").rlike(shape))
+        guessed = open_.join(rules, "pattern").groupBy("word", "k").agg((1 - F.exp(doubt)).alias("score")).where((F.col("score") >= SURE) & _shaped())
+        promoted = tables.put(promoted.unionByName(guessed).groupBy("word", "k").agg(F.max("score").alias("score")), "promoted")
+        before, known = known, promoted.count()
+        if known == before:
+            break
     found = words.where("k < 0").select("row", "s", "e", "word", F.explode("patterns").alias("pattern"))
-    found = found.join(rules.where(F.col("confidence") >= SURE), "pattern").join(sure, ["word", "k"]).where(shaped)
+    found = found.join(rules.where(F.col("confidence") >= SURE), "pattern").join(promoted, ["word", "k"])
     best = found.groupBy("row", "s", "e").agg(F.max_by("k", F.struct("confidence", (-F.col("k")).alias("i"))).alias("k"))
     return tables.put(best.groupBy("row").agg(F.collect_list(F.struct("k", "s", "e")).alias("more")), "added")
