@@ -69,12 +69,15 @@ class Model:
         """Learns from rows (word, number of its language in `langs`, count)."""
         self.langs = langs
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        spelled = Spelling(words)
         for length in range(LONGEST_GRAM + 1):
-            h, of = spelled.grams(length) if length else (spelled.words(), np.arange(len(words)))
-            keys, at = np.unique(h, return_inverse=True)
-            counts = np.zeros((len(keys), len(langs)))
-            np.add.at(counts, (at, lang[of]), n[of])
+            keys, counts = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
+            for lo in range(0, len(words), 1 << 16):
+                spelled = Spelling(words.slice(lo, 1 << 16))
+                h, of = spelled.grams(length) if length else (spelled.words(), np.arange(len(spelled.size)))
+                some, at = np.unique(h, return_inverse=True)
+                more = np.stack([np.bincount(at, weights=n[lo + of] * (lang[lo + of] == k), minlength=len(some)) for k in range(len(langs))], axis=1)
+                keys, at = np.unique(np.concatenate([keys, some]), return_inverse=True)
+                counts = np.stack([np.bincount(at, weights=c, minlength=len(keys)) for c in np.concatenate([counts, more]).T], axis=1)
             # Add-half smoothing: a language that lacks the entry keeps half a count.
             self.tables.append((keys, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(keys))).astype(np.float32)))
 
