@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
 import re
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import need
+from .shared import Tables, lean, need
+from .sharding import number_rows
 
 ROLES = ("user", "assistant", "system")
 #: Speaker markers at the start of a line, by role.
@@ -20,22 +21,14 @@ MARKERS = {
     "system": ("system", "context", "note"),
 }
 _BY_MARKER = {m: r for r, ms in MARKERS.items() for m in ms}
-MARKER = re.compile(r"^\s*(?:<\|(\w+)\|>|\[(\w+)\]|\*{0,2}#{0,3}\s*(\w+)\s*\*{0,2}\s*[:>])\s*")
+MARKER = re.compile(r"^\s*(?:<\|(\w+)\|>|\[(\w+)\]|\*{0,2}#{0,3}\s*(\w+)\s*\*{0,2}\s*[:>]) ?")
 #: A state is a role that begins a turn at this line or goes on with one.
 STATES = tuple((r, new) for r in range(len(ROLES)) for new in (True, False))
-#: Chances of the model. What an unmarked line is likely to be; how often a marker tells the truth.
-START = {"user": 0.65, "assistant": 0.1, "system": 0.25}
-FOLLOWS = {"user": {"user": 0.06, "assistant": 0.92, "system": 0.02}, "assistant": {"user": 0.92, "assistant": 0.06, "system": 0.02}, "system": {"user": 0.9, "assistant": 0.08, "system": 0.02}}
-GOES_ON = 0.55
-MARKED, TRUE = 0.45, 0.97
-FEATURES = {  # chance of a feature in the first line of a turn of each role, and in a later line
-    "question": ((0.5, 0.12, 0.03), 0.15),
-    "short": ((0.6, 0.25, 0.35), 0.3),
-    "list": ((0.03, 0.2, 0.1), 0.35),
-    "code": ((0.04, 0.08, 0.02), 0.2),
-    "please": ((0.2, 0.05, 0.1), 0.05),
-    "blank_before": ((0.7, 0.7, 0.7), 0.12),
-}
+FEATURES = ("question", "short", "list", "code", "request", "blank_before")
+#: How often a marker tells the truth, and how often one stands where no turn begins: not to be learned from rows that have a role.
+TRUE, STRAY = 0.97, 0.005
+#: Rows of a conversation that are parsed in one piece; pieces of one conversation give what the whole would.
+PAGE = 500
 
 
 def read_marker(line: str) -> tuple[str | None, str]:
@@ -48,80 +41,128 @@ def read_marker(line: str) -> tuple[str | None, str]:
     return None, line
 
 
-def features(line: str, blank_before: bool) -> dict[str, bool]:
+def features(line: str, blank_before: bool) -> list[bool]:
     s = line.strip()
     low = s.lower()
-    return {
-        "question": s.endswith("?"), "short": len(s) < 80, "list": bool(re.match(r"(?:[-*•]|\d+[.)])\s", s)), "code": s.startswith(("```", "    ", "def ", "import ", "{", "}")) or s.endswith(";"),
-        "please": any(w in low for w in ("please", "can you", "could you", "how do", "what is", "thanks")), "blank_before": blank_before,
-    }
-
-
-def emission(line: str, blank_before: bool, told: str | None = None) -> np.ndarray:
-    """Log chance of a line in each state. `told` is a role that comes from beside the text (a column); it counts like a marker."""
-    role, rest = read_marker(line)
-    role = told or role
-    seen = features(rest, blank_before)
-    out = np.zeros(len(STATES))
-    for k, (r, new) in enumerate(STATES):
-        if role is None:
-            out[k] = math.log(1 - MARKED if new else 0.98)
-        elif new:
-            out[k] = math.log(MARKED * (TRUE if ROLES[r] == role else (1 - TRUE) / (len(ROLES) - 1)))
-        else:
-            out[k] = math.log(0.002)
-        for f, on in seen.items():
-            p = FEATURES[f][0][r] if new else FEATURES[f][1]
-            out[k] += math.log(p if on else 1 - p)
-    return out
+    return [
+        s.endswith("?"), len(s) < 80, bool(re.match(r"(?:[-*•]|\d+[.)])\s", s)), line.startswith("    ") or s.startswith(("```", "def ", "import ", "{", "}")) or s.endswith(";"),
+        any(w in low for w in ("please", "can you", "could you", "how do", "what is", "thanks")), blank_before,
+    ]
+
+
+def _log(x) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(x)
+
 
+@dataclass
+class Chances:
+    """Counts that the model learns from, one added to each: roles that begin conversations, roles that follow roles, lines that begin turns and others, turns with
+    and without a marker, lines with each feature by state (role, new). Without any, all is as likely."""
 
-def _chances() -> tuple[np.ndarray, np.ndarray]:
-    start = np.array([math.log(START[ROLES[r]]) if new else -np.inf for r, new in STATES])
-    move = np.full((len(STATES), len(STATES)), -np.inf)
-    for i, (r, _) in enumerate(STATES):
-        for j, (q, new) in enumerate(STATES):
-            if new:
-                move[i, j] = math.log((1 - GOES_ON) * FOLLOWS[ROLES[r]][ROLES[q]])
-            elif q == r:
-                move[i, j] = math.log(GOES_ON)
-    return start, move
+    first: np.ndarray = field(default_factory=lambda: np.zeros(len(ROLES)))
+    follows: np.ndarray = field(default_factory=lambda: np.zeros((len(ROLES), len(ROLES))))
+    lines: np.ndarray = field(default_factory=lambda: np.zeros(len(STATES)))
+    seen: np.ndarray = field(default_factory=lambda: np.zeros((len(STATES), len(FEATURES))))
+    marked: np.ndarray = field(default_factory=lambda: np.zeros(2))
 
+    def __post_init__(self):
+        first, follows = self.first + 1, self.follows + 1
+        new = np.array([x for _, x in STATES])
+        role = np.array([r for r, _ in STATES])
+        goes_on = (self.lines[~new].sum() + 1) / (self.lines.sum() + 2)
+        self.start = np.where(new, _log(first / first.sum())[role], -np.inf)
+        follows = follows / follows.sum(axis=1, keepdims=True)
+        self.move = np.where(new[None, :], _log((1 - goes_on) * follows[np.ix_(role, role)]), np.where(role[:, None] == role[None, :], _log(goes_on), -np.inf))
+        on = (self.seen + 1) / (self.lines[:, None] + 2)
+        self.on, self.off = _log(on), _log(1 - on)
+        marked = (self.marked[1] + 1) / (self.marked.sum() + 2)
+        told = np.array([[TRUE if r == k else (1 - TRUE) / (len(ROLES) - 1) for k in range(len(ROLES))] for r in role])
+        self.unmarked = np.where(new, _log(1 - marked), _log(1 - STRAY))
+        self.told = np.where(new[:, None], _log(marked * told), _log(STRAY / len(ROLES)))
 
-_START, _MOVE = _chances()
+    def emission(self, line: str, blank_before: bool) -> np.ndarray:
+        """Log chance of a line in each state."""
+        role, rest = read_marker(line)
+        has = np.array(features(rest, blank_before))
+        return (self.unmarked if role is None else self.told[:, ROLES.index(role)]) + np.where(has, self.on, self.off).sum(axis=1)
 
 
-def viterbi(emissions: np.ndarray) -> list[int]:
-    """The likeliest run of states; ties go to the first state."""
-    best, back = _START + emissions[0], []
+#: What is assumed of transcripts where no rows with roles are at hand: counts of an invented hundred turns.
+ASSUMED = Chances(
+    np.array([65.0, 10.0, 25.0]), np.array([[6.0, 92.0, 2.0], [92.0, 6.0, 2.0], [90.0, 8.0, 2.0]]), np.array([100.0, 125.0, 100.0, 125.0, 10.0, 12.0]),
+    np.array([[50, 60, 3, 4, 20, 70], [19, 38, 44, 25, 6, 15], [12, 25, 20, 8, 5, 70], [19, 38, 44, 25, 6, 15], [0, 3, 1, 0, 1, 7], [2, 4, 4, 2, 1, 1]], float), np.array([55.0, 45.0]),
+)
+
+
+def viterbi(emissions: np.ndarray, chances: Chances, entry: int | None = None, end: int | None = None) -> list[int]:
+    """The likeliest run of states; ties go to the first state. `entry`: the state before the first line (none: a conversation begins here);
+    `end`: the state of the last line (none: the likeliest)."""
+    best, back = (chances.start if entry is None else chances.move[entry]) + emissions[0], []
     for e in emissions[1:]:
-        every = best[:, None] + _MOVE
+        every = best[:, None] + chances.move
         back.append(np.argmax(every, axis=0))
         best = every[back[-1], np.arange(len(best))] + e
-    path = [int(np.argmax(best))]
+    path = [int(np.argmax(best)) if end is None else end]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
     return path[::-1]
 
 
-def parse(text: str, told: list[str | None] | None = None) -> list[tuple[str, str]]:
-    """Turns (role, text) of a transcript. Lines keep their order and words; markers go, blank lines at the ends of turns too."""
-    lines = text.split("\n")
-    solid = [i for i, x in enumerate(lines) if x.strip()]
-    if not solid:
-        return []
-    e = np.array([emission(lines[i], i > 0 and not lines[i - 1].strip(), told[i] if told else None) for i in solid])
-    states = dict(zip(solid, viterbi(e), strict=True))
-    turns: list[tuple[str, list[str]]] = []
-    for i, line in enumerate(lines):
+def across(emissions: np.ndarray, chances: Chances) -> tuple[np.ndarray, np.ndarray]:
+    """What a piece does to the scores of states: (scores at its end if a conversation begins with it; from each state before it to each at its end)."""
+    both = np.vstack([chances.start[None, :], chances.move]) + emissions[0]
+    for e in emissions[1:]:
+        both = (both[:, :, None] + chances.move[None, :, :]).max(axis=1) + e
+    return both[0], both[1:]
+
+
+def joined(pieces: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int | None, int]]:
+    """For each piece of a conversation, in order, the state before it and at its end on the likeliest way through all of them."""
+    scores = [pieces[0][0]]
+    for _, m in pieces[1:]:
+        scores.append((scores[-1][:, None] + m).max(axis=0))
+    end, out = int(np.argmax(scores[-1])), []
+    for k in range(len(pieces) - 1, 0, -1):
+        entry = int(np.argmax(scores[k - 1] + pieces[k][1][:, end]))
+        out.append((entry, end))
+        end = entry
+    return [*out, (None, end)][::-1]
+
+
+def solid(text: str, after_blank: bool = False) -> list[tuple[int, str, bool]]:
+    """(number, line, whether blank lines stand before it) of each line that isn't blank."""
+    out, blank = [], after_blank
+    for i, line in enumerate(text.split("\n")):
+        if line.strip():
+            out.append((i, line, blank))
+            blank = False
+        else:
+            blank = True
+    return out
+
+
+def turns_of(text: str, states: dict[int, int]) -> list[tuple[str, str, bool]]:
+    """(role, text, whether it begins here) by the states of lines. Lines keep their order and their indentation; markers go, and blank lines at the ends of turns."""
+    out: list[tuple[str, list[str], bool]] = []
+    for i, line in enumerate(text.split("\n")):
         if i in states:
             r, new = STATES[states[i]]
-            if new or not turns:
-                turns.append((ROLES[r], [read_marker(line)[1].strip()]))
+            if new or not out:
+                out.append((ROLES[r], [read_marker(line)[1] if new else line], new))
                 continue
-        if turns:
-            turns[-1][1].append(line.rstrip())
-    return [(r, "\n".join(x).strip()) for r, x in turns]
+        if out:
+            out[-1][1].append(line)
+    return [(r, "\n".join(x.rstrip() for x in lines).strip("\n"), new) for r, lines, new in out]
+
+
+def parse(text: str, chances: Chances = ASSUMED) -> list[tuple[str, str]]:
+    """Turns (role, text) of a transcript."""
+    lines = solid(text)
+    if not lines:
+        return []
+    path = viterbi(np.array([chances.emission(x, blank) for _, x, blank in lines]), chances)
+    return [(r, t) for r, t, _ in turns_of(text, {i: s for (i, _, _), s in zip(lines, path, strict=True)})]
 
 
 def render(turns: list[tuple[str, str]]) -> str:
@@ -142,33 +183,147 @@ def read_back(canonical: str) -> list[tuple[str, str]]:
     return [(r, re.sub(r"\\([\\|])", r"\1", t)) for r, t in found]
 
 
-def transcripts(conversations: DataFrame, turns: int = 500) -> DataFrame:
-    """Transcripts (conv_id, part, text) from rows (conv_id, turn, role, text), of up to `turns` turn numbers each, so that a conversation without
-    end is no group without end. Turns in order, null turns in a part of their own, equal turns by role and text. A turn is marked
-    with its role; where the role is null the model has to find it."""
+def pages(conversations: DataFrame, tables: Tables, page: int = PAGE) -> DataFrame:
+    """Pieces (conv_id, page, text, n_rows) of up to `page` rows of a conversation, from rows (conv_id, turn, role, text). Rows are numbered once over all conversations, in
+    the order of conversation, turn (null ones last), role and a hash of the text; rows that repeat keep apart. A page is a run of numbers, so one
+    conversation of any length is many groups of bounded size. A row with a role is marked with it."""
     need(conversations, "conv_id", "turn", "role", "text")
-    named = F.when(F.col("role").isNotNull(), F.concat(F.initcap("role"), F.lit(": "))).otherwise("")
-    line = F.concat(named, F.coalesce(F.col("text").cast("string"), F.lit("")))
-    part = F.coalesce(F.floor(F.col("turn") / turns), F.lit(-1)).alias("part")
-    lines = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
-    return conversations.groupBy("conv_id", part).agg(F.concat_ws("\n\n", F.transform(lines, lambda x: x["line"])).alias("text"))
+    rows = conversations.select("conv_id", "turn", F.lower(F.trim(F.col("role").cast("string"))).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    numbered, _ = number_rows(tables.put(rows, "rows"), ["conv_id", "turn", "role", "tie", "at"], tables)
+    marked = F.concat(F.when(F.col("role").isin(*ROLES) & F.col("text").rlike(r"\S"), F.concat(F.initcap("role"), F.lit(": "))).otherwise(""), "text")
+    numbered = numbered.select("conv_id", F.floor(F.col("n") / page).alias("page"), "n", "role", "text", marked.alias("line"))
+    numbered = tables.put(numbered, "numbered")
+    lines = F.array_sort(F.collect_list(F.struct("n", "line")))
+    return numbered, tables.put(numbered.groupBy("conv_id", "page").agg(F.concat_ws("\n\n", F.transform(lines, lambda x: x["line"])).alias("text"), F.count("*").alias("n_rows")), "pages")
+
+
+def learn_chances(numbered: DataFrame) -> Chances:
+    """Counts over all rows that have a role: who begins, who follows whom, how lines look. Rows meet the row before them by their number."""
+
+    def count(batches):
+        lines, seen, marked = np.zeros(len(STATES)), np.zeros((len(STATES), len(FEATURES))), np.zeros(2)
+        for batch in batches:
+            for role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                marked[int(role in ROLES)] += 1
+                if role not in ROLES:
+                    continue
+                for k, (_, line, blank) in enumerate(solid(text, True)):
+                    s = STATES.index((ROLES.index(role), k == 0))
+                    lines[s] += 1
+                    seen[s] += features(line, blank)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([lines, seen.ravel(), marked])), pa.array(np.arange(len(STATES) * (1 + len(FEATURES)) + 2))], names=["n", "k"])
+
+    sums = numbered.select("role", "text").mapInArrow(lean(count), "n double, k long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    flat = np.zeros(len(STATES) * (1 + len(FEATURES)) + 2)
+    for r in sums:
+        flat[r["k"]] = r["n"]
+    here = numbered.select("n", "conv_id", "role")
+    before = here.select((F.col("n") + 1).alias("n"), F.col("conv_id").alias("c"), F.col("role").alias("prev"), F.lit(True).alias("there"))
+    moves = here.join(before, "n", "left").withColumn("same", F.coalesce(F.col("there"), F.lit(False)) & F.col("c").eqNullSafe(F.col("conv_id")))
+    moves = moves.groupBy("role", F.when(F.col("same"), F.col("prev")).alias("prev"), "same").agg(F.count("*").alias("k")).collect()
+    first, follows = np.zeros(len(ROLES)), np.zeros((len(ROLES), len(ROLES)))
+    for r in moves:
+        if r["role"] in ROLES and not r["same"]:
+            first[ROLES.index(r["role"])] += r["k"]
+        elif r["role"] in ROLES and r["prev"] in ROLES:
+            follows[ROLES.index(r["prev"]), ROLES.index(r["role"])] += r["k"]
+    n = len(STATES)
+    return Chances(first, follows, flat[:n], flat[n : n * (1 + len(FEATURES))].reshape(n, -1), flat[-2:])
+
+
+def format_conversations(conversations: DataFrame, page: int = PAGE) -> DataFrame:
+    """Transcripts of conversations, parsed and rendered page by page.
+
+    The chances of the hidden Markov model are counted over all rows with a role. Observations are a line's speaker marker and features
+    (question, length, list, code, request, blank line before); states are a role and whether a turn begins. Each page tells how it moves the scores
+    of states, a fold over a conversation's pages (36 numbers each) finds the states at their ends on the likeliest way through the whole, and each page
+    is then decoded between them: the result is that of one Viterbi pass over the conversation.
+
+    Returns one row per page: conv_id, page (from 0), n_turns, continued (the first turn goes on from the page before), n_rows, n_told (rows with a role),
+    roles (comma-joined), canonical. Roles beyond user, assistant and system count as null: the model has to find them. Null and blank texts give no turns, a
+    conversation of such rows a page without turns; null conversations are one, null turns stand last. Ties go to the first state. Other columns are
+    ignored; an empty table gives no rows.
+    """
+    tables = Tables(conversations.sparkSession)
+    numbered, made = pages(conversations, tables, page)
+    kind = numbered.schema["conv_id"].dataType.simpleString()
+    sent = conversations.sparkSession.sparkContext.broadcast(learn_chances(numbered))
+
+    def score(batches):
+        for b in batches:
+            begins, moves = [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                lines = solid(t, b.column(1)[i].as_py() > b.column(3)[i].as_py())
+                v, m = across(np.array([sent.value.emission(x, blank) for _, x, blank in lines]), sent.value) if lines else (None, None)
+                begins.append(None if v is None else v.tolist())
+                moves.append(None if m is None else m.ravel().tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(begins, pa.list_(pa.float64())), pa.array(moves, pa.list_(pa.float64()))], names=["conv_id", "page", "begins", "moves"])
+
+    first = made.groupBy("conv_id").agg(F.min("page").alias("first"))
+    made = made.withColumnRenamed("conv_id", "c").join(first.select(F.col("conv_id").alias("d"), "first"), F.expr("c <=> d")).select(F.col("c").alias("conv_id"), "page", "text", "first", "n_rows")
+    made = tables.put(made, "first")
+    scored = tables.put(made.select("conv_id", "page", "text", "first").mapInArrow(lean(score), f"conv_id {kind}, page long, begins array<double>, moves array<double>"), "scored")
+
+    def fold(batches):
+        """Rows sorted by conversation and page."""
+        now, held = None, []
+
+        def told():
+            ends = joined([(np.array(x[2]), np.array(x[3]).reshape(len(STATES), -1)) for x in held]) if held else []
+            return [(x[0], x[1], entry, end) for x, (entry, end) in zip(held, ends, strict=True)]
+
+        out = []
+        for b in batches:
+            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and x[0] != now:
+                    out += told()
+                    held = []
+                now = x[0]
+                held.append(x)
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int64(), pa.int32(), pa.int32()), strict=True))], names=["conv_id", "page", "entry", "last"])
+            kind_, out = b.column(0).type, []
+        if held:
+            cols = list(zip(*told(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind_), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int64(), pa.int32(), pa.int32()), strict=True))], names=["conv_id", "page", "entry", "last"])
+
+    ends = scored.where("begins is not null").repartition("conv_id").sortWithinPartitions("conv_id", "page").mapInArrow(lean(fold), f"conv_id {kind}, page long, entry int, last int")
+    ends = tables.put(ends.select(F.col("conv_id").alias("c"), F.col("page").alias("p"), "entry", "last"), "ends")
+    known = numbered.groupBy("conv_id", "page").agg(F.count_if(F.col("role").isin(*ROLES)).alias("n_told")).select(F.col("conv_id").alias("kc"), F.col("page").alias("kp"), "n_told")
+    both = made.join(ends, F.expr("conv_id <=> c and page = p"), "left").join(known, F.expr("conv_id <=> kc and page = kp"))
+
+    def decode(batches):
+        for b in batches:
+            out = []
+            for _, page_, text, first_, _, entry, last, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lines, turns = solid(text, page_ > first_), []
+                if lines:
+                    path = viterbi(np.array([sent.value.emission(x, blank) for _, x, blank in lines]), sent.value, entry, last)
+                    turns = turns_of(text, {i: s for (i, _, _), s in zip(lines, path, strict=True)})
+                shown = [(r, t) for r, t, _ in turns]
+                out.append((page_ - first_, len(turns), bool(turns) and not turns[0][2], ",".join(r for r, _ in shown), render(shown)))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            p, n, c, r, t = (pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string()), strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), p, n, c, b.column(4), b.column(7), r, t], names=["conv_id", "page", "n_turns", "continued", "n_rows", "n_told", "roles", "canonical"])
+
+    return both.select("conv_id", "page", "text", "first", "n_rows", "entry", "last", "n_told").mapInArrow(lean(decode), f"conv_id {kind}, page long, n_turns long, continued boolean, n_rows long, n_told long, roles string, canonical string")
 
 
-def format_chats(texts: DataFrame, id_col: str = "conv_id", text_col: str = "text") -> DataFrame:
-    """Parses each transcript and renders it.
+def format_chats(texts: DataFrame, id_col: str = "conv_id", text_col: str = "text", chances: Chances = ASSUMED) -> DataFrame:
+    """Parses and renders transcripts that are one text each, with the chances given.
 
-    Observations of the hidden Markov model are a line's speaker marker and features (question, length, list, code, request,
-    blank line before); states are a role and whether a turn begins. Viterbi gives roles also to lines whose marker is missing
-    or wrong. Returns one row per input row: id, n_turns, roles (comma-joined), canonical. A null or blank text gives no turns and an
-    empty form. Nothing is shuffled; a text is read line by line with six states a line.
+    Returns one row per input row: id, n_turns, roles (comma-joined), canonical. A null or blank text gives no turns and an
+    empty form; rows that repeat are parsed each by itself; other columns are ignored; an empty table gives no rows. Nothing is shuffled; a text is read line by
+    line with six states a line.
     """
     need(texts, id_col, text_col)
     kind = texts.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            turns = [parse(t or "") for t in b.column(1).to_pylist()]
+            turns = [parse(t or "", chances) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in turns], pa.int64()), pa.array([",".join(r for r, _ in x) for x in turns], pa.string()), pa.array([render(x) for x in turns], pa.string())], names=["id", "n_turns", "roles", "canonical"])
 
-    out = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_turns long, roles string, canonical string")
+    out = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), f"id {kind}, n_turns long, roles string, canonical string")
     return out.withColumnRenamed("id", id_col)

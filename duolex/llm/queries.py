@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import format_chats, transcripts
+from .chat import format_conversations
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import near_duplicates
@@ -40,8 +40,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = transcripts(load(spark, sf_dir, "conversations"))
-    return format_chats(texts.withColumn("key", F.struct("conv_id", "part")), "key").select("key.conv_id", "key.part", "n_turns", "roles", "canonical")
+    return format_conversations(load(spark, sf_dir, "conversations"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
