@@ -31,3 +31,23 @@ def test_stages(spark):
     assert sorted(ids[5]) == sorted(ids[4])
     slots = sharded.groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
     assert all(r["max(slot)"] + 1 == r["count(1)"] for r in slots)
+
+
+def test_odd_rows_and_none(spark, tmp_path):
+    """Null ids and texts, rows that repeat, columns of clashing names, and no rows at all, through every stage."""
+    from tests.llm.test_operators import SCHEMA, make_rows
+
+    rows = make_rows()
+    for name, some in (("odd", rows), ("none", [])):
+        path = str(tmp_path / name)
+        spark.createDataFrame(some, SCHEMA).write.parquet(path)
+        docs, tables = spark.read.parquet(path), Tables(spark)
+        columns = docs.columns
+        for stage, run in corpus_pipeline.STAGES:
+            before = docs
+            docs = tables.put(run(spark, before, SF), stage)
+            if stage != "sharding":
+                assert docs.columns == columns, stage
+            kept = {str(r) for r in docs.select("doc_id", "text").collect()}
+            assert kept <= {str(r) for r in before.select("doc_id", "text").collect()}
+            assert bool(kept) == bool(some), stage
