@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +29,39 @@ def margins(cells: DataFrame, value: str = "rel") -> DataFrame:
     return out.withColumn("margin", (F.col("_mr") + F.col("_mc")) / 2).drop("_rk", "_second", "_mr", "_mc")
 
 
+def kept_order(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """For each link (distinct ones) the share of those with both ends different that keep its order; 0.5 where there is none."""
+    others = len(s) + 1 - np.bincount(s)[s] - np.bincount(t)[t]
+    kept = np.zeros(len(s))
+    for lo in range(0, len(s), 256):  # so many links against all of the pair's
+        part = slice(lo, lo + 256)
+        kept[part] = (np.sign(s[part, None] - s) * np.sign(t[part, None] - t) > 0).sum(axis=1)
+    return np.where(others > 0, kept / np.maximum(others, 1), 0.5)
+
+
 def order_scores(method_links: DataFrame) -> DataFrame:
     """For each link the mean over its methods of the share of other links (with both ends different) that keep its order; and
-    in how many methods it is."""
-    a, b = method_links.alias("a"), method_links.alias("b")
-    other = F.expr("a.pair_id = b.pair_id and a.method = b.method and a.s != b.s and a.t != b.t")
-    kept = F.when(F.expr("(b.s - a.s) * (b.t - a.t) > 0"), 1.0).when(F.col("b.s").isNotNull(), 0.0)
-    each = a.join(b, other, "left").groupBy("a.pair_id", "a.method", "a.s", "a.t").agg(F.coalesce(F.avg(kept), F.lit(0.5)).alias("share"))
-    return each.groupBy("pair_id", "s", "t").agg(F.avg("share").alias("order_score"), F.count("*").alias("n_in"))
+    in how many methods it is. One row per pair goes to a kernel."""
+    packed = method_links.groupBy("pair_id").agg(F.collect_set(F.struct("method", F.col("s").cast("int").alias("s"), F.col("t").cast("int").alias("t"))).alias("links"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for pair, items in zip(b.column(0), b.column(1), strict=True):
+                items = items.values
+                s, t = (items.field(k).to_numpy().astype(np.int64) for k in ("s", "t"))
+                method = items.field("method").dictionary_encode().indices.to_numpy()
+                share = np.zeros(len(s))
+                for m in np.unique(method):
+                    at = np.flatnonzero(method == m)
+                    share[at] = kept_order(s[at], t[at])
+                keys, at, n = np.unique(s * (t.max() + 1) + t, return_inverse=True, return_counts=True)
+                ends = np.divmod(keys, t.max() + 1)
+                out.append(pa.RecordBatch.from_arrays([pa.array([pair.as_py()] * len(keys), pa.string()), *(pa.array(x.astype(np.int32)) for x in ends), pa.array(np.bincount(at, weights=share) / n), pa.array(n.astype(np.int64))], names=["pair_id", "s", "t", "order_score", "n_in"]))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return packed.mapInArrow(run, "pair_id string, s int, t int, order_score double, n_in long")
 
 
 def score_links(links: DataFrame, cells: DataFrame, method_links: DataFrame, sizes: DataFrame, n_methods: int, value: str = "rel") -> DataFrame:

@@ -89,15 +89,17 @@ def align_cells(tokenized: DataFrame, cells: DataFrame, method_links: DataFrame,
     value = "rel" if "rel" in cells.columns else "sim"
     key = ["pair_id", "s", "t"]
     tokens, sizes = token_rows(tokenized), sizes_of(tokenized)
-    method_links = staged(M.normalise(method_links, sizes), "links")
-    chosen = method_links.where(F.col("method") == method).select(*key)
-    ruled = rules.override(chosen, tokens)
-    model = scoring.score_links(ruled.where("not rule").select(*key), cells, method_links, sizes, len(methods), value)
-    links = model.withColumn("origin", F.lit("model")).unionByName(ruled.where("rule").select(*key, F.lit(1.0).alias("similarity"), F.lit(1.0).alias("confidence"), F.lit("rule").alias("origin")))
-    links = staged(links, "scored")
+    method_links = staged(M.normalise(method_links, sizes), "method-links")
+    # Links of all methods are scored once; what rules and repair leave or add is picked from them.
+    scored = staged(scoring.score_links(method_links.select(*key).distinct(), cells, method_links, sizes, len(methods), value), "scores")
+    pick = lambda name: method_links.where(F.col("method") == name).select(*key).join(scored, key)
+    ruled = rules.override(method_links.where(F.col("method") == method).select(*key), tokens)
+    model = ruled.where("not rule").select(*key).join(scored, key).withColumn("origin", F.lit("model"))
+    links = model.unionByName(ruled.where("rule").select(*key, F.lit(1.0).alias("similarity"), F.lit(1.0).alias("confidence"), F.lit("rule").alias("origin")))
+    links = staged(links, "links")
     groups = None
     if repair and repair.enabled:
-        found = R.one_to_one(R.candidates(links.select(*key), tokens, cells, method_links, sizes, len(methods), repair, value))
+        found = R.one_to_one(R.candidates(links.select(*key), tokens, pick("mwmf"), sizes, repair))
         links = links.unionByName(found.withColumn("origin", F.lit("repaired")))
         refined = staged(refine_pairs(tokenized, links, cells, vectors, repair), "refined")
         links = refined.select("pair_id", F.explode("links").alias("x")).select("pair_id", "x.*")

@@ -81,7 +81,8 @@ def _repair(x: Inputs) -> DataFrame:
     links, t = staged(links, "links"), x.tokenized()
     base = links.where("method = 'inter'").select("pair_id", "s", "t")
     r = Repair(max_position_distance=0.6, min_similarity=0.3, min_confidence=0.1)
-    return repair.one_to_one(repair.candidates(base, token_rows(t), cells, links, sizes_of(t), 3, r)).withColumns({c: F.round(c, 6) for c in ("similarity", "confidence")})
+    scored = scoring.score_links(links.where("method = 'mwmf'").select("pair_id", "s", "t"), cells, links, sizes_of(t), 3)
+    return repair.one_to_one(repair.candidates(base, token_rows(t), scored, sizes_of(t), r)).withColumns({c: F.round(c, 6) for c in ("similarity", "confidence")})
 
 
 def _flat(aligned: DataFrame) -> DataFrame:
