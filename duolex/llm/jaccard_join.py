@@ -244,11 +244,12 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
     classes = tables.put(made.where("n > 0").groupBy("sig").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "classes")
     reps = made.join(classes.select("node").hint("merge"), F.col("row") == F.col("node")).select("node", "n", "sig", "bits", "prefix", "parts")
     reps = tables.put(reps, "reps")
-    tables.sweep()
+    light = tables.put(made.select("id", "n", "sig"), "light")
+    tables.drop(made)
 
     lists = reps.select(F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x"), "node", F.col("n").cast("int").alias("n")).select(F.col("x.prefix").alias("h"), "x.parts", "node", "n", "pos")
     lists = lists.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(0).cast("int"))
-    order = lambda df: df.withColumn("r", F.xxhash64("h", "node")).repartition("h", "part").sortWithinPartitions("h", "part", "r").select("h", "part", "parts", "node", "n", "pos").mapInArrow(lean(_merge), _FOUND)
+    order = lambda df: df.repartition("h", "part").withColumn("r", F.xxhash64("h", "node")).sortWithinPartitions("h", "part", "r").select("h", "part", "parts", "node", "n", "pos").mapInArrow(lean(_merge), _FOUND)
     found = tables.put(order(lists), "found")
     tables.sweep()
     again = found.where("node is not null")
@@ -267,7 +268,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
     rooted = tables.put(rooted, "rooted")
     least = tables.put(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     named = tables.put(rooted.join(least, "root").select("sig", "component_id"), "named")
-    out = made.select("id", "n", "sig").join(named, "sig", "left")
+    out = light.join(named, "sig", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
