@@ -46,14 +46,14 @@ def plain_number(text: Column) -> Column:
     """The text in compatible form (NFKC) with ASCII digits, if that may be a number; any other text as it is."""
     forms = number_forms()
     table = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv])
-    odd = text.rlike(rf"\A[-+.%0-9{_class(forms)}]+\z") & text.rlike(r"[^\x00-\x7F]")
+    odd = text.rlike(r"[^\x00-\x7F]") & text.rlike(rf"\A[-+.%0-9{_class(forms)}]+\z")
     return F.when(odd, F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")).otherwise(text)
 
 
 def plain_digits(text: Column) -> Column:
     """The text with all decimal digits in ASCII."""
     digits = {c: d for c, d in number_forms().items() if unicodedata.decimal(c, None) is not None}
-    return F.translate(text, "".join(digits), "".join(digits.values()))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, "".join(digits), "".join(digits.values()))).otherwise(text)
 
 
 def _lookup(table: dict[str, int], key: Column) -> Column:
@@ -61,9 +61,8 @@ def _lookup(table: dict[str, int], key: Column) -> Column:
 
 
 def temporal(text: Column, following: Column) -> Column:
-    """(kind, value, len) of the month or year that begins at a token, given the next token if that is free; null if none does. A unit that a
-    number takes never begins a span, so looking one token ahead is enough."""
-    text = plain_digits(F.trim(text))
+    """(kind, value, len) of the month or year that begins at a token (in plain digits), given the next token if that is free; null if none does. A
+    unit that a number takes never begins a span, so looking one token ahead is enough."""
     named = _lookup(MONTHS, F.rtrim(F.translate(F.lower(text), "ſ", "s"), F.lit(".")))
     small = lambda digits: F.when(F.length(F.ltrim(digits, F.lit("0"))).between(1, 2), digits.try_cast("long"))
     month = lambda m: F.when(m.between(1, 12), m)
@@ -90,9 +89,8 @@ def number_text(c: Column) -> Column:
 
 
 def percentage(text: Column, following: Column) -> Column:
-    """(kind, value, len) of the percentage that begins at a token; null if none does."""
+    """(kind, value, len) of the percentage that begins at a token (as a plain number), given the next token if that is free; null if none does."""
     number = r"[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)"
-    text = plain_number(F.trim(text))
     alone, before = text.rlike(rf"\A{number}%\z"), text.rlike(rf"\A{number}\z") & (plain_number(F.trim(following)) == "%")
     told = lambda value, size: F.struct(F.lit("percent").alias("kind"), number_text(value).alias("value"), F.lit(size).alias("len"))
     return F.when(alone, told(F.regexp_replace(text, "%$", ""), 1)).when(before, told(text, 2))
@@ -106,11 +104,12 @@ def rule_spans(tokens: DataFrame, kinds: tuple[str, ...] = tuple(LEVELS)) -> Dat
     free = ~F.col("is_protected")
     makers = {
         "protected": F.when(~free, F.struct(F.lit("protected").alias("kind"), F.col("text").alias("value"), F.lit(1).alias("len"))),
-        "year": F.when(free, temporal(F.col("text"), F.col("following"))),
-        "percent": F.when(free, percentage(F.col("text"), F.col("following"))),
+        "year": F.when(free, temporal(F.col("dated"), F.col("following"))),
+        "percent": F.when(free & F.col("counted").rlike("[0-9]"), percentage(F.col("counted"), F.col("following"))),
     }
     found = F.array_compact(F.array(*[c for k, c in makers.items() if k in kinds]))
-    spans = tokens.withColumn("following", following).select("pair_id", "side", "idx", F.explode(found).alias("x")).select("pair_id", "side", "idx", "x.*")
+    told = tokens.withColumns({"following": following, "trimmed": F.trim("text")}).withColumns({"dated": plain_digits(F.col("trimmed")), "counted": plain_number(F.col("trimmed"))})
+    spans = told.select("pair_id", "side", "idx", F.explode(found).alias("x")).select("pair_id", "side", "idx", "x.*")
     return spans.withColumn("occ", F.row_number().over(Window.partitionBy("pair_id", "side", "kind", "value").orderBy("idx")))
 
 

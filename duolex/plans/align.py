@@ -148,8 +148,8 @@ def align(pairs: DataFrame, embedder: Embedder, method: str = "itermax", repair:
         raise ProcessingError(f"method {method} is not enabled")
     if {"source_language", "target_language"} <= set(pairs.columns):
         pairs = accept(pairs)[0]
-    # One exchange by pair: all windows and joins below keep it.
-    tokenized = staged(tokenize(pairs, segmenter), "tokens")
+    # Texts are dealt by pair before they grow into tokens and cells; all windows and joins below keep to pairs.
+    tokenized = staged(tokenize(pairs.repartition("pair_id"), segmenter), "tokens")
     vectors = embedder.embed(token_rows(tokenized)).repartition("pair_id")
     if repair and repair.enabled:
         vectors = staged(vectors, "vectors")

@@ -33,19 +33,20 @@ class Inputs:
         return conversation_pairs(self.table("conversations"))
 
     def tokenized(self) -> DataFrame:
-        return tokenize(self.pairs())
+        """Texts are dealt by pair before they are cut: what is derived from tokens needs no other exchange."""
+        return tokenize(self.pairs().repartition("pair_id"))
 
     def tokens(self) -> DataFrame:
         return token_rows(self.tokenized())
 
     def literal_tokens(self) -> DataFrame:
-        return token_rows(tokenize(literal_pairs(self.table("orders"))))
+        return token_rows(tokenize(literal_pairs(self.table("orders")).repartition("pair_id")))
 
     def embedder(self) -> HashEmbedder:
         return HashEmbedder(self.table("embeddings"))
 
     def vectors(self) -> DataFrame:
-        return self.embedder().embed(self.tokens().repartition("pair_id"))
+        return self.embedder().embed(self.tokens())
 
     def similarity(self) -> DataFrame:
         return C.similarity(self.vectors())
@@ -113,7 +114,7 @@ _OPERATORS = {
     "pairs": lambda x: x.pairs(),
     "tokenize": lambda x: x.tokens().select("pair_id", "side", "idx", "text"),
     "tokenize_literals": lambda x: x.literal_tokens().select("pair_id", "side", "idx", "text", "is_protected"),
-    "tokenize_pages": lambda x: token_rows(tokenize(x.table("pages").select(F.col("page_id").cast("string").alias("pair_id"), F.col("html").alias("source"), F.col("url").alias("target")))).select("pair_id", "side", "idx", "text", "start", "is_protected"),
+    "tokenize_pages": lambda x: token_rows(tokenize(x.table("pages").select(F.col("page_id").cast("string").alias("pair_id"), F.col("html").alias("source"), F.col("url").alias("target")).repartition("pair_id"))).select("pair_id", "side", "idx", "text", "start", "is_protected"),
     "token_classes": lambda x: x.literal_tokens().select("pair_id", "side", "idx", "is_protected", "is_content", "is_punctuation"),
     "token_offsets": lambda x: x.tokens().select("pair_id", "side", "idx", "start", "end"),
     "validate_pairs": _validated,
