@@ -146,6 +146,8 @@ def align(pairs: DataFrame, embedder: Embedder, method: str = "itermax", repair:
         raise ValueError(f"method must be one of {METHODS}")
     if method not in settings.methods:
         raise ProcessingError(f"method {method} is not enabled")
+    if settings.eager_load and hasattr(embedder, "warm_up"):
+        embedder.warm_up(pairs.sparkSession)
     if {"source_language", "target_language"} <= set(pairs.columns):
         pairs = accept(pairs)[0]
     # Texts are dealt by pair before they grow into tokens and cells; all windows and joins below keep to pairs.

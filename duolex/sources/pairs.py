@@ -32,7 +32,8 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     }
     raw = raw.withColumn("request_errors", broken(rules))
     pairs = raw.select("file", "line", "copy", "request_errors", "r.source_language", "r.target_language", F.coalesce("r.method", F.lit("itermax")).alias("method"), "r.repair", F.posexplode_outer("r.sentence_pairs").alias("idx", "p"))
-    return pairs.select(F.concat_ws(":", F.element_at(F.split("file", "/"), -1), "line", "copy", "idx").alias("pair_id"), "idx", "source_language", "target_language", "p.source", "p.target", "method", F.col("p.id").alias("id"), "repair", "request_errors")
+    request = F.concat_ws(":", F.element_at(F.split("file", "/"), -1), "line", "copy")
+    return pairs.select(F.concat_ws(":", request, "idx").alias("pair_id"), request.alias("request_id"), "idx", "source_language", "target_language", "p.source", "p.target", "method", F.col("p.id").alias("id"), "repair", "request_errors")
 
 
 def broken(rules: dict[str, Column]) -> Column:
