@@ -615,3 +615,25 @@ def test_chat_roles_with_lost_markers():
         right += got == [r for r, _ in turns]
         total += 1
     assert right >= 0.9 * total
+
+
+def test_substring_dedup_with_ids_of_text(spark):
+    rng = random.Random(31)
+    words = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
+    shared = words(60)
+    rows = [(f"d{i}" if i else None, " ".join(words(rng.randint(0, 15)) + shared[rng.randint(0, 10) : rng.randint(35, 60)] + words(5))) for i in range(14)]
+    rows.append(("d3x", " ".join([*shared, *words(3), *shared[5:40]])))
+    first, want = {}, []
+    order = lambda r: (r[0] is None, r[0] or "")
+    for r in rows:
+        w = r[1].split()
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            first[key] = min(first.get(key, (order(r), k)), (order(r), k))
+    for r in rows:
+        w = r[1].split()
+        gone = {p for k in range(len(w) - 19) if first[tuple(w[k : k + 20])] < (order(r), k) for p in range(k, k + 20)}
+        want.append((r[0], len(w), len(gone)))
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id string, text string"))
+    same(got.select("doc_id", "n_words", "n_removed").collect(), want)
+    assert sum(n for *_, n in want) > 200
