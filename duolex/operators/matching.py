@@ -82,17 +82,15 @@ def mwmf(cells: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, ss, ts = [], [], []
-            for pair, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                m = np.zeros((1 + max(x["s"] for x in items), 1 + max(x["t"] for x in items)))
-                for x in items:
-                    m[x["s"], x["t"]] = x["sim"]
-                for s, t in assign(m):
-                    if m[s, t] > 0:
-                        ids.append(pair)
-                        ss.append(s)
-                        ts.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ss, pa.int32()), pa.array(ts, pa.int32())], names=["pair_id", "s", "t"])
+            out = [pa.RecordBatch.from_arrays([pa.array([], k) for k in (pa.string(), pa.int32(), pa.int32())], names=["pair_id", "s", "t"])]
+            for pair, items in zip(b.column(0), b.column(1), strict=True):
+                s, t, sim = (items.values.field(k).to_numpy() for k in ("s", "t", "sim"))
+                m = np.zeros((1 + s.max(), 1 + t.max()))
+                m[s, t] = sim
+                ends = [at for at in assign(m) if m[at] > 0]
+                cols = zip(*ends, strict=True) if ends else ((), ())
+                out.append(pa.RecordBatch.from_arrays([pa.array([pair.as_py()] * len(ends), pa.string()), *(pa.array(c, pa.int32()) for c in cols)], names=["pair_id", "s", "t"]))
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return packed.mapInArrow(run, "pair_id string, s int, t int")
 

@@ -45,12 +45,12 @@ def refine_pairs(tokenized: DataFrame, links: DataFrame, cells: DataFrame, vecto
     link_kind = pa.struct([("s", pa.int32()), ("t", pa.int32()), ("origin", pa.string()), ("similarity", pa.float64()), ("confidence", pa.float64())])
     group_kind = pa.struct([("source_indices", pa.list_(pa.int32())), ("target_indices", pa.list_(pa.int32())), ("links", pa.list_(pa.struct([("s", pa.int32()), ("t", pa.int32())]))), ("similarity", pa.float64()), ("confidence", pa.float64())])
 
-    def one(row: dict) -> tuple[list, list]:
+    def one(row: dict, cells: pa.StructArray) -> tuple[list, list]:
         n, m = len(row["source_tokens"]), len(row["target_tokens"])
         sim, rel, conf = np.zeros((n, m)), np.zeros((n, m)), np.zeros((n, m))
         have, locked = np.zeros((n, m), bool), np.zeros((n, m), bool)
-        for x in row["cells"]:
-            sim[x["s"], x["t"]], rel[x["s"], x["t"]] = x["sim"], x["rel"]
+        at = cells.field("s").to_numpy(), cells.field("t").to_numpy()
+        sim[at], rel[at] = cells.field("sim").to_numpy(), cells.field("rel").to_numpy()
         for x in row["links"]:
             have[x["s"], x["t"]], conf[x["s"], x["t"]], locked[x["s"], x["t"]] = True, x["confidence"], x["origin"] == "rule"
         s, t = row["source_tokens"], row["target_tokens"]
@@ -71,7 +71,8 @@ def refine_pairs(tokenized: DataFrame, links: DataFrame, cells: DataFrame, vecto
 
     def run(batches):
         for b in batches:
-            out = [one(r) for r in b.to_pylist()]
+            k = b.schema.get_field_index("cells")
+            out = [one(r, c.values) for r, c in zip(b.drop_columns(["cells"]).to_pylist(), b.column(k), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.list_(link_kind)), pa.array([x[1] for x in out], pa.list_(group_kind))], names=["pair_id", "links", "groups"])
 
     classed = lambda side: F.transform(f"{side}_tokens", lambda x: F.struct(x["text"].alias("text"), x["is_protected"].alias("is_protected"), (~x["is_protected"] & x["text"].rlike(r"[\p{L}\p{N}]")).alias("is_content"), x["text"].rlike(r"\A\p{P}+\z").alias("is_punctuation"))).alias(f"{side}_tokens")
