@@ -19,7 +19,7 @@ from duolex.options import Repair, Settings
 from duolex.sources.languages import LANGUAGES, tokenizer_of
 from duolex.sources.model_files import model_access
 from duolex.sources.pairs import accept, read_requests, validate
-from duolex.sources.status import ready
+from duolex.sources.status import live, ready
 from duolex.streaming.pairs import tokenize_stream
 
 TEXTS = {
@@ -59,6 +59,7 @@ def test_languages():
 def test_settings():
     s = Settings.from_env({"ALIGNER_LAYER": "7", "ALIGNER_EAGER_LOAD": "yes", "ALIGNER_MATCHING_METHODS": "ma", "HF_MODEL_UPDATE_POLICY": " ALWAYS "})
     assert (s.layer, s.eager_load, s.methods, s.model_update_policy) == (7, True, ("mwmf", "inter"), "always")
+    assert live() == {"status": "ok"} and ready(Settings(), True)["load_mode"] == "lazy"
     assert ready(s, False) == {"status": "ready", "model": "xlmr", "model_loaded": False, "load_mode": "eager"}
     for bad in ({"token_type": "bpe"}, {"layer": -1}, {"confidence_temperature": 0.0}, {"model_update_policy": "never"}):
         with pytest.raises(ValueError):
@@ -199,6 +200,30 @@ def test_matching_is_optimal():
             assert abs(sum(w[s, t] for s, t in got) - best) < 1e-9
 
 
+def best_weight(w: np.ndarray) -> float:
+    """The heaviest matching that uses every row, by sets of used columns."""
+    best = {0: 0.0}
+    for row in w:
+        more = {}
+        for used, x in best.items():
+            for j, y in enumerate(row):
+                if not used >> j & 1 and more.get(used | 1 << j, -1.0) < x + y:
+                    more[used | 1 << j] = x + y
+        best = more
+    return max(best.values())
+
+
+@pytest.mark.parametrize("shape", [(7, 7), (5, 11), (10, 10), (12, 6), (1, 12)])
+def test_larger_matchings_are_optimal(shape):
+    rng = np.random.default_rng(sum(shape))
+    for digits in (1, 3):
+        for _ in range(4):
+            w = rng.random(shape).round(digits)
+            got = assign(w)
+            assert len(got) == min(shape) == len({s for s, _ in got}) == len({t for _, t in got})
+            assert abs(sum(w[s, t] for s, t in got) - best_weight(w if shape[0] <= shape[1] else w.T)) < 1e-9
+
+
 def test_components():
     m = np.zeros((4, 4), bool)
     for at in ((0, 1), (2, 1), (3, 3), (1, 0)):
