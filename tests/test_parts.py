@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import random
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ from duolex.errors import told
 from duolex.operators.cells import check_cells
 from duolex.operators.model import ModelEmbedder, pooled, subwords, word_means
 from duolex.operators.refine import components
-from duolex.operators.rules import number_text, percent_links, temporal_links
+from duolex.operators.rules import number_text, override, percent_links, protected_links, temporal_links
 from duolex.operators.tokens import segment_array, token_array, tokenize
 from duolex.options import Repair, Settings
 from duolex.sources.languages import LANGUAGES, tokenizer_of
@@ -200,6 +201,29 @@ def test_matching_is_optimal():
             assert abs(sum(w[s, t] for s, t in got) - best) < 1e-9
 
 
+def test_later_rules_win(spark):
+    """Random tokens and links: the override in one pass against the rules laid over the links one after the other."""
+    rng = random.Random(9)
+    words = ["{{a}}", "{{b}}", "2024", "年", "5", "月", "May", "5%", "%", "05", "x", "y", "五月", "1999年"]
+    rows, given = [], []
+    for k in range(400):
+        n, m = rng.randint(1, 7), rng.randint(1, 7)
+        for side, size in (("source", n), ("target", m)):
+            rows += [(str(k), side, i, (w := rng.choice(words)), w[0] == "{") for i in range(size)]
+        given += [(str(k), s, t) for s in range(n) for t in range(m) if rng.random() < 0.3]
+    tokens = spark.createDataFrame(rows, "pair_id string, side string, idx int, text string, is_protected boolean").cache()
+    out = set(given)
+    kept_off = {(p, side, i) for p, side, i, _, protected in rows if protected}
+    found = [{(r.pair_id, r.s, r.t) for r in f(tokens).collect()} for f in (protected_links, temporal_links, percent_links)]
+    out = {(p, s, t) for p, s, t in out if (p, "source", s) not in kept_off and (p, "target", t) not in kept_off} | found[0]
+    for links in found[1:]:
+        left, right = {(p, s) for p, s, _ in links}, {(p, t) for p, _, t in links}
+        out = {(p, s, t) for p, s, t in out if (p, s) not in left and (p, t) not in right} | links
+    got = override(spark.createDataFrame(given, "pair_id string, s int, t int"), tokens).collect()
+    assert {(r.pair_id, r.s, r.t) for r in got} == out and len(got) == len(out)
+    assert all(r.rule == any((r.pair_id, r.s, r.t) in x for x in found) for r in got) and min(map(len, found)) > 30
+
+
 def best_weight(w: np.ndarray) -> float:
     """The heaviest matching that uses every row, by sets of used columns."""
     best = {0: 0.0}
