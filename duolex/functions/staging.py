@@ -23,3 +23,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_pair(df: DataFrame) -> DataFrame:
+    """Deals rows by pair to as many tasks as shuffles have. Texts are small before they grow into tokens and cells, so the number isn't left to their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id")

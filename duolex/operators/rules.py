@@ -97,10 +97,11 @@ def percentage(text: Column, following: Column) -> Column:
 
 
 def rule_spans(tokens: DataFrame, kinds: tuple[str, ...] = tuple(LEVELS)) -> DataFrame:
-    """All spans (pair_id, side, idx, kind, value, len, occ) of the rules, in one pass over the tokens of a pair; occ counts the equal keys of a side."""
-    tokens = tokens.select("pair_id", "side", "idx", "text", "is_protected").repartition("pair_id")
-    w = Window.partitionBy("pair_id", "side").orderBy("idx")
-    following = F.when(~F.lead("is_protected").over(w), F.lead("text").over(w))
+    """All spans (pair_id, side, idx, kind, value, len, occ) of the rules, in one pass over the tokens of a pair; occ counts the equal keys of a side.
+    Tokens that have their `following` stay where they are, and only spans are dealt by pair; others are dealt to find it."""
+    if "following" not in tokens.columns:
+        w = Window.partitionBy("pair_id", "side").orderBy("idx")
+        tokens = tokens.select("pair_id", "side", "idx", "text", "is_protected").repartition("pair_id").withColumn("following", F.when(~F.lead("is_protected").over(w), F.lead("text").over(w)))
     free = ~F.col("is_protected")
     makers = {
         "protected": F.when(~free, F.struct(F.lit("protected").alias("kind"), F.col("text").alias("value"), F.lit(1).alias("len"))),
@@ -108,9 +109,9 @@ def rule_spans(tokens: DataFrame, kinds: tuple[str, ...] = tuple(LEVELS)) -> Dat
         "percent": F.when(free & F.col("counted").rlike("[0-9]"), percentage(F.col("counted"), F.col("following"))),
     }
     found = F.array_compact(F.array(*[c for k, c in makers.items() if k in kinds]))
-    told = tokens.withColumns({"following": following, "trimmed": F.trim("text")}).withColumns({"dated": plain_digits(F.col("trimmed")), "counted": plain_number(F.col("trimmed"))})
+    told = tokens.withColumn("trimmed", F.trim("text")).withColumns({"dated": plain_digits(F.col("trimmed")), "counted": plain_number(F.col("trimmed"))})
     spans = told.select("pair_id", "side", "idx", F.explode(found).alias("x")).select("pair_id", "side", "idx", "x.*")
-    return spans.withColumn("occ", F.row_number().over(Window.partitionBy("pair_id", "side", "kind", "value").orderBy("idx")))
+    return spans.repartition("pair_id").withColumn("occ", F.row_number().over(Window.partitionBy("pair_id", "side", "kind", "value").orderBy("idx")))
 
 
 def match_spans(spans: DataFrame) -> DataFrame:

@@ -110,9 +110,18 @@ def tokenize(pairs: DataFrame, segmenter: Callable | None = None) -> DataFrame:
     return pairs
 
 
-def token_rows(tokenized: DataFrame) -> DataFrame:
-    """Long form, with the token classes."""
-    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_tokens").alias("tokens"))
+def token_rows(tokenized: DataFrame, following: bool = False) -> DataFrame:
+    """Long form, with the token classes; with `following` also the text of the next token where that isn't protected, which is at hand as long as
+    tokens stand in an array."""
+
+    def side(s):
+        tokens = F.col(f"{s}_tokens")
+        if following:
+            ahead = lambda i: F.get(tokens, i + 1)
+            tokens = F.transform(tokens, lambda x, i: F.struct(*[x[c].alias(c) for c in ("index", "text", "start", "end", "is_protected")], F.when(~ahead(i)["is_protected"], ahead(i)["text"]).alias("following")))
+        return F.struct(F.lit(s).alias("side"), tokens.alias("tokens"))
+
     rows = tokenized.select("pair_id", F.explode(F.array(side("source"), side("target"))).alias("x")).select("pair_id", "x.side", F.explode("x.tokens").alias("t"))
-    rows = rows.select("pair_id", "side", F.col("t.index").alias("idx"), "t.text", "t.start", "t.end", "t.is_protected")
+    more = [F.col("t.following").alias("following")] if following else []
+    rows = rows.select("pair_id", "side", F.col("t.index").alias("idx"), "t.text", "t.start", "t.end", "t.is_protected", *more)
     return rows.withColumns({"is_content": is_content(F.col("text"), F.col("is_protected")), "is_punctuation": is_punctuation(F.col("text"))})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ProcessingError
-from ..functions.staging import staged
+from ..functions.staging import by_pair, staged
 from ..operators import cells as C
 from ..operators import groups as G
 from ..operators import matching as M
@@ -94,7 +94,7 @@ def align_cells(tokenized: DataFrame, cells: DataFrame, method_links: DataFrame,
     # Links of all methods are scored once; what rules and repair leave or add is picked from them.
     scored = staged(scoring.score_links(method_links.select(*key).distinct(), cells, method_links, sizes, len(methods), value), "scores")
     pick = lambda name: method_links.where(F.col("method") == name).select(*key).join(scored, key)
-    ruled = rules.override(method_links.where(F.col("method") == method).select(*key), tokens)
+    ruled = rules.override(method_links.where(F.col("method") == method).select(*key), token_rows(tokenized, following=True))
     model = ruled.where("not rule").select(*key).join(scored, key).withColumn("origin", F.lit("model"))
     links = model.unionByName(ruled.where("rule").select(*key, F.lit(1.0).alias("similarity"), F.lit(1.0).alias("confidence"), F.lit("rule").alias("origin")))
     links = staged(links, "links")
@@ -152,7 +152,7 @@ def align(pairs: DataFrame, embedder: Embedder, method: str = "itermax", repair:
     if {"source_language", "target_language"} <= set(pairs.columns):
         pairs = accept(pairs)[0]
     # Texts are dealt by pair before they grow into tokens and cells; all windows and joins below keep to pairs.
-    tokenized = staged(tokenize(pairs.repartition("pair_id"), segmenter), "tokens")
+    tokenized = staged(tokenize(by_pair(pairs), segmenter), "tokens")
     vectors = embedder.embed(token_rows(tokenized)).repartition("pair_id")
     if repair and repair.enabled:
         vectors = staged(vectors, "vectors")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import goldens
-from .functions.staging import staged
+from .functions.staging import by_pair, staged
 from .operators import cells as C
 from .operators import groups, matching, regions, repair, rules, scoring, spans
 from .operators.tokens import token_rows, tokenize
@@ -34,13 +34,13 @@ class Inputs:
 
     def tokenized(self) -> DataFrame:
         """Texts are dealt by pair before they are cut: what is derived from tokens needs no other exchange."""
-        return tokenize(self.pairs().repartition("pair_id"))
+        return tokenize(by_pair(self.pairs()))
 
     def tokens(self) -> DataFrame:
         return token_rows(self.tokenized())
 
     def literal_tokens(self) -> DataFrame:
-        return token_rows(tokenize(literal_pairs(self.table("orders")).repartition("pair_id")))
+        return token_rows(tokenize(by_pair(literal_pairs(self.table("orders")))), following=True)
 
     def embedder(self) -> HashEmbedder:
         return HashEmbedder(self.table("embeddings"))
@@ -114,7 +114,7 @@ _OPERATORS = {
     "pairs": lambda x: x.pairs(),
     "tokenize": lambda x: x.tokens().select("pair_id", "side", "idx", "text"),
     "tokenize_literals": lambda x: x.literal_tokens().select("pair_id", "side", "idx", "text", "is_protected"),
-    "tokenize_pages": lambda x: token_rows(tokenize(x.table("pages").select(F.col("page_id").cast("string").alias("pair_id"), F.col("html").alias("source"), F.col("url").alias("target")).repartition("pair_id"))).select("pair_id", "side", "idx", "text", "start", "is_protected"),
+    "tokenize_pages": lambda x: token_rows(tokenize(by_pair(x.table("pages").select(F.col("page_id").cast("string").alias("pair_id"), F.col("html").alias("source"), F.col("url").alias("target"))))).select("pair_id", "side", "idx", "text", "start", "is_protected"),
     "token_classes": lambda x: x.literal_tokens().select("pair_id", "side", "idx", "is_protected", "is_content", "is_punctuation"),
     "token_offsets": lambda x: x.tokens().select("pair_id", "side", "idx", "start", "end"),
     "validate_pairs": _validated,
