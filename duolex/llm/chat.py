@@ -81,11 +81,12 @@ class Chances:
         self.unmarked = np.where(new, _log(1 - marked), _log(1 - STRAY))
         self.told = np.where(new[:, None], _log(marked * told), _log(STRAY / len(ROLES)))
 
-    def emission(self, line: str, blank_before: bool) -> np.ndarray:
-        """Log chance of a line in each state."""
-        role, rest = read_marker(line)
-        has = np.array(features(rest, blank_before))
-        return (self.unmarked if role is None else self.told[:, ROLES.index(role)]) + np.where(has, self.on, self.off).sum(axis=1)
+    def emissions(self, lines: list[tuple[int, str, bool]]) -> np.ndarray:
+        """Log chances of lines (number, line, whether blank lines stand before it), one row each, in each state."""
+        read = [read_marker(line) for _, line, _ in lines]
+        has = np.array([features(rest, blank) for (_, rest), (_, _, blank) in zip(read, lines, strict=True)], float)
+        by_role = np.vstack([self.told.T, self.unmarked])
+        return by_role[[len(ROLES) if role is None else ROLES.index(role) for role, _ in read]] + has @ (self.on - self.off).T + self.off.sum(axis=1)
 
 
 #: What is assumed of transcripts where no rows with roles are at hand: counts of an invented hundred turns.
@@ -161,7 +162,7 @@ def parse(text: str, chances: Chances = ASSUMED) -> list[tuple[str, str]]:
     lines = solid(text)
     if not lines:
         return []
-    path = viterbi(np.array([chances.emission(x, blank) for _, x, blank in lines]), chances)
+    path = viterbi(chances.emissions(lines), chances)
     return [(r, t) for r, t, _ in turns_of(text, {i: s for (i, _, _), s in zip(lines, path, strict=True)})]
 
 
@@ -183,19 +184,20 @@ def read_back(canonical: str) -> list[tuple[str, str]]:
     return [(r, re.sub(r"\\([\\|])", r"\1", t)) for r, t in found]
 
 
-def pages(conversations: DataFrame, tables: Tables, page: int = PAGE) -> DataFrame:
-    """Pieces (conv_id, page, text, n_rows) of up to `page` rows of a conversation, from rows (conv_id, turn, role, text). Rows are numbered once over all conversations, in
+def pages(conversations: DataFrame, tables: Tables, page: int = PAGE) -> tuple[DataFrame, DataFrame]:
+    """(the numbered rows; pieces (conv_id, page, text)) of up to `page` rows of a conversation, from rows (conv_id, turn, role, text). Rows are numbered once over all conversations, in
     the order of conversation, turn (null ones last), role and a hash of the text; rows that repeat keep apart. A page is a run of numbers, so one
     conversation of any length is many groups of bounded size. A row with a role is marked with it."""
     need(conversations, "conv_id", "turn", "role", "text")
+    scratch = Tables(conversations.sparkSession)
     rows = conversations.select("conv_id", "turn", F.lower(F.trim(F.col("role").cast("string"))).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"tie": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
-    numbered, _ = number_rows(tables.put(rows, "rows"), ["conv_id", "turn", "role", "tie", "at"], tables)
+    numbered, _ = number_rows(scratch.put(rows, "rows"), ["conv_id", "turn", "role", "tie", "at"], scratch)
+    numbered = tables.put(numbered.select("conv_id", F.floor(F.col("n") / page).alias("page"), "n", "role", "text"), "numbered")
+    scratch.clear()
     marked = F.concat(F.when(F.col("role").isin(*ROLES) & F.col("text").rlike(r"\S"), F.concat(F.initcap("role"), F.lit(": "))).otherwise(""), "text")
-    numbered = numbered.select("conv_id", F.floor(F.col("n") / page).alias("page"), "n", "role", "text", marked.alias("line"))
-    numbered = tables.put(numbered, "numbered")
-    lines = F.array_sort(F.collect_list(F.struct("n", "line")))
-    return numbered, tables.put(numbered.groupBy("conv_id", "page").agg(F.concat_ws("\n\n", F.transform(lines, lambda x: x["line"])).alias("text"), F.count("*").alias("n_rows")), "pages")
+    lines = F.array_sort(F.collect_list(F.struct("n", marked.alias("line"))))
+    return numbered, tables.put(numbered.groupBy("conv_id", "page").agg(F.concat_ws("\n\n", F.transform(lines, lambda x: x["line"])).alias("text")), "pages")
 
 
 def learn_chances(numbered: DataFrame) -> Chances:
@@ -253,17 +255,14 @@ def format_conversations(conversations: DataFrame, page: int = PAGE) -> DataFram
     def score(batches):
         for b in batches:
             begins, moves = [], []
-            for i, t in enumerate(b.column(2).to_pylist()):
-                lines = solid(t, b.column(1)[i].as_py() > b.column(3)[i].as_py())
-                v, m = across(np.array([sent.value.emission(x, blank) for _, x, blank in lines]), sent.value) if lines else (None, None)
+            for t in b.column(2).to_pylist():
+                lines = solid(t, True)
+                v, m = across(sent.value.emissions(lines), sent.value) if lines else (None, None)
                 begins.append(None if v is None else v.tolist())
                 moves.append(None if m is None else m.ravel().tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(begins, pa.list_(pa.float64())), pa.array(moves, pa.list_(pa.float64()))], names=["conv_id", "page", "begins", "moves"])
 
-    first = made.groupBy("conv_id").agg(F.min("page").alias("first"))
-    made = made.withColumnRenamed("conv_id", "c").join(first.select(F.col("conv_id").alias("d"), "first"), F.expr("c <=> d")).select(F.col("c").alias("conv_id"), "page", "text", "first", "n_rows")
-    made = tables.put(made, "first")
-    scored = tables.put(made.select("conv_id", "page", "text", "first").mapInArrow(lean(score), f"conv_id {kind}, page long, begins array<double>, moves array<double>"), "scored")
+    scored = tables.put(made.select("conv_id", "page", "text").mapInArrow(lean(score), f"conv_id {kind}, page long, begins array<double>, moves array<double>"), "scored")
 
     def fold(batches):
         """Rows sorted by conversation and page."""
@@ -290,24 +289,29 @@ def format_conversations(conversations: DataFrame, page: int = PAGE) -> DataFram
 
     ends = scored.where("begins is not null").repartition("conv_id").sortWithinPartitions("conv_id", "page").mapInArrow(lean(fold), f"conv_id {kind}, page long, entry int, last int")
     ends = tables.put(ends.select(F.col("conv_id").alias("c"), F.col("page").alias("p"), "entry", "last"), "ends")
-    known = numbered.groupBy("conv_id", "page").agg(F.count_if(F.col("role").isin(*ROLES)).alias("n_told")).select(F.col("conv_id").alias("kc"), F.col("page").alias("kp"), "n_told")
-    both = made.join(ends, F.expr("conv_id <=> c and page = p"), "left").join(known, F.expr("conv_id <=> kc and page = kp"))
+    # What is known of each page without its text: rows, told roles, its place among the conversation's pages, the states beside it.
+    known = numbered.groupBy("conv_id", "page").agg(F.count("*").alias("n_rows"), F.count_if(F.col("role").isin(*ROLES)).alias("n_told"))
+    known = tables.put(known.select(F.col("conv_id").alias("kc"), F.col("page").alias("kp"), "n_rows", "n_told"), "known")
+    first = known.groupBy("kc").agg(F.min("kp").alias("first")).select(F.col("kc").alias("fc"), "first")
+    known = known.join(first, F.expr("kc <=> fc")).join(ends, F.expr("kc <=> c and kp = p"), "left").select("kc", "kp", (F.col("kp") - F.col("first")).alias("place"), "n_rows", "n_told", "entry", "last")
+    both = made.join(tables.put(known, "marks"), F.expr("conv_id <=> kc and page = kp"))
+    tables.drop(numbered, scored)
 
     def decode(batches):
         for b in batches:
             out = []
-            for _, page_, text, first_, _, entry, last, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                lines, turns = solid(text, page_ > first_), []
+            for text, entry, last in zip(*(b.column(k).to_pylist() for k in (2, 5, 6)), strict=True):
+                lines, turns = solid(text, True), []
                 if lines:
-                    path = viterbi(np.array([sent.value.emission(x, blank) for _, x, blank in lines]), sent.value, entry, last)
+                    path = viterbi(sent.value.emissions(lines), sent.value, entry, last)
                     turns = turns_of(text, {i: s for (i, _, _), s in zip(lines, path, strict=True)})
                 shown = [(r, t) for r, t, _ in turns]
-                out.append((page_ - first_, len(turns), bool(turns) and not turns[0][2], ",".join(r for r, _ in shown), render(shown)))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            p, n, c, r, t = (pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string()), strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), p, n, c, b.column(4), b.column(7), r, t], names=["conv_id", "page", "n_turns", "continued", "n_rows", "n_told", "roles", "canonical"])
+                out.append((len(turns), bool(turns) and not turns[0][2], ",".join(r for r, _ in shown), render(shown)))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            n, c, r, t = (pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.bool_(), pa.string(), pa.string()), strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, c, b.column(3), b.column(4), r, t], names=["conv_id", "page", "n_turns", "continued", "n_rows", "n_told", "roles", "canonical"])
 
-    return both.select("conv_id", "page", "text", "first", "n_rows", "entry", "last", "n_told").mapInArrow(lean(decode), f"conv_id {kind}, page long, n_turns long, continued boolean, n_rows long, n_told long, roles string, canonical string")
+    return both.select("conv_id", "place", "text", "n_rows", "n_told", "entry", "last").mapInArrow(lean(decode), f"conv_id {kind}, page long, n_turns long, continued boolean, n_rows long, n_told long, roles string, canonical string")
 
 
 def format_chats(texts: DataFrame, id_col: str = "conv_id", text_col: str = "text", chances: Chances = ASSUMED) -> DataFrame:
