@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode
 from .chat import format_conversations
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .fill_in_middle import fill_in_middle, restored
+from .filter_audit import filter_audit
 from .jaccard_join import near_duplicates
 from .language_id import held_out, identify, learn
 from .mixing import mix_sources
@@ -19,6 +22,7 @@ from .token_counts import count_tokens
 
 SEED = 20240229
 TOKENIZER = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +70,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(BYTE_TOKENIZER)
+    out = bpe_decode(bpe_encode(load(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_remove_repeats": op2_remove_repeats,
@@ -77,6 +98,9 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_shard": op9_shard,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_bpe": op12_bpe,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _OP2 = r"""
@@ -122,5 +146,31 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+k AS (SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain' WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM k)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN len(p) END AS prefix_chars, CASE WHEN form != 'plain' THEN len(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT part, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic,
+    concat(CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END, CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) THEN 'C' END,
+        CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 'E' END) AS fails FROM d),
+s AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+r AS (SELECT part, filter_order, step::INT AS step, filter_order[step] AS x, sum(n) FILTER (translate(fails, filter_order[1:step], '') = fails) AS kept,
+    sum(n) FILTER (contains(fails, filter_order[step]) AND translate(fails, filter_order[1:step - 1], '') = fails) AS removed,
+    sum(n) FILTER (contains(fails, filter_order[step]) AND translate(fails, filter_order[1:step - 1], '') != fails) AS redundant, sum(n) FILTER (fails = filter_order[step]) AS unique_fails,
+    sum(n) FILTER (good AND contains(fails, filter_order[step]) AND translate(fails, filter_order[1:step - 1], '') = fails) AS good_lost,
+    sum(n) FILTER (toxic AND contains(fails, filter_order[step]) AND translate(fails, filter_order[1:step - 1], '') = fails) AS toxic_lost FROM s, o, (SELECT unnest(range(1, 6)) AS step) GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+    coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM r
+"""
 
-ORACLES = {"op2_remove_repeats": _OP2, "op7_decontaminate": _OP7, "op8_near_duplicates": _OP8, "op10_exact_dedup": _OP10}
+ORACLES = {"op2_remove_repeats": _OP2, "op7_decontaminate": _OP7, "op8_near_duplicates": _OP8, "op10_exact_dedup": _OP10, "op11_fill_in_middle": _OP11, "op13_filter_audit": _OP13}

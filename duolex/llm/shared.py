@@ -192,8 +192,8 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out[: len(h) - n + 1])
 
 
-def blocks(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
-    """Pieces of a batch whose texts have up to `most` bytes, one row at least; nulls as empty texts."""
+def blocks(batch: pa.RecordBatch, column: int, most: int = 4_000_000, empty: str | bytes = ""):
+    """Pieces of a batch whose texts have up to `most` bytes, one row at least; nulls as `empty`."""
     texts = batch.column(column)
     sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
@@ -201,5 +201,5 @@ def blocks(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
         piece = batch.slice(i, j - i)
-        yield piece, piece.column(column).fill_null("")
+        yield piece, piece.column(column).fill_null(empty)
         i = j
