@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import sys
 from array import array
 from itertools import islice
 
@@ -17,11 +18,12 @@ from .shared import blocks, lean, need
 
 #: Fixed value: how the byte-level kind of tokenizer cuts a text into units before it merges.
 UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Results of so many units are kept in a worker, of units up to so many characters; and of so many pairs of tokens.
-KEPT, KEPT_CHARS, KEPT_PAIRS = 300_000, 128, 3_000_000
+#: Results of so many units, twice, are kept in a worker, of units up to so many characters; and of so many pairs of tokens.
+KEPT, KEPT_CHARS, KEPT_PAIRS = 300_000, 128, 1_000_000
 #: Pieces of more characters are cut into units bit by bit.
 AT_ONCE = 1_000_000
 NEVER = 1 << 62
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def byte_letters() -> list[str]:
@@ -58,10 +60,7 @@ class Vocabulary:
         early = all(self.rank.get(x, -1) < r for (a, b), r in self.rank_of.items() for x in (a, b))
         if not early or len(self.parts) != len(pairs):
             raise ValueError("merges must each make a new token out of earlier ones")
-        self.letters = byte_letters()
-        byte_of = {c: b for b, c in enumerate(self.letters)}
-        self.to_letters = dict(enumerate(self.letters))
-        self.size = {i: len(t) for t, i in ids.items()}
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
         self.spoken = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in [*ids.items(), *((t["content"], t["id"]) for t in added)]}
         self.added = {t["content"]: t["id"] for t in added}
         names = sorted(map(regex.escape, self.added), key=len, reverse=True)
@@ -72,10 +71,10 @@ class Vocabulary:
         for i in sorted(self.parts, key=self.rank.get):
             if whole.issuperset(self.parts[i]) and self.first_crossing(*self.parts[i]) == self.parts[i]:
                 whole.add(i)
-        self.ends = ahocorasick.Automaton()
-        for t, i in ids.items():
-            if i in whole:
-                self.ends.add_word(t, i)
+        self.size = {i: len(t) for t, i in ids.items()}
+        self.ends = ahocorasick.Automaton()  # over bytes, as letters below 256
+        for i in whole:
+            self.ends.add_word(self.spoken[i].decode("latin-1"), (i, self.size[i]))
         self.ends.make_automaton()
 
     def spine(self, token: int, side: int) -> list[int]:
@@ -107,28 +106,46 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether b may follow a in an encoding."""
-        key = (a, b)
+        key = a << 32 | b
         if key not in self.fits:
             if len(self.fits) >= KEPT_PAIRS:
                 self.fits.clear()
             self.fits[key] = self.first_crossing(a, b) is None
         return self.fits[key]
 
+    def encode_units(self, units: list[str]) -> list[list[int]]:
+        """Ids of units, each by itself. For every prefix the one token that ends its encoding is stored: of the tokens that the automaton finds there, the one
+        that is compatible with the last token of what is before it. The ids are read off from a unit's end. The automaton runs over all units at once, with a
+        letter between them that is in no token."""
+        told = [u if u.isascii() else u.encode("utf-8", "surrogatepass").decode("latin-1") for u in units]
+        last = array("i", [-1]) * (sum(map(len, told)) + len(told) + 1)
+        at = 0
+        for t in told:
+            last[at] = -2  # a unit begins
+            at += len(t) + 1
+        fits, compatible = self.fits.get, self.compatible
+        for end, (token, size) in self.ends.iter(chr(256).join(told)):
+            end += 1
+            if last[end] == -1:
+                before = last[end - size]
+                if before >= 0:
+                    fit = fits(before << 32 | token)
+                    if compatible(before, token) if fit is None else fit:
+                        last[end] = token
+                elif before == -2:
+                    last[end] = token
+        out, at, size = [], 0, self.size
+        for t in told:
+            ids, k = [], at + len(t)
+            while k > at:
+                ids.append(last[k])
+                k -= size[ids[-1]]
+            out.append(ids[::-1])
+            at += len(t) + 1
+        return out
+
     def encode_unit(self, unit: str) -> list[int]:
-        """Ids of one unit. For every prefix the one token that ends its encoding is stored: of the tokens that the automaton finds there, the one that is
-        compatible with the last token of what is before it. The ids are read off from the end."""
-        told = unit.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_letters)
-        last, size, compatible = array("i", [-1]) * (len(told) + 1), self.size, self.compatible
-        for end, token in self.ends.iter(told):
-            if last[end + 1] < 0:
-                begin = end + 1 - size[token]
-                if begin == 0 or (last[begin] >= 0 and compatible(last[begin], token)):
-                    last[end + 1] = token
-        out, at = [], len(told)
-        while at:
-            out.append(last[at])
-            at -= size[out[-1]]
-        return out[::-1]
+        return self.encode_units([unit])[0]
 
 
 @functools.lru_cache(2)
@@ -136,34 +153,59 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Encoder(dict):
-    """Encodes texts; remembers units, as most come again and again."""
+class Encoder:
+    """Encodes texts; remembers units, as most come again and again: those of late and, until these are as many again, those before."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.v = vocabulary(path)
-
-    def __missing__(self, unit: str) -> bytes:
-        out = np.array(self.v.encode_unit(unit), "<u4").tobytes()
-        if len(unit) <= KEPT_CHARS:
-            if len(self) >= KEPT:
-                self.clear()
-            self[unit] = out
+        self.v, self.known, self.before = vocabulary(path), {}, {}
+
+    def learn(self, units: list[str]) -> None:
+        """Makes all of the units known."""
+        known, before = self.known, self.before
+        new = [u for u in set(units) if u not in known]
+        for u in new:
+            if u in before:
+                known[u] = before[u]
+        new = [u for u in new if u not in known]
+        for u, ids in zip(new, self.v.encode_units(new), strict=True):
+            known[u] = array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
+
+    def forget(self) -> None:
+        if len(self.known) > KEPT:
+            self.before, self.known = {u: x for u, x in self.known.items() if len(u) <= KEPT_CHARS}, {}
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned integers of 32 bits. Added tokens in a text are what they stand for."""
+        v, out, ready = self.v, [], []
+        for text in texts:
+            cut = []
+            for piece in v.special.split(text) if v.special else [text]:
+                if piece in v.added:
+                    cut.append(np.array([v.added[piece]], "<u4").tobytes())
+                elif len(piece) <= AT_ONCE:
+                    cut.append(UNIT.findall(piece))
+                else:
+                    found = UNIT.finditer(piece)
+                    while some := [m[0] for m in islice(found, 100_000)]:
+                        self.learn(some)
+                        cut.append(b"".join(map(self.known.__getitem__, some)))
+                        self.forget()
+            ready.append(cut)
+        self.learn([u for cut in ready for x in cut if isinstance(x, list) for u in x])
+        get = self.known.__getitem__
+        for cut in ready:
+            out.append(b"".join(b"".join(map(get, x)) if isinstance(x, list) else x for x in cut))
+        self.forget()
         return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned integers of 32 bits. Added tokens in the text are what they stand for."""
-        v, out = self.v, []
-        for piece in v.special.split(text) if v.special else [text]:
-            if piece in v.added:
-                out.append(np.array([v.added[piece]], "<u4").tobytes())
-            elif len(piece) <= AT_ONCE:
-                out += map(self.__getitem__, UNIT.findall(piece))
-            else:
-                found = UNIT.finditer(piece)
-                while some := [m[0] for m in islice(found, 100_000)]:
-                    out.append(b"".join(map(self.__getitem__, some)))
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+
+@functools.lru_cache(2)
+def encoder_of(path: str) -> Encoder:
+    """A worker's own; it serves all of its tasks."""
+    return Encoder(path)
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,10 +222,10 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
-            for piece, texts in blocks(batch, 1):
-                ids = pa.array([encoder.encode(t) for t in texts.to_pylist()], pa.binary())
+            for piece, texts in blocks(batch, 1, 1_000_000):
+                ids = pa.array(encoder.encode_all(texts.to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column(0), ids], names=["id", "ids"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -201,10 +243,10 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        spoken = vocabulary(path).spoken
+        spoken = vocabulary(path).spoken.get
         for batch in batches:
             for piece, ids in blocks(batch, 1, empty=b""):
-                texts = [b"".join(spoken.get(i, b"") for i in np.frombuffer(x, "<u4").tolist()).decode("utf-8", "replace") for x in ids.to_pylist()]
+                texts = [b"".join(spoken(i, b"") for i in np.frombuffer(x, "<u4").tolist()).decode("utf-8", "replace") for x in ids.to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column(0), ids, pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     out = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))

@@ -96,8 +96,10 @@ def test_bpe_of_odd_texts(path, library, monkeypatch):
     parts = ["the quick ", "é中😀", "  ", "\n\n", "international", "<|endoftext|>", "<|endof", "aaaa", " 12345", "\0", "ﬁ", "'s", "'ll", "\x1c", "\x85", "　", "abab", "====", "́"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 80))) for _ in range(600)]
     texts += ["".join(rng.choice("ab eEhtn'.-=") for _ in range(rng.randint(1, 300))) for _ in range(300)] + [f"a{chr(c)} b{chr(c)}1" for c in range(0x20, 0x3000, 3)]
-    for t in texts:
-        ids = ids_of(encoder.encode(t))
+    whole = encoder.encode_all(texts)
+    for t, b in zip(texts, whole, strict=True):
+        ids = ids_of(b)
+        assert b == encoder.encode(t)
         assert ids == library.encode(t, add_special_tokens=False).ids, t
         assert b"".join(encoder.v.spoken[i] for i in ids).decode("utf-8", "replace") == library.decode(ids, skip_special_tokens=False)
 
