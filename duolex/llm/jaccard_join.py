@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import math
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -100,25 +101,30 @@ def required(n, m):
     return -(-LEAST * (n + m) // (100 + LEAST))
 
 
-def divide_skip(query: np.ndarray, found: list[np.ndarray]) -> list[int]:
+def inverted(query: np.ndarray, found: list[np.ndarray]) -> list[list[int]]:
+    """Of the shingles of `query` that some of the sets `found` has, the lists of the sets that have them, each rising: all shingles sorted once."""
+    shingle, member = np.concatenate(found), np.repeat(np.arange(len(found)), [len(s) for s in found])
+    at = np.minimum(np.searchsorted(query, shingle), len(query) - 1)
+    mine = query[at] == shingle
+    at, member = at[mine], member[mine]
+    order = np.argsort(at * len(found) + member)
+    edges = np.flatnonzero(np.diff(at[order])) + 1
+    return [x.tolist() for x in np.split(member[order], edges) if len(x)]
+
+
+def divide_skip(query: np.ndarray, found: list[np.ndarray], seen: Counter | None = None) -> list[int]:
     """Which of the sets `found` are linked with `query`, by T-occurrence search over the inverted lists of the query's shingles.
 
     T is the least intersection that any of them needs. The L longest lists are set aside; the others are merged by a heap, in which lists
     skip ahead by binary search where fewer than T - L could agree. What occurs T - L times is looked up in the long lists by binary
-    search, and stays if it reaches the intersection its own size asks for."""
+    search, and stays if it reaches the intersection its own size asks for. Nothing else counts. `seen` is told of heads popped, places skipped and lists probed."""
+    seen = Counter() if seen is None else seen
     need_ = [int(required(len(query), len(s))) for s in found]
-    inside = [np.searchsorted(query, s[np.isin(s, query, assume_unique=True)]) for s in found]
-    # Sets that are too small or share too little are in too few lists.
-    live = [k for k, x in enumerate(inside) if len(x) >= need_[k]]
-    if not live:
+    lists = sorted(inverted(query, found), key=len)
+    if not lists:
         return []
-    shingle = np.concatenate([inside[k] for k in live])
-    member = np.repeat(live, [len(inside[k]) for k in live])
-    order = np.lexsort((member, shingle))
-    edges = np.flatnonzero(np.diff(shingle[order], prepend=-1))
-    lists = sorted((x.tolist() for x in np.split(member[order], edges[1:])), key=len)
-    least = min(need_[k] for k in live)
-    n_long = min(least - 1, int(least / (PROBE * math.log2(len(lists[-1]) + 1) + 1)))
+    least = min(need_)
+    n_long = max(0, min(least - 1, len(lists) - 1, int(least / (PROBE * math.log2(len(lists[-1]) + 1) + 1))))
     short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
     enough = least - n_long
     heap = [(x[0], k, 0) for k, x in enumerate(short)]
@@ -130,9 +136,12 @@ def divide_skip(query: np.ndarray, found: list[np.ndarray]) -> list[int]:
             popped.append(heapq.heappop(heap))
         if len(popped) >= enough:
             count = len(popped)
-            for x in long_:
+            for k, x in enumerate(long_):
+                if count >= need_[top] or count + len(long_) - k < need_[top]:
+                    break
                 at = bisect_left(x, top)
                 count += at < len(x) and x[at] == top
+                seen["probed"] += 1
             if count >= need_[top]:
                 out.append(top)
             ahead = top + 1
@@ -142,8 +151,10 @@ def divide_skip(query: np.ndarray, found: list[np.ndarray]) -> list[int]:
             if not heap:
                 break
             ahead = heap[0][0]
-        for _, k, at in popped:
-            at = bisect_left(short[k], ahead, at)
+        seen["popped"] += len(popped)
+        for _, k, was in popped:
+            at = bisect_left(short[k], ahead, was)
+            seen["skipped"] += max(0, at - was - 1)
             if at < len(short[k]):
                 heapq.heappush(heap, (short[k][at], k, at))
     return out
