@@ -82,8 +82,8 @@ def _running(*by: str, order: tuple):
 
 def _edge(rows: DataFrame, turned: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """What a source's last, partial epoch takes of the block that its rest ends in: (source, idx, block, below, fit), documents of a hash under
-    `below` or up to `fit`; and (source, idx, block, only), one further document. Documents go in by hash while they fit; what then is
-    missing is made up by the document, of all that are left, whose size is nearest to it."""
+    `below` or up to `fit`; and (source, idx, block, only), further documents. Documents go in by hash while they fit; what then is
+    missing is filled from all that are left, largest first, until no document fits; one more is taken if the target is nearer so."""
     same = F.expr("a.source <=> b.source")
     edge = turned.where("upto - words < rest and upto > rest").select("source", "idx", "block", F.col("block").alias("prefix"), (F.col("upto") - F.col("words")).alias("before"), "rest")
     edge = tables.put(edge, "edge")
@@ -97,10 +97,24 @@ def _edge(rows: DataFrame, turned: DataFrame, tables: Tables) -> tuple[DataFrame
     last = tables.put(last, "fits")
     # Left are the blocks behind the edge in the source's order, and what of the edge doesn't fit.
     open_ = turned.alias("a").join(last.alias("b"), same).where("upto > rest").select("a.source", "a.block", "b.idx", F.when(F.expr("a.block = b.block"), F.col("below")).alias("below"), F.when(F.expr("a.block = b.block"), F.col("fit")).alias("fit"), "gap")
-    off = F.abs(F.col("size") - F.col("gap"))
-    more = rows.alias("a").join(tables.put(open_, "open").alias("b"), same & F.expr("a.block = b.block")).where("size > 0 and not coalesce(hash < below, false) and not coalesce(hash <= fit, false)")
-    more = more.groupBy("b.source", "idx").agg(F.min(F.struct(off.alias("off"), "hash")).alias("best"), F.first("gap").alias("gap")).where("best.off < gap")
-    more = tables.put(more.select("source", "idx", _prefix(BLOCK_BITS, "best.hash").alias("block"), F.col("best.hash").alias("only")), "extras")
+    left = rows.alias("a").join(tables.put(open_, "open").alias("b"), same & F.expr("a.block = b.block")).where("size > 0 and size < 2 * gap and not coalesce(hash < below, false) and not coalesce(hash <= fit, false)")
+    left = left.groupBy("b.source", "idx", "gap", "hash").agg(F.sum("size").alias("size")).where("size < 2 * gap")
+    left = tables.put(left.withColumn("block", _prefix(BLOCK_BITS)), "left")
+    # Largest first, as many of each size as still fit; at last one of the smallest that are left, if that is nearer. Sizes of twice the gap are out, so
+    # an array has two entries at most for each word of the gap.
+    sizes = left.groupBy("source", "idx", "gap", "size").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("source", "idx", "gap").agg(F.sort_array(F.collect_list(F.struct("size", "k")), asc=False).alias("sizes"))
+    fill = """aggregate(sizes, named_struct('gap', cast(gap as double), 'least', 0L, 'out', cast(array() as array<struct<size: bigint, k: bigint>>)),
+        (a, x) -> if(x.size > a.gap, named_struct('gap', a.gap, 'least', x.size, 'out', a.out), named_struct('gap', a.gap - x.size * least(x.k, floor(a.gap / x.size)),
+            'least', if(x.k > floor(a.gap / x.size), x.size, a.least), 'out', concat(a.out, array(named_struct('size', x.size, 'k', least(x.k, floor(a.gap / x.size))))))),
+        a -> if(a.least > 0 and a.least < 2 * a.gap, concat(a.out, array(named_struct('size', a.least, 'k', 1L))), a.out))"""
+    wanted = sizes.select("idx", F.explode(F.expr(fill)).alias("x")).groupBy("idx", "x.size").agg(F.sum("x.k").alias("take"))
+    wanted = tables.put(wanted, "wanted")
+    # Of a size those of least hash: first within each block, then of what the blocks send on.
+    for by in (("idx", "size", "block"), ("idx", "size")):
+        left = left if "take" in left.columns else left.join(wanted, ["idx", "size"])
+        left = left.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("hash"))).where("nth <= take").drop("nth")
+    more = tables.put(left.select("source", "idx", "block", F.col("hash").alias("only")), "extras")
     return last.drop("gap"), more
 
 
@@ -170,8 +184,8 @@ def mix_sources(docs: DataFrame, levels: int = 3, seed: int = 20240229, id_col:
 
     Targets: sources in code-point order (null last) weigh 1, 2, 3, 1, ... and share all words; a source's target
     stops at 3 times its words. A source's documents are cut into blocks by hash. Its quota is exact: all its blocks as often as the target
-    allows, then blocks in an order of its own while they fit, then of one more block the documents that fit and the one document of
-    nearest size. The quotas go down a tree: at each node half of the entries go left, of each source a multivariate-hypergeometric
+    allows, then blocks in an order of its own while they fit, then of one more block the documents that fit by hash, then of all others the
+    largest that fit until none does, and one more if the target is nearer so: no document that a source could still take would bring it nearer. The quotas go down a tree: at each node half of the entries go left, of each source a multivariate-hypergeometric
     number; leaves are the output shards. A shard draws as many of each source's permuted entries as its leaf says, disjoint from all others, and
     orders their rows by `place`. What a row is taken is what the shards have drawn of its block. Only ids, sizes and sums per block are
     shuffled; the hash of the id alone decides, so reruns agree and copies of a row are treated alike.
