@@ -68,6 +68,14 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
     return both.select(F.concat_ws(":", "conv_id", "turn", "k").alias("pair_id"), empty("source"), empty("target"))
 
 
+def turn_pairs(conversations: DataFrame) -> DataFrame:
+    """Each turn, whole and whatever its role, beside the turn behind it; the last one, and one that nothing has the number of, beside an empty text. Keyed by (conv_id, turn)."""
+    behind = conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+    both = conversations.select("conv_id", "turn", F.col("text").alias("source")).join(behind, ["conv_id", "turn"], "left")
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return both.select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"), empty("source"), empty("target"))
+
+
 def literal_pairs(orders: DataFrame) -> DataFrame:
     """Pairs with placeholders, dates and percentages on both sides, written from the orders."""
     month = F.element_at(F.array(*map(F.lit, MONTHS)), F.month("o_orderdate"))
