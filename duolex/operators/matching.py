@@ -43,10 +43,12 @@ def itermax(cells: DataFrame, alpha: float = ALPHA, rounds: int = ROUNDS) -> Dat
     return out.where("linked").select("pair_id", "s", "t")
 
 
-def assign(weight: np.ndarray) -> list[tuple[int, int]]:
-    """A matching of greatest weight, every row or column of the shorter side used: shortest augmenting paths with potentials."""
+def solve(weight: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """(a matching of greatest weight, potentials of rows, of columns), every row or column of the shorter side used: shortest augmenting paths. The potentials prove
+    it: no cell weighs more than the sum of its two, a matched one exactly that, and on the longer side none is negative and unmatched ones are 0; so the matching weighs
+    what all potentials add up to, and none weighs more."""
     if weight.size == 0:
-        return []
+        return [], np.zeros(weight.shape[0]), np.zeros(weight.shape[1])
     flip = weight.shape[0] > weight.shape[1]
     cost = -(weight.T if flip else weight)
     n, m = cost.shape
@@ -73,26 +75,62 @@ def assign(weight: np.ndarray) -> list[tuple[int, int]]:
             before = via[last]
             owner[last] = owner[before] if before >= 0 else i
             last = before
-    return sorted((int(j), int(owner[j])) if flip else (int(owner[j]), int(j)) for j in range(m) if owner[j] >= 0)
+    ends = sorted((int(j), int(owner[j])) if flip else (int(owner[j]), int(j)) for j in range(m) if owner[j] >= 0)
+    return (ends, -v, -u) if flip else (ends, -u, -v)
 
 
-def mwmf(cells: DataFrame) -> DataFrame:
-    """Maximum-weight matching: one row per pair goes to a kernel, no group is larger than a pair's matrix."""
+def assign(weight: np.ndarray) -> list[tuple[int, int]]:
+    return solve(weight)[0]
+
+
+_SOLVED = "pair_id string, side string, s int, t int, potential double"
+
+
+def solved(cells: DataFrame) -> DataFrame:
+    """Links of the maximum-weight matching (side null: s, t) and the potential of each token (side source: s, target: t): one row per pair goes to a kernel, no group is larger than
+    a pair's matrix."""
     packed = cells.groupBy("pair_id").agg(F.collect_list(F.struct("s", "t", "sim")).alias("cells"))
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64())
+    names = [x.split(" ")[0] for x in _SOLVED.split(", ")]
 
     def run(batches):
         for b in batches:
-            out = [pa.RecordBatch.from_arrays([pa.array([], k) for k in (pa.string(), pa.int32(), pa.int32())], names=["pair_id", "s", "t"])]
-            for pair, items in zip(b.column(0), b.column(1), strict=True):
+            rows = []
+            for pair, items in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s, t, sim = (items.values.field(k).to_numpy() for k in ("s", "t", "sim"))
                 m = np.zeros((1 + s.max(), 1 + t.max()))
                 m[s, t] = sim
-                ends = [at for at in assign(m) if m[at] > 0]
-                cols = zip(*ends, strict=True) if ends else ((), ())
-                out.append(pa.RecordBatch.from_arrays([pa.array([pair.as_py()] * len(ends), pa.string()), *(pa.array(c, pa.int32()) for c in cols)], names=["pair_id", "s", "t"]))
-            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                ends, row, column = solve(m)
+                rows += [(pair, None, i, j, None) for i, j in ends if m[i, j] > 0]
+                rows += [(pair, "source", i, None, x) for i, x in enumerate(row.tolist())]
+                rows += [(pair, "target", None, j, x) for j, x in enumerate(column.tolist())]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return packed.mapInArrow(run, _SOLVED)
 
-    return packed.mapInArrow(run, "pair_id string, s int, t int")
+
+def mwmf(cells: DataFrame) -> DataFrame:
+    """Maximum-weight matching."""
+    return solved(cells).where("side is null").select("pair_id", "s", "t")
+
+
+def certificate(cells: DataFrame, found: DataFrame, slack: float = 1e-9) -> DataFrame:
+    """(pair_id, n_links, weight, dual, violated): whether the links and potentials of `found` (as of `solved`) prove each other. `violated` counts cells that weigh more than their
+    potentials, links that weigh less, tokens with two links, and tokens of the longer side with a negative potential or, unlinked, with one; with none of them, and weight and dual
+    the same, no matching weighs more. Every cell is looked at by joins with the potentials; the kernel isn't asked."""
+    links = found.where("side is null").select("pair_id", "s", "t", F.lit(1).alias("linked"))
+    potential = lambda side, c: found.where(F.col("side") == side).select("pair_id", c, F.col("potential").alias(f"p_{c}"))
+    both = cells.select("pair_id", "s", "t", "sim").join(potential("source", "s"), ["pair_id", "s"]).join(potential("target", "t"), ["pair_id", "t"]).join(links, ["pair_id", "s", "t"], "left")
+    over, under = F.col("sim") > F.col("p_s") + F.col("p_t") + slack, F.col("linked").isNotNull() & (F.col("sim") < F.col("p_s") + F.col("p_t") - slack)
+    by_cell = both.groupBy("pair_id").agg(F.count("linked").alias("n_links"), F.sum(F.when(F.col("linked").isNotNull(), F.col("sim"))).alias("weight"), F.count_if(over | under).alias("bad_cells"), (F.count_distinct("s") >= F.count_distinct("t")).alias("s_longer"), (F.count_distinct("t") >= F.count_distinct("s")).alias("t_longer"))
+    tokens = found.where("side is not null").select("pair_id", "side", F.coalesce("s", "t").alias("idx"), "potential")
+    used = links.select("pair_id", F.explode(F.expr("array(struct('source' as side, s as idx), struct('target' as side, t as idx))")).alias("x")).groupBy("pair_id", "x.side", "x.idx").agg(F.count("*").alias("n"))
+    by_token = tokens.join(used, ["pair_id", "side", "idx"], "left").join(by_cell, "pair_id")
+    longer = F.when(F.col("side") == "source", F.col("s_longer")).otherwise(F.col("t_longer")) & ~(F.col("s_longer") & F.col("t_longer"))
+    bad = (F.coalesce("n", F.lit(0)) > 1) | (longer & ((F.col("potential") < -slack) | (F.col("n").isNull() & (F.col("potential") > slack))))
+    out = by_token.groupBy("pair_id", "n_links", "weight", "bad_cells").agg(F.sum("potential").alias("dual"), F.count_if(bad).alias("bad_tokens"))
+    return out.select("pair_id", "n_links", "weight", "dual", (F.col("bad_cells") + F.col("bad_tokens")).alias("violated"))
 
 
 MATCHERS = {"fwd": forward, "rev": reverse, "inter": inter, "itermax": itermax, "mwmf": mwmf}

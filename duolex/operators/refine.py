@@ -13,10 +13,10 @@ from typing import NamedTuple
 import numpy as np
 
 from ..options import Repair
+from .partition import Region, partitions
 
-#: Fixed values of the refinement: tokens of both sides that one partition may span; cost of a segment.
+#: Fixed value of the refinement: tokens of both sides that one partition may span.
 LOCAL_TOKENS = 64
-SEGMENT_COST = 0.02
 TINY = 1e-12
 
 
@@ -98,6 +98,36 @@ def components(cells: np.ndarray) -> list[np.ndarray]:
     return [at[[i for i in range(len(at)) if find(i) == r]] for r in sorted({find(i) for i in range(len(at))})]
 
 
+def rising_chain(t: list[int], weight: list[float]) -> list[int]:
+    """Of items in order, with distinct t, the heaviest chain (their places) whose t rise; of equal ones the longest, then the one whose last item,
+    and before it whose item before, comes first. Weights count to a millionth, so equal sums are equal. A Fenwick tree over t
+    keeps for each prefix its best chain, as one number: weight, length, and how early it ends. n log n steps."""
+    n = len(t)
+    bits = max(1, n.bit_length())
+    rank = {x: k + 1 for k, x in enumerate(sorted(t))}
+    tree, before = [0] * (n + 1), [-1] * n
+    best, last = 0, -1
+    for k in range(n):
+        i, under = rank[t[k]] - 1, 0
+        while i:
+            under = max(under, tree[i])
+            i &= i - 1
+        if under:
+            before[k] = n - (under & ((1 << bits) - 1))
+        own = ((under >> bits) + (round(weight[k] * 1e6) << bits) + 1) << bits | n - k
+        if own > best:
+            best, last = own, k
+        i = rank[t[k]]
+        while i <= n:
+            tree[i] = max(tree[i], own)
+            i += i & -i
+    chain = []
+    while last >= 0:
+        chain.append(last)
+        last = before[last]
+    return chain[::-1]
+
+
 class Refiner:
     def __init__(self, pair: Pair, repair: Repair):
         self.p, self.o = pair, repair
@@ -260,62 +290,27 @@ class Refiner:
         return min(s[b.rows].mean(), t[b.cols].mean()) >= self.o.min_span_coverage
 
     # ------------------------------------------------------------ partition of a region
-    def partition(self, b: Box, own: np.ndarray) -> list[Box] | None:
-        n, m = b.shape
-        if n + m > LOCAL_TOKENS:
-            return None
+    def region(self, b: Box, own: np.ndarray) -> Region:
         held = np.zeros_like(self.locked)
         held[b.rows, b.cols] = self.locked[b.rows, b.cols]
-        locks = [(sorted(set(c[:, 0].tolist())), sorted(set(c[:, 1].tolist()))) for c in components(held)]
-        whole = (list(range(b.s0, b.s1)), list(range(b.t0, b.t1)))
-        if n <= self.o.max_source_span and m <= self.o.max_target_span and (not locks or whole in locks):
-            return [b]
+        locks = [(sorted({s - b.s0 for s in c[:, 0].tolist()}), sorted({t - b.t0 for t in c[:, 1].tolist()})) for c in components(held)]
+        p = self.p
+        vec = (None, None) if p.s_vec is None or p.t_vec is None else (p.s_vec[b.rows], p.t_vec[b.cols])
+        return Region(p.sim[b.rows, b.cols], p.rel[b.rows, b.cols], own[b.rows, b.cols], *vec, locks)
 
-        def worth(box: Box) -> float | None:
-            """Score of a segment, None where it isn't allowed."""
-            ids = (list(range(box.s0, box.s1)), list(range(box.t0, box.t1)))
-            exact = ids in locks
-            if any(ids != k and (set(ids[0]) & set(k[0]) or set(ids[1]) & set(k[1])) for k in locks):
-                return None
-            if min(box.shape) > 1 and not exact:
-                at = np.argwhere(own[box.rows, box.cols])
-                if not any(a[0] < c[0] and a[1] > c[1] for a, c in itertools.combinations(at.tolist(), 2)):
-                    return None
-            i, j = box.s1 - b.s0, box.t1 - b.t0
-            if n >= m:
-                off = abs(i - math.floor(j * n / m + 0.5))
-            else:
-                off = abs(j - math.floor(i * m / n + 0.5))
-            even = max(0.0, 1.0 - off / max(n, m))
-            score = 0.45 * self.box_similarity(box) + 0.10 * block_score(self.p.rel, box.rows, box.cols) + 0.45 * even
-            return score * sum(box.shape) - SEGMENT_COST
-
-        # Of each point (i, j) that segments can lead to: score, number of segments, the point before.
-        points: dict[tuple[int, int], tuple[float, int, tuple[int, int] | None]] = {(0, 0): (0.0, 0, None)}
-
-        def shapes(at) -> list[tuple[int, int]]:
-            out = []
-            while (before := points[at][2]) is not None:
-                out.append((at[0] - before[0], at[1] - before[1]))
-                at = before
-            return out[::-1]
-
-        for i, j in itertools.product(range(1, n + 1), range(1, m + 1)):
-            froms = itertools.product(range(max(0, i - self.o.max_source_span), i), range(max(0, j - self.o.max_target_span), j))
-            steps = [(x, worth(Box(b.s0 + x[0], b.s0 + i, b.t0 + x[1], b.t0 + j))) for x in froms if x in points]
-            steps = [(points[x][0] + w, points[x][1] + 1, x) for x, w in steps if w is not None]
-            if steps:
-                top = max(steps)[0]
-                tied = [x for x in steps if math.isclose(x[0], top, abs_tol=TINY)]
-                # Few segments, then large ones first.
-                points[i, j] = max(tied, key=lambda x: (-x[1], [*shapes(x[2]), (i - x[2][0], j - x[2][1])])) if len(tied) > 1 else tied[0]  # noqa: B023
-        if (n, m) not in points:
+    def fits_whole(self, b: Box, region: Region) -> bool:
+        """The region is within the limits and is, if anything of it is locked, one locked component."""
+        within = b.shape[0] <= self.o.max_source_span and b.shape[1] <= self.o.max_target_span
+        return within and (not region.locks or (list(range(b.shape[0])), list(range(b.shape[1]))) in region.locks)
+
+    def partition(self, b: Box, own: np.ndarray) -> list[Box] | None:
+        if sum(b.shape) > LOCAL_TOKENS:
             return None
-        out, s, t = [], b.s0, b.t0
-        for high, wide in shapes((n, m)):
-            out.append(Box(s, s + high, t, t + wide))
-            s, t = s + high, t + wide
-        return out
+        region = self.region(b, own)
+        if self.fits_whole(b, region):
+            return [b]
+        (found,) = partitions([region], self.o.max_source_span, self.o.max_target_span)
+        return found and [Box(b.s0 + s0, b.s0 + s1, b.t0 + t0, b.t0 + t1) for s0, s1, t0, t1 in found]
 
     def stable(self, b: Box, own: np.ndarray) -> bool:
         sub = own[b.rows, b.cols]
@@ -326,22 +321,7 @@ class Refiner:
         """Of sure links between content tokens with no other link, the rising chain of greatest confidence; of equal ones the longest."""
         p = self.p
         at = [(s, t) for s, t in self.one_to_one(self.links) if p.conf[s, t] >= least and p.s_content[s] and p.t_content[t]]
-        if not at:
-            return []
-        s, t = np.array(at).T
-        own = p.conf[s, t]
-        weight, length, before = own.copy(), np.ones(len(at), int), np.full(len(at), -1)
-        for k in range(len(at)):
-            under = np.flatnonzero((s[:k] < s[k]) & (t[:k] < t[k]))
-            if len(under):
-                heavy = under[np.isclose(weight[under], weight[under].max(), rtol=1e-9, atol=TINY)]
-                before[k] = heavy[np.argmax(length[heavy])]
-                weight[k], length[k] = own[k] + weight[before[k]], 1 + length[before[k]]
-        k, chain = int(np.lexsort((-np.arange(len(at)), length, weight))[-1]), []
-        while k >= 0:
-            chain.append(at[k])
-            k = int(before[k])
-        return chain[::-1]
+        return [at[k] for k in rising_chain([t for _, t in at], [p.conf[x] for x in at])]
 
     def soft_islands(self) -> tuple[np.ndarray, np.ndarray]:
         n, m = self.links.shape

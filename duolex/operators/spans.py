@@ -18,10 +18,25 @@ def matrix_span_score(spans: DataFrame, cells: DataFrame, value: str = "sim") ->
     return rows.join(columns, key).select(*key, F.sqrt(F.greatest(F.lit(0.0), F.col("f") * F.col("r"))).alias("score"))
 
 
+def span_members(spans: DataFrame) -> DataFrame:
+    """(pair_id, span, side, idx): the tokens of spans that are ranges on both sides."""
+    on = lambda side, name: F.expr(f"transform(sequence(cast({side}0 as int), cast({side}1 as int) - 1), i -> struct('{name}' as side, i as idx))")
+    held = spans.where("s1 > s0 and t1 > t0").select("pair_id", "span", F.explode(F.concat(on("s", "source"), on("t", "target"))).alias("x"))
+    return held.select("pair_id", "span", "x.side", "x.idx")
+
+
+def mean_similarity(members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(pair_id, span, similarity): (cos + 1) / 2 of the mean vectors of both sides of sets of tokens (pair_id, span, side, idx), rounded to 6 digits; none where a side is
+    empty or its mean has no length. A side's vectors are added where they meet, one row a token."""
+    held = members.join(vectors, ["pair_id", "side", "idx"]).groupBy("pair_id", "span", "side").agg(F.array_sort(F.collect_list(F.struct("idx", "vec"))).alias("v"))
+    total = held.withColumn("sum", F.expr("aggregate(slice(v, 2, size(v)), v[0].vec, (a, x) -> zip_with(a, x.vec, (p, q) -> p + q))"))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("sum")))
+    both = total.groupBy("pair_id", "span").agg(side("source").alias("a"), side("target").alias("b"))
+    dot = lambda x, y: F.expr(f"aggregate(zip_with({x}, {y}, (p, q) -> p * q), 0D, (a, x) -> a + x)")
+    cos = both.withColumns({"d": dot("a", "b"), "n": F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b"))}).where("n > 0")
+    return cos.select("pair_id", "span", bounded((F.col("d") / F.col("n") + 1) / 2).alias("similarity"))
+
+
 def span_similarity(spans: DataFrame, vectors: DataFrame) -> DataFrame:
     """(cos + 1) / 2 of the mean vectors of both sides, rounded to 6 digits; a span with an empty side has none."""
-    v = vectors.select(F.col("pair_id").alias("vp"), "side", "idx", F.posexplode("vec").alias("dim", "x"))
-    inside = F.expr("pair_id = vp and ((side = 'source' and idx >= s0 and idx < s1) or (side = 'target' and idx >= t0 and idx < t1))")
-    mean = spans.join(v, inside).groupBy("pair_id", "span", "dim").agg(F.avg(F.when(F.col("side") == "source", F.col("x"))).alias("a"), F.avg(F.when(F.col("side") == "target", F.col("x"))).alias("b"))
-    cos = mean.groupBy("pair_id", "span").agg((F.sum(F.col("a") * F.col("b")) / (F.sqrt(F.sum(F.col("a") * F.col("a"))) * F.sqrt(F.sum(F.col("b") * F.col("b"))))).alias("cos"))
-    return cos.where("cos is not null").select("pair_id", "span", bounded((F.col("cos") + 1) / 2).alias("similarity"))
+    return mean_similarity(span_members(spans), vectors)

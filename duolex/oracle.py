@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import goldens
+import re
+
 from .functions.text import PROTECTED_RE2, TOKEN_RE2
 from .operators.rules import MONTHS, NUMERALS
-from .sources.languages import LANGUAGES, tokenizer_of
 from .sources.pairs import MONTHS as WRITTEN
 
 
@@ -26,6 +26,8 @@ CTES = {
         for name, side, back in (("asked", "user", 0), ("given", "assistant", 1))
     },
     "talk": (["asked", "given"], "SELECT concat_ws(':', conv_id, turn, k) AS pair_id, coalesce(u.text, '') AS source, coalesce(a.text, '') AS target FROM asked u FULL JOIN given a USING (conv_id, turn, k)"),
+    # Each turn beside the one behind it.
+    "turns": ([], "SELECT concat_ws(':', conv_id, c.turn) AS pair_id, coalesce(c.text, '') AS source, coalesce(d.text, '') AS target FROM conversations c LEFT JOIN (SELECT conv_id, turn - 1 AS turn, text FROM conversations) d USING (conv_id, turn)"),
     "lit": (
         [],
         f"""SELECT 'o' || o_orderkey AS pair_id,
@@ -39,7 +41,7 @@ CTES = {
             f"""SELECT pair_id, side, (unnest(range(len(x))))::INT AS idx, unnest(x) AS text FROM (SELECT pair_id, 'source' AS side, regexp_extract_all(source, '{_q(TOKEN_RE2)}') AS x FROM {p}
             UNION ALL SELECT pair_id, 'target', regexp_extract_all(target, '{_q(TOKEN_RE2)}') FROM {p})""",
         )
-        for p in ("talk", "lit", "page")
+        for p in ("talk", "lit", "page", "turns")
     },
     **{f"{p}_tokens": ([f"{p}_tok"], f"SELECT *, regexp_matches(text, '{_q(PROTECTED_RE2)}') AS is_protected FROM {p}_tok") for p in ("talk", "lit", "page")},
     "sizes": (["talk_tok"], "SELECT pair_id, count(*) FILTER (side = 'source') AS n_s, count(*) FILTER (side = 'target') AS n_t FROM talk_tok GROUP BY pair_id"),
@@ -178,6 +180,161 @@ CTES = {
     ),
 }
 
+def _sets(spans: str) -> str:
+    """The tokens of spans (pair_id, s0, s1, t0, t1)."""
+    return f"SELECT pair_id, s0, s1, t0, t1, 'source' AS side, unnest(range(s0, s1)) AS idx FROM {spans} UNION ALL SELECT pair_id, s0, s1, t0, t1, 'target', unnest(range(t0, t1)) FROM {spans}"
+
+
+def _likeness(sets: str, *keys: str) -> str:
+    """(cos + 1) / 2 of the sums of vectors on both sides of sets of tokens, from the products of all their tokens."""
+    k = ", ".join(keys)
+    both = " AND ".join(f"a.{x} = b.{x}" for x in keys)
+    part = lambda x, y: f"sum(d) FILTER (a.side = '{x}' AND b.side = '{y}')"
+    return f"""SELECT {', '.join(f'a.{x}' for x in keys)}, round(greatest(0, least(1, ({part('source', 'target')} / (sqrt({part('source', 'source')}) * sqrt({part('target', 'target')})) + 1) / 2)), 6) AS similarity
+        FROM {sets} a JOIN {sets} b ON {both} JOIN dots ON dots.pair_id = a.pair_id AND dots.x = a.side AND dots.i = a.idx AND dots.y = b.side AND dots.j = b.idx GROUP BY {', '.join(f'a.{x}' for x in keys)}"""
+
+
+def _block(spans: str) -> str:
+    """Root of the mean row maximum times the mean column maximum of the relative matrix of spans."""
+    k = "pair_id, s0, s1, t0, t1"
+    cell = f"(SELECT {k}, s, t, rel FROM (SELECT *, unnest(range(t0, t1)) AS t FROM (SELECT *, unnest(range(s0, s1)) AS s FROM {spans})) JOIN rel USING (pair_id, s, t))"
+    return f"SELECT * FROM (SELECT {k}, avg(m) AS f FROM (SELECT {k}, s, max(rel) AS m FROM {cell} GROUP BY ALL) GROUP BY ALL) JOIN (SELECT {k}, avg(m) AS r FROM (SELECT {k}, t, max(rel) AS m FROM {cell} GROUP BY ALL) GROUP BY ALL) USING ({k})"
+
+
+#: Phrases of regions: limits of 3 sources and 6 targets, min_similarity 0.4, min_confidence 0.2, min_score_gain 0, min_span_coverage 0.3.
+CTES |= {
+    "dots": (["vec"], "SELECT a.pair_id, a.side AS x, a.idx AS i, b.side AS y, b.idx AS j, list_dot_product(a.v, b.v) AS d FROM vec a JOIN vec b USING (pair_id)"),
+    "own": (["region", "scored"], "SELECT *, count(*) OVER (PARTITION BY pair_id, s0, s) = 1 AND count(*) OVER (PARTITION BY pair_id, s0, t) = 1 AS single FROM (SELECT r.pair_id, s0, s1, t0, t1, x.s, x.t, confidence FROM region r JOIN scored x ON x.pair_id = r.pair_id AND s >= s0 AND s < s1 AND t >= t0 AND t < t1)"),
+    "island": (
+        ["own"],
+        """SELECT *, sum(CASE WHEN p - t > 0 AND (s - q > 1 OR p - t = 1) THEN 0 ELSE 1 END) OVER (PARTITION BY pair_id, s0 ORDER BY s) AS island FROM (SELECT pair_id, s0, s, t, row_number() OVER w AS n, lag(s) OVER w AS q, lag(t) OVER w AS p
+        FROM own WHERE single WINDOW w AS (PARTITION BY pair_id, s0 ORDER BY s))""",
+    ),
+    # How far a run from each link goes, whether it is one, and where the search goes on.
+    "reach": (
+        ["island"],
+        """SELECT *, CASE WHEN good THEN last + 1 ELSE n + 1 END AS next FROM (SELECT a.pair_id, a.s0, a.n, any_value(a.s) AS s, any_value(a.t) AS t, max(b.n) AS last, max(b.s) AS s_last, min(b.t) AS t_last,
+        max(b.n) - a.n >= 2 OR max(b.n) - a.n = 1 AND max(b.s) = any_value(a.s) + 1 AND min(b.t) = any_value(a.t) - 1 AS good
+        FROM island a JOIN island b ON a.pair_id = b.pair_id AND a.s0 = b.s0 AND a.island = b.island AND b.n >= a.n AND b.s - a.s < 6 AND a.t - b.t < 12 GROUP BY a.pair_id, a.s0, a.n)""",
+    ),
+    "hop": (["reach"], "SELECT pair_id, s0, n, next FROM reach WHERE n = 1 UNION ALL SELECT h.pair_id, h.s0, r.n, r.next FROM hop h JOIN reach r ON r.pair_id = h.pair_id AND r.s0 = h.s0 AND r.n = h.next"),
+    "stop": (
+        ["own"],
+        """SELECT pair_id, s0, s1, t0, t1, list_append(list_reduce(list_prepend({'s': s0 - 1, 't': t0 - 1}, coalesce(x, [])).list_transform(lambda y: [y]), lambda a, y: CASE WHEN y[1].s > a[-1].s AND y[1].t > a[-1].t THEN list_concat(a, y) ELSE a END), {'s': s1, 't': t1}) AS x
+        FROM region LEFT JOIN (SELECT pair_id, s0, list({'s': s::BIGINT, 't': t::BIGINT} ORDER BY s) AS x FROM own WHERE single GROUP BY ALL) USING (pair_id, s0)""",
+    ),
+    "hole": (
+        ["stop"],
+        """SELECT * FROM (SELECT pair_id, region, a.s + 1 AS s0, b.s AS s1, a.t + 1 AS t0, b.t AS t1 FROM (SELECT pair_id, s0 AS region, unnest(x[:-2]) AS a, unnest(x[2:]) AS b FROM stop)) g WHERE s1 - s0 BETWEEN 1 AND 3 AND t1 - t0 BETWEEN 1 AND 6
+        AND NOT EXISTS (FROM own o WHERE o.pair_id = g.pair_id AND o.s0 = g.region AND (o.s >= g.s0 AND o.s < g.s1 OR o.t >= g.t0 AND o.t < g.t1))""",
+    ),
+    "hole_set": (["hole"], _sets("hole")),
+    "hole_like": (["hole_set", "dots"], _likeness("hole_set", "pair_id", "s0", "s1", "t0", "t1")),
+    "gap": (["hole", "hole_like"], "SELECT * FROM hole JOIN hole_like USING (pair_id, s0, s1, t0, t1) WHERE similarity >= 0.4"),
+    # Neighbouring gaps, with what lies in their box.
+    "beside_gap": (
+        ["gap"],
+        """SELECT * FROM (SELECT pair_id, region, n, s0, lead(s1) OVER w AS s1, t0, lead(t1) OVER w AS t1, similarity AS v1, lead(similarity) OVER w AS v2, s1 - s0 + t1 - t0 AS w1, lead(s1 - s0 + t1 - t0) OVER w AS w2
+        FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, region ORDER BY s0) AS n FROM gap) WINDOW w AS (PARTITION BY pair_id, region ORDER BY s0)) WHERE s1 - s0 <= 6 AND t1 - t0 <= 12""",
+    ),
+    "linked_box": (
+        ["beside_gap", "own"],
+        """SELECT b.pair_id, region, n, bool_and(o.s >= b.s0 AND o.s < b.s1 AND o.t >= b.t0 AND o.t < b.t1 AND confidence < 0.55) AS good FROM beside_gap b JOIN own o ON o.pair_id = b.pair_id AND o.s0 = region
+        AND (o.s >= b.s0 AND o.s < b.s1 OR o.t >= b.t0 AND o.t < b.t1) GROUP BY ALL HAVING good""",
+    ),
+    "own_walk": (["own"], "SELECT pair_id, s0, s, s AS r FROM own UNION SELECT w.pair_id, w.s0, b.s, w.r FROM own_walk w JOIN own a ON a.pair_id = w.pair_id AND a.s0 = w.s0 AND a.s = w.s JOIN own b ON b.pair_id = a.pair_id AND b.s0 = a.s0 AND b.t = a.t"),
+    "own_comp": (["own_walk"], "SELECT o.pair_id, o.s0, o.s1, o.t0, o.t1, o.s, o.t, confidence, min(w.r) AS comp FROM own o JOIN own_walk w ON w.pair_id = o.pair_id AND w.s0 = o.s0 AND w.s = o.s GROUP BY ALL"),
+    "part_set": (
+        ["linked_box", "own_comp"],
+        """SELECT DISTINCT b.pair_id, b.region, b.n, comp, unnest(['source', 'target']) AS side, unnest([c.s, c.t]) AS idx FROM linked_box JOIN beside_gap b USING (pair_id, region, n) JOIN own_comp c ON c.pair_id = b.pair_id AND c.s0 = b.region AND c.s >= b.s0 AND c.s < b.s1""",
+    ),
+    "part_like": (["part_set", "dots"], _likeness("part_set", "pair_id", "region", "n", "comp")),
+    "box_set": (["linked_box"], _sets("(FROM beside_gap SEMI JOIN linked_box USING (pair_id, region, n))")),
+    "box_like": (["box_set", "dots"], _likeness("box_set", "pair_id", "s0", "s1", "t0", "t1")),
+    "merge": (
+        ["part_like", "box_like", "part_set"],
+        """SELECT pair_id, region, n FROM (SELECT b.pair_id, b.region, b.n, l.similarity AS whole, (w1 * v1 + w2 * v2 + p.v) / (w1 + w2 + p.k) AS base FROM beside_gap b JOIN box_like l USING (pair_id, s0, s1, t0, t1)
+        JOIN (SELECT pair_id, region, n, sum(k * similarity) AS v, sum(k) AS k FROM part_like JOIN (SELECT pair_id, region, n, comp, count(*) AS k FROM part_set GROUP BY ALL) USING (pair_id, region, n, comp) GROUP BY ALL) p USING (pair_id, region, n))
+        WHERE CASE WHEN whole > base THEN (whole - base) / greatest(1e-12, 1 - base) ELSE 0 END >= 0""",
+    ),
+    "gap_next": (["gap", "merge"], "SELECT g.*, m.n IS NOT NULL AS takes FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, region ORDER BY s0) AS n FROM gap) g LEFT JOIN merge m USING (pair_id, region, n)"),
+    "gap_hop": (["gap_next"], "SELECT pair_id, region, n, takes FROM gap_next WHERE n = 1 UNION ALL SELECT h.pair_id, h.region, g.n, g.takes FROM gap_hop h JOIN gap_next g ON g.pair_id = h.pair_id AND g.region = h.region AND g.n = h.n + CASE WHEN h.takes THEN 2 ELSE 1 END"),
+    # Segments of regions with their worth.
+    "segment": (
+        ["region"],
+        """SELECT pair_id, region, s0 + i - a AS s0, s0 + i AS s1, t0 + j - b AS t0, t0 + j AS t1, i, j, a, b, n, m FROM (SELECT *, unnest(range(b, m + 1)) AS j FROM (SELECT *, unnest(range(1, least(6, m) + 1)) AS b FROM (SELECT *, unnest(range(a, n + 1)) AS i FROM
+        (SELECT pair_id, s0 AS region, s0, t0, s1 - s0 AS n, t1 - t0 AS m, unnest(range(1, least(3, s1 - s0) + 1)) AS a FROM region WHERE s1 - s0 + t1 - t0 <= 64 AND NOT (s1 - s0 <= 3 AND t1 - t0 <= 6)))))""",
+    ),
+    "crossed": (["segment", "own"], "SELECT DISTINCT g.pair_id, g.region, g.i, g.j, g.a, g.b FROM segment g JOIN own x ON x.pair_id = g.pair_id AND x.s0 = g.region AND x.s >= g.s0 AND x.s < g.s1 AND x.t >= g.t0 AND x.t < g.t1 JOIN own y ON y.pair_id = g.pair_id AND y.s0 = g.region AND y.s > x.s AND y.s < g.s1 AND y.t < x.t AND y.t >= g.t0"),
+    "allowed": (["segment", "crossed"], "SELECT * FROM segment WHERE least(a, b) = 1 UNION ALL SELECT * FROM segment SEMI JOIN crossed USING (pair_id, region, i, j, a, b)"),
+    "allowed_set": (["allowed"], _sets("allowed")),
+    "allowed_like": (["allowed_set", "dots"], _likeness("allowed_set", "pair_id", "s0", "s1", "t0", "t1")),
+    "allowed_block": (["allowed", "rel"], _block("allowed")),
+    "worth": (
+        ["allowed", "allowed_like", "allowed_block"],
+        """SELECT g.*, (0.45 * similarity + 0.10 * sqrt(f * r) + 0.45 * greatest(0, 1 - CASE WHEN n >= m THEN abs(i - floor(j * n / m + 0.5)) ELSE abs(j - floor(i * m / n + 0.5)) END / greatest(n, m))) * (a + b) - 0.02 AS w
+        FROM allowed g JOIN allowed_like USING (pair_id, s0, s1, t0, t1) JOIN allowed_block USING (pair_id, s0, s1, t0, t1)""",
+    ),
+    # Points by waves; the clock of a region is its point (-1, -1). Paths are shapes as numbers that order like them.
+    "wave": (
+        ["worth"],
+        """(SELECT pair_id, region, 0 AS i, 0 AS j, 0::DOUBLE AS score, []::INT[] AS path, 1 AS clock FROM (SELECT DISTINCT pair_id, region FROM worth) UNION ALL SELECT DISTINCT pair_id, region, -1, -1, 0, []::INT[], 1 FROM worth)
+        UNION (SELECT pair_id, region, i, j, (x).score, (x).path, clock FROM (SELECT g.pair_id, g.region, g.i, g.j, max({'s': round(p.score + g.w, 9), 'n': -len(p.path), 'path': list_append(p.path, (100 * g.a + g.b)::INT), 'score': p.score + g.w}) AS x, any_value(c.clock) + 1 AS clock
+        FROM wave c JOIN worth g ON g.pair_id = c.pair_id AND g.region = c.region AND c.i = -1 AND g.i + g.j = c.clock + 1 JOIN recurring.wave p ON p.pair_id = g.pair_id AND p.region = g.region AND p.i = g.i - g.a AND p.j = g.j - g.b GROUP BY ALL)
+        UNION ALL SELECT c.pair_id, c.region, -1, -1, 0, []::INT[], c.clock + 1 FROM wave c WHERE c.i = -1 AND c.clock < 64)""",
+    ),
+    # Matchings of pairs with up to 8 tokens on the shorter side: token by token of the longer side, for each set of used ones the greatest weight.
+    "small": (["sizes"], "SELECT *, least(n_s, n_t) AS k, greatest(n_s, n_t) AS n FROM sizes WHERE least(n_s, n_t) BETWEEN 1 AND 8"),
+    "weighed": (["small", "sim"], "SELECT pair_id, CASE WHEN n_s <= n_t THEN s ELSE t END AS i, CASE WHEN n_s <= n_t THEN t ELSE s END AS l, sim FROM sim JOIN small USING (pair_id)"),
+    "fill": (
+        ["weighed"],
+        """SELECT pair_id, 0 AS l, 0 AS mask, 0::DOUBLE AS v FROM small UNION ALL SELECT pair_id, (l + 1)::INT, mask::INT, max(v) FROM (SELECT f.pair_id, f.l, f.mask, f.v FROM fill f JOIN small USING (pair_id) WHERE f.l < n
+        UNION ALL SELECT f.pair_id, f.l, f.mask | (1 << w.i::INT), f.v + w.sim FROM fill f JOIN weighed w ON w.pair_id = f.pair_id AND w.l = f.l WHERE (f.mask >> w.i::INT) & 1 = 0) GROUP BY pair_id, l, mask""",
+    ),
+    # Single, sure links of content tokens, in order; then, link by link, the best chain that ends there.
+    "sure": (
+        ["scored", "content"],
+        """SELECT pair_id, s, t, (round(confidence * 1e6))::BIGINT AS w, row_number() OVER (PARTITION BY pair_id ORDER BY s) AS n FROM (SELECT *, count(*) OVER (PARTITION BY pair_id, s) AS a, count(*) OVER (PARTITION BY pair_id, t) AS b FROM scored)
+        WHERE a = 1 AND b = 1 AND confidence >= 0.45 AND (pair_id, s) IN (SELECT (pair_id, idx) FROM content WHERE side = 'source') AND (pair_id, t) IN (SELECT (pair_id, idx) FROM content WHERE side = 'target')""",
+    ),
+    "rise": (
+        ["sure"],
+        """SELECT pair_id, n, [{'w': w, 'k': 1, 'n': -n, 't': t, 'path': [{'s': s, 't': t}]}] AS ends FROM sure WHERE n = 1
+        UNION ALL SELECT r.pair_id, x.n, list_append(r.ends, {'w': coalesce(r.best.w, 0) + x.w, 'k': coalesce(r.best.k, 0) + 1, 'n': -x.n, 't': x.t, 'path': list_append(coalesce(r.best.path, []), {'s': x.s, 't': x.t})})
+        FROM (SELECT r.pair_id, r.n, r.ends, list_max(list_filter(r.ends, lambda e: e.t < x.t)) AS best FROM rise r JOIN sure x ON x.pair_id = r.pair_id AND x.n = r.n + 1) r JOIN sure x ON x.pair_id = r.pair_id AND x.n = r.n + 1""",
+    ),
+    # Boxes of connected links, and what they may grow to on one side.
+    "boxed": (
+        ["own_comp"],
+        """SELECT c.*, (SELECT count(DISTINCT s) FROM own o WHERE o.pair_id = c.pair_id AND o.s0 = c.region) AS on_s, (SELECT count(DISTINCT t) FROM own o WHERE o.pair_id = c.pair_id AND o.s0 = c.region) AS on_t FROM (SELECT pair_id, s0 AS region, s1 AS r_s1, t0 AS r_t0, t1 AS r_t1, comp,
+        min(s) AS a0, max(s) + 1 AS a1, min(t) AS b0, max(t) + 1 AS b1, avg(confidence) AS mean FROM own_comp GROUP BY ALL HAVING a1 - a0 = count(DISTINCT s) AND b1 - b0 = count(DISTINCT t)) c""",
+    ),
+    "grown": (
+        ["boxed"],
+        """SELECT * FROM (SELECT *, a0 AS s0, a1 AS s1, (on_t + (t1 - t0) - (b1 - b0)) / (r_t1 - r_t0) AS cover FROM (SELECT *, unnest(range(b1, r_t1 + 1)) AS t1 FROM (SELECT *, unnest(range(r_t0, b0 + 1)) AS t0 FROM boxed WHERE a1 - a0 <= 3)) WHERE t1 - t0 <= 6 AND t1 - t0 > b1 - b0
+        UNION ALL BY NAME SELECT *, b0 AS t0, b1 AS t1, (on_s + (s1 - s0) - (a1 - a0)) / (r_s1 - region) AS cover FROM (SELECT *, unnest(range(a1, r_s1 + 1)) AS s1 FROM (SELECT *, unnest(range(region, a0 + 1)) AS s0 FROM boxed WHERE b1 - b0 <= 6)) WHERE s1 - s0 <= 3 AND s1 - s0 > a1 - a0) g
+        WHERE cover >= 0.3 AND NOT EXISTS (FROM scored x WHERE x.pair_id = g.pair_id AND (x.s >= s0 AND x.s < s1 AND (x.s < a0 OR x.s >= a1) OR x.t >= t0 AND x.t < t1 AND (x.t < b0 OR x.t >= b1)))""",
+    ),
+    "grown_span": (["grown"], "SELECT pair_id, s0, s1, t0, t1 FROM grown UNION SELECT pair_id, a0, a1, b0, b1 FROM grown"),
+    "grown_set": (["grown_span"], _sets("grown_span")),
+    "grown_like": (["grown_set", "dots"], _likeness("grown_set", "pair_id", "s0", "s1", "t0", "t1")),
+    "grown_block": (["grown_span", "rel"], _block("grown_span")),
+    "expansion": (
+        ["grown", "grown_like", "grown_block"],
+        """SELECT *, round(greatest(0, least(1, 0.45 * score + 0.30 * mean + 0.15 * cover + 0.10 * least(1, gain / 1e-12))), 6) AS confidence FROM (SELECT g.*, x.similarity, x.similarity - y.similarity AS gain, sqrt(f * r) AS score FROM grown g JOIN grown_like x USING (pair_id, s0, s1, t0, t1)
+        JOIN grown_like y ON y.pair_id = g.pair_id AND y.s0 = a0 AND y.s1 = a1 AND y.t0 = b0 AND y.t1 = b1 JOIN grown_block k ON k.pair_id = g.pair_id AND k.s0 = g.s0 AND k.s1 = g.s1 AND k.t0 = g.t0 AND k.t1 = g.t1) WHERE gain >= 0""",
+    ),
+}
+#: Tables that are made row by row of themselves, and their keys.
+RECURSIVE = {"walk": "", "fill": "", "hop": "", "gap_hop": "", "own_walk": "", "rise": "", "wave": "(pair_id, region, i, j, score, path, clock) USING KEY (pair_id, region, i, j) "}
+
+
+#: The matrix of whole turns, cell by cell, as that of sentences.
+_MATRIX = ("vec", "sim", "ranked", "rel", "cells", "inter", "iter", "margins")
+for _name in _MATRIX:
+    _needs, _body = CTES[_name]
+    CTES[f"turns_{_name}"] = ([n.replace("talk_", "turns_") if n.startswith("talk_") else f"turns_{n}" for n in _needs], re.sub(r"\b(FROM|JOIN) (talk_)?(tok|" + "|".join(_MATRIX) + r")\b", r"\1 turns_\3", _body))
+
 
 def sql(final: str, *needs: str) -> str:
     """WITH all that is needed, in order, then the final SELECT."""
@@ -191,17 +348,14 @@ def sql(final: str, *needs: str) -> str:
 
     for n in needs:
         add(n)
-    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n == 'walk' else 'MATERIALIZED '}({CTES[n][1]})" for n in seen) + "\n" if seen else "") + final
+    return ("WITH RECURSIVE " + ",\n".join(f"{n} {RECURSIVE[n]}AS ({CTES[n][1]})" if n in RECURSIVE else f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in seen) + "\n" if seen else "") + final
 
 
 #: Offsets: a token begins at the visible character that follows those of the tokens before it.
 _STARTS = r"""SELECT *, (pos[n + 1] - 1)::INT AS start FROM (SELECT t.*, coalesce(sum(len(regexp_replace(text, '\s', '', 'g'))) OVER (PARTITION BY pair_id, side ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS n FROM {p}_tokens t)
 JOIN (SELECT pair_id, side, list_filter(range(1, len(x) + 1), lambda i: NOT regexp_matches(x[i], '\s')) AS pos FROM (SELECT pair_id, 'source' AS side, source AS x FROM {p} UNION ALL SELECT pair_id, 'target', target FROM {p})) USING (pair_id, side)"""
 
-LANGUAGES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{_q(n)}', '{_q(o)}', '{tokenizer_of(c)}')" for c, n, o in LANGUAGES) + ") x(code, name, native_name, tokenizer)"
-
 ORACLES = {
-    "languages": LANGUAGES_SQL,
     "pairs": sql("SELECT * FROM talk", "talk"),
     "tokenize": sql("SELECT pair_id, side, idx, text FROM talk_tok", "talk_tok"),
     "tokenize_literals": sql("SELECT pair_id, side, idx, text, is_protected FROM lit_tokens", "lit_tokens"),
@@ -224,6 +378,14 @@ ORACLES = {
     "cells_similarity": sql("SELECT pair_id, s, t, round(sim, 6) AS sim FROM sim", "sim"),
     "relative_similarity": sql("SELECT pair_id, s, t, round(rel, 6) AS rel FROM rel", "rel"),
     "softmax_bidirectional": sql("SELECT pair_id, s, t, round(p_st, 6) AS p_st, round(p_ts, 6) AS p_ts FROM cells", "cells"),
+    "tiled_links": sql(
+        "SELECT pair_id, 'fwd' AS method, s, t FROM turns_ranked WHERE rank_st = 1 UNION ALL SELECT pair_id, 'rev', s, t FROM turns_ranked WHERE rank_ts = 1 UNION ALL SELECT pair_id, 'inter', s, t FROM turns_inter UNION ALL SELECT pair_id, 'itermax', s, t FROM turns_iter",
+        "turns_ranked", "turns_inter", "turns_iter",
+    ),
+    "tiled_softmax": sql(
+        "SELECT pair_id, s, t, round(rel, 6) AS rel, round(p_st, 6) AS p_st, round(p_ts, 6) AS p_ts, round(margin, 6) AS margin FROM turns_margins m WHERE rank_st = 1 OR rank_ts = 1 OR EXISTS (FROM turns_iter i WHERE i.pair_id = m.pair_id AND i.s = m.s AND i.t = m.t)",
+        "turns_margins", "turns_iter",
+    ),
     "argmax_forward": sql("SELECT pair_id, s, t FROM ranked WHERE rank_st = 1", "ranked"),
     "argmax_reverse": sql("SELECT pair_id, s, t FROM ranked WHERE rank_ts = 1", "ranked"),
     "inter_links": sql("SELECT pair_id, s, t, round(sim, 6) AS sim FROM inter", "inter"),
@@ -250,13 +412,33 @@ ORACLES = {
         "SELECT pair_id, round((sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) + 1) / 2, 6) AS similarity FROM (SELECT pair_id, d, avg(x) FILTER (side = 'source') AS a, avg(x) FILTER (side = 'target') AS b FROM (SELECT pair_id, side, unnest(range(len(v))) AS d, unnest(v) AS x FROM vec) GROUP BY ALL) GROUP BY pair_id HAVING sum(a * b) IS NOT NULL",
         "vec",
     ),
+    "mwmf_certificate": sql(
+        "SELECT s.pair_id, least(s.n_s, s.n_t) AS n_links, round(v, 6) AS weight, true AS proven, 0 AS violated FROM sizes s LEFT JOIN small m USING (pair_id) LEFT JOIN fill f ON f.pair_id = m.pair_id AND f.l = m.n AND f.mask = (1 << m.k::INT) - 1 WHERE s.n_s > 0 AND s.n_t > 0",
+        "fill",
+    ),
+    "reverse_runs": sql("SELECT pair_id, s0, s AS run_s0, s_last + 1 AS run_s1, t_last AS run_t0, t + 1 AS run_t1 FROM hop JOIN reach USING (pair_id, s0, n) WHERE good", "hop"),
+    "bounded_gaps": sql("SELECT pair_id, region, s0, s1, t0, t1, similarity FROM gap", "gap"),
+    "merged_gaps": sql(
+        "SELECT g.pair_id, g.region, g.s0, CASE WHEN g.takes THEN x.s1 ELSE g.s1 END AS s1, g.t0, CASE WHEN g.takes THEN x.t1 ELSE g.t1 END AS t1 FROM gap_hop h JOIN gap_next g USING (pair_id, region, n) LEFT JOIN gap_next x ON x.pair_id = g.pair_id AND x.region = g.region AND x.n = g.n + 1",
+        "gap_hop",
+    ),
+    "partition_regions": sql(
+        """SELECT pair_id, region, s0 + coalesce(list_sum(list_transform(path[:k - 1], lambda x: x // 100)), 0)::INT AS s0, s0 + list_sum(list_transform(path[:k], lambda x: x // 100))::INT AS s1, t0 + coalesce(list_sum(list_transform(path[:k - 1], lambda x: x % 100)), 0)::INT AS t0,
+        t0 + list_sum(list_transform(path[:k], lambda x: x % 100))::INT AS t1 FROM (SELECT w.pair_id, w.region, r.s0, r.t0, path, unnest(range(1, len(path) + 1)) AS k FROM wave w JOIN region r ON r.pair_id = w.pair_id AND r.s0 = w.region AND w.i = r.s1 - r.s0 AND w.j = r.t1 - r.t0)
+        UNION ALL SELECT pair_id, s0, s0, s1, t0, t1 FROM region WHERE s1 - s0 <= 3 AND t1 - t0 <= 6""",
+        "wave",
+    ),
+    "soft_anchors": sql("SELECT pair_id, x.s AS s, x.t AS t FROM (SELECT pair_id, unnest(list_max(ends).path) AS x FROM (SELECT pair_id, arg_max(ends, n) AS ends FROM rise GROUP BY pair_id))", "rise"),
+    "span_expansions": sql(
+        """SELECT pair_id, x.s0 AS s0, x.s1 AS s1, x.t0 AS t0, x.t1 AS t1, x.v AS similarity, round(x.g, 6) AS gain, x.c AS confidence FROM (SELECT pair_id, unnest(list_reduce(list([{'s0': s0, 's1': s1, 't0': t0, 't1': t1, 'v': similarity, 'g': gain, 'c': confidence}]
+        ORDER BY gain DESC, confidence DESC, s1 - s0 + t1 - t0, s0, t0, s1 DESC), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s0 < x[1].s1 AND x[1].s0 < y.s1 OR y.t0 < x[1].t1 AND x[1].t0 < y.t1)) = 0 THEN list_concat(a, x) ELSE a END)) AS x FROM expansion GROUP BY pair_id)""",
+        "expansion",
+    ),
     "link_components": sql("SELECT pair_id, min(s) AS s, min(t) AS t, count(*) AS n FROM comp GROUP BY pair_id, comp", "comp"),
     "alignment_groups": sql(
         """SELECT pair_id, CASE WHEN n_s = 1 AND n_t = 1 THEN 'one-to-one' WHEN n_s = 1 THEN 'one-to-many' WHEN n_t = 1 THEN 'many-to-one' ELSE 'many-to-many' END AS type, 'model' AS origin, n_s, n_t, s, similarity, n_links
         FROM (SELECT pair_id, count(DISTINCT s) AS n_s, count(DISTINCT t) AS n_t, min(s) AS s, floor(sum(round(similarity * 1e6)) / count(*) + 0.5) / 1e6 AS similarity, count(*) AS n_links FROM comp JOIN scored USING (pair_id, s, t) GROUP BY pair_id, comp)""",
         "comp", "scored",
     ),
-    **{name: goldens.expected(name) for name in goldens.SETS},
-    "golden_matching": goldens.MATCHED,
     "unaligned_tokens": sql("SELECT pair_id, side, idx, text FROM talk_tok t WHERE NOT EXISTS (FROM inter i WHERE i.pair_id = t.pair_id AND (t.side = 'source' AND i.s = t.idx OR t.side = 'target' AND i.t = t.idx))", "talk_tok", "inter"),
 }

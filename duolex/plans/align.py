@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,9 @@ from ..operators import groups as G
 from ..operators import matching as M
 from ..operators import repair as R
 from ..operators import rules, scoring
-from ..operators.refine import Pair, Refiner
+from ..operators.packed import packed_pairs, read_pair, rows_of
+from ..operators.refine import Refiner
+from ..operators.tiles import tiled_cells, tiled_links
 from ..operators.tokens import token_rows, tokenize
 from ..operators.vectors import Embedder
 from ..options import METHODS, Repair, Settings
@@ -30,54 +31,21 @@ def sizes_of(tokenized: DataFrame) -> DataFrame:
 
 
 def refine_pairs(tokenized: DataFrame, links: DataFrame, cells: DataFrame, vectors: DataFrame | None, repair: Repair) -> DataFrame:
-    """One row per pair that has links: the links that stay (`links`) and the refined `groups`. A pair's links, cells and vectors
-    meet in one row; no shuffle but by pair."""
-    packed = tokenized.select("pair_id", "source_tokens", "target_tokens")
-    l = links.groupBy("pair_id").agg(F.collect_list(F.struct("s", "t", "origin", "similarity", "confidence")).alias("links"))
-    value = "rel" if "rel" in cells.columns else "sim"
-    c = cells.groupBy("pair_id").agg(F.collect_list(F.struct("s", "t", "sim", F.col(value).alias("rel"))).alias("cells"))
-    packed = packed.join(l, "pair_id").join(c, "pair_id")
-    if vectors is not None:
-        v = vectors.groupBy("pair_id").agg(F.collect_list(F.struct("side", "idx", "vec")).alias("vectors"))
-        packed = packed.join(v, "pair_id", "left")
-    else:
-        packed = packed.withColumn("vectors", F.lit(None).cast("array<struct<side: string, idx: int, vec: array<double>>>"))
+    """One row per pair that has links: the links that stay (`links`) and the refined `groups`."""
     link_kind = pa.struct([("s", pa.int32()), ("t", pa.int32()), ("origin", pa.string()), ("similarity", pa.float64()), ("confidence", pa.float64())])
     group_kind = pa.struct([("source_indices", pa.list_(pa.int32())), ("target_indices", pa.list_(pa.int32())), ("links", pa.list_(pa.struct([("s", pa.int32()), ("t", pa.int32())]))), ("similarity", pa.float64()), ("confidence", pa.float64())])
 
     def one(row: dict, cells: pa.StructArray) -> tuple[list, list]:
-        n, m = len(row["source_tokens"]), len(row["target_tokens"])
-        sim, rel, conf = np.zeros((n, m)), np.zeros((n, m)), np.zeros((n, m))
-        have, locked = np.zeros((n, m), bool), np.zeros((n, m), bool)
-        at = cells.field("s").to_numpy(), cells.field("t").to_numpy()
-        sim[at], rel[at] = cells.field("sim").to_numpy(), cells.field("rel").to_numpy()
-        for x in row["links"]:
-            have[x["s"], x["t"]], conf[x["s"], x["t"]], locked[x["s"], x["t"]] = True, x["confidence"], x["origin"] == "rule"
-        s, t = row["source_tokens"], row["target_tokens"]
-        sp, tp = np.array([x["is_protected"] for x in s], bool), np.array([x["is_protected"] for x in t], bool)
-        same = np.array([[a["text"] == b["text"] for b in t] for a in s], bool).reshape(n, m)
-        marks = np.outer([x["is_punctuation"] for x in s], [x["is_punctuation"] for x in t]).astype(bool).reshape(n, m)
-        either = sp[:, None] | tp[None, :]
-        anchor = np.where(either, sp[:, None] & tp[None, :] & same, marks)
-        vec = {"source": None, "target": None}
-        if row["vectors"]:
-            for side, k in (("source", n), ("target", m)):
-                rows = {x["idx"]: x["vec"] for x in row["vectors"] if x["side"] == side}
-                vec[side] = np.array([rows[i] for i in range(k)]) if len(rows) == k else None
-        pair = Pair(sim, rel, have, conf, locked, anchor, np.array([x["is_content"] for x in s], bool), np.array([x["is_content"] for x in t], bool), vec["source"], vec["target"])
-        done = Refiner(pair, repair).run()
+        done = Refiner(read_pair(row, cells), repair).run()
         stay = [{**x} for x in row["links"] if done.links[x["s"], x["t"]]]
         return stay, [{"source_indices": g.sources, "target_indices": g.targets, "links": [{"s": a, "t": b} for a, b in g.links], "similarity": g.similarity, "confidence": g.confidence} for g in done.groups]
 
     def run(batches):
         for b in batches:
-            k = b.schema.get_field_index("cells")
-            out = [one(r, c.values) for r, c in zip(b.drop_columns(["cells"]).to_pylist(), b.column(k), strict=True)]
+            out = [one(r, c) for r, c in rows_of(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.list_(link_kind)), pa.array([x[1] for x in out], pa.list_(group_kind))], names=["pair_id", "links", "groups"])
 
-    classed = lambda side: F.transform(f"{side}_tokens", lambda x: F.struct(x["text"].alias("text"), x["is_protected"].alias("is_protected"), (~x["is_protected"] & x["text"].rlike(r"[\p{L}\p{N}]")).alias("is_content"), x["text"].rlike(r"\A\p{P}+\z").alias("is_punctuation"))).alias(f"{side}_tokens")
-    packed = packed.select("pair_id", classed("source"), classed("target"), "links", "cells", "vectors")
-    return packed.mapInArrow(run, f"pair_id string, links array<{LINK_TYPE}>, groups {GROUP_TYPE}")
+    return packed_pairs(tokenized, links, cells, vectors).mapInArrow(run, f"pair_id string, links array<{LINK_TYPE}>, groups {GROUP_TYPE}")
 
 
 def align_cells(tokenized: DataFrame, cells: DataFrame, method_links: DataFrame, methods: tuple[str, ...], method: str = "itermax", repair: Repair | None = None, vectors: DataFrame | None = None) -> DataFrame:
@@ -139,14 +107,19 @@ def assemble(tokenized: DataFrame, tokens: DataFrame, links: DataFrame, refined:
     return out.select(*tokenized.columns, empty(F.col("links")).alias("links"), empty(shaped).alias("alignment_groups"), empty(F.col("unaligned_source_indices")).alias("unaligned_source_indices"), empty(F.col("unaligned_target_indices")).alias("unaligned_target_indices"))
 
 
-def align(pairs: DataFrame, embedder: Embedder, method: str = "itermax", repair: Repair | None = None, settings: Settings | None = None, segmenter=None) -> DataFrame:
+def align(pairs: DataFrame, embedder: Embedder, method: str = "itermax", repair: Repair | None = None, settings: Settings | None = None, segmenter=None, tile: int | None = None) -> DataFrame:
     """Aligns pairs (pair_id, source, target and maybe languages): every stage of the library in order, one row per pair. Pairs with
-    languages are requests and are validated, which bounds their texts; the first invalid one fails the job (`accept` parts them before)."""
+    languages are requests and are validated, which bounds their texts; the first invalid one fails the job (`accept` parts them before).
+
+    With `tile` no pair's matrix is made: tokens meet in tiles of that width, so texts may have any length. That is for the methods that need no
+    whole matrix (no mwmf) and without repair."""
     settings = settings or Settings()
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     if method not in settings.methods:
         raise ProcessingError(f"method {method} is not enabled")
+    if tile and ("mwmf" in settings.methods or (repair and repair.enabled)):
+        raise ValueError("mwmf and repair need whole matrices: leave `tile` out, or switch them off")
     if settings.eager_load and hasattr(embedder, "warm_up"):
         embedder.warm_up(pairs.sparkSession)
     if {"source_language", "target_language"} <= set(pairs.columns):
@@ -154,6 +127,11 @@ def align(pairs: DataFrame, embedder: Embedder, method: str = "itermax", repair:
     # Texts are dealt by pair before they grow into tokens and cells; all windows and joins below keep to pairs.
     tokenized = staged(tokenize(by_pair(pairs), segmenter), "tokens")
     vectors = embedder.embed(token_rows(tokenized)).repartition("pair_id")
+    if tile:
+        vectors = staged(vectors, "vectors")
+        links = staged(tiled_links(vectors, tile).where(F.col("method").isin(*settings.methods)), "links")
+        cells = staged(C.check_cells(tiled_cells(vectors, links.select("pair_id", "s", "t").distinct(), tile, settings.confidence_temperature)), "cells")
+        return align_cells(tokenized, cells, links, settings.methods, method)
     if repair and repair.enabled:
         vectors = staged(vectors, "vectors")
     cells = staged(C.check_cells(C.cells(vectors, settings.confidence_temperature), sizes_of(tokenized)), "cells")

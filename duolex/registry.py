@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import goldens
 from .functions.staging import by_pair, staged
 from .operators import cells as C
-from .operators import groups, matching, regions, repair, rules, scoring, spans
+from .operators import groups, matching, phrases, regions, repair, rules, scoring, spans, tiles
 from .operators.tokens import token_rows, tokenize
 from .operators.vectors import HashEmbedder
 from .options import Repair, Settings
 from .oracle import ORACLES  # noqa: F401
 from .plans.align import align, sizes_of
-from .sources.languages import languages
-from .sources.pairs import conversation_pairs, literal_pairs, validate
+from .sources.pairs import conversation_pairs, literal_pairs, turn_pairs, validate
 
 EVIDENCE = ("inter", "itermax")
+#: Repair options of the queries on phrases, loose enough for the invented vectors to give some.
+LOOSE = Repair(min_similarity=0.4, min_confidence=0.2, min_score_gain=0.0, min_span_coverage=0.3)
+#: Tokens on a side of a tile; turns here are longer than that.
+TILE = 64
 
 
 class Inputs:
@@ -39,6 +41,9 @@ class Inputs:
     def tokens(self) -> DataFrame:
         return token_rows(self.tokenized())
 
+    def turn_vectors(self) -> DataFrame:
+        return staged(self.embedder().embed(token_rows(tokenize(by_pair(turn_pairs(self.table("conversations")))))), "vectors")
+
     def literal_tokens(self) -> DataFrame:
         return token_rows(tokenize(by_pair(literal_pairs(self.table("orders")))), following=True)
 
@@ -65,6 +70,10 @@ class Inputs:
     def regions(self) -> DataFrame:
         return regions.clause_regions(self.anchors(), self.tokens(), sizes_of(self.tokenized()))
 
+    def phrase_inputs(self) -> tuple[DataFrame, DataFrame]:
+        """Regions, and links as a model's."""
+        return staged(self.regions(), "regions"), staged(self.scored().withColumn("rule", F.lit(False)), "scored")
+
     def whole_spans(self) -> DataFrame:
         return sizes_of(self.tokenized()).selectExpr("pair_id", "0 as span", "0 as s0", "n_s as s1", "0 as t0", "n_t as t1")
 
@@ -109,8 +118,31 @@ def _crossing(x: Inputs) -> DataFrame:
     return regions.drop_crossing(links, x.anchors(), 0.35).select("pair_id", "s", "t")
 
 
+def _tiled_cells(x: Inputs) -> DataFrame:
+    """The cells of all links of whole turns."""
+    v = x.turn_vectors()
+    found = tiles.tiled_cells(v, tiles.tiled_links(v, TILE).select("pair_id", "s", "t").distinct(), TILE)
+    return found.select("pair_id", "s", "t", *[F.round(c, 6).alias(c) for c in ("rel", "p_st", "p_ts", "margin")])
+
+
+def _partitions(x: Inputs) -> DataFrame:
+    return phrases.partition_regions(x.tokenized(), x.scored().withColumn("origin", F.lit("model")), x.cells(), x.vectors(), LOOSE)
+
+
+def _expansions(x: Inputs) -> DataFrame:
+    found = phrases.span_expansions(*x.phrase_inputs(), staged(x.cells(), "cells"), staged(x.vectors(), "vectors"), LOOSE)
+    return found.withColumn("gain", F.round("gain", 6))
+
+
+def _certificate(x: Inputs) -> DataFrame:
+    """Whether each pair's matching is proven; its weight where the shorter side has up to 8 tokens, so that SQL can find it too."""
+    cells = staged(x.similarity(), "cells")
+    small = sizes_of(x.tokenized()).select("pair_id", (F.least("n_s", "n_t") <= 8).alias("small"))
+    out = matching.certificate(cells, staged(matching.solved(cells), "solved")).join(small, "pair_id")
+    return out.select("pair_id", "n_links", F.when(F.col("small"), F.round("weight", 6)).alias("weight"), (F.abs(F.col("weight") - F.col("dual")) < 1e-6).alias("proven"), "violated")
+
+
 _OPERATORS = {
-    "languages": lambda x: languages(x.spark),
     "pairs": lambda x: x.pairs(),
     "tokenize": lambda x: x.tokens().select("pair_id", "side", "idx", "text"),
     "tokenize_literals": lambda x: x.literal_tokens().select("pair_id", "side", "idx", "text", "is_protected"),
@@ -122,11 +154,14 @@ _OPERATORS = {
     "cells_similarity": lambda x: x.similarity().withColumn("sim", F.round("sim", 6)),
     "relative_similarity": lambda x: C.relative(x.similarity()).select("pair_id", "s", "t", F.round("rel", 6).alias("rel")),
     "softmax_bidirectional": lambda x: x.cells().select("pair_id", "s", "t", F.round("p_st", 6).alias("p_st"), F.round("p_ts", 6).alias("p_ts")),
+    "tiled_links": lambda x: tiles.tiled_links(x.turn_vectors(), TILE),
+    "tiled_softmax": _tiled_cells,
     "argmax_forward": lambda x: matching.forward(x.similarity()),
     "argmax_reverse": lambda x: matching.reverse(x.similarity()),
     "inter_links": lambda x: matching._ranked(x.similarity()).where("rank_st = 1 and rank_ts = 1").select("pair_id", "s", "t", F.round("sim", 6).alias("sim")),
     "itermax_links": lambda x: matching.itermax(x.similarity()),
     "mwmf_links": lambda x: matching.mwmf(x.similarity()),
+    "mwmf_certificate": _certificate,
     "candidate_margin": lambda x: scoring.margins(x.cells()).select("pair_id", "s", "t", F.round("margin", 6).alias("margin")),
     "order_consistency": lambda x: scoring.order_scores(matching.method_links(x.similarity(), EVIDENCE)).withColumn("order_score", F.round("order_score", 6)),
     "link_scores": lambda x: x.scored(),
@@ -141,13 +176,15 @@ _OPERATORS = {
     "region_coverage": lambda x: regions.region_coverage(x.regions(), matching.inter(x.similarity())).withColumns({c: F.round(c, 6) for c in ("s_cover", "t_cover")}),
     "matrix_span_score": lambda x: spans.matrix_span_score(x.whole_spans(), x.similarity()).select("pair_id", F.round("score", 6).alias("score")),
     "span_similarity": lambda x: spans.span_similarity(x.whole_spans(), x.vectors()).select("pair_id", "similarity"),
+    "reverse_runs": lambda x: phrases.reverse_runs(*x.phrase_inputs(), LOOSE),
+    "bounded_gaps": lambda x: phrases.bounded_gaps(*x.phrase_inputs(), staged(x.vectors(), "vectors"), LOOSE),
+    "merged_gaps": lambda x: phrases.merged_gaps(*x.phrase_inputs(), staged(x.vectors(), "vectors"), LOOSE),
+    "partition_regions": _partitions,
+    "soft_anchors": lambda x: phrases.soft_anchors(x.scored(), x.tokens(), LOOSE),
+    "span_expansions": _expansions,
     "link_components": lambda x: groups.link_components(matching.itermax(x.similarity())).groupBy("pair_id", "comp").agg(F.min("s").alias("s"), F.min("t").alias("t"), F.count("*").alias("n")).drop("comp"),
     "alignment_groups": _groups,
     "unaligned_tokens": lambda x: groups.unaligned(x.tokens(), matching.inter(x.similarity())),
-    "golden_align": lambda x: goldens.flat(goldens.aligned(x.spark, "golden_align")),
-    "golden_repaired": lambda x: goldens.flat(goldens.aligned(x.spark, "golden_repaired")),
-    "golden_span_aware": lambda x: goldens.flat(goldens.aligned(x.spark, "golden_span_aware")),
-    "golden_matching": lambda x: matching.mwmf(goldens.matrices(x.spark)),
     "align": lambda x: _flat(align(x.pairs(), x.embedder(), settings=Settings(matching_methods="ai"))),
     "align_repaired": lambda x: _flat(align(x.pairs(), x.embedder(), repair=Repair(min_confidence=0.2))),
     "align_span_aware": lambda x: _flat(align(x.pairs(), x.embedder(), "inter", Repair(strategy="span-aware", min_confidence=0.2, min_score_gain=0.0))),

@@ -1,5 +1,4 @@
-"""Small cases with given matrices and links, whose results follow from the rules by hand; the queries `golden_*` run them through the
-whole assembly, their SQL lists the results."""
+"""Small cases with given matrices and links, whose results follow from the rules by hand; tests run them through the whole assembly."""
 
 from __future__ import annotations
 
@@ -7,11 +6,10 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .operators.tokens import tokenize
-from .options import Repair
-from .plans.align import align_cells
+from duolex.operators.tokens import tokenize
+from duolex.options import Repair
+from duolex.plans.align import align_cells
 
 
 def _pairs(text: str) -> list[tuple[int, int]]:
@@ -110,41 +108,5 @@ def aligned(spark: SparkSession, name: str) -> DataFrame:
     )
 
 
-def _ids(column):
-    return F.concat_ws(",", F.transform(column, lambda i: i.cast("string")))
-
-
-def flat(out: DataFrame) -> DataFrame:
-    """One row per group, and one per pair with what is unaligned (k = -1)."""
-    g = out.select("pair_id", F.posexplode("alignment_groups").alias("k", "g"))
-    groups = g.select("pair_id", "k", "g.type", "g.origin", F.col("g.similarity").alias("similarity"), _ids("g.source_indices").alias("sources"), _ids("g.target_indices").alias("targets"), F.size("g.links").alias("n_links"))
-    free = out.select("pair_id", F.lit(-1).alias("k"), F.lit("unaligned").alias("type"), F.lit("").alias("origin"), F.lit(0.0).alias("similarity"), _ids("unaligned_source_indices").alias("sources"), _ids("unaligned_target_indices").alias("targets"), F.lit(0).alias("n_links"))
-    return groups.unionByName(free)
-
-
-def expected(name: str) -> str:
-    """The same as SQL."""
-    rows = []
-    for k, c in SETS[name][0].items():
-        rows.append((k, -1, "unaligned", "", 0.0, *c.left, 0))
-        for i, (s, t, origin, similarity, n) in enumerate(c.groups):
-            one, other = ("many" if "," in x else "one" for x in (s, t))
-            rows.append((k, i, f"{one}-to-{other}", origin, similarity, s, t, n))
-    text = ", ".join(f"('{k}', {i}, '{kind}', '{origin}', {sim}::DOUBLE, '{s}', '{t}', {n})" for k, i, kind, origin, sim, s, t, n in rows)
-    return f"SELECT * FROM (VALUES {text}) x(pair_id, k, type, origin, similarity, sources, targets, n_links)"
-
-
 def matrices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, s, t, x) for k, m in MATRICES.items() for s, r in enumerate(m) for t, x in enumerate(r)], "pair_id string, s int, t int, sim double")
-
-
-#: Every way to send each source to another target, or to none, and the heaviest.
-MATCHED = f"""
-WITH RECURSIVE c AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {s}, {t}, {x}::DOUBLE)" for k, m in MATRICES.items() for s, r in enumerate(m) for t, x in enumerate(r))}) x(pair_id, s, t, sim)),
-n AS (SELECT pair_id, max(s) AS last FROM c GROUP BY pair_id),
-walk AS (SELECT pair_id, -1 AS s, [-1] AS got, 0::DOUBLE AS w FROM n
-    UNION ALL SELECT walk.pair_id, walk.s + 1, list_append(got, o.t), w + o.sim FROM walk JOIN n USING (pair_id) JOIN (SELECT * FROM c UNION ALL SELECT DISTINCT pair_id, s, -2, 0 FROM c) o ON o.pair_id = walk.pair_id AND o.s = walk.s + 1
-    WHERE walk.s < n.last AND (o.t = -2 OR NOT list_contains(got, o.t))),
-best AS (SELECT pair_id, arg_max(got, w) AS got FROM walk JOIN n USING (pair_id) WHERE s = last GROUP BY pair_id)
-SELECT pair_id, (k - 2)::INT AS s, got[k]::INT AS t FROM (SELECT pair_id, got, unnest(range(2, len(got) + 1)) AS k FROM best) WHERE got[k] >= 0
-"""
