@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Tables, lean, need
+from .shared import WORD, Tables, lean, need
 from .sharding import number_rows
 
 ROLES = ("user", "assistant", "system")
@@ -24,11 +24,13 @@ _BY_MARKER = {m: r for r, ms in MARKERS.items() for m in ms}
 MARKER = re.compile(r"^\s*(?:<\|(\w+)\|>|\[(\w+)\]|\*{0,2}#{0,3}\s*(\w+)\s*\*{0,2}\s*[:>]) ?")
 #: A state is a role that begins a turn at this line or goes on with one.
 STATES = tuple((r, new) for r in range(len(ROLES)) for new in (True, False))
-FEATURES = ("question", "short", "list", "code", "request", "blank_before")
+FEATURES = ("question", "short", "long", "very_long", "list", "code", "blank_before", *(f"words_of_{r}" for r in ROLES))
 #: How often a marker tells the truth, and how often one stands where no turn begins: not to be learned from rows that have a role.
 TRUE, STRAY = 0.97, 0.005
 #: Rows of a conversation that are parsed in one piece; pieces of one conversation give what the whole would.
 PAGE = 500
+#: Words by which a line votes for a role: the most telling of about so many rows with a role; and in how many of these a word has to be.
+TELLING, SAMPLE, SEEN = 200, 200_000, 8
 
 
 def read_marker(line: str) -> tuple[str | None, str]:
@@ -41,12 +43,18 @@ def read_marker(line: str) -> tuple[str | None, str]:
     return None, line
 
 
-def features(line: str, blank_before: bool) -> list[bool]:
+def vote(line: str, words: dict[str, list[float]]) -> int | None:
+    """The role that the telling words of a line speak for, if it has any. How far that is to be trusted is for the counts to say."""
+    told = [words[w] for w in set(line.lower().split()) if w in words] if words else ()
+    return int(np.argmax(np.sum(told, axis=0))) if told else None
+
+
+def features(line: str, blank_before: bool, words: dict[str, list[float]] | None = None) -> list[bool]:
     s = line.strip()
-    low = s.lower()
+    role = vote(s, words or {})
     return [
-        s.endswith("?"), len(s) < 80, bool(re.match(r"(?:[-*•]|\d+[.)])\s", s)), line.startswith("    ") or s.startswith(("```", "def ", "import ", "{", "}")) or s.endswith(";"),
-        any(w in low for w in ("please", "can you", "could you", "how do", "what is", "thanks")), blank_before,
+        s.endswith("?"), len(s) < 80, len(s) > 160, len(s) > 320, bool(re.match(r"(?:[-*•]|\d+[.)])\s", s)), line.startswith("    ") or s.startswith(("```", "def ", "import ", "{", "}")) or s.endswith(";"), blank_before,
+        *(role == k for k in range(len(ROLES))),
     ]
 
 
@@ -58,19 +66,21 @@ def _log(x) -> np.ndarray:
 @dataclass
 class Chances:
     """Counts that the model learns from, one added to each: roles that begin conversations, roles that follow roles, lines that begin turns and others, turns with
-    and without a marker, lines with each feature by state (role, new). Without any, all is as likely."""
+    and without a marker, lines with each feature by state (role, new); and words with what each says for each role. Without any, all is as likely."""
 
     first: np.ndarray = field(default_factory=lambda: np.zeros(len(ROLES)))
     follows: np.ndarray = field(default_factory=lambda: np.zeros((len(ROLES), len(ROLES))))
     lines: np.ndarray = field(default_factory=lambda: np.zeros(len(STATES)))
     seen: np.ndarray = field(default_factory=lambda: np.zeros((len(STATES), len(FEATURES))))
     marked: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    words: dict[str, list[float]] = field(default_factory=dict)
 
     def __post_init__(self):
         first, follows = self.first + 1, self.follows + 1
         new = np.array([x for _, x in STATES])
         role = np.array([r for r, _ in STATES])
-        goes_on = (self.lines[~new].sum() + 1) / (self.lines.sum() + 2)
+        # How likely a turn goes on at its next line depends on whose it is.
+        goes_on = np.array([(self.lines[(role == r) & ~new].sum() + 1) / (self.lines[role == r].sum() + 2) for r in range(len(ROLES))])[role][:, None]
         self.start = np.where(new, _log(first / first.sum())[role], -np.inf)
         follows = follows / follows.sum(axis=1, keepdims=True)
         self.move = np.where(new[None, :], _log((1 - goes_on) * follows[np.ix_(role, role)]), np.where(role[:, None] == role[None, :], _log(goes_on), -np.inf))
@@ -84,15 +94,15 @@ class Chances:
     def emissions(self, lines: list[tuple[int, str, bool]]) -> np.ndarray:
         """Log chances of lines (number, line, whether blank lines stand before it), one row each, in each state."""
         read = [read_marker(line) for _, line, _ in lines]
-        has = np.array([features(rest, blank) for (_, rest), (_, _, blank) in zip(read, lines, strict=True)], float)
+        has = np.array([features(rest, blank, self.words) for (_, rest), (_, _, blank) in zip(read, lines, strict=True)], float)
         by_role = np.vstack([self.told.T, self.unmarked])
         return by_role[[len(ROLES) if role is None else ROLES.index(role) for role, _ in read]] + has @ (self.on - self.off).T + self.off.sum(axis=1)
 
 
 #: What is assumed of transcripts where no rows with roles are at hand: counts of an invented hundred turns.
 ASSUMED = Chances(
-    np.array([65.0, 10.0, 25.0]), np.array([[6.0, 92.0, 2.0], [92.0, 6.0, 2.0], [90.0, 8.0, 2.0]]), np.array([100.0, 125.0, 100.0, 125.0, 10.0, 12.0]),
-    np.array([[50, 60, 3, 4, 20, 70], [19, 38, 44, 25, 6, 15], [12, 25, 20, 8, 5, 70], [19, 38, 44, 25, 6, 15], [0, 3, 1, 0, 1, 7], [2, 4, 4, 2, 1, 1]], float), np.array([55.0, 45.0]),
+    np.array([65.0, 10.0, 25.0]), np.array([[6.0, 92.0, 2.0], [92.0, 6.0, 2.0], [90.0, 8.0, 2.0]]), np.array([100.0, 40.0, 100.0, 200.0, 10.0, 12.0]),
+    np.array([[50, 85, 5, 1, 3, 4, 90, 0, 0, 0], [10, 28, 4, 1, 4, 8, 6, 0, 0, 0], [5, 18, 40, 12, 20, 8, 90, 0, 0, 0], [16, 80, 60, 20, 70, 40, 24, 0, 0, 0], [0, 3, 3, 1, 1, 0, 7, 0, 0, 0], [2, 4, 3, 1, 4, 2, 1, 0, 0, 0]], float), np.array([55.0, 45.0]),
 )
 
 
@@ -118,17 +128,34 @@ def across(emissions: np.ndarray, chances: Chances) -> tuple[np.ndarray, np.ndar
     return both[0], both[1:]
 
 
+class Joined:
+    """The states at the ends of a conversation's pieces, which come one after the other, on the likeliest way through all of them. Of each piece six small numbers are kept."""
+
+    def __init__(self):
+        self.scores, self.back, self.ids = None, [], []
+
+    def add(self, ident, begins: np.ndarray, moves: np.ndarray) -> None:
+        every = None if self.scores is None else self.scores[:, None] + moves
+        self.back.append(None if every is None else every.argmax(axis=0).astype(np.uint8).tobytes())
+        self.scores = begins if every is None else every.max(axis=0)
+        self.ids.append(ident)
+
+    def ends(self) -> list[tuple]:
+        """(id, the state before the piece, the one at its end), in order."""
+        out, end = [], int(np.argmax(self.scores))
+        for k in range(len(self.ids) - 1, -1, -1):
+            entry = None if self.back[k] is None else self.back[k][end]
+            out.append((self.ids[k], entry, end))
+            end = entry
+        return out[::-1]
+
+
 def joined(pieces: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int | None, int]]:
     """For each piece of a conversation, in order, the state before it and at its end on the likeliest way through all of them."""
-    scores = [pieces[0][0]]
-    for _, m in pieces[1:]:
-        scores.append((scores[-1][:, None] + m).max(axis=0))
-    end, out = int(np.argmax(scores[-1])), []
-    for k in range(len(pieces) - 1, 0, -1):
-        entry = int(np.argmax(scores[k - 1] + pieces[k][1][:, end]))
-        out.append((entry, end))
-        end = entry
-    return [*out, (None, end)][::-1]
+    whole = Joined()
+    for k, (begins, moves) in enumerate(pieces):
+        whole.add(k, begins, moves)
+    return [x[1:] for x in whole.ends()]
 
 
 def solid(text: str, after_blank: bool = False) -> list[tuple[int, str, bool]]:
@@ -184,134 +211,184 @@ def read_back(canonical: str) -> list[tuple[str, str]]:
     return [(r, re.sub(r"\\([\\|])", r"\1", t)) for r, t in found]
 
 
-def pages(conversations: DataFrame, tables: Tables, page: int = PAGE) -> tuple[DataFrame, DataFrame]:
-    """(the numbered rows; pieces (conv_id, page, text)) of up to `page` rows of a conversation, from rows (conv_id, turn, role, text). Rows are numbered once over all conversations, in
-    the order of conversation, turn (null ones last), role and a hash of the text; rows that repeat keep apart. A page is a run of numbers, so one
-    conversation of any length is many groups of bounded size. A row with a role is marked with it."""
-    need(conversations, "conv_id", "turn", "role", "text")
-    scratch = Tables(conversations.sparkSession)
-    rows = conversations.select("conv_id", "turn", F.lower(F.trim(F.col("role").cast("string"))).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"tie": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
-    numbered, _ = number_rows(scratch.put(rows, "rows"), ["conv_id", "turn", "role", "tie", "at"], scratch)
-    numbered = tables.put(numbered.select("conv_id", F.floor(F.col("n") / page).alias("page"), "n", "role", "text"), "numbered")
-    scratch.clear()
-    marked = F.concat(F.when(F.col("role").isin(*ROLES) & F.col("text").rlike(r"\S"), F.concat(F.initcap("role"), F.lit(": "))).otherwise(""), "text")
-    lines = F.array_sort(F.collect_list(F.struct("n", marked.alias("line"))))
-    return numbered, tables.put(numbered.groupBy("conv_id", "page").agg(F.concat_ws("\n\n", F.transform(lines, lambda x: x["line"])).alias("text")), "pages")
-
-
-def learn_chances(numbered: DataFrame) -> Chances:
-    """Counts over all rows that have a role: who begins, who follows whom, how lines look. Rows meet the row before them by their number."""
+def pages(conversations: DataFrame, tables: Tables, page: int = PAGE, truth_col: str | None = None) -> DataFrame:
+    """Pieces (conv_id, block, part, rows) of up to `page` rows of a conversation, from rows (conv_id, turn, role, text). Rows stand in the order of turn (null ones last), role and a
+    hash of the text; rows that repeat keep apart. A block is a run of `page` turn numbers. One that holds more rows, as of turns that repeat or have no number, is
+    cut in parts by numbering its rows; so a group is bounded, whatever a conversation holds. A row with a role is marked with it."""
+    need(conversations, "conv_id", "turn", "role", "text", *([truth_col] if truth_col else []))
+    lower = lambda c: F.lower(F.trim(F.col(c).cast("string")))
+    rows = conversations.select("conv_id", "turn", lower("role").alias("role"), (lower(truth_col) if truth_col else F.lit(None).cast("string")).alias("truth"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"block": F.floor(F.col("turn") / page).cast("long"), "tie": F.xxhash64("text"), "part": F.lit(0).cast("long"), "at": F.lit(0).cast("long")})
+    full = rows.groupBy("conv_id", "block").agg(F.count("*").alias("k")).where(F.col("k") > page).select(F.col("conv_id").alias("fc"), F.col("block").alias("fb"))
+    full = tables.put(full, "full")
+    if not full.isEmpty():
+        scratch, within = Tables(conversations.sparkSession), F.expr("conv_id <=> fc and block <=> fb")
+        crowded = scratch.put(rows.join(full, within, "left_semi").withColumn("at", F.monotonically_increasing_id()), "crowded")
+        numbered, _ = number_rows(crowded.select("conv_id", "turn", "role", "tie", "at"), ["conv_id", "turn", "role", "tie", "at"], scratch)
+        parts = numbered.select("at", F.floor(F.col("n") / page).cast("long").alias("part"))
+        rows = rows.join(full, within, "left_anti").unionByName(crowded.drop("part").join(parts, "at"))
+    # Nulls come last in each of the keys.
+    key = [x for c in ("turn", "role") for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c))]
+    held = F.array_sort(F.collect_list(F.struct(*key, "tie", "at", "text", "truth")))
+    made = rows.groupBy("conv_id", "block", "part").agg(F.transform(held, lambda x: F.struct(x["text"].alias("line"), x["role"].alias("role"), x["truth"].alias("truth"))).alias("rows"))
+    return tables.put(made, "pages")
+
+
+def page_text(rows: list[dict]) -> str:
+    """Rows one after the other, a blank line between them; one with a role has its marker before its first line that isn't blank."""
+    out = []
+    for r in rows:
+        lines = r["line"].split("\n")
+        first = next((k for k, x in enumerate(lines) if x.strip()), None)
+        if r["role"] in ROLES and first is not None:
+            lines[first] = f"{r['role'].capitalize()}: {lines[first]}"
+        out.append("\n".join(lines))
+    return "\n\n".join(out)
+
+
+def telling_words(conversations: DataFrame, most: int = TELLING, sample: int = SAMPLE) -> dict[str, list[float]]:
+    """The words that tell most of a row's role, by mutual information of role and word, and the log chance of each in rows of each role; over about `sample` rows with a role that a
+    hash picks. So sample and words are bounded."""
+    rows = conversations.select(F.lower(F.trim(F.col("role").cast("string"))).alias("role"), F.col("text").cast("string").alias("text"), F.xxhash64("conv_id", "turn").alias("h")).where(F.col("role").isin(*ROLES))
+    n = rows.count()
+    if n > sample:
+        rows = rows.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < sample / n)
+    words = rows.select("role", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))).alias("w"))
+    sizes = {r["role"]: r["n"] for r in rows.groupBy("role").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values()) or 1
+    counts = words.select("role", F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n"), *[F.count_if(F.col("role") == r).alias(r) for r in ROLES])
+    gain = F.lit(0.0)
+    for r in ROLES:
+        for n, own in ((F.col("n"), F.col(r)), (total - F.col("n"), sizes.get(r, 0) - F.col(r))):
+            gain = gain + F.when((own > 0) & (n > 0), own / total * F.log(own * total / (n * max(1, sizes.get(r, 0))))).otherwise(0.0)
+    top = counts.where(F.col("n") >= SEEN).select("w", *ROLES, gain.alias("gain")).orderBy(F.desc("gain"), "w").limit(most).collect()
+    return {r["w"]: [float(np.log((r[k] + 0.5) / (sizes.get(k, 0) + 1))) for k in ROLES] for r in top}
+
+
+def learn_chances(made: DataFrame, words: dict[str, list[float]] | None = None) -> Chances:
+    """Counts over all rows of pages that have a role: who begins, who follows whom, how lines look. Pages tell their own sums and their first and last roles;
+    where pages of a conversation meet, a window over pages has the one before."""
+    n_f, n_s, n_r = len(FEATURES), len(STATES), len(ROLES)
+    kind = made.schema["conv_id"].dataType.simpleString()
 
     def count(batches):
-        lines, seen, marked = np.zeros(len(STATES)), np.zeros((len(STATES), len(FEATURES))), np.zeros(2)
-        for batch in batches:
-            for role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                marked[int(role in ROLES)] += 1
-                if role not in ROLES:
-                    continue
-                for k, (_, line, blank) in enumerate(solid(text, True)):
-                    s = STATES.index((ROLES.index(role), k == 0))
-                    lines[s] += 1
-                    seen[s] += features(line, blank)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([lines, seen.ravel(), marked])), pa.array(np.arange(len(STATES) * (1 + len(FEATURES)) + 2))], names=["n", "k"])
-
-    sums = numbered.select("role", "text").mapInArrow(lean(count), "n double, k long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    flat = np.zeros(len(STATES) * (1 + len(FEATURES)) + 2)
-    for r in sums:
-        flat[r["k"]] = r["n"]
-    here = numbered.select("n", "conv_id", "role")
-    before = here.select((F.col("n") + 1).alias("n"), F.col("conv_id").alias("c"), F.col("role").alias("prev"), F.lit(True).alias("there"))
-    moves = here.join(before, "n", "left").withColumn("same", F.coalesce(F.col("there"), F.lit(False)) & F.col("c").eqNullSafe(F.col("conv_id")))
-    moves = moves.groupBy("role", F.when(F.col("same"), F.col("prev")).alias("prev"), "same").agg(F.count("*").alias("k")).collect()
-    first, follows = np.zeros(len(ROLES)), np.zeros((len(ROLES), len(ROLES)))
-    for r in moves:
-        if r["role"] in ROLES and not r["same"]:
-            first[ROLES.index(r["role"])] += r["k"]
-        elif r["role"] in ROLES and r["prev"] in ROLES:
-            follows[ROLES.index(r["prev"]), ROLES.index(r["role"])] += r["k"]
-    n = len(STATES)
-    return Chances(first, follows, flat[:n], flat[n : n * (1 + len(FEATURES))].reshape(n, -1), flat[-2:])
-
-
-def format_conversations(conversations: DataFrame, page: int = PAGE) -> DataFrame:
+        sums = np.zeros(n_s + n_s * n_f + 2 + n_r * n_r)
+        for b in batches:
+            ends = []
+            for rows in b.column(3).to_pylist():
+                roles = [ROLES.index(r["role"]) if r["role"] in ROLES else None for r in rows]
+                ends.append((roles[0], roles[-1]))
+                for x, y in zip(roles, roles[1:]):
+                    if x is not None and y is not None:
+                        sums[n_s + n_s * n_f + 2 + x * n_r + y] += 1
+                for role, r in zip(roles, rows, strict=True):
+                    sums[n_s + n_s * n_f + int(role is not None)] += 1
+                    for k, (_, line, blank) in enumerate(solid(r["line"], True)) if role is not None else ():
+                        s = STATES.index((role, k == 0))
+                        sums[s] += 1
+                        sums[n_s + s * n_f : n_s + (s + 1) * n_f] += features(line, blank, words)
+            none = pa.nulls(len(ends), pa.list_(pa.float64()))
+            first, last = (pa.array([e[k] for e in ends], pa.int32()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), first, last, none], names=["conv_id", "block", "part", "first", "last", "sums"])
+            kind_of = b.schema
+        if sums.any():
+            empty = [pa.nulls(1, kind_of.field(k).type) for k in range(3)] + [pa.nulls(1, pa.int32())] * 2
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["conv_id", "block", "part", "first", "last", "sums"])
+
+    told = Tables(made.sparkSession).put(made.select("conv_id", "block", "part", "rows").mapInArrow(lean(count), f"conv_id {kind}, block long, part long, first int, last int, sums array<double>"), "told")
+    flat = np.zeros(n_s + n_s * n_f + 2 + n_r * n_r)
+    for r in told.where("sums is not null").select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
+        flat[r["k"]] = r["x"]
+    w = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_last(), "part")
+    met = told.where("sums is null").select("first", F.lag("last").over(w).alias("before"), F.row_number().over(w).alias("nth"))
+    first, follows = np.zeros(n_r), flat[-n_r * n_r :].reshape(n_r, n_r).copy()
+    for r in met.where("first is not null").groupBy("first", "before", (F.col("nth") == 1).alias("begins")).agg(F.count("*").alias("k")).collect():
+        if r["begins"]:
+            first[r["first"]] += r["k"]
+        elif r["before"] is not None:
+            follows[r["before"], r["first"]] += r["k"]
+    return Chances(first, follows, flat[:n_s], flat[n_s : n_s * (1 + n_f)].reshape(n_s, -1), flat[n_s * (1 + n_f) : n_s * (1 + n_f) + 2], words or {})
+
+
+def format_conversations(conversations: DataFrame, page: int = PAGE, truth_col: str | None = None) -> DataFrame:
     """Transcripts of conversations, parsed and rendered page by page.
 
     The chances of the hidden Markov model are counted over all rows with a role. Observations are a line's speaker marker and features
-    (question, length, list, code, request, blank line before); states are a role and whether a turn begins. Each page tells how it moves the scores
-    of states, a fold over a conversation's pages (36 numbers each) finds the states at their ends on the likeliest way through the whole, and each page
-    is then decoded between them: the result is that of one Viterbi pass over the conversation.
-
-    Returns one row per page: conv_id, page (from 0), n_turns, continued (the first turn goes on from the page before), n_rows, n_told (rows with a role),
-    roles (comma-joined), canonical. Roles beyond user, assistant and system count as null: the model has to find them. Null and blank texts give no turns, a
-    conversation of such rows a page without turns; null conversations are one, null turns stand last. Ties go to the first state. Other columns are
-    ignored; an empty table gives no rows.
+    (question, length, list, code, blank line before, and votes of words that tell roles apart in a bounded sample of rows with a role); states are a role and whether a turn begins. Each page
+    tells how it moves the scores of states, a fold over a conversation's pages finds the states at their ends on the likeliest way through the whole (it keeps six
+    small numbers a page), and each page is then decoded between them: the result is that of one Viterbi pass over the conversation.
+
+    Returns one row per page: conv_id, page (from 0), n_turns, continued (the first turn goes on from the page before), n_rows, n_told (rows with a role), n_lines and n_right (lines of rows
+    whose role is in `truth_col`, and those of them whose role is found; 0 without), roles (comma-joined), canonical. Roles beyond user, assistant and system count as null: the model has to
+    find them, and `truth_col` is never looked at for it. Null and blank texts give no turns, a conversation of such rows a page without turns; null conversations are one, null
+    turns stand last. Ties go to the first state. Other columns are ignored; an empty table gives no rows.
     """
     tables = Tables(conversations.sparkSession)
-    numbered, made = pages(conversations, tables, page)
-    kind = numbered.schema["conv_id"].dataType.simpleString()
-    sent = conversations.sparkSession.sparkContext.broadcast(learn_chances(numbered))
+    made = pages(conversations, tables, page, truth_col)
+    kind = made.schema["conv_id"].dataType.simpleString()
+    sent = conversations.sparkSession.sparkContext.broadcast(learn_chances(made, telling_words(conversations)))
 
     def score(batches):
         for b in batches:
             begins, moves = [], []
-            for t in b.column(2).to_pylist():
-                lines = solid(t, True)
+            for rows in b.column(3).to_pylist():
+                lines = solid(page_text(rows), True)
                 v, m = across(sent.value.emissions(lines), sent.value) if lines else (None, None)
                 begins.append(None if v is None else v.tolist())
                 moves.append(None if m is None else m.ravel().tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(begins, pa.list_(pa.float64())), pa.array(moves, pa.list_(pa.float64()))], names=["conv_id", "page", "begins", "moves"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(begins, pa.list_(pa.float64())), pa.array(moves, pa.list_(pa.float64()))], names=["conv_id", "block", "part", "begins", "moves"])
 
-    scored = tables.put(made.select("conv_id", "page", "text").mapInArrow(lean(score), f"conv_id {kind}, page long, begins array<double>, moves array<double>"), "scored")
+    scored = tables.put(made.select("conv_id", "block", "part", "rows").mapInArrow(lean(score), f"conv_id {kind}, block long, part long, begins array<double>, moves array<double>"), "scored")
+    n = len(STATES)
 
     def fold(batches):
-        """Rows sorted by conversation and page."""
-        now, held = None, []
+        """Pages sorted by conversation and place."""
+        now, held, kind_ = None, None, None
 
         def told():
-            ends = joined([(np.array(x[2]), np.array(x[3]).reshape(len(STATES), -1)) for x in held]) if held else []
-            return [(x[0], x[1], entry, end) for x, (entry, end) in zip(held, ends, strict=True)]
+            ids, entry, end = zip(*held.ends(), strict=True)
+            columns = [pa.array([now] * len(ids), kind_), *(pa.array([i[k] for i in ids], pa.int64()) for k in range(3)), pa.array(entry, pa.int32()), pa.array(end, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, names=["c", "b", "p", "place", "entry", "last"])
 
-        out = []
         for b in batches:
-            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and x[0] != now:
-                    out += told()
-                    held = []
-                now = x[0]
-                held.append(x)
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int64(), pa.int32(), pa.int32()), strict=True))], names=["conv_id", "page", "entry", "last"])
-            kind_, out = b.column(0).type, []
-        if held:
-            cols = list(zip(*told(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind_), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.int64(), pa.int32(), pa.int32()), strict=True))], names=["conv_id", "page", "entry", "last"])
-
-    ends = scored.where("begins is not null").repartition("conv_id").sortWithinPartitions("conv_id", "page").mapInArrow(lean(fold), f"conv_id {kind}, page long, entry int, last int")
-    ends = tables.put(ends.select(F.col("conv_id").alias("c"), F.col("page").alias("p"), "entry", "last"), "ends")
-    # What is known of each page without its text: rows, told roles, its place among the conversation's pages, the states beside it.
-    known = numbered.groupBy("conv_id", "page").agg(F.count("*").alias("n_rows"), F.count_if(F.col("role").isin(*ROLES)).alias("n_told"))
-    known = tables.put(known.select(F.col("conv_id").alias("kc"), F.col("page").alias("kp"), "n_rows", "n_told"), "known")
-    first = known.groupBy("kc").agg(F.min("kp").alias("first")).select(F.col("kc").alias("fc"), "first")
-    known = known.join(first, F.expr("kc <=> fc")).join(ends, F.expr("kc <=> c and kp = p"), "left").select("kc", "kp", (F.col("kp") - F.col("first")).alias("place"), "n_rows", "n_told", "entry", "last")
-    both = made.join(tables.put(known, "marks"), F.expr("conv_id <=> kc and page = kp"))
-    tables.drop(numbered, scored)
+            kind_ = b.column(0).type
+            for conv, block, part, place, begins, moves in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held is not None and conv != now:
+                    yield told()
+                    held = None
+                if held is None:
+                    now, held = conv, Joined()
+                held.add((block, part, place), np.array(begins), np.array(moves).reshape(n, n))
+        if held is not None:
+            yield told()
+
+    w = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_last(), "part")
+    placed = tables.put(scored.withColumn("place", F.row_number().over(w).cast("long") - 1), "placed")
+    ordered = placed.where("begins is not null").repartition("conv_id").sortWithinPartitions("conv_id", "place").select("conv_id", "block", "part", "place", "begins", "moves")
+    ends = tables.put(ordered.mapInArrow(lean(fold), f"c {kind}, b long, p long, place long, entry int, last int"), "ends").drop("place")
+    marks = placed.select(F.col("conv_id").alias("pc"), F.col("block").alias("pb"), F.col("part").alias("pp"), "place").join(ends, F.expr("pc <=> c and pb <=> b and pp = p"), "left")
+    both = made.join(tables.put(marks.select("pc", "pb", "pp", "place", "entry", "last"), "marks"), F.expr("conv_id <=> pc and block <=> pb and part = pp"))
+    tables.drop(scored)
 
     def decode(batches):
         for b in batches:
             out = []
-            for text, entry, last in zip(*(b.column(k).to_pylist() for k in (2, 5, 6)), strict=True):
-                lines, turns = solid(text, True), []
+            for rows, entry, last in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                text = page_text(rows)
+                lines, turns, found = solid(text, True), [], []
                 if lines:
-                    path = viterbi(sent.value.emissions(lines), sent.value, entry, last)
-                    turns = turns_of(text, {i: s for (i, _, _), s in zip(lines, path, strict=True)})
+                    found = viterbi(sent.value.emissions(lines), sent.value, entry, last)
+                    turns = turns_of(text, {i: s for (i, _, _), s in zip(lines, found, strict=True)})
+                truth = [r["truth"] for r in rows for _ in solid(r["line"])]
+                known = [(t, ROLES[STATES[s][0]]) for t, s in zip(truth, found, strict=True) if t in ROLES]
                 shown = [(r, t) for r, t, _ in turns]
-                out.append((len(turns), bool(turns) and not turns[0][2], ",".join(r for r, _ in shown), render(shown)))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            n, c, r, t = (pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.bool_(), pa.string(), pa.string()), strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, c, b.column(3), b.column(4), r, t], names=["conv_id", "page", "n_turns", "continued", "n_rows", "n_told", "roles", "canonical"])
+                told = sum(r["role"] in ROLES for r in rows)
+                out.append((len(turns), bool(turns) and not turns[0][2], len(rows), told, len(known), sum(x == y for x, y in known), ",".join(r for r, _ in shown), render(shown)))
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = [pa.array(x, k) for x, k in zip(list(zip(*out, strict=True)) or [()] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["conv_id", "page", "n_turns", "continued", "n_rows", "n_told", "n_lines", "n_right", "roles", "canonical"])
 
-    return both.select("conv_id", "place", "text", "n_rows", "n_told", "entry", "last").mapInArrow(lean(decode), f"conv_id {kind}, page long, n_turns long, continued boolean, n_rows long, n_told long, roles string, canonical string")
+    return both.select("conv_id", "place", "rows", "entry", "last").mapInArrow(lean(decode), f"conv_id {kind}, page long, n_turns long, continued boolean, n_rows long, n_told long, n_lines long, n_right long, roles string, canonical string")
 
 
 def format_chats(texts: DataFrame, id_col: str = "conv_id", text_col: str = "text", chances: Chances = ASSUMED) -> DataFrame:

@@ -44,7 +44,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_conversations(load(spark, sf_dir, "conversations"))
+    """Roles of a third of the conversations are hidden, from the model's counts and from the text: what is found is held against them."""
+    hidden = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 3 == 1
+    talk = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("truth"), F.when(F.coalesce(hidden, F.lit(False)), None).otherwise(F.col("role")).alias("role"), "text")
+    return format_conversations(talk, truth_col="truth").withColumn("held_out", F.coalesce(hidden, F.lit(False)))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import functions as F
 
 from duolex.llm import jaccard_join, mixing, substring_dedup
-from duolex.llm.chat import STATES, Chances, across, format_chats, format_conversations, joined, learn_chances, pages, parse, read_back, render, viterbi
+from duolex.llm.chat import FEATURES, ROLES, STATES, Chances, across, page_text, solid, telling_words, format_chats, format_conversations, joined, learn_chances, pages, parse, read_back, render, viterbi
 from duolex.llm.decontamination import decontaminate, keep_clean
 from duolex.llm.exact_dedup import exact_dedup
 from duolex.llm.jaccard_join import keep_one, near_duplicates
@@ -619,7 +619,7 @@ def test_viterbi_is_the_best_of_all_paths():
     rng = np.random.default_rng(3)
     for _ in range(60):
         n = len(STATES)
-        c = Chances(rng.integers(0, 9, 3).astype(float), rng.integers(0, 9, (3, 3)).astype(float), rng.integers(1, 9, n).astype(float), np.zeros((n, 6)), np.array([3.0, 4.0]))
+        c = Chances(rng.integers(0, 9, 3).astype(float), rng.integers(0, 9, (3, 3)).astype(float), rng.integers(1, 9, n).astype(float), np.zeros((n, len(FEATURES))), np.array([3.0, 4.0]))
         e = rng.normal(0, 2, (int(rng.integers(1, 6)), n))
         entry = None if rng.random() < 0.5 else int(rng.integers(n))
         end = None if rng.random() < 0.5 else int(rng.integers(n))
@@ -639,9 +639,48 @@ def test_viterbi_is_the_best_of_all_paths():
 
 def test_chances_are_counted(spark):
     talk = [(1, 0, "user", "a?\nb"), (1, 1, "assistant", "c\n\n- d"), (1, 2, "user", "e"), (2, 0, "system", "f"), (2, 1, None, "g"), (2, 2, "user", "h")]
-    c = learn_chances(pages(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"), Tables(spark))[0])
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    for page in (10, 2, 1):
+        c = learn_chances(pages(df, Tables(spark), page))
+        assert c.first.tolist() == [1, 0, 1] and c.follows.tolist() == [[0, 1, 0], [1, 0, 0], [0, 0, 0]], page
     assert c.first.tolist() == [1, 0, 1] and c.follows.tolist() == [[0, 1, 0], [1, 0, 0], [0, 0, 0]] and c.marked.tolist() == [1, 5]
-    assert c.lines.tolist() == [3, 1, 1, 1, 1, 0] and c.seen[0].tolist() == [1, 3, 0, 0, 0, 3] and c.seen[3].tolist() == [0, 1, 1, 0, 0, 1]
+    assert c.lines.tolist() == [3, 1, 1, 1, 1, 0] and c.seen[0].tolist() == [1, 3, 0, 0, 0, 0, 3, 0, 0, 0] and c.seen[3].tolist() == [0, 1, 0, 0, 1, 0, 1, 0, 0, 0]
+
+
+def test_hidden_roles_are_recovered(spark):
+    """Roles of a third of the conversations are hidden from text and counts."""
+    from duolex.llm.queries import op5_chat_format
+
+    got = op5_chat_format(spark, "/root/testdata/sf0.01").collect()
+    hidden = [r for r in got if r.held_out]
+    assert sum(r.n_told for r in hidden) == 0 < sum(r.n_lines for r in hidden) and {zlib.crc32(str(r.conv_id).encode()) % 3 == 1 for r in hidden} == {True}
+    assert sum(r.n_right for r in hidden) >= 0.9 * sum(r.n_lines for r in hidden)
+    assert sum(r.n_rows for r in got) == spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").count()
+
+
+def test_short_conversations_against_all_paths(spark):
+    """From rows to roles: the path with the greatest weight of all, by trying each, with the chances that were counted."""
+    rng = random.Random(19)
+    say = {"user": ["why so?", "please go on", "and then?"], "assistant": ["it is so because of that, and of that, and of much more that would have to be told here", "so it goes;"], "system": ["be kind"]}
+    rows = []
+    for c in range(40):
+        for t in range(rng.randint(1, 4)):
+            role = "system" if t == 0 and c % 4 == 0 else ("user", "assistant")[t % 2]
+            rows.append((c, t, role if c % 3 else None, rng.choice(say[role])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = pages(df, Tables(spark))
+    chances = learn_chances(made, telling_words(df))
+    assert chances.words
+    want = {}
+    for r in made.collect():
+        lines = solid(page_text([x.asDict() for x in r.rows]), True)
+        e = chances.emissions(lines)
+        weigh = lambda p, e=e: chances.start[p[0]] + e[0][p[0]] + sum(chances.move[a, b] + e[k + 1][b] for k, (a, b) in enumerate(itertools.pairwise(p)))
+        want[r.conv_id] = max(map(weigh, itertools.product(range(len(STATES)), repeat=len(lines)))), weigh, lines
+    for r in format_conversations(df).collect():
+        best, weigh, lines = want[r.conv_id]
+        roles, path = r.roles.split(","), viterbi(chances.emissions(lines), chances)
+        assert abs(weigh(path) - best) < 1e-9 and roles == [ROLES[STATES[s][0]] for s in path if STATES[s][1]]
 
 
 def test_chat_roles_with_lost_markers():
