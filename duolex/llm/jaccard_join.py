@@ -252,6 +252,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
 
     made = rows.mapInArrow(lean(sets), f"id {kind}, n long, sig binary, prefix array<long>, parts array<int>, bits binary")
     made = tables.put(made.withColumn("row", F.monotonically_increasing_id()), "sets")
+    frequent.destroy()  # what is written isn't made again
     classes = tables.put(made.where("n > 0").groupBy("sig").agg(F.min("row").alias("node"), F.min("id").alias("least_id")), "classes")
     reps = made.join(classes.select("node").hint("merge"), F.col("row") == F.col("node")).select("node", "n", "sig", "bits", "prefix", "parts")
     reps = tables.put(reps, "reps")
@@ -472,6 +473,7 @@ def _verify(rows: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, table
 
     sets = rows.select("text").mapInArrow(lean(again), "sig binary, items binary")
     sets = tables.put(sets.groupBy("sig").agg(F.first("items").alias("items")), "items")
+    sent.destroy()
 
     # A query with its candidates, CHUNK at once, in one task: the sets of all come in rows behind the query's.
     sets = sets.select("sig", "items")
