@@ -21,10 +21,11 @@ def tokenize_stream(pairs: DataFrame) -> DataFrame:
     return token_rows(tokenize(pairs))
 
 
-def align_stream(pairs: DataFrame, embedder: Embedder, out: str, checkpoint: str, method: str = "itermax", repair: Repair | None = None, settings: Settings | None = None) -> StreamingQuery:
-    """Aligns each micro-batch and writes it to a folder of its own number, replacing it after a retry: exactly once."""
+def align_stream(pairs: DataFrame, embedder: Embedder, out: str, checkpoint: str, method: str = "itermax", repair: Repair | None = None, settings: Settings | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Aligns each micro-batch and writes it to a folder of its own number, replacing it after a retry: exactly once. `trigger`: as of a stream's writer; by default what
+    is there is aligned and the stream ends."""
 
     def write(batch: DataFrame, number: int) -> None:
         align(batch, embedder, method, repair, settings).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return pairs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return pairs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
