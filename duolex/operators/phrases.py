@@ -128,6 +128,45 @@ def partition_regions(tokenized: DataFrame, links: DataFrame, cells: DataFrame,
     return each_batch(packed_pairs(tokenized, links, cells, vectors), find, "pair_id string, region int, s0 int, s1 int, t0 int, t1 int")
 
 
+def region_choices(regions: DataFrame, links: DataFrame, segments: DataFrame, cells: DataFrame, vectors: DataFrame, repair: Repair) -> DataFrame:
+    """(pair_id, region, choice, s0, s1, t0, t1, similarity, confidence): what becomes of each region (with `support`) that is refined, and the groups it then has.
+
+    Reversed runs come first. Else a region is looked at if both sides have two tokens and it two links, none of its tokens is linked beyond it, its links cover one side too little and the
+    other well enough: then its gaps, if with them both sides are covered, or else the segments of its partition (`segments`, as of partition_regions) that links don't settle already. A
+    group's confidence is of its block in the relative matrix, the mean confidence of the region's links that touch it, its similarity and the region's support."""
+    region = ["pair_id", "region"]
+    own = staged(own_links(regions, links).withColumnRenamed("s0", "region").drop("s1", "t0", "t1"), "own")
+    runs = staged(reverse_runs(regions, links, repair).select("pair_id", F.col("s0").alias("region"), *[F.col(f"run_{c}").alias(c) for c in BOX]), "runs")
+    gaps = staged(merged_gaps(regions, links, vectors, repair), "gaps")
+    marked = regions.select("pair_id", F.col("s0").alias("region"), *BOX, "support")
+    # Links with one end in the region are of the pair but not of the region.
+    leaving = marked.join(links.select("pair_id", "s", "t"), "pair_id").where("(s >= s0 and s < s1) != (t >= t0 and t < t1)").select(*region).distinct().withColumn("leaves", F.lit(True))
+    seen = own.groupBy(*region).agg(F.count("*").alias("n_links"), F.count_distinct("s").alias("on_s"), F.count_distinct("t").alias("on_t"))
+    tokens = lambda df: df.select(*region, F.explode(F.expr("array(struct('s' as side, cast(s as int) as idx), struct('t' as side, cast(t as int) as idx))")).alias("x")).select(*region, "x.*")
+    ranges = F.expr("concat(transform(sequence(s0, s1 - 1), i -> struct('s' as side, cast(i as int) as idx)), transform(sequence(t0, t1 - 1), i -> struct('t' as side, cast(i as int) as idx)))")
+    with_gaps = tokens(own).unionByName(gaps.select(*region, F.explode(ranges).alias("x")).select(*region, "x.*")).distinct()
+    with_gaps = with_gaps.groupBy(*region).agg(F.count_if(F.col("side") == "s").alias("all_s"), F.count_if(F.col("side") == "t").alias("all_t"))
+    told = marked.join(seen, region, "left").join(leaving, region, "left").join(with_gaps, region, "left")
+    told = told.join(runs.select(*region).distinct().withColumn("has_runs", F.lit(True)), region, "left").join(gaps.select(*region).distinct().withColumn("has_gaps", F.lit(True)), region, "left")
+    least = repair.min_span_coverage
+    shares = [F.coalesce(F.col(f"on_{c}"), F.lit(0)) / (F.col(f"{c}1") - F.col(f"{c}0")) for c in "st"]
+    low = F.expr("s1 - s0 >= 2 and t1 - t0 >= 2 and coalesce(n_links, 0) >= 2 and leaves is null") & (F.least(*shares) < least) & (F.greatest(*shares) >= min(0.5, least))
+    restored = F.col("has_gaps") & (F.least(F.col("all_s") / (F.col("s1") - F.col("s0")), F.col("all_t") / (F.col("t1") - F.col("t0"))) >= least)
+    choice = F.when(F.col("has_runs"), "runs").when(~F.coalesce(low, F.lit(False)), None).when(restored, "gaps").otherwise("partition")
+    told = staged(told.select(*region, "support", choice.alias("choice")).where("choice is not null"), "choices")
+    # A segment is settled if it has links, none of them leaving it, on all of its tokens.
+    touch = segments.select(*region, *BOX).join(own, region).where("(s >= s0 and s < s1) or (t >= t0 and t < t1)")
+    settled = touch.groupBy(*region, *BOX).agg(F.min(F.expr("s >= s0 and s < s1 and t >= t0 and t < t1")).alias("closed"), F.count_distinct("s").alias("ks"), F.count_distinct("t").alias("kt")).where("closed and ks = s1 - s0 and kt = t1 - t0")
+    open_ = segments.select(*region, *BOX).join(settled.select(*region, *BOX), [*region, *BOX], "left_anti")
+    of = lambda df, name: df.select(*region, F.lit(name).alias("choice"), *[F.col(c).cast("int").alias(c) for c in BOX])
+    boxes = of(runs, "runs").unionByName(of(gaps, "gaps")).unionByName(of(open_, "partition")).join(told, [*region, "choice"])
+    boxes = staged(boxes.withColumn("span", F.concat_ws(":", *BOX)), "boxes")
+    mean = boxes.select(*region, "span", *BOX).join(own, region).where("(s >= s0 and s < s1) or (t >= t0 and t < t1)").groupBy("pair_id", "span").agg(F.avg("confidence").alias("mean"))
+    scored = boxes.join(mean_similarity(span_members(boxes), vectors), ["pair_id", "span"]).join(matrix_span_score(boxes, cells, "rel"), ["pair_id", "span"]).join(mean, ["pair_id", "span"], "left")
+    confidence = 0.40 * F.col("score") + 0.25 * F.coalesce("mean", F.lit(0.0)) + 0.20 * F.col("similarity") + 0.15 * F.col("support")
+    return scored.select(*region, "choice", *BOX, "similarity", bounded(confidence).alias("confidence"))
+
+
 def soft_anchors(links: DataFrame, tokens: DataFrame, repair: Repair) -> DataFrame:
     """(pair_id, s, t): of single, sure links between content tokens the heaviest chain that rises on both sides. Only a pair's candidates meet in a row."""
     count = lambda c: F.count("*").over(Window.partitionBy("pair_id", c))

@@ -259,6 +259,10 @@ CTES |= {
     ),
     "gap_next": (["gap", "merge"], "SELECT g.*, m.n IS NOT NULL AS takes FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, region ORDER BY s0) AS n FROM gap) g LEFT JOIN merge m USING (pair_id, region, n)"),
     "gap_hop": (["gap_next"], "SELECT pair_id, region, n, takes FROM gap_next WHERE n = 1 UNION ALL SELECT h.pair_id, h.region, g.n, g.takes FROM gap_hop h JOIN gap_next g ON g.pair_id = h.pair_id AND g.region = h.region AND g.n = h.n + CASE WHEN h.takes THEN 2 ELSE 1 END"),
+    "merged_gap": (
+        ["gap_hop"],
+        "SELECT g.pair_id, g.region, g.s0, CASE WHEN g.takes THEN x.s1 ELSE g.s1 END AS s1, g.t0, CASE WHEN g.takes THEN x.t1 ELSE g.t1 END AS t1 FROM gap_hop h JOIN gap_next g USING (pair_id, region, n) LEFT JOIN gap_next x ON x.pair_id = g.pair_id AND x.region = g.region AND x.n = g.n + 1",
+    ),
     # Segments of regions with their worth.
     "segment": (
         ["region"],
@@ -283,6 +287,35 @@ CTES |= {
         FROM wave c JOIN worth g ON g.pair_id = c.pair_id AND g.region = c.region AND c.i = -1 AND g.i + g.j = c.clock + 1 JOIN recurring.wave p ON p.pair_id = g.pair_id AND p.region = g.region AND p.i = g.i - g.a AND p.j = g.j - g.b GROUP BY ALL)
         UNION ALL SELECT c.pair_id, c.region, -1, -1, 0, []::INT[], c.clock + 1 FROM wave c WHERE c.i = -1 AND c.clock < 64)""",
     ),
+    "cut": (
+        ["wave"],
+        """SELECT pair_id, region, s0 + coalesce(list_sum(list_transform(path[:k - 1], lambda x: x // 100)), 0)::INT AS s0, s0 + list_sum(list_transform(path[:k], lambda x: x // 100))::INT AS s1, t0 + coalesce(list_sum(list_transform(path[:k - 1], lambda x: x % 100)), 0)::INT AS t0,
+        t0 + list_sum(list_transform(path[:k], lambda x: x % 100))::INT AS t1 FROM (SELECT w.pair_id, w.region, r.s0, r.t0, path, unnest(range(1, len(path) + 1)) AS k FROM wave w JOIN region r ON r.pair_id = w.pair_id AND r.s0 = w.region AND w.i = r.s1 - r.s0 AND w.j = r.t1 - r.t0)
+        UNION ALL SELECT pair_id, s0, s0, s1, t0, t1 FROM region WHERE s1 - s0 <= 3 AND t1 - t0 <= 6""",
+    ),
+    # What becomes of a region, with a coverage of 0.75 asked for.
+    "run": (["hop"], "SELECT pair_id, s0 AS region, s AS s0, s_last + 1 AS s1, t_last AS t0, t + 1 AS t1 FROM hop JOIN reach USING (pair_id, s0, n) WHERE good"),
+    "choice": (
+        ["run", "merged_gap", "own"],
+        """SELECT *, CASE WHEN runs THEN 'runs' WHEN NOT (n >= 2 AND m >= 2 AND k >= 2 AND NOT leaves AND least(on_s / n, on_t / m) < 0.75 AND greatest(on_s / n, on_t / m) >= 0.5) THEN NULL WHEN gaps AND least(all_s / n, all_t / m) >= 0.75 THEN 'gaps' ELSE 'partition' END AS choice FROM (SELECT r.pair_id, r.s0 AS region, support,
+        s1 - s0 AS n, t1 - t0 AS m, EXISTS (FROM run x WHERE x.pair_id = r.pair_id AND x.region = r.s0) AS runs, EXISTS (FROM merged_gap x WHERE x.pair_id = r.pair_id AND x.region = r.s0) AS gaps,
+        EXISTS (FROM scored x WHERE x.pair_id = r.pair_id AND (x.s >= r.s0 AND x.s < r.s1) != (x.t >= r.t0 AND x.t < r.t1)) AS leaves, (SELECT count(*) FROM own o WHERE o.pair_id = r.pair_id AND o.s0 = r.s0) AS k,
+        (SELECT count(DISTINCT s) FROM own o WHERE o.pair_id = r.pair_id AND o.s0 = r.s0) AS on_s, (SELECT count(DISTINCT t) FROM own o WHERE o.pair_id = r.pair_id AND o.s0 = r.s0) AS on_t,
+        (SELECT count(DISTINCT i) FROM (SELECT pair_id, s0 AS region, s AS i FROM own UNION ALL SELECT pair_id, region, unnest(range(s0, s1)) FROM merged_gap) o WHERE o.pair_id = r.pair_id AND o.region = r.s0) AS all_s,
+        (SELECT count(DISTINCT i) FROM (SELECT pair_id, s0 AS region, t AS i FROM own UNION ALL SELECT pair_id, region, unnest(range(t0, t1)) FROM merged_gap) o WHERE o.pair_id = r.pair_id AND o.region = r.s0) AS all_t FROM region r)""",
+    ),
+    "settled": (
+        ["cut", "own"],
+        """SELECT c.pair_id, c.region, c.s0, c.s1, c.t0, c.t1 FROM cut c JOIN own o ON o.pair_id = c.pair_id AND o.s0 = c.region AND (o.s >= c.s0 AND o.s < c.s1 OR o.t >= c.t0 AND o.t < c.t1) GROUP BY ALL
+        HAVING bool_and(o.s >= c.s0 AND o.s < c.s1 AND o.t >= c.t0 AND o.t < c.t1) AND count(DISTINCT o.s) = c.s1 - c.s0 AND count(DISTINCT o.t) = c.t1 - c.t0""",
+    ),
+    "chosen": (
+        ["choice", "settled"],
+        "SELECT pair_id, region, choice, s0, s1, t0, t1, support FROM (SELECT *, 'runs' AS choice FROM run UNION ALL BY NAME SELECT *, 'gaps' AS choice FROM merged_gap UNION ALL BY NAME SELECT *, 'partition' AS choice FROM (FROM cut ANTI JOIN settled USING (pair_id, region, s0, s1, t0, t1))) JOIN choice USING (pair_id, region, choice)",
+    ),
+    "chosen_set": (["chosen"], _sets("chosen")),
+    "chosen_like": (["chosen_set", "dots"], _likeness("chosen_set", "pair_id", "s0", "s1", "t0", "t1")),
+    "chosen_block": (["chosen", "rel"], _block("chosen")),
     # Matchings of pairs with up to 8 tokens on the shorter side: token by token of the longer side, for each set of used ones the greatest weight.
     "small": (["sizes"], "SELECT *, least(n_s, n_t) AS k, greatest(n_s, n_t) AS n FROM sizes WHERE least(n_s, n_t) BETWEEN 1 AND 8"),
     "weighed": (["small", "sim"], "SELECT pair_id, CASE WHEN n_s <= n_t THEN s ELSE t END AS i, CASE WHEN n_s <= n_t THEN t ELSE s END AS l, sim FROM sim JOIN small USING (pair_id)"),
@@ -418,15 +451,12 @@ ORACLES = {
     ),
     "reverse_runs": sql("SELECT pair_id, s0, s AS run_s0, s_last + 1 AS run_s1, t_last AS run_t0, t + 1 AS run_t1 FROM hop JOIN reach USING (pair_id, s0, n) WHERE good", "hop"),
     "bounded_gaps": sql("SELECT pair_id, region, s0, s1, t0, t1, similarity FROM gap", "gap"),
-    "merged_gaps": sql(
-        "SELECT g.pair_id, g.region, g.s0, CASE WHEN g.takes THEN x.s1 ELSE g.s1 END AS s1, g.t0, CASE WHEN g.takes THEN x.t1 ELSE g.t1 END AS t1 FROM gap_hop h JOIN gap_next g USING (pair_id, region, n) LEFT JOIN gap_next x ON x.pair_id = g.pair_id AND x.region = g.region AND x.n = g.n + 1",
-        "gap_hop",
-    ),
-    "partition_regions": sql(
-        """SELECT pair_id, region, s0 + coalesce(list_sum(list_transform(path[:k - 1], lambda x: x // 100)), 0)::INT AS s0, s0 + list_sum(list_transform(path[:k], lambda x: x // 100))::INT AS s1, t0 + coalesce(list_sum(list_transform(path[:k - 1], lambda x: x % 100)), 0)::INT AS t0,
-        t0 + list_sum(list_transform(path[:k], lambda x: x % 100))::INT AS t1 FROM (SELECT w.pair_id, w.region, r.s0, r.t0, path, unnest(range(1, len(path) + 1)) AS k FROM wave w JOIN region r ON r.pair_id = w.pair_id AND r.s0 = w.region AND w.i = r.s1 - r.s0 AND w.j = r.t1 - r.t0)
-        UNION ALL SELECT pair_id, s0, s0, s1, t0, t1 FROM region WHERE s1 - s0 <= 3 AND t1 - t0 <= 6""",
-        "wave",
+    "merged_gaps": sql("SELECT * FROM merged_gap", "merged_gap"),
+    "partition_regions": sql("SELECT * FROM cut", "cut"),
+    "region_choices": sql(
+        """SELECT pair_id, region, choice, s0, s1, t0, t1, similarity, round(greatest(0, least(1, 0.40 * sqrt(f * r) + 0.25 * coalesce(mean, 0) + 0.20 * similarity + 0.15 * support)), 6) AS confidence FROM chosen JOIN chosen_like USING (pair_id, s0, s1, t0, t1)
+        JOIN chosen_block USING (pair_id, s0, s1, t0, t1) LEFT JOIN (SELECT c.pair_id, c.s0, c.s1, c.t0, c.t1, avg(confidence) AS mean FROM chosen c JOIN own o ON o.pair_id = c.pair_id AND o.s0 = c.region AND (o.s >= c.s0 AND o.s < c.s1 OR o.t >= c.t0 AND o.t < c.t1) GROUP BY ALL) USING (pair_id, s0, s1, t0, t1)""",
+        "chosen_like", "chosen_block",
     ),
     "soft_anchors": sql("SELECT pair_id, x.s AS s, x.t AS t FROM (SELECT pair_id, unnest(list_max(ends).path) AS x FROM (SELECT pair_id, arg_max(ends, n) AS ends FROM rise GROUP BY pair_id))", "rise"),
     "span_expansions": sql(

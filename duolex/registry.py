@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,6 +131,14 @@ def _partitions(x: Inputs) -> DataFrame:
     return phrases.partition_regions(x.tokenized(), x.scored().withColumn("origin", F.lit("model")), x.cells(), x.vectors(), LOOSE)
 
 
+def _choices(x: Inputs) -> DataFrame:
+    regions, links = x.phrase_inputs()
+    cells, vectors = staged(x.cells(), "cells"), staged(x.vectors(), "vectors")
+    options = replace(LOOSE, min_span_coverage=0.75)
+    segments = staged(phrases.partition_regions(x.tokenized(), links.withColumn("origin", F.lit("model")), cells, vectors, options), "segments")
+    return phrases.region_choices(regions, links, segments, cells, vectors, options)
+
+
 def _expansions(x: Inputs) -> DataFrame:
     found = phrases.span_expansions(*x.phrase_inputs(), staged(x.cells(), "cells"), staged(x.vectors(), "vectors"), LOOSE)
     return found.withColumn("gain", F.round("gain", 6))
@@ -180,6 +190,7 @@ _OPERATORS = {
     "bounded_gaps": lambda x: phrases.bounded_gaps(*x.phrase_inputs(), staged(x.vectors(), "vectors"), LOOSE),
     "merged_gaps": lambda x: phrases.merged_gaps(*x.phrase_inputs(), staged(x.vectors(), "vectors"), LOOSE),
     "partition_regions": _partitions,
+    "region_choices": _choices,
     "soft_anchors": lambda x: phrases.soft_anchors(x.scored(), x.tokens(), LOOSE),
     "span_expansions": _expansions,
     "link_components": lambda x: groups.link_components(matching.itermax(x.similarity())).groupBy("pair_id", "comp").agg(F.min("s").alias("s"), F.min("t").alias("t"), F.count("*").alias("n")).drop("comp"),

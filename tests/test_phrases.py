@@ -3,6 +3,7 @@
 import itertools
 import random
 import time
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -240,6 +241,12 @@ def many(spark):
         p.links, p.conf, p.locked = gap.copy(), np.where(gap, 0.3, 0.0), np.zeros_like(gap)
         p.s_vec[[1, 3]], p.t_vec[[1, 3]] = rng.normal(size=(2, 3)), rng.normal(size=(2, 3))
         pairs[f"m{k}"] = p
+    for k in range(3):  # a gap that restores the coverage
+        p = random_pair(rng, 5, 5)
+        p.links[:], p.locked[:] = False, False
+        p.links[[0, 3, 4], [0, 3, 4]] = True
+        p.s_vec[:], p.t_vec[:] = 1.0, 1.0
+        pairs[f"g{k}"] = p
     links = [(k, int(s), int(t), 0.5, float(p.conf[s, t]), bool(p.locked[s, t])) for k, p in pairs.items() for s, t in np.argwhere(p.links)]
     cells = [(k, s, t, float(p.sim[s, t]), float(p.rel[s, t])) for k, p in pairs.items() for s in range(p.sim.shape[0]) for t in range(p.sim.shape[1])]
     vec = [(k, side, i, v.tolist()) for k, p in pairs.items() for side, vs in (("source", p.s_vec), ("target", p.t_vec)) for i, v in enumerate(vs)]
@@ -289,6 +296,26 @@ def test_expansions(many):
     assert all(abs(r.confidence - conf[r.pair_id, r.s0, r.s1, r.t0, r.t1]) < 2e-6 for r in got)
 
 
+def test_choices_among_candidates(spark, many):
+    """Each pair as one region: runs, gaps or partition, and the scores of its groups, as the kernel chooses."""
+    pairs, t = many
+    seen = set()
+    for o in (replace(LOOSE, min_span_coverage=0.75), replace(LOOSE, min_span_coverage=0.4)):
+        want, cut = {}, []
+        for k, p in pairs.items():
+            r = Refiner(p, o)
+            cut += [(k, 0, *map(int, b)) for b in r.partition(whole(p), p.links) or []]
+            for b in r.choose(whole(p), p.links):
+                g = r.refined(b, 0.5, p.links)
+                want[k, *map(int, b)] = (g.similarity, g.confidence)
+        segments = spark.createDataFrame(cut, "pair_id string, region int, s0 int, s1 int, t0 int, t1 int")
+        got = phrases.region_choices(t["regions"].withColumn("support", F.lit(0.5)), t["links"], segments, t["cells"], t["vectors"], o).collect()
+        found = {(r.pair_id, r.s0, r.s1, r.t0, r.t1): (r.similarity, r.confidence) for r in got}
+        assert found.keys() == want.keys() and all(abs(a - b) < 2e-6 for k in want for a, b in zip(found[k], want[k], strict=True))
+        seen |= {r.choice for r in got}
+    assert seen == {"runs", "gaps", "partition"}
+
+
 def test_conflict_rounds_are_the_greedy_choice(spark):
     """With many ties in the first key; one pair in which each box waits for the one before it."""
     rng = random.Random(17)
