@@ -338,7 +338,14 @@ def format_conversations(conversations: DataFrame, page: int = PAGE, truth_col:
                 moves.append(None if m is None else m.ravel().tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(begins, pa.list_(pa.float64())), pa.array(moves, pa.list_(pa.float64()))], names=["conv_id", "block", "part", "begins", "moves"])
 
-    scored = tables.put(made.select("conv_id", "block", "part", "rows").mapInArrow(lean(score), f"conv_id {kind}, block long, part long, begins array<double>, moves array<double>"), "scored")
+    # Only conversations of several pages have to be joined; what has one page is decoded by itself.
+    several = made.groupBy("conv_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("conv_id").alias("sc"))
+    several = tables.put(several, "several")
+    within = F.expr("conv_id <=> sc")
+    none = F.lit(None).cast("int")
+    one_page = several.isEmpty()
+    alone = made if one_page else made.join(several, within, "left_anti")
+    alone = alone.select("conv_id", F.lit(0).cast("long").alias("place"), "rows", none.alias("entry"), none.alias("last"))
     n = len(STATES)
 
     def fold(batches):
@@ -362,13 +369,17 @@ def format_conversations(conversations: DataFrame, page: int = PAGE, truth_col:
         if held is not None:
             yield told()
 
-    w = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_last(), "part")
-    placed = tables.put(scored.withColumn("place", F.row_number().over(w).cast("long") - 1), "placed")
-    ordered = placed.where("begins is not null").repartition("conv_id").sortWithinPartitions("conv_id", "place").select("conv_id", "block", "part", "place", "begins", "moves")
-    ends = tables.put(ordered.mapInArrow(lean(fold), f"c {kind}, b long, p long, place long, entry int, last int"), "ends").drop("place")
-    marks = placed.select(F.col("conv_id").alias("pc"), F.col("block").alias("pb"), F.col("part").alias("pp"), "place").join(ends, F.expr("pc <=> c and pb <=> b and pp = p"), "left")
-    both = made.join(tables.put(marks.select("pc", "pb", "pp", "place", "entry", "last"), "marks"), F.expr("conv_id <=> pc and block <=> pb and part = pp"))
-    tables.drop(scored)
+    def long_ones() -> DataFrame:
+        pages_ = made.join(several, within, "left_semi")
+        scored = tables.put(pages_.select("conv_id", "block", "part", "rows").mapInArrow(lean(score), f"conv_id {kind}, block long, part long, begins array<double>, moves array<double>"), "scored")
+        w = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_last(), "part")
+        placed = tables.put(scored.withColumn("place", F.row_number().over(w).cast("long") - 1), "placed")
+        tables.drop(scored)
+        ordered = placed.where("begins is not null").repartition("conv_id").sortWithinPartitions("conv_id", "place").select("conv_id", "block", "part", "place", "begins", "moves")
+        ends = tables.put(ordered.mapInArrow(lean(fold), f"c {kind}, b long, p long, place long, entry int, last int"), "ends").drop("place")
+        marks = placed.select(F.col("conv_id").alias("pc"), F.col("block").alias("pb"), F.col("part").alias("pp"), "place").join(ends, F.expr("pc <=> c and pb <=> b and pp = p"), "left")
+        marks = tables.put(marks.select("pc", "pb", "pp", "place", "entry", "last"), "marks")
+        return pages_.join(marks, F.expr("conv_id <=> pc and block <=> pb and part = pp")).select("conv_id", "place", "rows", "entry", "last")
 
     def decode(batches):
         for b in batches:
@@ -388,7 +399,8 @@ def format_conversations(conversations: DataFrame, page: int = PAGE, truth_col:
             columns = [pa.array(x, k) for x, k in zip(list(zip(*out, strict=True)) or [()] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["conv_id", "page", "n_turns", "continued", "n_rows", "n_told", "n_lines", "n_right", "roles", "canonical"])
 
-    return both.select("conv_id", "place", "rows", "entry", "last").mapInArrow(lean(decode), f"conv_id {kind}, page long, n_turns long, continued boolean, n_rows long, n_told long, n_lines long, n_right long, roles string, canonical string")
+    every = alone if one_page else alone.unionByName(long_ones())
+    return every.mapInArrow(lean(decode), f"conv_id {kind}, page long, n_turns long, continued boolean, n_rows long, n_told long, n_lines long, n_right long, roles string, canonical string")
 
 
 def format_chats(texts: DataFrame, id_col: str = "conv_id", text_col: str = "text", chances: Chances = ASSUMED) -> DataFrame:
