@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from duolex.operators.vectors import HashEmbedder
+from duolex.sources.pairs import read_requests
+from duolex.sources.request_format import RequestFormat, lines_between
 from duolex.streaming.requests import ARRIVAL_SCHEMA, gather_requests, serve_stream
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -63,3 +65,55 @@ def test_gathered_requests_are_served(rocks, tmp_path):
     assert set(out) == {"a", "late"} and out["a"].method == "inter" and [p.id for p in out["a"].sentence_alignments] == ["a0", "a1"]
     bad = {r.request_id: r.errors for r in spark.read.json(str(tmp_path / "bad")).where(F.col("request_id").isNotNull()).collect()}
     assert bad == {"bad": ["source"], "worse": ["repair"], "half": ["missing: 1"]}
+
+
+# ---------------------------------------------------------------- the same as a data source
+def requests():
+    whole = {"source_language": "en", "target_language": "fr"}
+    pairs = [{"id": f"p{i}", "source": f"one é😀 {i}", "target": f"un {i}"} for i in range(4)]
+    return [
+        whole | {"sentence_pairs": pairs}, whole | {"sentence_pairs": pairs[:1], "method": "inter", "repair": {"min_similarity": 0.9, "max_source_span": 4}}, whole | {"sentence_pairs": []},
+        whole | {"sentence_pairs": pairs[:2], "more": 1}, whole | {"sentence_pairs": [{"source": "a", "target": "b", "x": 1}]}, whole | {"sentence_pairs": pairs[:1], "repair": {"min_similarity": 7.0}},
+        {"sentence_pairs": [{"source": None, "target": "b"}]},
+    ]
+
+
+def test_requests_by_byte_ranges(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    text = "\n".join(json.dumps(r, ensure_ascii=False) for r in requests() * 3)
+    (tmp_path / "in/a.json").write_text(text + "\n\nnot json\n[1]")
+    (tmp_path / "in/b.json").write_text(text)
+    spark.dataSource.register(RequestFormat)
+    columns = ["idx", "source_language", "target_language", "source", "target", "method", "id", "repair", "request_errors"]
+    told = lambda df: sorted(str(r) for r in df.select(*columns).collect())
+    read = lambda n: spark.read.format("alignment_requests").option("splitBytes", n).load(str(tmp_path / "in"))
+    want = told(read_requests(spark, str(tmp_path / "in")))
+    for n in (7, 100, 1 << 20):
+        got = read(n)
+        assert told(got.where("not array_contains(request_errors, 'json')")) == [x for x in want if "'json'" not in x]
+        assert got.where("array_contains(request_errors, 'json')").count() == 2 and got.select("pair_id").distinct().count() == got.count()
+    assert read(7).rdd.getNumPartitions() > 100
+
+
+def test_lines_belong_to_the_range_they_begin_in():
+    data = b"ab\n\ncdef\ng\n" + b"x" * 50 + b"\nlast"
+    whole = list(lines_between(lambda at, n: data[at : at + 5], 0, len(data)))
+    assert [x for _, x in whole] == data.split(b"\n")
+    for n in range(1, 30):
+        parts = [x for a in range(0, len(data), n) for x in lines_between(lambda at, k: data[at : at + 5], a, min(len(data), a + n))]
+        assert parts == whole
+
+
+def test_only_a_commit_shows_results(spark, tmp_path):
+    spark.dataSource.register(RequestFormat)
+    out = str(tmp_path / "out")
+    df = spark.range(20).repartition(3).selectExpr("cast(id as string) as request_id", "array(id, id + 1) as x", "named_struct('é', id) as y")
+    df.write.format("alignment_requests").mode("append").save(out)
+    back = spark.read.json(out)
+    assert sorted(r.request_id for r in back.collect()) == sorted(map(str, range(20)))
+    fails = df.withColumn("z", F.when(F.col("request_id") == "7", F.raise_error(F.lit("no"))).otherwise("fine"))
+    with pytest.raises(Exception, match="no"):
+        fails.write.format("alignment_requests").mode("append").save(out)
+    assert spark.read.json(out).count() == 20 and not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_writing")]
+    df.limit(5).write.format("alignment_requests").mode("overwrite").save(out)
+    assert spark.read.json(out).count() == 5
