@@ -114,14 +114,29 @@ CTES = {
         )
         for x in "tqp"
     },
-    # Diagonal links stand in for a model's.
+    # Links that the rules override, one rule after the other: diagonal ones that stand in for a model's, and those of the matrix.
     "diag": (["lit_tokens"], "SELECT a.pair_id, a.idx AS s, b.idx AS t FROM lit_tokens a JOIN lit_tokens b ON a.pair_id = b.pair_id AND a.side = 'source' AND b.side = 'target' AND a.idx = b.idx"),
-    "o1": (
-        ["diag", "lit_tokens", "plinks"],
-        """SELECT d.* FROM diag d WHERE NOT EXISTS (FROM lit_tokens x WHERE x.pair_id = d.pair_id AND x.is_protected AND (x.side = 'source' AND x.idx = d.s OR x.side = 'target' AND x.idx = d.t)) UNION SELECT * FROM plinks""",
-    ),
-    "o2": (["o1", "tlinks"], "SELECT o.* FROM o1 o WHERE NOT EXISTS (FROM tlinks x WHERE x.pair_id = o.pair_id AND (x.s = o.s OR x.t = o.t)) UNION SELECT * FROM tlinks"),
-    "o3": (["o2", "qlinks"], "SELECT o.* FROM o2 o WHERE NOT EXISTS (FROM qlinks x WHERE x.pair_id = o.pair_id AND (x.s = o.s OR x.t = o.t)) UNION SELECT * FROM qlinks"),
+    **{
+        f"{p}1": (
+            [base, "lit_tokens", "plinks"],
+            f"""SELECT d.pair_id, d.s, d.t FROM {base} d WHERE NOT EXISTS (FROM lit_tokens x WHERE x.pair_id = d.pair_id AND x.is_protected AND (x.side = 'source' AND x.idx = d.s OR x.side = 'target' AND x.idx = d.t)) UNION SELECT * FROM plinks""",
+        )
+        for p, base in (("o", "diag"), ("m", "lit_iter"))
+    },
+    **{
+        f"{p}{n}": ([f"{p}{n - 1}", f"{x}links"], f"SELECT o.* FROM {p}{n - 1} o WHERE NOT EXISTS (FROM {x}links x WHERE x.pair_id = o.pair_id AND (x.s = o.s OR x.t = o.t)) UNION SELECT * FROM {x}links")
+        for p in "om"
+        for n, x in ((2, "t"), (3, "q"))
+    },
+    "ruled": (["plinks", "tlinks", "qlinks"], "SELECT * FROM plinks UNION SELECT * FROM tlinks UNION SELECT * FROM qlinks"),
+    # Links of literal pairs with what they come from.
+    "told": (
+        ["m3", "ruled", "lit_scored"],
+        """SELECT o.pair_id, o.s, o.t, CASE WHEN r.s IS NULL THEN 'model' ELSE 'rule' END AS origin, CASE WHEN r.s IS NULL THEN similarity ELSE 1 END AS similarity, CASE WHEN r.s IS NULL THEN confidence ELSE 1 END AS confidence
+        FROM m3 o LEFT JOIN ruled r ON r.pair_id = o.pair_id AND r.s = o.s AND r.t = o.t LEFT JOIN lit_scored c ON c.pair_id = o.pair_id AND c.s = o.s AND c.t = o.t""",
+    ),
+    "told_walk": (["told"], "SELECT pair_id, s, s AS r FROM told UNION SELECT w.pair_id, b.s, w.r FROM told_walk w JOIN told a ON a.pair_id = w.pair_id AND a.s = w.s JOIN told b ON b.pair_id = a.pair_id AND b.t = a.t"),
+    "told_comp": (["told_walk"], "SELECT i.*, w.comp FROM told i JOIN (SELECT pair_id, s, min(r) AS comp FROM told_walk GROUP BY ALL) w USING (pair_id, s)"),
     # Connected components of a pair's links: every source that is reached from a source along shared ends.
     "walk": (
         ["iter"],
@@ -359,14 +374,26 @@ CTES |= {
     ),
 }
 #: Tables that are made row by row of themselves, and their keys.
-RECURSIVE = {"walk": "", "fill": "", "hop": "", "gap_hop": "", "own_walk": "", "rise": "", "wave": "(pair_id, region, i, j, score, path, clock) USING KEY (pair_id, region, i, j) "}
+RECURSIVE = {"walk": "", "told_walk": "", "fill": "", "hop": "", "gap_hop": "", "own_walk": "", "rise": "", "wave": "(pair_id, region, i, j, score, path, clock) USING KEY (pair_id, region, i, j) "}
 
 
-#: The matrix of whole turns, cell by cell, as that of sentences.
-_MATRIX = ("vec", "sim", "ranked", "rel", "cells", "inter", "iter", "margins")
-for _name in _MATRIX:
-    _needs, _body = CTES[_name]
-    CTES[f"turns_{_name}"] = ([n.replace("talk_", "turns_") if n.startswith("talk_") else f"turns_{n}" for n in _needs], re.sub(r"\b(FROM|JOIN) (talk_)?(tok|" + "|".join(_MATRIX) + r")\b", r"\1 turns_\3", _body))
+#: What is made of sentences, made of other pairs in the same way: whole turns, and literal pairs.
+_SAME = {"turns": ("vec", "sim", "ranked", "rel", "cells", "inter", "iter", "margins"), "lit": ("sizes", "vec", "sim", "ranked", "rel", "cells", "inter", "iter", "ml", "margins", "orders_", "scored", "mark", "anchor", "gaps", "region")}
+for _pairs, _names in _SAME.items():
+    for _name in _names:
+        _needs, _body = CTES[_name]
+        CTES[f"{_pairs}_{_name}"] = ([n.replace("talk_", f"{_pairs}_") if n.startswith("talk_") else f"{_pairs}_{n}" for n in _needs], re.sub(r"\b(FROM|JOIN) (talk_)?(tok|tokens|" + "|".join(_names) + r")\b", rf"\1 {_pairs}_\3", _body))
+#: In literal pairs all links are looked at, and tokens that a rule has linked count as content.
+CTES["lit_mark"] = (["m3", "lit_tokens"], CTES["lit_mark"][1].replace("lit_iter", "m3"))
+CTES["lit_other"] = (
+    ["told", "lit_tokens"],
+    r"""SELECT pair_id, side, idx FROM lit_tokens x WHERE (is_protected OR NOT regexp_matches(text, '[\p{L}\p{N}]'))
+    AND NOT EXISTS (FROM told r WHERE r.origin = 'rule' AND r.pair_id = x.pair_id AND (x.side = 'source' AND r.s = x.idx OR x.side = 'target' AND r.t = x.idx))""",
+)
+CTES["lit_region"] = (
+    ["lit_gaps", "lit_other"],
+    "SELECT g.* FROM lit_gaps g WHERE NOT EXISTS (FROM lit_other x WHERE x.pair_id = g.pair_id AND (x.side = 'source' AND x.idx >= s0 AND x.idx < s1 OR x.side = 'target' AND x.idx >= t0 AND x.idx < t1))",
+)
 
 
 def sql(final: str, *needs: str) -> str:
@@ -388,6 +415,11 @@ def sql(final: str, *needs: str) -> str:
 _STARTS = r"""SELECT *, (pos[n + 1] - 1)::INT AS start FROM (SELECT t.*, coalesce(sum(len(regexp_replace(text, '\s', '', 'g'))) OVER (PARTITION BY pair_id, side ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS n FROM {p}_tokens t)
 JOIN (SELECT pair_id, side, list_filter(range(1, len(x) + 1), lambda i: NOT regexp_matches(x[i], '\s')) AS pos FROM (SELECT pair_id, 'source' AS side, source AS x FROM {p} UNION ALL SELECT pair_id, 'target', target FROM {p})) USING (pair_id, side)"""
 
+#: The groups of links, in order, flat.
+_GROUPED = """SELECT pair_id, (row_number() OVER (PARTITION BY pair_id ORDER BY first) - 1)::INT AS k, CASE WHEN n_s = 1 AND n_t = 1 THEN 'one-to-one' WHEN n_s = 1 THEN 'one-to-many' WHEN n_t = 1 THEN 'many-to-one' ELSE 'many-to-many' END AS type, origin,
+    similarity, confidence, sources, targets, n_links FROM (SELECT pair_id, min(s) AS first, count(DISTINCT s) AS n_s, count(DISTINCT t) AS n_t, CASE WHEN count(DISTINCT origin) = 1 THEN min(origin) ELSE 'mixed' END AS origin, floor(sum(round(similarity * 1e6)) / count(*) + 0.5) / 1e6 AS similarity,
+    floor(sum(round(confidence * 1e6)) / count(*) + 0.5) / 1e6 AS confidence, array_to_string(list_sort(list(DISTINCT s)), ',') AS sources, array_to_string(list_sort(list(DISTINCT t)), ',') AS targets, count(*)::INT AS n_links FROM {links} GROUP BY pair_id, comp)"""
+
 ORACLES = {
     "pairs": sql("SELECT * FROM talk", "talk"),
     "tokenize": sql("SELECT pair_id, side, idx, text FROM talk_tok", "talk_tok"),
@@ -401,13 +433,11 @@ ORACLES = {
         lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s = x[1].s OR y.t = x[1].t)) = 0 THEN list_concat(a, x) ELSE a END)) AS x FROM added WHERE confidence >= 0.1 GROUP BY pair_id)""",
         "added",
     ),
-    "align": sql(
-        """SELECT pair_id, (row_number() OVER (PARTITION BY pair_id ORDER BY first) - 1)::INT AS k, CASE WHEN n_s = 1 AND n_t = 1 THEN 'one-to-one' WHEN n_s = 1 THEN 'one-to-many' WHEN n_t = 1 THEN 'many-to-one' ELSE 'many-to-many' END AS type, 'model' AS origin,
-        similarity, confidence, sources, targets, n_links FROM (SELECT pair_id, min(s) AS first, count(DISTINCT s) AS n_s, count(DISTINCT t) AS n_t, floor(sum(round(similarity * 1e6)) / count(*) + 0.5) / 1e6 AS similarity,
-        floor(sum(round(confidence * 1e6)) / count(*) + 0.5) / 1e6 AS confidence, array_to_string(list_sort(list(DISTINCT s)), ',') AS sources, array_to_string(list_sort(list(DISTINCT t)), ',') AS targets, count(*)::INT AS n_links FROM comp JOIN scored USING (pair_id, s, t) GROUP BY pair_id, comp)""",
-        "comp", "scored",
-    ),
-    "token_vectors": sql("SELECT pair_id, side, idx, len(v)::INT AS dims, round(v[1], 6) AS first FROM vec", "vec"),
+    "align": sql(_GROUPED.format(links="(SELECT *, 'model' AS origin FROM comp JOIN scored USING (pair_id, s, t))"), "comp", "scored"),
+    "align_literals": sql(_GROUPED.format(links="told_comp"), "told_comp"),
+    "literal_anchors": sql("SELECT * FROM lit_anchor", "lit_anchor"),
+    "literal_regions": sql("SELECT * FROM lit_region", "lit_region"),
+    "token_vectors": sql("SELECT pair_id, side, idx, len(v)::INT AS dims, array_to_string(list_transform(v, lambda x: floor(x * 1e6)::BIGINT), ',') AS millionths FROM vec", "vec"),
     "cells_similarity": sql("SELECT pair_id, s, t, round(sim, 6) AS sim FROM sim", "sim"),
     "relative_similarity": sql("SELECT pair_id, s, t, round(rel, 6) AS rel FROM rel", "rel"),
     "softmax_bidirectional": sql("SELECT pair_id, s, t, round(p_st, 6) AS p_st, round(p_ts, 6) AS p_ts FROM cells", "cells"),
@@ -430,8 +460,8 @@ ORACLES = {
     "temporal_links": sql("SELECT * FROM tlinks", "tlinks"),
     "percent_links": sql("SELECT * FROM qlinks", "qlinks"),
     "rule_override": sql(
-        "SELECT o.pair_id, o.s, o.t, r.s IS NOT NULL AS rule FROM o3 o LEFT JOIN (SELECT * FROM plinks UNION SELECT * FROM tlinks UNION SELECT * FROM qlinks) r ON r.pair_id = o.pair_id AND r.s = o.s AND r.t = o.t",
-        "o3", "plinks", "tlinks", "qlinks",
+        "SELECT o.pair_id, o.s, o.t, r.s IS NOT NULL AS rule FROM o3 o LEFT JOIN ruled r ON r.pair_id = o.pair_id AND r.s = o.s AND r.t = o.t",
+        "o3", "ruled",
     ),
     "hard_anchors": sql("SELECT * FROM anchor", "anchor"),
     "drop_crossing": sql("SELECT pair_id, s, t FROM scored x WHERE confidence >= 0.55 OR NOT EXISTS (FROM anchor a WHERE a.pair_id = x.pair_id AND (x.s - a.s) * (x.t - a.t) < 0)", "scored", "anchor"),

@@ -72,6 +72,11 @@ class Inputs:
     def regions(self) -> DataFrame:
         return regions.clause_regions(self.anchors(), self.tokens(), sizes_of(self.tokenized()))
 
+    def literal_links(self) -> DataFrame:
+        """Links of literal pairs after the rules: placeholders are anchors, and what a rule links is locked."""
+        t = staged(self.literal_tokens(), "tokens")
+        return staged(rules.override(matching.itermax(C.similarity(self.embedder().embed(t))), t), "links")
+
     def phrase_inputs(self) -> tuple[DataFrame, DataFrame]:
         """Regions, and links as a model's."""
         return staged(self.regions(), "regions"), staged(self.scored().withColumn("rule", F.lit(False)), "scored")
@@ -115,6 +120,11 @@ def _override(x: Inputs) -> DataFrame:
     return rules.override(end("source", "s").join(end("target", "t"), "pair_id").where("s = t"), t)
 
 
+def _literal_regions(x: Inputs) -> DataFrame:
+    links, pairs = x.literal_links(), tokenize(by_pair(literal_pairs(x.table("orders"))))
+    return regions.clause_regions(regions.hard_anchors(links, x.literal_tokens()), x.literal_tokens(), sizes_of(pairs), links.where("rule"))
+
+
 def _crossing(x: Inputs) -> DataFrame:
     links = x.scored().withColumn("rule", F.lit(False))
     return regions.drop_crossing(links, x.anchors(), 0.35).select("pair_id", "s", "t")
@@ -160,7 +170,7 @@ _OPERATORS = {
     "token_classes": lambda x: x.literal_tokens().select("pair_id", "side", "idx", "is_protected", "is_content", "is_punctuation"),
     "token_offsets": lambda x: x.tokens().select("pair_id", "side", "idx", "start", "end"),
     "validate_pairs": _validated,
-    "token_vectors": lambda x: x.vectors().select("pair_id", "side", "idx", F.size("vec").alias("dims"), F.round(F.col("vec")[0], 6).alias("first")),
+    "token_vectors": lambda x: x.vectors().select("pair_id", "side", "idx", F.size("vec").alias("dims"), F.array_join(F.transform("vec", lambda v: F.floor(v * 1e6).cast("string")), ",").alias("millionths")),
     "cells_similarity": lambda x: x.similarity().withColumn("sim", F.round("sim", 6)),
     "relative_similarity": lambda x: C.relative(x.similarity()).select("pair_id", "s", "t", F.round("rel", 6).alias("rel")),
     "softmax_bidirectional": lambda x: x.cells().select("pair_id", "s", "t", F.round("p_st", 6).alias("p_st"), F.round("p_ts", 6).alias("p_ts")),
@@ -197,6 +207,9 @@ _OPERATORS = {
     "alignment_groups": _groups,
     "unaligned_tokens": lambda x: groups.unaligned(x.tokens(), matching.inter(x.similarity())),
     "align": lambda x: _flat(align(x.pairs(), x.embedder(), settings=Settings(matching_methods="ai"))),
+    "align_literals": lambda x: _flat(align(literal_pairs(x.table("orders")), x.embedder(), settings=Settings(matching_methods="ai"))),
+    "literal_anchors": lambda x: regions.hard_anchors(x.literal_links(), x.literal_tokens()),
+    "literal_regions": _literal_regions,
     "align_repaired": lambda x: _flat(align(x.pairs(), x.embedder(), repair=Repair(min_confidence=0.2))),
     "align_span_aware": lambda x: _flat(align(x.pairs(), x.embedder(), "inter", Repair(strategy="span-aware", min_confidence=0.2, min_score_gain=0.0))),
 }
