@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +32,24 @@ def sizes_of(tokenized: DataFrame) -> DataFrame:
     return tokenized.select("pair_id", F.size("source_tokens").alias("n_s"), F.size("target_tokens").alias("n_t"))
 
 
-def refine_pairs(tokenized: DataFrame, links: DataFrame, cells: DataFrame, vectors: DataFrame | None, repair: Repair) -> DataFrame:
-    """One row per pair that has links: the links that stay (`links`) and the refined `groups`."""
+def asked_of(pairs: DataFrame) -> DataFrame:
+    """(pair_id, method, repair) of pairs with options of their own; options that aren't given have their defaults, `repair` is null where none is asked for."""
+    given = F.col("repair")
+    filled = F.struct(*[F.coalesce(given[f.name], F.lit(f.default)).alias(f.name) for f in fields(Repair)])
+    return pairs.select("pair_id", "method", F.when(F.coalesce(given["enabled"], given.isNotNull()), filled).alias("repair"))
+
+
+def refine_pairs(tokenized: DataFrame, links: DataFrame, cells: DataFrame, vectors: DataFrame | None, repair: Repair | DataFrame) -> DataFrame:
+    """One row per pair that has links: the links that stay (`links`) and the refined `groups`. `repair`: the options of all, or those of each pair (pair_id, repair)."""
     link_kind = pa.struct([("s", pa.int32()), ("t", pa.int32()), ("origin", pa.string()), ("similarity", pa.float64()), ("confidence", pa.float64())])
     group_kind = pa.struct([("source_indices", pa.list_(pa.int32())), ("target_indices", pa.list_(pa.int32())), ("links", pa.list_(pa.struct([("s", pa.int32()), ("t", pa.int32())]))), ("similarity", pa.float64()), ("confidence", pa.float64())])
 
+    each, packed = isinstance(repair, DataFrame), packed_pairs(tokenized, links, cells, vectors)
+    if each:
+        packed, repair = packed.join(repair, "pair_id"), None
+
     def one(row: dict, cells: pa.StructArray) -> tuple[list, list]:
-        done = Refiner(read_pair(row, cells), repair).run()
+        done = Refiner(read_pair(row, cells), Repair(**row["repair"]) if each else repair).run()
         stay = [{**x} for x in row["links"] if done.links[x["s"], x["t"]]]
         return stay, [{"source_indices": g.sources, "target_indices": g.targets, "links": [{"s": a, "t": b} for a, b in g.links], "similarity": g.similarity, "confidence": g.confidence} for g in done.groups]
 
@@ -45,15 +58,16 @@ def refine_pairs(tokenized: DataFrame, links: DataFrame, cells: DataFrame, vecto
             out = [one(r, c) for r, c in rows_of(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.list_(link_kind)), pa.array([x[1] for x in out], pa.list_(group_kind))], names=["pair_id", "links", "groups"])
 
-    return packed_pairs(tokenized, links, cells, vectors).mapInArrow(run, f"pair_id string, links array<{LINK_TYPE}>, groups {GROUP_TYPE}")
+    return packed.mapInArrow(run, f"pair_id string, links array<{LINK_TYPE}>, groups {GROUP_TYPE}")
 
 
-def align_cells(tokenized: DataFrame, cells: DataFrame, method_links: DataFrame, methods: tuple[str, ...], method: str = "itermax", repair: Repair | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def align_cells(tokenized: DataFrame, cells: DataFrame, method_links: DataFrame, methods: tuple[str, ...], method: str = "itermax", repair: Repair | None = None, vectors: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
     """Alignment from given matrices: `cells` (pair_id, s, t, sim, p_st, p_ts and maybe rel), `method_links` (pair_id, method, s, t)
-    and maybe `vectors`. One row per pair of `tokenized`, also where a side is empty."""
-    if method not in methods:
+    and maybe `vectors`. One row per pair of `tokenized`, also where a side is empty. With `asked` (as of `asked_of`) each pair has a method and repair options of its own,
+    and it's one plan whatever their number; `method` and `repair` aren't looked at."""
+    if asked is None and method not in methods:
         raise ProcessingError(f"method {method} is not among those that run: {methods}")
-    if repair and repair.enabled and "mwmf" not in methods:
+    if asked is None and repair and repair.enabled and "mwmf" not in methods:
         raise ProcessingError("repair needs mwmf among the methods that run")
     value = "rel" if "rel" in cells.columns else "sim"
     key = ["pair_id", "s", "t"]
@@ -62,18 +76,29 @@ def align_cells(tokenized: DataFrame, cells: DataFrame, method_links: DataFrame,
     # Links of all methods are scored once; what rules and repair leave or add is picked from them.
     scored = staged(scoring.score_links(method_links.select(*key).distinct(), cells, method_links, sizes, len(methods), value), "scores")
     pick = lambda name: method_links.where(F.col("method") == name).select(*key).join(scored, key)
-    ruled = rules.override(method_links.where(F.col("method") == method).select(*key), token_rows(tokenized, following=True))
+    chosen = method_links.where(F.col("method") == method) if asked is None else method_links.join(asked.select("pair_id", "method"), ["pair_id", "method"], "left_semi")
+    ruled = rules.override(chosen.select(*key), token_rows(tokenized, following=True))
     model = ruled.where("not rule").select(*key).join(scored, key).withColumn("origin", F.lit("model"))
     links = model.unionByName(ruled.where("rule").select(*key, F.lit(1.0).alias("similarity"), F.lit(1.0).alias("confidence"), F.lit("rule").alias("origin")))
     links = staged(links, "links")
-    groups = None
-    if repair and repair.enabled:
+    if asked is not None and "mwmf" in methods:
+        wanted = asked.where("repair is not null").select("pair_id", "repair")
+        mine = lambda df: df.join(wanted.select("pair_id"), "pair_id", "left_semi")
+        found = R.one_to_one(R.candidates(links.select(*key), tokens, pick("mwmf"), sizes.join(wanted, "pair_id")))
+        every = mine(links).unionByName(found.withColumn("origin", F.lit("repaired")))
+        refined = staged(refine_pairs(mine(tokenized), every, mine(cells), mine(vectors) if vectors is not None else None, wanted), "refined")
+        rest = links.join(wanted.select("pair_id"), "pair_id", "left_anti")
+        return assemble(tokenized, tokens, _flat(refined, "links").unionByName(rest), _flat(refined, "groups"))
+    if asked is None and repair and repair.enabled:
         found = R.one_to_one(R.candidates(links.select(*key), tokens, pick("mwmf"), sizes, repair))
-        links = links.unionByName(found.withColumn("origin", F.lit("repaired")))
-        refined = staged(refine_pairs(tokenized, links, cells, vectors, repair), "refined")
-        links = refined.select("pair_id", F.explode("links").alias("x")).select("pair_id", "x.*")
-        groups = refined.select("pair_id", F.explode("groups").alias("g")).select("pair_id", "g.*")
-    return assemble(tokenized, tokens, links, groups)
+        every = links.unionByName(found.withColumn("origin", F.lit("repaired")))
+        refined = staged(refine_pairs(tokenized, every, cells, vectors, repair), "refined")
+        return assemble(tokenized, tokens, _flat(refined, "links"), _flat(refined, "groups"))
+    return assemble(tokenized, tokens, links, None)
+
+
+def _flat(refined: DataFrame, part: str) -> DataFrame:
+    return refined.select("pair_id", F.explode(part).alias("x")).select("pair_id", "x.*")
 
 
 def assemble(tokenized: DataFrame, tokens: DataFrame, links: DataFrame, refined: DataFrame | None) -> DataFrame:
@@ -107,16 +132,19 @@ def assemble(tokenized: DataFrame, tokens: DataFrame, links: DataFrame, refined:
     return out.select(*tokenized.columns, empty(F.col("links")).alias("links"), empty(shaped).alias("alignment_groups"), empty(F.col("unaligned_source_indices")).alias("unaligned_source_indices"), empty(F.col("unaligned_target_indices")).alias("unaligned_target_indices"))
 
 
-def align(pairs: DataFrame, embedder: Embedder, method: str = "itermax", repair: Repair | None = None, settings: Settings | None = None, segmenter=None, tile: int | None = None) -> DataFrame:
+def align(pairs: DataFrame, embedder: Embedder, method: str | None = "itermax", repair: Repair | None = None, settings: Settings | None = None, segmenter=None, tile: int | None = None) -> DataFrame:
     """Aligns pairs (pair_id, source, target and maybe languages): every stage of the library in order, one row per pair. Pairs with
-    languages are requests and are validated, which bounds their texts; the first invalid one fails the job (`accept` parts them before).
+    languages are requests and are validated, which bounds their texts; the first invalid one fails the job (`accept` parts them before). Without a method each pair has its own, and
+    repair options of its own, in columns `method` and `repair` (as of `read_requests`).
 
     With `tile` no pair's matrix is made: tokens meet in tiles of that width, so texts may have any length. That is for the methods that need no
     whole matrix (no mwmf) and without repair."""
     settings = settings or Settings()
-    if method not in METHODS:
+    if method is None and tile:
+        raise ValueError("pairs with options of their own need whole matrices: leave `tile` out")
+    if method is not None and method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    if method not in settings.methods:
+    if method is not None and method not in settings.methods:
         raise ProcessingError(f"method {method} is not enabled")
     if tile and ("mwmf" in settings.methods or (repair and repair.enabled)):
         raise ValueError("mwmf and repair need whole matrices: leave `tile` out, or switch them off")
@@ -132,11 +160,12 @@ def align(pairs: DataFrame, embedder: Embedder, method: str = "itermax", repair:
         links = staged(tiled_links(vectors, tile).where(F.col("method").isin(*settings.methods)), "links")
         cells = staged(C.check_cells(tiled_cells(vectors, links.select("pair_id", "s", "t").distinct(), tile, settings.confidence_temperature)), "cells")
         return align_cells(tokenized, cells, links, settings.methods, method)
-    if repair and repair.enabled:
+    asked = asked_of(tokenized) if method is None else None
+    if asked is not None or (repair and repair.enabled):
         vectors = staged(vectors, "vectors")
     cells = staged(C.check_cells(C.cells(vectors, settings.confidence_temperature), sizes_of(tokenized)), "cells")
     links = M.method_links(cells, settings.methods)
-    return align_cells(tokenized, cells, links, settings.methods, method, repair, vectors)
+    return align_cells(tokenized, cells, links, settings.methods, method, repair, vectors, asked)
 
 
 def with_envelope(result: DataFrame, source_language: str, target_language: str, method: str, settings: Settings | None = None) -> DataFrame:

@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import staged
 from ..operators.vectors import Embedder
-from ..options import CONFIDENCE_METHOD, Repair, Settings
-from ..sources.pairs import accept, read_requests, write_results
+from ..options import CONFIDENCE_METHOD, METHODS, Settings
+from ..sources.pairs import broken, read_requests, validate, write_results
 from .align import align
 
 #: What a response tells of each pair.
 PARTS = ("source", "target", "source_tokens", "target_tokens", "links", "alignment_groups", "unaligned_source_indices", "unaligned_target_indices")
 
 
-def align_requests(requests: DataFrame, embedder: Embedder, settings: Settings | None = None, segmenter=None) -> DataFrame:
-    """Aligns the pairs of valid requests (as `read_requests` gives them), one row per pair with the columns of the request. Pairs that ask for the same
-    method and repair are one run of the plan; there are as many runs as different options, however many requests."""
+def refused_requests(requests: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(request_id, errors): requests that break a rule, or ask for what the settings don't run. One bad pair refuses its request, whole, and no other."""
+    settings = settings or Settings()
+    method, repair = F.coalesce("method", F.lit("itermax")), F.col("repair")
+    runs = {
+        "method is not enabled": ~method.isin(*METHODS) | method.isin(*settings.methods),
+        "repair needs mwmf": ~F.coalesce(repair["enabled"], repair.isNotNull()) | F.lit("mwmf" in settings.methods),
+    }
+    told = validate(requests).select("request_id", F.concat("errors", broken(runs)).alias("errors")).where(F.size("errors") > 0)
+    return told.groupBy("request_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("errors")))).alias("errors"))
+
+
+def align_requests(requests: DataFrame, embedder: Embedder, settings: Settings | None = None, segmenter=None, refused: DataFrame | None = None) -> DataFrame:
+    """Aligns the pairs of requests (as `read_requests` gives them), one row per pair with the columns of the request. Methods and repair options go along as columns: one plan, however
+    many different ones are asked for. Requests that are refused are left out (`refused`: those of `refused_requests`, if they are known already)."""
     settings = settings or Settings()
-    requests = staged(requests.withColumn("options", F.to_json("repair")), "requests")
-    runs = []
-    for r in requests.select("method", "options", "repair").distinct().collect():
-        given = {k: v for k, v in r["repair"].asDict().items() if v is not None} if r["repair"] else None
-        mine = requests.where((F.col("method") == r["method"]) & F.col("options").eqNullSafe(F.lit(r["options"])))
-        runs.append(align(mine, embedder, r["method"], Repair(**given) if given is not None else None, settings, segmenter))
-    if not runs:
-        return align(requests, embedder, settings.methods[0], None, settings, segmenter)
-    return reduce(DataFrame.unionByName, runs)
+    if refused is None:
+        requests = staged(requests, "requests")
+        refused = refused_requests(requests, settings)
+    # Written, so that the check in `align`, which fails the job, sees no row of theirs.
+    good = staged(requests.join(refused.select("request_id"), "request_id", "left_anti"), "good")
+    return align(good.withColumn("method", F.coalesce("method", F.lit("itermax"))), embedder, None, None, settings, segmenter)
 
 
 def responses(aligned: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -46,10 +53,6 @@ def serve(spark: SparkSession, source: str, out: str, rejected: str, embedder: E
     """Reads requests, writes the responses of those that are valid as JSON lines, and the others with the rules they break. A request is served whole or
     not at all."""
     read = staged(read_requests(spark, source), "read")
-    bad = accept(read, "column")[1]
-    refused = bad.groupBy("request_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("errors")))).alias("errors"))
-    refused = staged(refused, "refused")
+    refused = staged(refused_requests(read, settings), "refused")
     write_results(refused, rejected, "json")
-    good = read.join(refused.select("request_id"), "request_id", "left_anti")
-    write_results(responses(align_requests(good, embedder, settings, segmenter), settings), out, "json")
-
+    write_results(responses(align_requests(read, embedder, settings, segmenter, refused), settings), out, "json")

@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..functions.staging import staged
 from ..operators.vectors import Embedder
 from ..options import Settings
-from ..plans.requests import align_requests, responses
-from ..sources.pairs import PAIRS, REPAIR_SCHEMA, accept, valid_repair
+from ..plans.requests import align_requests, refused_requests, responses
+from ..sources.pairs import PAIRS, REPAIR_SCHEMA, valid_repair
 
 #: Pairs as they come: each knows its request, its place in it and how many there are. `repair` is JSON, as of a request.
 ARRIVAL_SCHEMA = "request_id string, idx int, n_pairs int, id string, source string, target string, source_language string, target_language string, method string, repair string, sent_at timestamp"
@@ -94,11 +94,9 @@ def serve_stream(arrivals: DataFrame, embedder: Embedder, out: str, rejected: st
         told = staged(batch.withColumn("repair", F.from_json("repair", REPAIR_SCHEMA)), "gathered")
         pairs = told.where("complete").select("request_id", "source_language", "target_language", F.coalesce("method", F.lit("itermax")).alias("method"), "repair", F.explode("sentence_pairs").alias("p"))
         pairs = pairs.select(F.concat_ws(":", "request_id", "p.idx").alias("pair_id"), "request_id", "p.idx", "source_language", "target_language", "p.source", "p.target", "method", "p.id", "repair", F.when(~valid_repair(F.col("repair")), F.array(F.lit("repair"))).otherwise(F.array().cast("array<string>")).alias("request_errors"))
-        bad = accept(pairs, "column")[1].groupBy("request_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("errors")))).alias("errors"))
         late_ = told.where("not complete").select("request_id", F.array(F.concat(F.lit("missing: "), F.concat_ws(",", F.transform("missing", lambda i: i.cast("string"))))).alias("errors"))
-        refused = staged(bad.unionByName(late_), "refused")
+        refused = staged(refused_requests(pairs, settings).unionByName(late_), "refused")
         refused.write.mode("overwrite").json(f"{rejected}/batch={number}")
-        good = pairs.join(refused.select("request_id"), "request_id", "left_anti")
-        responses(align_requests(good, embedder, settings), settings).write.mode("overwrite").json(f"{out}/batch={number}")
+        responses(align_requests(pairs, embedder, settings, refused=refused), settings).write.mode("overwrite").json(f"{out}/batch={number}")
 
     return gather_requests(arrivals, wait, late).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
