@@ -78,16 +78,40 @@ def temporal(text: Column, following: Column) -> Column:
     )
 
 
+#: Fixed value: significant digits that a number keeps; those beyond are rounded away, halves to the even digit.
+DIGITS = 28
+
+
 def number_text(c: Column) -> Column:
-    """Decimal text without sign of plus, leading and trailing zeros."""
+    """Decimal text without sign of plus, leading and trailing zeros, rounded to 28 significant digits."""
     sign = F.when(c.startswith("-"), "-").otherwise("")
     digits = F.regexp_replace(c, r"^[+-]", "")
     whole = F.regexp_replace(F.split_part(digits, F.lit("."), F.lit(1)), r"^0+", "")
     part = F.regexp_replace(F.split_part(digits, F.lit("."), F.lit(2)), r"0+$", "")
-    shown = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
+    shown = F.when(F.length(whole) + F.length(part) > DIGITS, _rounded(whole, part)).otherwise(_written(whole, part))
     return F.when(shown == "0", "0").otherwise(F.concat(sign, shown))
 
 
+def _written(whole: Column, part: Column) -> Column:
+    return F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
+
+
+def _rounded(whole: Column, part: Column) -> Column:
+    """The number of these digits, in text, for Spark's decimals have 38: the kept digits, one more where the rest is more than a half, or a half behind an odd digit. As many zeros as
+    were cut off stand in for them in front of the point."""
+    all_ = F.regexp_replace(F.concat(whole, part), "^0+", "")
+    kept, rest = F.substring(all_, 1, DIGITS), F.substring(all_, DIGITS + 1, 2**31 - 1)
+    half = F.regexp_replace(rest, "0+$", "")
+    up = (half > "5") | ((half == "5") & F.substring(kept, DIGITS, 1).isin(*"13579"))
+    number = (kept.cast("decimal(28,0)") + up.cast("int").cast("decimal(1,0)")).cast("string")
+    # Places behind the point that are left; below 0 where digits in front of it were cut.
+    places = F.length(part) - F.length(rest)
+    padded = F.lpad(number, F.greatest(F.length(number), places), "0")
+    at = F.length(padded) - F.greatest(places, F.lit(0))
+    split = _written(F.regexp_replace(F.substring(padded, F.lit(1), at), "^0+", ""), F.regexp_replace(F.substring(padded, at + 1, F.length(padded)), "0+$", ""))
+    return F.when(F.length(all_) <= DIGITS, _written(whole, part)).when(places < 0, F.concat(number, F.repeat(F.lit("0"), -places))).otherwise(split)
+
+
 def percentage(text: Column, following: Column) -> Column:
     """(kind, value, len) of the percentage that begins at a token (as a plain number), given the next token if that is free; null if none does."""
     number = r"[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)"

@@ -143,6 +143,22 @@ CTES = {
         "SELECT pair_id, s, s AS r FROM iter UNION SELECT w.pair_id, b.s, w.r FROM walk w JOIN iter a ON a.pair_id = w.pair_id AND a.s = w.s JOIN iter b ON b.pair_id = a.pair_id AND b.t = a.t",
     ),
     "comp": (["walk"], "SELECT i.pair_id, i.s, i.t, min(w.r) AS comp FROM iter i JOIN walk w ON i.pair_id = w.pair_id AND i.s = w.s GROUP BY ALL"),
+    # Two neighbouring sentences are a request; what is wrong with it; the links of those that are served.
+    "ask": (
+        ["talk"],
+        """SELECT *, concat_ws(':', conv, turn, place) AS request_id, CASE WHEN conv % 5 = 0 THEN 'mwmf' WHEN place % 3 = 0 THEN 'inter' ELSE 'itermax' END AS method FROM (SELECT pair_id, source, target, split_part(pair_id, ':', 1)::INT AS conv,
+        split_part(pair_id, ':', 2)::INT AS turn, split_part(pair_id, ':', 3)::INT // 2 AS place FROM talk)""",
+    ),
+    "refused": (
+        ["ask"],
+        r"""SELECT DISTINCT request_id, e FROM (SELECT request_id, unnest([CASE WHEN conv % 5 = 0 THEN 'method is not enabled' END, CASE WHEN conv % 7 = 1 THEN 'repair needs mwmf' END, CASE WHEN conv % 11 = 3 THEN 'source_language' END,
+        CASE WHEN NOT regexp_matches(source, '[^\s]') OR len(source) > 10000 THEN 'source' END, CASE WHEN NOT regexp_matches(target, '[^\s]') OR len(target) > 10000 THEN 'target' END]) AS e FROM ask) WHERE e IS NOT NULL""",
+    ),
+    "served": (["refused", "ask"], "SELECT pair_id, method FROM ask ANTI JOIN refused USING (request_id)"),
+    "served_comp": (
+        ["served", "inter", "comp", "scored"],
+        """SELECT pair_id, s, t, comp, 'model' AS origin, similarity, confidence FROM (SELECT pair_id, s, t, comp, 'itermax' AS method FROM comp UNION ALL SELECT pair_id, s, t, s, 'inter' FROM inter) JOIN served USING (pair_id, method) JOIN scored USING (pair_id, s, t)""",
+    ),
     # Links between punctuation marks, and of them the greedy chain whose both ends rise.
     "mark": (
         ["iter", "talk_tokens"],
@@ -435,6 +451,8 @@ ORACLES = {
     ),
     "align": sql(_GROUPED.format(links="(SELECT *, 'model' AS origin FROM comp JOIN scored USING (pair_id, s, t))"), "comp", "scored"),
     "align_literals": sql(_GROUPED.format(links="told_comp"), "told_comp"),
+    "align_requests": sql(_GROUPED.format(links="served_comp"), "served_comp"),
+    "refused_requests": sql("SELECT request_id, string_agg(e, ',' ORDER BY e) AS errors FROM refused GROUP BY request_id", "refused"),
     "literal_anchors": sql("SELECT * FROM lit_anchor", "lit_anchor"),
     "literal_regions": sql("SELECT * FROM lit_region", "lit_region"),
     "token_vectors": sql("SELECT pair_id, side, idx, len(v)::INT AS dims, array_to_string(list_transform(v, lambda x: floor(x * 1e6)::BIGINT), ',') AS millionths FROM vec", "vec"),

@@ -15,10 +15,15 @@ from .align import align
 PARTS = ("source", "target", "source_tokens", "target_tokens", "links", "alignment_groups", "unaligned_source_indices", "unaligned_target_indices")
 
 
+def with_method(requests: DataFrame) -> DataFrame:
+    """A request that names no method asks for itermax."""
+    return requests.withColumn("method", F.coalesce("method", F.lit("itermax")))
+
+
 def refused_requests(requests: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(request_id, errors): requests that break a rule, or ask for what the settings don't run. One bad pair refuses its request, whole, and no other."""
     settings = settings or Settings()
-    method, repair = F.coalesce("method", F.lit("itermax")), F.col("repair")
+    requests, method, repair = with_method(requests), F.col("method"), F.col("repair")
     runs = {
         "method is not enabled": ~method.isin(*METHODS) | method.isin(*settings.methods),
         "repair needs mwmf": ~F.coalesce(repair["enabled"], repair.isNotNull()) | F.lit("mwmf" in settings.methods),
@@ -36,7 +41,7 @@ def align_requests(requests: DataFrame, embedder: Embedder, settings: Settings |
         refused = refused_requests(requests, settings)
     # Written, so that the check in `align`, which fails the job, sees no row of theirs.
     good = staged(requests.join(refused.select("request_id"), "request_id", "left_anti"), "good")
-    return align(good.withColumn("method", F.coalesce("method", F.lit("itermax"))), embedder, None, None, settings, segmenter)
+    return align(with_method(good), embedder, None, None, settings, segmenter)
 
 
 def responses(aligned: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -15,7 +15,8 @@ from .operators.vectors import HashEmbedder
 from .options import Repair, Settings
 from .oracle import ORACLES  # noqa: F401
 from .plans.align import align, sizes_of
-from .sources.pairs import conversation_pairs, literal_pairs, turn_pairs, validate
+from .plans.requests import align_requests, refused_requests
+from .sources.pairs import REPAIR_SCHEMA, conversation_pairs, literal_pairs, turn_pairs, validate
 
 EVIDENCE = ("inter", "itermax")
 #: Repair options of the queries on phrases, loose enough for the invented vectors to give some.
@@ -46,6 +47,16 @@ class Inputs:
     def turn_vectors(self) -> DataFrame:
         return staged(self.embedder().embed(token_rows(tokenize(by_pair(turn_pairs(self.table("conversations")))))), "vectors")
 
+    def requests(self) -> DataFrame:
+        """Two neighbouring sentences are a request. Methods change from one to the next; some ask for what the settings of EVIDENCE don't run, or for no language."""
+        part = lambda i: F.split_part("pair_id", F.lit(":"), F.lit(i)).cast("long")
+        p = self.pairs().withColumns({"conv": part(1), "place": F.floor(part(3) / 2)})
+        method = F.when(F.col("conv") % 5 == 0, "mwmf").when(F.col("place") % 3 == 0, "inter").when(F.col("place") % 3 == 1, "itermax")
+        return p.select(
+            "pair_id", F.concat_ws(":", "conv", part(2), "place").alias("request_id"), F.when(F.col("conv") % 11 == 3, "x_1").otherwise("en").alias("source_language"), F.lit("fr").alias("target_language"),
+            "source", "target", method.alias("method"), F.when(F.col("conv") % 7 == 1, F.from_json(F.lit('{"min_similarity": 0.5}'), REPAIR_SCHEMA)).alias("repair"),
+        )
+
     def literal_tokens(self) -> DataFrame:
         return token_rows(tokenize(by_pair(literal_pairs(self.table("orders")))), following=True)
 
@@ -210,6 +221,8 @@ _OPERATORS = {
     "align_literals": lambda x: _flat(align(literal_pairs(x.table("orders")), x.embedder(), settings=Settings(matching_methods="ai"))),
     "literal_anchors": lambda x: regions.hard_anchors(x.literal_links(), x.literal_tokens()),
     "literal_regions": _literal_regions,
+    "align_requests": lambda x: _flat(align_requests(x.requests(), x.embedder(), Settings(matching_methods="ai"))),
+    "refused_requests": lambda x: refused_requests(x.requests(), Settings(matching_methods="ai")).withColumn("errors", F.concat_ws(",", "errors")),
     "align_repaired": lambda x: _flat(align(x.pairs(), x.embedder(), repair=Repair(min_confidence=0.2))),
     "align_span_aware": lambda x: _flat(align(x.pairs(), x.embedder(), "inter", Repair(strategy="span-aware", min_confidence=0.2, min_score_gain=0.0))),
 }

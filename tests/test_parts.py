@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 from collections import Counter
+from decimal import Context, Decimal
 
 import numpy as np
 import pytest
@@ -261,6 +262,24 @@ def test_numbers(spark):
     assert {r.n: r.k for r in df.collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_numbers_keep_28_digits(spark, seed):
+    """Against decimal arithmetic of 28 digits: long numbers, halves, nines, zeros in front and behind."""
+    r = random.Random(seed)
+    digits = lambda n: "".join(r.choice("0123459") for _ in range(n))
+    cases = {r.choice(["", "-", "+"]) + x for x in ["9" * 28 + "5", "9" * 27 + "85", "0." + "9" * 29, "1" * 27 + "25", "1" * 27 + "35", "0" * 40 + "1.5", "0." + "0" * 40 + "15", "1" + "0" * 40, "12." + "0" * 50 + "1"]}
+    for _ in range(150):
+        head, tail = digits(r.randrange(45)), digits(r.randrange(45))
+        cases.add(r.choice(["", "-"]) + (head + "." + tail if tail else head or "0"))
+
+    def plain(x: str) -> str:
+        out = format(Decimal(x).normalize(Context(prec=28)), "f")
+        return "0" if out == "-0" else out
+
+    got = {x.n: x.k for x in spark.createDataFrame([(k,) for k in cases], "n string").withColumn("k", number_text(F.col("n"))).collect()}
+    assert got == {k: plain(k) for k in cases}
+
+
 def test_model_embedder(spark):
     tokens = spark.createDataFrame([("p", "source", 0, "a"), ("p", "source", 1, "bb"), ("p", "target", 0, "c"), ("q", "source", 0, "alone")], "pair_id string, side string, idx int, text string")
     make = lambda: lambda s, t: (np.array([[len(x), 1.0] for x in s]), np.array([[len(x), 2.0] for x in t]))
