@@ -1,6 +1,7 @@
 """Every operator against a plain version, over a table with nulls, empty and long texts, repeated rows and clashing columns, and
 over an empty table."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -22,7 +23,7 @@ from duolex.llm.exact_dedup import exact_dedup
 from duolex.llm.jaccard_join import keep_one, near_duplicates
 from duolex.llm.language_id import Model, identify, keep_identified, learn
 from duolex.llm.mixing import _split, deal, mix_sources, mixed_documents
-from duolex.llm.pii import base_spans, find_personal_data, luhn
+from duolex.llm.pii import SHAPES, base_spans, candidates, find_personal_data, luhn, patterns
 from duolex.llm.shared import Tables
 from duolex.llm.sharding import permute, shard_documents, shard_rows
 from duolex.llm.substring_dedup import remove_repeats
@@ -259,8 +260,8 @@ def test_language(docs, none, rows):
     assert keep_identified(none, empty).count() == 0
 
 
-def plain_score(model_rows, langs, text):
-    """The scores of a text from counted words (lang, word, n): dictionaries and loops."""
+def plain_scorer(model_rows, langs):
+    """A function of a text, from counted words (lang, word, n): dictionaries and loops."""
     cut = lambda w, k: [w] if k == 0 else [x for i in range(len(w) + 3 - k) if (x := f"<{w}>"[i : i + k]) and (k > 1 or 0 < i <= len(w))]
     counts = [defaultdict(Counter) for _ in range(6)]
     for lang, w, n in model_rows:
@@ -271,17 +272,21 @@ def plain_score(model_rows, langs, text):
     for k in range(6):
         for by in counts[k].values():
             sums[k].update(by)
-    logs = lambda k, g: np.array([np.log((counts[k][g][x] + 0.5) / (sums[k][x] + 0.5 * len(counts[k]))) for x in langs])
-    total, seen = np.zeros(len(langs)), 0
-    for w in regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower()):
-        for k in (0, 5, 4, 3, 2, 1):
-            known = [logs(k, g) for g in cut(w, k) if g in counts[k]]
-            if known:
-                s = np.mean(known, axis=0)
-                total, seen = total + s - s.mean(), seen + 1
-                break
-    e = np.exp((total - total.max()) / max(1, seen) ** 0.5)
-    return int(np.argmax(total)), e.max() / e.sum()
+    logs = functools.cache(lambda k, g: np.array([np.log((counts[k][g][x] + 0.5) / (sums[k][x] + 0.5 * len(counts[k]))) for x in langs]))
+
+    def score(text):
+        total, seen = np.zeros(len(langs)), 0
+        for w in regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower()):
+            for k in (0, 5, 4, 3, 2, 1):
+                known = [logs(k, g) for g in cut(w, k) if g in counts[k]]
+                if known:
+                    s = np.mean(known, axis=0)
+                    total, seen = total + s - s.mean(), seen + 1
+                    break
+        e = np.exp((total - total.max()) / max(1, seen) ** 0.5)
+        return int(np.argmax(total)), e.max() / e.sum()
+
+    return score
 
 
 def test_language_scores_equal_the_plain_ones():
@@ -295,8 +300,9 @@ def test_language_scores_equal_the_plain_ones():
     texts = [" ".join(word(rng.choice(langs)) for _ in range(rng.randint(1, 12))) + rng.choice(["", " 12!", "½ Ⅷ"]) for _ in range(300)] + ["Ж", "AB, Cd"]
     texts = [t for t in texts if any(c.isalpha() for c in t)]
     best, score = model.predict(pa.array(texts))
+    plain = plain_scorer(rows, langs)
     for t, b, s in zip(texts, best, score, strict=True):
-        want = plain_score(rows, langs, t)
+        want = plain(t)
         assert abs(s - want[1]) < 1e-4 and (b == want[0] or want[1] < 0.5), t
     none, zero = model.predict(pa.array(["", "½ ² Ⅷ 12 ___", " \u0301"]))
     assert none.tolist() == [-1] * 3 and zero.tolist() == [0.0] * 3
@@ -338,6 +344,22 @@ def plain_hits(text, items):
     return len(w), len(hit), found
 
 
+def plain_windows(items):
+    """The windows of the items as tuples of words, by their length."""
+    out = defaultdict(set)
+    for t in items:
+        p = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+        m = min(13, len(p))
+        out[m] |= {tuple(p[k : k + m]) for k in range(len(p) - m + 1)} if m else set()
+    return out
+
+
+def plain_contaminated(text, windows):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+    hit = {j for m, some in windows.items() for i in range(len(w) - m + 1) if m and tuple(w[i : i + m]) in some for j in range(i, i + m)}
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
 @pytest.mark.parametrize("block", [1 << 20, 150])
 def test_decontamination(spark, docs, none, rows, block):
     text = {r[0]: r[1] for r in rows}
@@ -581,6 +603,61 @@ def test_unseen_identifiers_are_found_and_others_left(spark):
     assert not set(added) - hidden - second and not set(added) & set(clean)
 
 
+def plain_bootstrap(texts):
+    """Spans that contexts add, by text: the rounds over the graph of patterns and instances in dictionaries and loops."""
+    seen = [(i, k, s, e, t[s:e].lower(), patterns(t, s, e)) for i, t in enumerate(texts) for k, s, e in base_spans(t) + [(-1, s, e) for s, e in candidates(t, base_spans(t))]]
+    members, seeds, scores = defaultdict(set), {(w, k) for _, k, _, _, w, _ in seen if k >= 0}, {}
+    for *_, w, ps in seen:
+        for x in ps:
+            members[x].add(w)
+    told = {w for w, _ in seeds}
+    open_ = {(w, x) for _, k, _, _, w, ps in seen if k < 0 and w not in told for x in ps}
+    rounds = 0
+    while True:
+        rounds, before, rules = rounds + 1, len(scores), {}
+        for x, ws in members.items():
+            for k in range(4):
+                known = [1.0 if (w, k) in seeds else scores[w, k] for w in ws if (w, k) in seeds or (w, k) in scores]
+                if len(known) >= 3 and sum(known) / len(ws) >= 0.5:
+                    rules[x, k] = sum(known) / len(ws)
+        for w in {w for w, _ in open_}:
+            for k in range(4):
+                doubts = [1 - min(rules[x, k], 0.999) for v, x in open_ if v == w and (x, k) in rules]
+                if doubts and 1 - np.prod(doubts) >= 0.8 and re.search(SHAPES[k], w):
+                    scores[w, k] = max(scores.get((w, k), 0.0), 1 - np.prod(doubts))
+        if len(scores) == before:
+            break
+    out = defaultdict(list)
+    for i, k, s, e, w, ps in seen:
+        sure = [(rules[x, j], -j) for x in ps for j in range(4) if k < 0 and rules.get((x, j), 0) >= 0.8 and (w, j) in scores]
+        if sure:
+            out[i].append((-max(sure)[1], s, e))
+    return dict(out), rounds
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_contexts_add_what_plain_rounds_add(spark, seed):
+    """Contexts with any share of seeds of two kinds, unseen identifiers in several of them, numbers that are none, repeated and null texts."""
+    rng = random.Random(seed)
+    number = lambda by: by.join((str(rng.randint(200, 999)), str(rng.randint(200, 999)), str(rng.randint(1000, 9999))))
+    holes = [f"{a} {b} {{}} {c}" for a, b, c in zip(["ring", "fax", "lot", "mail", "desk", "note", "unit"], ["on", "line", "no", "to", "at", "of", "x"], ["now", "only", "sold", "please", "daily", "it", "."])]
+    mail = [f"user{i}@mail{i % 3}.example.com" for i in range(9)] + [f"user{i}@intern" for i in range(6)]
+    numbers = [f"+1 {number(' ')}" for _ in range(20)] + [number("-") for _ in range(10)]
+    texts = [None, "", "no identifiers here"]
+    for h in holes:
+        some = rng.sample(mail if h.startswith("mail") else numbers, rng.randint(5, 12)) + rng.sample(mail, rng.choice([0, 0, 1]))
+        texts += [h.format(x) for x in some]
+    texts += [f"box {number('-')} gone" for _ in range(4)]
+    texts += rng.sample(texts, 6) + [rng.choice(holes).format(x) + " and " + rng.choice(holes).format(y) for x, y in zip(rng.sample(numbers, 12), rng.sample(numbers, 12), strict=True)]
+    want, rounds = plain_bootstrap([t or "" for t in texts])
+    got = find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kinds = ("email", "ip", "card", "phone")
+    spans = {r.doc_id: r.spans for r in got}
+    for i, t in enumerate(texts):
+        assert spans[i] == ",".join(f"{kinds[k]}:{s}:{e}" for k, s, e in sorted(base_spans(t or "") + want.get(i, []))), t
+    assert want and rounds > 1 and all(r.n_added == 0 for r in got if (texts[r.doc_id] or "").startswith("box"))
+
+
 TALK = "conv_id long, turn long, role string, text string, n long, page long, first string, c string"
 
 
