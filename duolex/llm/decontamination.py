@@ -126,7 +126,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents, with all their columns, that aren't contaminated. With one block of patterns each row is judged where it
-    stands; with more, rows are numbered once, in a written table, and joined to the judgement."""
+    stands; with more, rows are numbered once, in a written table, and joined to the judgement. A null text has no words and is clean; rows
+    that repeat are judged each by itself, ids aren't looked at; an empty benchmark keeps all rows, an empty table gives none."""
     need(docs, id_col, text_col)
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0

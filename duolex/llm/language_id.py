@@ -186,7 +186,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, whose language is told with a score of `least` or more. Rejected are
-    null texts, texts without letters and those between languages. The test runs beside the row, so nothing is shuffled."""
+    null texts, texts without letters and those between languages. Rows that repeat are judged each by itself, ids aren't looked at;
+    with a model without languages, or an empty table, nothing stays. The test runs beside the row, so nothing is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")

@@ -45,7 +45,7 @@ def _split(nodes: DataFrame, seed: int, tables: Tables) -> DataFrame:
     """Each node's quotas, dealt to two children: the left one gets half of the blocks, its composition drawn source by source.
 
     A draw is hypergeometric, by inversion: weights run from 8 standard deviations below the mean to 8 above it, each from
-    the one before, first for their sum, then up to the share u of it. N, K and n depend on the draws before, hence one fold."""
+    the one before, first for their sum, then up to the share u of it. N, K and n depend on the draws before, hence one fold. A node without blocks sends none."""
     whole = "aggregate(sequence(r.a, r.b), named_struct('w', 1D, 't', 0D), (q, k) -> named_struct('w', q.w * {ratio}, 't', q.t + q.w), q -> q.t)".format(ratio=_RATIO)
     draw = """
 element_at(transform(transform(array(named_struct(
@@ -59,7 +59,7 @@ element_at(transform(transform(array(named_struct(
 aggregate(sequence(1, size(quotas)), named_struct('pool', total, 'drawn', total div 2, 'out', cast(array() as array<bigint>)),
   (a, i) -> element_at(transform(array(named_struct('pool', a.pool, 'drawn', a.drawn, 'own', element_at(quotas, i), 'out', a.out,
       'u', shiftrightunsigned(xxhash64({seed}L, node, i), 11) / 9007199254740992D,
-      'sd', sqrt(greatest(0D, cast(a.drawn as double) / a.pool * element_at(quotas, i) * (a.pool - element_at(quotas, i)) / a.pool * (a.pool - a.drawn) / greatest(1L, a.pool - 1))))),
+      'sd', sqrt(greatest(0D, cast(a.drawn as double) / greatest(1L, a.pool) * element_at(quotas, i) * (a.pool - element_at(quotas, i)) / greatest(1L, a.pool) * (a.pool - a.drawn) / greatest(1L, a.pool - 1))))),
     x -> element_at(transform(array(if(x.pool = 0 or x.own = 0 or x.drawn = 0, 0L, {draw})),
       d -> named_struct('pool', x.pool - x.own, 'drawn', x.drawn - d, 'out', concat(x.out, array(d)))), 1)), 1),
   a -> a.out)"""
@@ -202,7 +202,8 @@ def mix_sources(docs: DataFrame, levels: int = 3, seed: int = 20240229, id_col:
 def mixed_documents(docs: DataFrame, levels: int = 3, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents themselves with all their columns, once for each draw, in their output shards and shuffled there: each shard is
     a run of partitions, the same number for each, of consecutive ranges of `place`, sorted by it. Draws of equal place, which are
-    copies of an id, stand by the hash of their text."""
+    copies of an id, stand by the hash of their text. A null text has no words and adds nothing to a target, a null source is a source of
+    its own, null ids hash alike and rows that repeat an id are drawn together; an empty table gives no rows."""
     plan, _ = mixing_plan(docs, levels, seed, id_col, text_col, source_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(source_col).alias("_source"), _hash(seed, F.col(id_col)).alias("_hash"), F.xxhash64(F.col(text_col)).alias("_tie"))
     drawn = with_draws(packed, plan, "_hash", "_source", seed).select("_doc", "_tie", F.explode("draws").alias("_draw"))

@@ -101,7 +101,8 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 20240229, id_col: s
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, their shard and their slot (columns of these names are replaced). Rows are
-    numbered once, in a written table, so that rows which repeat an id keep apart."""
+    numbered once, in a written table, so that rows which repeat an id keep apart; null ids and null texts are placed like any
+    others (a null text has size 1), other columns go along, an empty table gives no rows."""
     tables = Tables(docs.sparkSession)
     packed = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     packed = tables.put(packed, "rows")

@@ -122,7 +122,8 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT, chunk: in
     Texts of up to `chunk` characters are cut at spaces where the vocabulary proves a boundary, and each distinct unit is
     encoded once (whole, if the vocabulary proves nothing); longer ones chunk by chunk with overlaps that are spliced at
     proven boundaries, so memory is bounded by a few chunks. Returns one row per document: id, n_bytes, n_tokens,
-    over_limit. A null text is empty: 0 bytes, 0 tokens. Nothing is shuffled; `model_path` must exist on every executor.
+    over_limit. A null text is empty: 0 bytes, 0 tokens. Rows that repeat are counted each by itself, a null id stays null, an
+    empty table gives no rows, other columns are ignored. Nothing is shuffled; `model_path` must exist on every executor.
     """
     need(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -228,6 +228,16 @@ def test_the_tree_decides_what_is_taken(spark, docs, monkeypatch):
     assert sum(r.size * len(r.draws) for r in mix_sources(docs).collect()) < 0.8 * want
 
 
+def test_fewer_entries_than_shards(spark):
+    """One document, and three of two sources, to eight shards: most nodes of the tree are empty."""
+    rows = [(1, "a b c", "x"), (2, "", "x"), (3, "d e", "y"), (4, None, None)]
+    for some in (rows[:1], rows):
+        few = spark.createDataFrame(some, "doc_id long, text string, source string")
+        drawn = {r.doc_id: len(r.draws) for r in mix_sources(few).collect()}
+        assert len(drawn) == len(some) and 1 <= drawn[1] <= 3 and all(n <= 3 for n in drawn.values())
+        assert Counter(r.doc_id for r in mixed_documents(few).collect()) == {i: n for i, n in drawn.items() if n}
+
+
 @pytest.mark.parametrize("partitions", ["4", "20"])
 def test_mixed_documents_stand_shuffled_in_their_shards(spark, docs, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
